@@ -6,6 +6,8 @@ import importlib
 
 #: Module and query of each operator.
 _QUERIES = {
+    "op1_token_counts": "token_counts",
+    "op3_byte_bpe": "byte_bpe",
     "op7_packing": "packing",
 }
 
