@@ -9,6 +9,7 @@ _QUERIES = {
     "op1_token_counts": "token_counts",
     "op3_byte_bpe": "byte_bpe",
     "op7_packing": "packing",
+    "op9_exact_dedup": "exact_dedup",
 }
 
 
