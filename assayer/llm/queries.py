@@ -8,6 +8,7 @@ import importlib
 _QUERIES = {
     "op1_token_counts": "token_counts",
     "op3_byte_bpe": "byte_bpe",
+    "op4_secrets": "secrets",
     "op7_packing": "packing",
     "op9_exact_dedup": "exact_dedup",
 }
