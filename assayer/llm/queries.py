@@ -7,6 +7,7 @@ import importlib
 #: Module and query of each operator.
 _QUERIES = {
     "op1_token_counts": "token_counts",
+    "op2_quality": "quality",
     "op3_byte_bpe": "byte_bpe",
     "op4_secrets": "secrets",
     "op7_packing": "packing",
