@@ -12,6 +12,7 @@ _QUERIES = {
     "op4_secrets": "secrets",
     "op7_packing": "packing",
     "op9_exact_dedup": "exact_dedup",
+    "op10_language_id": "language_id",
 }
 
 
