@@ -11,6 +11,7 @@ _QUERIES = {
     "op3_byte_bpe": "byte_bpe",
     "op4_secrets": "secrets",
     "op5_ngram_jaccard": "ngram_jaccard",
+    "op6_substring_dedup": "substring_dedup",
     "op7_packing": "packing",
     "op9_exact_dedup": "exact_dedup",
     "op10_language_id": "language_id",
