@@ -13,6 +13,7 @@ _QUERIES = {
     "op5_ngram_jaccard": "ngram_jaccard",
     "op6_substring_dedup": "substring_dedup",
     "op7_packing": "packing",
+    "op8_embedding_dedup": "embedding_dedup",
     "op9_exact_dedup": "exact_dedup",
     "op10_language_id": "language_id",
 }
