@@ -58,7 +58,7 @@ def batch_of(schema: pa.Schema, *columns) -> pa.RecordBatch:
     )
 
 
-def mapped(df: DataFrame, function, schema: str) -> DataFrame:
+def mapped(df: DataFrame, function, schema) -> DataFrame:
     """mapInArrow with bounded batches. function takes and yields record batches."""
     tuned(df.sparkSession)
 
@@ -94,3 +94,13 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         before = now
     root = link.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component")
     return root.unionByName(link.select(F.col("b").alias("node"), F.col("b").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
+
+
+#: Ids that are broadcast, 8 bytes each; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs without the rows that have one of the ids (column doc_id); rows with a null doc_id stay."""
+    ids = written(ids.select("doc_id").where("doc_id IS NOT NULL").distinct(), "ids")
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti").select(docs.columns)

@@ -117,6 +117,39 @@ def scan(docs: DataFrame) -> DataFrame:
     return common.mapped(docs.select(F.col("doc_id").cast("long"), "text"), run, f"doc_id long, {counts}, base string, spans string")
 
 
+def redacted_text(text: str, spans: list[tuple[int, int, int]], mark: str) -> str:
+    """text with mark in place of each run of spans that overlap."""
+    parts, end = [], 0
+    for s, _, e in sorted(spans):
+        if s >= end:
+            parts += [text[end:s], mark]
+        end = max(end, e)
+    return "".join([*parts, text[end:]]) if parts else text
+
+
+def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
+    """docs, all columns and rows, with mark in place of the secrets in text, and n_chars, if it is there, to match.
+
+    A null text stays null.
+    """
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        novelty = Novelty()
+        for batch in batches:
+            columns, texts = list(batch.columns), []
+            for text in batch.column(at).to_pylist():
+                if text:
+                    base = base_spans(text)
+                    text = redacted_text(text, base + novel_spans(text, base, novelty), mark)
+                texts.append(text)
+            columns[at] = pa.array(texts, batch.schema.field(at).type)
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    found = common.mapped(docs, run, docs.schema)
+    return found.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else found
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(common.table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
