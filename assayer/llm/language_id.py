@@ -46,15 +46,15 @@ def trigrams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     group, size = [], 0
     for i, text in [*enumerate(texts), (len(texts), "")]:
         if group and (size + len(text) > CHUNK or i == len(texts)):
-            # two blanks end each text, so that no trigram spans two
-            cp = folded()[np.frombuffer("".join(x + "\0\0" for _, x in group).encode("utf-32-le", "surrogatepass"), np.uint32)]
-            row = np.repeat([k for k, _ in group], [len(x) + 2 for _, x in group])
+            # blanks around each text: a trigram belongs to the text of its middle letter
+            cp = folded()[np.frombuffer(("\0" + "".join(x + "\0\0" for _, x in group)).encode("utf-32-le", "surrogatepass"), np.uint32)]
+            row = np.append(0, np.repeat([k for k, _ in group], [len(x) + 2 for _, x in group]))
             a, b, c = cp[:-2], cp[1:-1], cp[2:]
             keep = (b != 0) & ((a != 0) | (c != 0))
             mixed = (a[keep] * np.uint32(0x9E3779B1)) ^ (b[keep] * np.uint32(0x85EBCA6B)) ^ (c[keep] * np.uint32(0xC2B2AE35))
             mixed ^= mixed >> np.uint32(15)
             mixed *= np.uint32(0x2C1B3C6D)
-            yield (mixed >> np.uint32(20)).astype(np.int64), row[:-2][keep]
+            yield (mixed >> np.uint32(20)).astype(np.int64), row[1:-1][keep]
             group, size = [], 0
         group.append((i, text))
         size += len(text)
