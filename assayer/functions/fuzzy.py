@@ -9,6 +9,7 @@ from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types
 
 
 def lcs(a: str, b: str) -> int:
@@ -71,7 +72,7 @@ def same_value(a: str, b: str, threshold: float) -> bool:
 
 
 def _udf(function):
-    @F.pandas_udf("double")
+    @F.pandas_udf(types.DoubleType())
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([None if x is None or y is None else function(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
@@ -99,6 +100,6 @@ def mismatch_class(truth: str, predicted: str) -> str:
     return next((name for name, holds in tests if holds), "genuine_mismatch")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(types.StringType())
 def mismatch(truth: pd.Series, predicted: pd.Series) -> pd.Series:
     return pd.Series([mismatch_class(t or "", p or "") for t, p in zip(truth, predicted, strict=True)])

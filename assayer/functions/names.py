@@ -148,7 +148,7 @@ def author_parts(name: Column) -> Column:
 
 def _split_initials(given: Column, other: Column) -> Column:
     """One token of two letters as two initials, where the other side starts with just these."""
-    one = given[0]
+    one = F.get(given, F.lit(0))
     letters = F.array(F.substring(one, 1, 1), F.substring(one, 2, 1))
     fits = (F.size(given) == 1) & (F.size(other) >= 2) & one.rlike(r"(?U)^\p{Alpha}{2}$") & (F.slice(other, 1, 2) == letters)
     return F.when(fits, letters).otherwise(given)

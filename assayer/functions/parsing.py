@@ -20,7 +20,8 @@ def confidence(value: Column) -> Column:
     """A number or numeric string; above 1 a percentage; held in 0..1; anything else null."""
     number = value.try_cast("double")
     number = F.when(F.isnan(number), None).otherwise(number)
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(number > 1, number / 100).otherwise(number)))
+    scaled = F.when(number > 1, number / 100).otherwise(number)
+    return F.when(scaled.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), scaled)))
 
 
 def scalar_answer(found: Column) -> Column:

@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types
 
 # Letters that decomposition leaves alone.
 LETTERS = {"ø": "o", "æ": "ae", "œ": "oe", "ł": "l", "đ": "d", "ð": "d", "ß": "ss", "þ": "th", "ı": "i", "İ": "I", "Ø": "O", "Æ": "AE", "Œ": "OE", "Ł": "L", "Đ": "D", "Ð": "D", "Þ": "Th"}
@@ -45,17 +46,17 @@ def display(text: str) -> str:
     return re.sub(r"\s+", " ", text).strip()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(types.StringType())
 def norm_text(values: pd.Series) -> pd.Series:
     return values.map(plain, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(types.StringType())
 def display_fold(values: pd.Series) -> pd.Series:
     return values.map(display, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(types.StringType())
 def repair_text(values: pd.Series) -> pd.Series:
     return values.map(repaired, na_action="ignore")
 

@@ -276,10 +276,10 @@ def optimizer_improvement(spark, sf_dir):
     return summaries.improvement(fixtures.iterations(spark, sf_dir))
 
 
-@query(sql("runs", "SELECT record_id, count(*) AS n FROM runs GROUP BY 1 HAVING count(*) = count(error)"))
-def all_failed_records(spark, sf_dir):
+@query(sql("runs", "SELECT record_id, model_id, count(*) AS n FROM runs GROUP BY 1, 2 HAVING count(*) = count(error)"))
+def all_failed_pairs(spark, sf_dir):
     """AGG10, SNK21: what a retry takes up."""
-    return summaries.all_failed(fixtures.runs(spark, sf_dir), ["record_id"])
+    return summaries.all_failed(fixtures.runs(spark, sf_dir), ["record_id", "model_id"])
 
 
 @query(sql("runs", "SELECT record_id, count(DISTINCT model_id) AS n_fields FROM runs WHERE error IS NULL GROUP BY 1 HAVING count(DISTINCT model_id) = 4"))

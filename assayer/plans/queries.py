@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import metric_queries  # noqa: F401
+from . import metric_queries, text_queries, workflow_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 
