@@ -108,41 +108,53 @@ def may_match(threshold: int) -> str:
     return f"100 * a_n >= {threshold} * b_n AND {100 + threshold} * (1 + least(a_n - 1 - a_pos, b_n - 1 - b_pos)) >= {threshold} * (a_n + b_n)"
 
 
-def fetch_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(sid, shingles) of the wanted (doc_id, sid)."""
+def fetch_sets(docs: DataFrame, wanted: DataFrame, size: int, short: bool) -> DataFrame:
+    """(sid, shingles) of the wanted (doc_id, sid); short: the shingles' low 16 bits, a quarter of the bytes."""
     wanted = common.written(wanted, "jaccard-wanted")
-    small = wanted.count() <= BROADCAST_IDS
-    texts = docs.join(F.broadcast(wanted) if small else wanted, "doc_id").select("sid", "text")
+    few = wanted.count() <= BROADCAST_IDS
+    texts = docs.join(F.broadcast(wanted) if few else wanted, "doc_id").select("sid", "text")
     schema = pa.schema([("sid", pa.int64()), ("shingles", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = shingle_sets(common.texts_of(batch), size)
-            # where a doc_id repeats, only the row with that very set counts
-            kept = [(sid, x.tobytes()) for sid, x in zip(batch.column(0).to_pylist(), sets, strict=True) if len(x) and set_id(x) == sid]
+            kept = []
+            for sid, x in zip(batch.column(0).to_pylist(), shingle_sets(common.texts_of(batch), size), strict=True):
+                if len(x) and set_id(x) == sid:  # where a doc_id repeats, only the rows with that very set count
+                    kept.append((sid, (np.sort(x.astype(np.uint16)) if short else x).tobytes()))
             if kept:
                 yield common.batch_of(schema, *zip(*kept, strict=True))
 
-    return common.written(common.mapped(texts, run, "sid long, shingles binary").dropDuplicates(["sid"]), "jaccard-shingles")
+    return common.written(common.mapped(texts, run, "sid long, shingles binary"), "jaccard-shingles")
 
 
-def compare(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (a, b) and whether their sets are similar enough."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_())])
+def compare(pairs: DataFrame, sets: DataFrame, threshold: int, short: bool) -> DataFrame:
+    """(a, b, linked): whether the pairs' sets are similar enough; for short sets, whether they may be."""
+    schema, kind = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_())]), np.uint16 if short else np.uint64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             linked = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                x, y = np.frombuffer(x, kind), np.frombuffer(y, kind)
                 both = np.sort(np.concatenate([x, y]), kind="stable")
-                shared = int((both[1:] == both[:-1]).sum())
-                linked.append(100 * shared >= threshold * (len(x) + len(y) - shared))
+                shared = int((both[1:] == both[:-1]).sum())  # of short sets, no fewer than they share
+                linked.append((100 + threshold) * shared >= threshold * (len(x) + len(y)))
             yield common.batch_of(schema, batch.column(0), batch.column(1), linked)
 
     one = pairs.join(sets.withColumnRenamed("sid", "a").withColumnRenamed("shingles", "x"), "a")
     two = one.join(sets.withColumnRenamed("sid", "b").withColumnRenamed("shingles", "y"), "b")
-    return common.written(common.mapped(two.select("a", "b", "x", "y"), run, "a long, b long, linked boolean"), "jaccard-compared")
+    found = common.mapped(two.select("a", "b", "x", "y"), run, "a long, b long, linked boolean")
+    return common.written(found, "jaccard-compared")
+
+
+def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, threshold: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar enough; the short sets rule most others out first."""
+    for short in (True, False):
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(classes, "sid")
+        sets = fetch_sets(docs, wanted, size, short)
+        pairs = common.written(compare(pairs, sets, threshold, short).where("linked").select("a", "b").distinct(), "jaccard-linked")
+        common.discard(sets)
+    return pairs
 
 
 def link(docs: DataFrame, threshold: int = 80, size: int = 5) -> DataFrame:
@@ -167,7 +179,7 @@ def link(docs: DataFrame, threshold: int = 80, size: int = 5) -> DataFrame:
     shared = near.where("low <> high AND (before IS NULL OR before <> sid)")  # tasks may repeat a set
     lists = common.written(shared.select("shingle", "sid", "n", "pos"), "jaccard-index")
 
-    done = root = None
+    done = links = root = None
     for last in (False, False, True):
         open_ = lists
         if root is not None:  # lists of one component have their answers
@@ -187,12 +199,12 @@ def link(docs: DataFrame, threshold: int = 80, size: int = 5) -> DataFrame:
             pairs = met.withColumnRenamed("a_sid", "a").withColumnRenamed("b_sid", "b")
         pairs = pairs.where(may_match(threshold)).select("a", "b").distinct()
         if done is not None:
-            pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
+            pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = common.written(pairs, "jaccard-pairs")
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(classes, "sid")
-        found = compare(pairs, fetch_sets(named, wanted, size), threshold)
-        done = found if done is None else done.unionByName(found)
-        root = common.written(common.components(done.where("linked").select("a", "b"), "jaccard-components"), "jaccard-roots")
+        found = verify(pairs, named, classes, size, threshold)
+        done = pairs if done is None else done.unionByName(pairs)
+        links = found if links is None else links.unionByName(found)
+        root = common.written(common.components(links, "jaccard-components"), "jaccard-roots")
 
     least = root.withColumnRenamed("node", "sid").join(classes, "sid").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     of = root.join(common.written(least, "jaccard-least"), "component").select(F.col("node").alias("sid"), "component_id")
