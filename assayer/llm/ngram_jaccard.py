@@ -179,7 +179,7 @@ def link(docs: DataFrame, threshold: int = 80, size: int = 5) -> DataFrame:
     shared = near.where("low <> high AND (before IS NULL OR before <> sid)")  # tasks may repeat a set
     lists = common.written(shared.select("shingle", "sid", "n", "pos"), "jaccard-index")
 
-    done = links = root = None
+    done = root = None
     for last in (False, False, True):
         open_ = lists
         if root is not None:  # lists of one component have their answers
@@ -203,8 +203,9 @@ def link(docs: DataFrame, threshold: int = 80, size: int = 5) -> DataFrame:
         pairs = common.written(pairs, "jaccard-pairs")
         found = verify(pairs, named, classes, size, threshold)
         done = pairs if done is None else done.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
-        root = common.written(common.components(links, "jaccard-components"), "jaccard-roots")
+        if root is None or not found.isEmpty():
+            known = found if root is None else found.unionByName(root.select(F.col("node").alias("a"), F.col("component").alias("b")))
+            root = common.written(common.components(known, "jaccard-components"), "jaccard-roots")
 
     least = root.withColumnRenamed("node", "sid").join(classes, "sid").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     of = root.join(common.written(least, "jaccard-least"), "component").select(F.col("node").alias("sid"), "component_id")
