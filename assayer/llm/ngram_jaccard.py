@@ -4,8 +4,10 @@ Equal sets are one class, with the smallest doc_id. A class's shingles are order
 last; its prefix, the part of which two sets of enough similarity must share one, goes to the index. An
 index list is ordered by set size and holds positions; size and position bounds skip what can't match.
 Sets that are highly similar share their answers: neighbours in a list are compared first, and a list
-whose sets are linked already, however long, is skipped as a whole. What is left, pairs of a list in
-different components, is compared in full. Every comparison is of the whole sets.
+whose sets are linked already, however long, is skipped as a whole; what is left of the others meets
+near neighbours in random orders, which ties large groups of near copies together by few comparisons.
+What is left then, pairs of a list in different components, is compared in full. Every comparison is of
+the whole sets.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from . import common, wordhash
 #: how many of the commonest are put last (16 bytes each when broadcast). They set the order of shingles
 #: alone: any order gives all links.
 BLOCK, COMMON_HERE, COMMONEST = 2_000_000, 8, 500_000
+#: For each round in which the sets of a list that is left meet others in random order: how far off those stand.
+RANDOM_ROUNDS = ((1, 2, 3, 5), tuple(range(1, 17)), tuple(range(1, 17)))
 #: Ids that are broadcast when texts are fetched, 8 bytes each; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -108,6 +112,17 @@ def may_match(threshold: int) -> str:
     return f"100 * a_n >= {threshold} * b_n AND {100 + threshold} * (1 + least(a_n - 1 - a_pos, b_n - 1 - b_pos)) >= {threshold} * (a_n + b_n)"
 
 
+def neighbours(lists: DataFrame, order: list, steps: tuple[int, ...]) -> DataFrame:
+    """The pairs of sets in different components that stand so many steps apart in their list's order, the smaller as a."""
+    by_order, column = Window.partitionBy("shingle").orderBy(*order), ("component", "n", "sid", "pos")
+    ahead = [F.lead(F.struct(*column), k).over(by_order) for k in steps]
+    met = lists.select(F.struct(*column).alias("one"), F.array(*ahead).alias("ahead"))
+    met = met.select("one", F.explode(F.filter("ahead", lambda x: x.component != F.col("one.component"))).alias("two"))
+    one_first = F.struct("one.n", "one.sid") < F.struct("two.n", "two.sid")
+    met = met.select(F.when(one_first, F.col("one")).otherwise(F.col("two")).alias("x"), F.when(one_first, F.col("two")).otherwise(F.col("one")).alias("y"))
+    return met.selectExpr("x.sid AS a", "y.sid AS b", "x.n AS a_n", "y.n AS b_n", "x.pos AS a_pos", "y.pos AS b_pos")
+
+
 def fetch_sets(docs: DataFrame, wanted: DataFrame, size: int, short: bool) -> DataFrame:
     """(sid, shingles) of the wanted (doc_id, sid); short: the shingles' low 16 bits, a quarter of the bytes."""
     wanted = common.written(wanted, "jaccard-wanted")
@@ -180,18 +195,16 @@ def link(docs: DataFrame, threshold: int = 80, size: int = 5) -> DataFrame:
     lists = common.written(shared.select("shingle", "sid", "n", "pos"), "jaccard-index")
 
     done = root = None
-    for last in (False, False, True):
-        open_ = lists
+    for turn in range(len(RANDOM_ROUNDS) + 2):
+        open_ = lists.withColumn("component", F.col("sid"))
         if root is not None:  # lists of one component have their answers
             open_ = lists.join(root.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
             mixed = open_.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("shingle")
             open_ = common.written(open_.join(common.written(mixed, "jaccard-mixed"), "shingle"), "jaccard-open")
-        if not last:
-            order = Window.partitionBy("shingle").orderBy(*([] if root is None else ["component"]), "n", "sid")
-            step = open_.select("sid", "n", "pos", *[F.lead(c).over(order).alias(f"next_{c}") for c in ("sid", "n", "pos")]).where("next_sid IS NOT NULL AND next_sid <> sid")
-            flip = F.struct("n", "sid") > F.struct(F.col("next_n"), F.col("next_sid"))
-            side = lambda c, x: F.when(flip, F.col(f"next_{c}") if x == "a" else F.col(c)).otherwise(F.col(c) if x == "a" else F.col(f"next_{c}"))
-            pairs = step.select(*[side("sid", x).alias(x) for x in "ab"], *[side(c, x).alias(f"{x}_{c}") for x in "ab" for c in ("n", "pos")])
+        if turn == 0:
+            pairs = neighbours(open_, ["n", "sid"], (1,))
+        elif turn <= len(RANDOM_ROUNDS):
+            pairs = neighbours(open_, [F.xxhash64("sid", F.lit(turn)), "sid"], RANDOM_ROUNDS[turn - 1])
         else:
             a, b = (open_.select("shingle", "component", *[F.col(c).alias(f"{x}_{c}") for c in ("sid", "n", "pos")]) for x in "ab")
             a = a.withColumnRenamed("component", "a_component")
