@@ -5,8 +5,10 @@ similarity = 200 * LCS / (|a| + |b|). Call these on distinct pairs that no exact
 
 from __future__ import annotations
 
+import math
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types
@@ -60,6 +62,53 @@ def partial(a: str, b: str) -> float:
     return best
 
 
+def reaches(a: str, b: str, threshold: float) -> bool:
+    """partial(a, b) >= threshold, without the stretches that can't get there.
+
+    From one stretch to the next the common subsequence grows by 1 at most and what is needed falls by at
+    most threshold / 200, so a stretch that is short of it by a gap rules out those after it.
+    """
+    short, long = (a, b) if len(a) <= len(b) else (b, a)
+    if not short or short in long:
+        return partial(short, long) >= threshold
+    n = len(short)
+    starts = np.concatenate([np.arange(1 - n, 0), full_stretches(short, long, threshold), np.arange(len(long) - n + 1, len(long))])
+    at = 0
+    while at < len(starts):
+        i = int(starts[at])
+        part = long[max(0, i) : i + n]
+        common = lcs(short, part)
+        if 200.0 * common / (n + len(part)) >= threshold and (part[0] in short or part[-1] in short):
+            return True
+        gap = threshold * (n + len(part)) / 200 - common
+        at = max(at + 1, int(np.searchsorted(starts, i + math.floor(gap / (1 + threshold / 200)))))
+    return False
+
+
+def _grams(text: str) -> np.ndarray:
+    """16-bit hashes of the stretches of four characters."""
+    cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    h = cp[:-3] * np.uint32(0x9E3779B1) ^ cp[1:-2] * np.uint32(0x85EBCA6B) ^ cp[2:-1] * np.uint32(0xC2B2AE35) ^ cp[3:] * np.uint32(0x27D4EB2F)
+    h ^= h >> np.uint32(15)
+    return (h * np.uint32(0x2C1B3C6D)) >> np.uint32(16)
+
+
+def full_stretches(short: str, long: str, threshold: float) -> np.ndarray:
+    """Where a stretch of long, as long as short, may begin that reaches the threshold.
+
+    k characters missing and k others in their place leave all but 7 k of the n - 3 stretches of four
+    characters of short whole, and threshold allows k up to (1 - threshold / 100) n.
+    """
+    n, every = len(short), np.arange(len(long) - len(short) + 1)
+    least = n - 3 - 7 * math.floor((1 - threshold / 100) * n + 1e-6)
+    if least <= 0:
+        return every
+    known = np.zeros(1 << 16, np.int64)
+    known[_grams(short)] = 1
+    upto = np.append(0, np.cumsum(known[_grams(long)]))
+    return every[upto[n - 3 :] - upto[: len(upto) - n + 3] >= least]
+
+
 @lru_cache(maxsize=1 << 16)
 def same_value(a: str, b: str, threshold: float) -> bool:
     """Normed strings that name the same thing: by their words, or one within the other."""
@@ -82,6 +131,16 @@ def _udf(function):
 plain_ratio, token_sort_ratio, token_set_ratio, partial_ratio = (_udf(f) for f in (ratio, token_sort, token_set, partial))
 
 
+def stands_in(threshold: float):
+    """UDF: an excerpt stands in a source word for word, or nearly in the best stretch of the whole source."""
+
+    @F.pandas_udf(types.BooleanType())
+    def run(excerpt: pd.Series, source: pd.Series) -> pd.Series:
+        return pd.Series([None if e is None or s is None else e in s or reaches(e, s, threshold) for e, s in zip(excerpt, source, strict=True)], dtype="object")
+
+    return run
+
+
 def mismatch_class(truth: str, predicted: str) -> str:
     """How a predicted value, folded like the true one, differs from it."""
     if not truth or not predicted:
