@@ -1,15 +1,18 @@
 """Secret scans: fixed patterns, and strings that a dictionary-primed compressor finds novel.
 
 Base spans come from three patterns. Beyond them, a long mixed string in a sensitive context is a
-candidate; its novelty is what it adds to the compressed size of the text before it, with zstandard primed
+candidate; its novelty is what it adds to the compressed size of the text around it, with zstandard primed
 by a dictionary of common words, identifiers and code. A random key adds nearly its full entropy, a path
-or a name little. Rows are independent: no shuffle.
+or a name little. Lines of a block and segments of a token share their context, and all copies of a
+reported string are reported. Rows are independent: no shuffle.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,10 +28,14 @@ BASE = (
 )
 KINDS = tuple(k for k, *_ in BASE) + ("novel",)
 
-#: What may be a secret, the words that make a context sensitive, and how far before it they may stand.
+#: What may be a secret, the words that make a context sensitive, and how far before or after it they may stand.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 SENSITIVE = re.compile(r"auth|bearer|credential|private|passphrase|pwd|pass|secret|token|key|akia|signature|cookie|session", re.IGNORECASE | re.ASCII)
 CONTEXT_CHARS, SURROUNDING_CHARS = 48, 512
+#: What may stand between candidates that share their context: lines of a block, segments of a token.
+ADJOINING = re.compile(r"""[\s.,:;~|"'`\\+#>*-]{1,16}""")
+#: The last, short line of a block.
+TAIL = re.compile(r"""[\s"'`\\+]{1,8}([A-Za-z0-9+/=]{1,15})(?=[\s"'`\\+]{0,8}-----END)""")
 #: Compressed bytes that a candidate adds, for each of its characters, from which it is reported.
 NOVELTY = 0.6
 
@@ -72,21 +79,75 @@ class Novelty:
         return len(self.compress(before + candidate.encode())) - len(self.compress(before))
 
 
+def in_context(text: str, found: list[re.Match]) -> list[bool]:
+    """For each candidate: a sensitive word stands shortly before or after it, or it or one of those that adjoin it in a row."""
+    own = [bool(SENSITIVE.search(text, max(0, m.start() - CONTEXT_CHARS), m.start()) or SENSITIVE.search(text, m.end(), m.end() + CONTEXT_CHARS)) for m in found]
+    first = 0
+    for k in range(1, len(found) + 1):
+        if k == len(found) or not ADJOINING.fullmatch(text, found[k - 1].end(), found[k].start()):
+            own[first:k] = [any(own[first:k])] * (k - first)
+            first = k
+    return own
+
+
+def is_mixed(word: str) -> bool:
+    return sum((any(c.isdigit() for c in word), any(c.islower() for c in word), any(c.isupper() for c in word))) >= 2
+
+
+def surroundings(text: str, s: int, e: int) -> tuple[str, str]:
+    """What stands before and after text[s:e], its copies blanked out, those that the limit would cut among them."""
+    word, far = text[s:e], SURROUNDING_CHARS + e - s
+    return text[max(0, s - far) : s].replace(word, " ")[-SURROUNDING_CHARS:], text[e : e + far].replace(word, " ")[:SURROUNDING_CHARS]
+
+
+def is_novel(text: str, s: int, e: int, novelty: Novelty) -> bool:
+    """text[s:e] is hard to compress after the text before it, and after what follows it as well."""
+    before, after = surroundings(text, s, e)
+    return novelty.added(after + before, text[s:e]) >= NOVELTY * (e - s)
+
+
+def value_of(word: str) -> str:
+    """The longest part of a candidate between equals signs, or all of it if that's short: name=value holds the value."""
+    longest = max(word.split("="), key=len)
+    return longest if len(longest) >= 16 else word
+
+
 def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty) -> list[tuple[int, int, int]]:
-    """Candidates in a sensitive context that don't overlap a base span and are hard to compress."""
-    found, taken = [], sorted((s, e) for s, _, e in base)
-    for m in CANDIDATE.finditer(text):
+    """Candidates in a sensitive context that don't overlap a base span and are hard to compress, and all their copies.
+
+    The values of base spans that are hard to compress have their copies reported too.
+    """
+    taken = sorted((s, e) for s, _, e in base)
+    ends = list(accumulate((e for _, e in taken), max))
+    starts = [s for s, _ in taken]
+    overlaps = lambda s, e: (k := bisect_left(starts, e)) > 0 and ends[k - 1] > s
+    spans, unsure = set(), set()
+    found = list(CANDIDATE.finditer(text))
+    for m, sensitive in zip(found, in_context(text, found), strict=True):
         s, e = m.span()
-        if not SENSITIVE.search(text, max(0, s - CONTEXT_CHARS), s):
+        if overlaps(s, e) or not sensitive or not is_mixed(m.group()):
             continue
-        word = m.group()
-        if sum((any(c.isdigit() for c in word), any(c.islower() for c in word), any(c.isupper() for c in word))) < 2:
-            continue
-        if any(a < e and s < b for a, b in taken):
-            continue
-        if novelty.added(text[max(0, s - SURROUNDING_CHARS) : s], word) >= NOVELTY * len(word):
-            found.append((s, len(BASE), e))
-    return found
+        (spans if is_novel(text, s, e, novelty) else unsure).add((s, e))
+    fresh = spans
+    while fresh and unsure:  # random strings nearby make a string look less novel: those reported are blanked out
+        near = {(s, e) for s, e in unsure if any(a < e + SURROUNDING_CHARS and s < b + SURROUNDING_CHARS for a, b in fresh)}
+        blanked = redacted_text(text, [(s, 0, e) for s, e in spans], None) if near else text
+        fresh = {(s, e) for s, e in near if is_novel(blanked, s, e, novelty)}
+        spans, unsure = spans | fresh, unsure - fresh
+    values = {value_of(text[s:e]) for s, e in spans}
+    spans |= {tail.span(1) for _, e in spans if (tail := TAIL.match(text, e))}
+    for s, kind, e in base:
+        for m in CANDIDATE.finditer(text, BASE[0][1].match(text, s).start(2) if kind == 0 else s, e):
+            if m.group() not in values and text.count(m.group()) > 1 and is_mixed(m.group()) and is_novel(text, *m.span(), novelty):
+                values.add(value_of(m.group()))
+    for value in values:
+        s = text.find(value)
+        while s >= 0:
+            e = s + len(value)
+            if not any(a <= s and e <= b for a, b in taken) and not any(a <= s and e <= b for a, b in spans):
+                spans.add((s, e))
+            s = text.find(value, e)
+    return [(s, len(BASE), e) for s, e in sorted(spans)]
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
@@ -117,11 +178,13 @@ def scan(docs: DataFrame) -> DataFrame:
     return common.mapped(docs.select(F.col("doc_id").cast("long"), "text"), run, f"doc_id long, {counts}, base string, spans string")
 
 
-def redacted_text(text: str, spans: list[tuple[int, int, int]], mark: str) -> str:
-    """text with mark in place of each run of spans that overlap."""
+def redacted_text(text: str, spans: list[tuple[int, int, int]], mark: str | None) -> str:
+    """text with mark in place of each run of spans that overlap; without a mark blanks, as many as characters."""
     parts, end = [], 0
     for s, _, e in sorted(spans):
-        if s >= end:
+        if mark is None:
+            parts += [text[end:s], " " * (e - max(s, end))]
+        elif s >= end:
             parts += [text[end:s], mark]
         end = max(end, e)
     return "".join([*parts, text[end:]]) if parts else text
