@@ -1,6 +1,6 @@
 """Language ID by Bayesian evidence fusion.
 
-Hypotheses are the declared languages and `und`, no language. Text likelihoods come from letter trigrams,
+Hypotheses are all declared languages, however many, and `und`, no language. Text likelihoods come from letter trigrams,
 counted over all rows by declared language; und spreads evenly over all trigrams. Three more kinds of
 evidence join them: the declared language, with the reliability that the table itself shows; the address
 suffix; and the host, whose prior is smoothed towards its suffix's, that one towards all rows'. Counts
@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Trigram buckets; languages at most; how far trigrams that overlap count as independent.
-BUCKETS, MOST_LANGUAGES, TEMPER = 4096, 64, 0.25
+#: Trigram buckets; how far trigrams that overlap count as independent.
+BUCKETS, TEMPER = 4096, 0.25
+#: Languages that are counted or scored together: bounds the memory, leaves none out.
+LANGUAGES_AT_ONCE = 64
 #: Weight, in rows, of the suffix's prior for a host and of the overall prior for a suffix; prior of und.
 SMOOTHING, UND_PRIOR = 20.0, 1e-9
 #: Characters looked at together.
@@ -60,43 +62,75 @@ def trigrams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         size += len(text)
 
 
-def trigram_counts(rows: DataFrame, languages: list[str]) -> np.ndarray:
-    """Trigrams of all rows by declared language."""
-    number, schema = {x: i for i, x in enumerate(languages)}, pa.schema([("cell", pa.int32()), ("n", pa.int64())])
+def trigram_counts(rows: DataFrame, languages: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Trigrams of all rows by declared language, of those that are there: language * BUCKETS + bucket, and how many."""
+    number, schema = {x: i for i, x in enumerate(languages)}, pa.schema([("cell", pa.int64()), ("n", pa.int64())])
+
+    def cells(total: dict[int, np.ndarray]) -> pa.RecordBatch:
+        found = [(k * BUCKETS + np.flatnonzero(x), x[x > 0]) for k, x in total.items()]
+        return common.batch_of(schema, *(np.concatenate(x) for x in zip(*found, strict=True)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(languages) * BUCKETS, np.int64)
+        total: dict[int, np.ndarray] = {}
         for batch in batches:
             declared = np.array([number[x] for x in batch.column(0).to_pylist()], np.int64)
             for bucket, row in trigrams(common.texts_of(batch)):
-                total += np.bincount(declared[row] * BUCKETS + bucket, minlength=len(total))
-        cell = np.flatnonzero(total)
-        yield common.batch_of(schema, cell.astype(np.int32), total[cell])
-
-    summed = common.mapped(rows.select("declared", "text"), run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    found = np.zeros(len(languages) * BUCKETS)
-    for cell, n in summed.collect():  # languages x BUCKETS numbers at most
-        found[cell] = n
-    return found.reshape(len(languages), BUCKETS)
-
-
-def text_evidence(rows: DataFrame, log_p: np.ndarray) -> DataFrame:
+                which, at = np.unique(declared[row], return_inverse=True)
+                for first in range(0, len(which), LANGUAGES_AT_ONCE):
+                    part = which[first : first + LANGUAGES_AT_ONCE]
+                    here = (at >= first) & (at < first + len(part))
+                    counted = np.bincount((at[here] - first) * BUCKETS + bucket[here], minlength=len(part) * BUCKETS).reshape(-1, BUCKETS)
+                    for k, n in zip(part.tolist(), counted, strict=True):
+                        total[k] = total[k] + n if k in total else n.copy()
+                    if len(total) > LANGUAGES_AT_ONCE:
+                        yield cells(total)
+                        total = {}
+        if total:
+            yield cells(total)
+
+    summed = common.mapped(rows.select("declared", "text"), run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # languages x BUCKETS rows at most
+    cell, n = (summed.column(k).to_numpy() for k in range(2))
+    order = np.argsort(cell)
+    return cell[order], n[order]
+
+
+def text_evidence(rows: DataFrame, cell: np.ndarray, n: np.ndarray, n_languages: int) -> DataFrame:
     """Adds evidence: for each hypothesis the tempered log-likelihood of the text; letters: if it has any."""
     schema = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("declared", pa.string()), ("host", pa.string()), ("suffix", pa.string()), ("letters", pa.bool_()), ("evidence", pa.list_(pa.float64()))])
+    all_ = np.log(np.bincount(cell // BUCKETS, n, n_languages) + 0.5 * BUCKETS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            total, n = np.zeros((batch.num_rows, len(log_p))), np.zeros(batch.num_rows)
-            for bucket, row in trigrams(common.texts_of(batch)):
-                n += np.bincount(row, minlength=batch.num_rows)
-                for k, table in enumerate(log_p):
-                    total[:, k] += np.bincount(row, table[bucket], minlength=batch.num_rows)
-            yield common.batch_of(schema, *(batch.column(i) for i in range(5)), n > 0, list(TEMPER * total))
+            total, size = np.zeros((batch.num_rows, n_languages + 1)), np.zeros(batch.num_rows)
+            groups = list(trigrams(common.texts_of(batch)))
+            for first in range(0, n_languages, LANGUAGES_AT_ONCE):
+                last = min(first + LANGUAGES_AT_ONCE, n_languages)
+                a, b = np.searchsorted(cell, [first * BUCKETS, last * BUCKETS])
+                log_p = np.full((last - first) * BUCKETS, np.log(0.5))
+                log_p[cell[a:b] - first * BUCKETS] = np.log(n[a:b] + 0.5)
+                log_p = log_p.reshape(-1, BUCKETS) - all_[first:last, None]
+                for bucket, row in groups:
+                    for k, table in enumerate(log_p, first):
+                        total[:, k] += np.bincount(row, table[bucket], minlength=batch.num_rows)
+            for _, row in groups:
+                size += np.bincount(row, minlength=batch.num_rows)
+            total[:, -1] = size * np.log(1 / BUCKETS)
+            yield common.batch_of(schema, *(batch.column(i) for i in range(5)), size > 0, list(TEMPER * total))
 
     text = rows.select("rid", "doc_id", "declared", "host", "suffix", "text")
     return common.mapped(text, run, "rid long, doc_id long, declared string, host string, suffix string, letters boolean, evidence array<double>")
 
 
+def tally(seen: DataFrame, by: str) -> DataFrame:
+    """Per value of by how many rows have each text language: a map from its number, without the zeros."""
+    counts = seen.where(F.col(by).isNotNull()).groupBy(by, "k").agg(F.count("*").alias("n"))
+    return common.written(counts.groupBy(by).agg(F.map_from_entries(F.collect_list(F.struct("k", "n"))).alias(f"by_{by}"), F.sum("n").alias(f"n_{by}")), f"language-{by}")
+
+
+def constants(values) -> Column:
+    return F.array(*map(F.lit, values))
+
+
 def identify(docs: DataFrame, text: Column, declared: Column, host: Column, suffix: Column, threshold: float = 0.5) -> DataFrame:
     """Per row of docs lang, probability, text_lang (by the text alone) and rejected.
 
@@ -109,43 +143,41 @@ def identify(docs: DataFrame, text: Column, declared: Column, host: Column, suff
         F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long"), text.alias("text"),
         F.lower(declared).alias("declared"), host.alias("host"), suffix.alias("suffix"),
     )
-    known = rows.where("declared IS NOT NULL").groupBy("declared").count().orderBy(F.desc("count"), "declared").limit(MOST_LANGUAGES)
+    known = rows.where("declared IS NOT NULL").select("declared").distinct()
     languages = sorted(r.declared for r in known.collect())
-    counts = trigram_counts(rows.where(F.col("declared").isin(languages)), languages) if languages else np.zeros((0, BUCKETS))
-    names = [*languages, UND]
-    p = np.vstack([(counts + 0.5) / (counts.sum(axis=1, keepdims=True) + 0.5 * BUCKETS), np.full((1, BUCKETS), 1 / BUCKETS)])
-    seen = common.written(text_evidence(rows, np.log(p)), "language-text")
+    none = np.zeros(0, np.int64)
+    cell, n = trigram_counts(rows.where("declared IS NOT NULL"), languages) if languages else (none, none)
+    names, und = [*languages, UND], len(languages)
+    seen = common.written(text_evidence(rows, cell, n, und), "language-text")
 
     every = F.col("evidence")
-    by_text = F.when(F.col("letters"), F.array_position(every, F.array_max(every)).cast("int") - 1).otherwise(len(languages))
+    by_text = F.when(F.col("letters"), F.array_position(every, F.array_max(every)).cast("int") - 1).otherwise(und)
     seen = seen.withColumn("k", by_text)
-    tally = [F.count_if(F.col("k") == i) for i in range(len(names))]
-    hosts = common.written(seen.where("host IS NOT NULL").groupBy("host").agg(F.array(*tally).alias("by_host")), "language-hosts")
-    suffixes = common.written(seen.where("suffix IS NOT NULL").groupBy("suffix").agg(F.array(*tally).alias("by_suffix")), "language-suffixes")
-    overall = np.array(seen.agg(*tally).first(), float)
-    prior = (overall[:-1] + 1) / (overall[:-1].sum() + max(1, len(languages)))
+    overall, agreed = np.zeros(und + 1), np.zeros(und + 1)
+    for k, count, said in seen.groupBy("k").agg(F.count("*"), F.count("declared")).collect():  # a row for each language
+        overall[k], agreed[k] = count, said
+    prior = (overall[:-1] + 1) / (overall[:-1].sum() + max(1, und))
     prior = np.append(prior * (1 - UND_PRIOR), UND_PRIOR)
-    # P(declared | language), from the rows themselves
-    pairs = {(r.declared, r.k): r["count"] for r in seen.where(F.col("declared").isin(languages)).groupBy("declared", "k").count().collect()}
-    said = np.array([[pairs.get((d, k), 0) + (1.0 if k < len(languages) else 0.0) for k in range(len(names))] for d in languages]).reshape(-1, len(names))
-    said[:, -1] = 1.0
-    said = np.log(said / said.sum(axis=0, keepdims=True)) if languages else said
-
-    joined = seen.join(hosts, "host", "left").join(suffixes, "suffix", "left")
-    own = lambda i: F.when(F.col("k") == i, 1.0).otherwise(0.0)
-    index = F.array_position(F.array(*[F.lit(x) for x in languages]), F.col("declared")).cast("int") if languages else F.lit(0)
-    posts = []
-    for i in range(len(names)):
-        level = F.lit(float(prior[i]))
-        for column in ("by_suffix", "by_host"):
-            n = F.aggregate(column, F.lit(0.0), lambda a, x: a + x) - 1
-            smooth = (F.col(column)[i] - own(i) + SMOOTHING * level) / (n + SMOOTHING)
+
+    joined = seen
+    for by in ("host", "suffix"):
+        joined = joined.join(tally(seen, by), by, "left")
+    joined = joined.join(F.broadcast(tally(seen, "declared")), "declared", "left")  # a row for each language
+    count = lambda by, i: F.coalesce(F.try_element_at(f"by_{by}", i), F.lit(0))
+
+    def post(evidence: Column, i: Column) -> Column:
+        level = F.get(constants(prior.tolist()), i)
+        own = F.when(F.col("k") == i, 1.0).otherwise(0.0)
+        for by in ("suffix", "host"):
+            smooth = (count(by, i) - own + SMOOTHING * level) / (F.col(f"n_{by}") - 1 + SMOOTHING)
             level = F.coalesce(smooth, level)
-        spoken = F.array(*[F.lit(float(x)) for x in said[:, i]])[index - 1] if languages else F.lit(0.0)
-        posts.append(every[i] + F.log(level) + F.when(F.coalesce(index, F.lit(0)) > 0, spoken).otherwise(0.0))
-    fused = joined.withColumn("post", F.array(*posts)).withColumn("top", F.array_max("post"))
+        # P(declared | language), from the rows themselves; und declares each alike
+        spoken = F.when(i == und, F.lit(float(-np.log(max(1, und))))).otherwise(F.log((count("declared", i) + 1.0) / F.get(constants((agreed + und).tolist()), i)))
+        return evidence + F.log(level) + F.when(F.col("declared").isNotNull(), spoken).otherwise(0.0)
+
+    fused = joined.withColumn("post", F.transform(every, post)).withColumn("top", F.array_max("post"))
     fused = fused.withColumn("probability", 1 / F.aggregate("post", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top"))))
-    label = F.array(*[F.lit(x) for x in names])
+    label = constants(names)
     best = F.when(F.col("letters"), label[F.array_position("post", F.col("top")).cast("int") - 1]).otherwise(UND)
     out = fused.withColumn("lang", best).withColumn("text_lang", label[F.col("k")])
     rejected = (F.col("lang") == UND) | (F.col("probability") < threshold)
