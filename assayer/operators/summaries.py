@@ -43,10 +43,11 @@ def judge_summary(judgments: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def optimizer_stats(iterations: DataFrame) -> DataFrame:
-    """Per model candidates, accepted ones, and candidates since the last accepted: one window, no loop."""
-    last = F.max(F.when(F.col("accepted"), F.col("created_at"))).over(Window.partitionBy("model_id"))
+    """Per model candidates, accepted ones, and candidates since the last accepted: its time is joined back, so no model is one task."""
+    last = iterations.groupBy(F.col("model_id").alias("_model")).agg(F.max(F.when(F.col("accepted"), F.col("created_at"))).alias("last"))
     since = F.count_if(F.col("last").isNull() | (F.col("created_at") > F.col("last")))
-    return iterations.withColumn("last", last).groupBy("model_id").agg(F.count("*").alias("n_candidates"), F.count_if("accepted").alias("n_accepted"), since.alias("since_accept"))
+    timed = iterations.join(last, F.col("model_id").eqNullSafe(F.col("_model")))
+    return timed.groupBy("model_id").agg(F.count("*").alias("n_candidates"), F.count_if("accepted").alias("n_accepted"), since.alias("since_accept"))
 
 
 def improvement(iterations: DataFrame) -> DataFrame:
