@@ -10,6 +10,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types
 
@@ -109,6 +110,19 @@ def full_stretches(short: str, long: str, threshold: float) -> np.ndarray:
     return every[upto[n - 3 :] - upto[: len(upto) - n + 3] >= least]
 
 
+def may_be_same(a: Column, b: Column, threshold: float) -> Column:
+    """False where same_value is false for sure: a bound from lengths and from characters that only one side has."""
+    n, m = F.length(a), F.length(b)
+    left = lambda x, y: F.length(F.call_function("translate", x, y, F.lit("")))
+    k, l = n - left(a, b), m - left(b, a)
+    near = 200 * F.least(k, l) >= threshold * (n + m)
+    words = F.arrays_overlap(F.split(a, " "), F.split(b, " "))
+    short, long = F.least(n, m), F.greatest(n, m)
+    inside = F.when(n <= m, k).otherwise(l)
+    part = (short >= 8) & (long > 1.2 * short) & (200 * inside >= threshold * (short + inside))
+    return words | near | part
+
+
 @lru_cache(maxsize=1 << 16)
 def same_value(a: str, b: str, threshold: float) -> bool:
     """Normed strings that name the same thing: by their words, or one within the other."""
@@ -117,7 +131,7 @@ def same_value(a: str, b: str, threshold: float) -> bool:
     if token_set(a, b) >= threshold:
         return True
     short, long = sorted((len(a), len(b)))
-    return short >= 8 and long > 1.2 * short and partial(a, b) >= threshold
+    return short >= 8 and long > 1.2 * short and reaches(a, b, threshold)
 
 
 def _udf(function):
@@ -143,20 +157,24 @@ def stands_in(threshold: float):
 
 def mismatch_class(truth: str, predicted: str) -> str:
     """How a predicted value, folded like the true one, differs from it."""
+    # fixed values: the classes, their order and thresholds
     if not truth or not predicted:
         return "both_empty" if truth == predicted else "hallucination" if predicted else "missing_value"
     if truth == predicted:
         return "identical_after_fold"
     near = ratio(predicted, truth)
-    tests = (
-        ("near_identical", near >= 95),
-        ("word_order_only", token_sort(predicted, truth) >= 95),
-        ("minor_diff", near >= 80),
-        ("substring", partial(predicted, truth) >= 90),
-        ("case_only", predicted.lower() == truth.lower()),
-        ("abbreviation_or_truncation", min(len(predicted), len(truth)) < 0.6 * max(len(predicted), len(truth))),
-    )
-    return next((name for name, holds in tests if holds), "genuine_mismatch")
+    if near >= 95:
+        return "near_identical"
+    if token_sort(predicted, truth) >= 95:
+        return "word_order_only"
+    if near >= 80:
+        return "minor_diff"
+    if reaches(predicted, truth, 90):
+        return "substring"
+    if predicted.lower() == truth.lower():
+        return "case_only"
+    short, long = sorted((len(predicted), len(truth)))
+    return "abbreviation_or_truncation" if short < 0.6 * long else "genuine_mismatch"
 
 
 @F.pandas_udf(types.StringType())

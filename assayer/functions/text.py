@@ -46,13 +46,22 @@ def display(text: str) -> str:
     return re.sub(r"\s+", " ", text).strip()
 
 
+FOLDS = types.StructType([types.StructField("normed", types.StringType()), types.StructField("shown", types.StringType())])
+
+
+@F.pandas_udf(FOLDS)
+def _folds(values: pd.Series) -> pd.DataFrame:
+    texts = [None if x is None else repaired(x) for x in values]
+    return pd.DataFrame({"normed": [plain(x) for x in texts], "shown": [None if x is None else display(x) for x in texts]}, dtype=object)
+
+
 @F.pandas_udf(types.StringType())
-def norm_text(values: pd.Series) -> pd.Series:
+def _plain(values: pd.Series) -> pd.Series:
     return values.map(plain, na_action="ignore")
 
 
 @F.pandas_udf(types.StringType())
-def display_fold(values: pd.Series) -> pd.Series:
+def _display(values: pd.Series) -> pd.Series:
     return values.map(display, na_action="ignore")
 
 
@@ -61,9 +70,48 @@ def repair_text(values: pd.Series) -> pd.Series:
     return values.map(repaired, na_action="ignore")
 
 
+#: White space as Python takes it, within ASCII.
+SPACES = r"[\s\x1c-\x1f]+"
+
+
+def _column(value: Column | str) -> Column:
+    return F.col(value) if isinstance(value, str) else value
+
+
+def is_ascii(value: Column) -> Column:
+    return F.octet_length(value) == F.char_length(value)
+
+
+def foreign(value: Column) -> Column:
+    """The value if it isn't ASCII, else null: what a UDF has to see."""
+    return F.when(~is_ascii(value), value)
+
+
 def norm_ascii(value: Column) -> Column:
-    """norm_text for values known to be ASCII: no Python."""
-    return F.trim(F.regexp_replace(F.lower(value), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.lower(value), SPACES, " "))
+
+
+def display_ascii(value: Column) -> Column:
+    return F.trim(F.regexp_replace(F.regexp_replace(value, r"[^\w\s\x1c-\x1f]", " "), SPACES, " "))
+
+
+def norm_text(value: Column | str) -> Column:
+    """Repaired, without accents, lower case, white space collapsed. ASCII values never reach Python."""
+    value = _column(value)
+    return F.when(is_ascii(value), norm_ascii(value)).otherwise(_plain(foreign(value)))
+
+
+def display_fold(value: Column | str) -> Column:
+    """Repaired, without accents and punctuation, white space collapsed."""
+    value = _column(value)
+    return F.when(is_ascii(value), display_ascii(value)).otherwise(_display(foreign(value)))
+
+
+def both_folds(value: Column | str) -> Column:
+    """struct(normed, shown) with one repair and one decomposition for each value that isn't ASCII."""
+    value = _column(value)
+    ascii_ = F.struct(norm_ascii(value).alias("normed"), display_ascii(value).alias("shown"))
+    return F.when(is_ascii(value), ascii_).otherwise(_folds(foreign(value)))
 
 
 def lookup_key(value: Column) -> Column:

@@ -43,7 +43,13 @@ def propose(values: DataFrame, allowed: DataFrame, least: float = 85.0) -> DataF
     best = scored.groupBy("value").agg(F.max_by(F.struct("option", "score"), F.struct("score", -F.col("rank"))).alias("best"))
     near = best.select("value", F.col("best.option").alias("proposed"), F.col("best.score").alias("score"), F.when(F.col("best.score") >= least, "remap").otherwise("review").alias("action"))
     rest = marked.where(F.col("valid").isNotNull() | F.col("value").contains("|"))
-    fixed = rest.select("value", F.when(F.col("valid"), F.col("value")).alias("proposed"), F.lit(None).cast("double").alias("score"), F.when(F.col("valid"), "valid").otherwise("manual_pick").alias("action"))
+    # several values in one cell: the allowed ones among them are proposed, all if none is, for a person to pick
+    parts = rest.where("valid IS NULL").select("value", F.posexplode(text.alternatives(F.col("value"))).alias("i", "part"))
+    parts = parts.withColumn("part_folded", F.lower(text.display_fold("part"))).join(options.select(F.col("option_folded").alias("part_folded"), F.lit(True).alias("ok")).distinct(), "part_folded", "left")
+    listed = parts.groupBy("value").agg(F.sort_array(F.collect_list(F.struct("i", "part", "ok"))).alias("parts"))
+    good = F.filter("parts", lambda x: x["ok"])
+    pick = F.array_join(F.transform(F.when(F.size(good) > 0, good).otherwise(F.col("parts")), lambda x: x["part"]), " OR ")
+    fixed = rest.join(listed, "value", "left").select("value", F.when(F.col("valid"), F.col("value")).otherwise(pick).alias("proposed"), F.lit(None).cast("double").alias("score"), F.when(F.col("valid"), "valid").otherwise("manual_pick").alias("action"))
     return near.unionByName(fixed)
 
 

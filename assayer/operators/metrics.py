@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Z95, T
+from ..functions import text
+from . import scoring
 from .summaries import rate
 
 OTHER, NONE = "(other)", "(none)"
@@ -76,18 +78,42 @@ def categorical(rows: DataFrame, by: list[str], order: str) -> DataFrame:
     return kappa(rows, by).join(one_vs_rest(confusion_cells(rows, by, order), by), by)
 
 
-def matched(predicted: Column, truth: Column) -> Column:
+def common(predicted: Column, truth: Column) -> Column:
     """tp of greedy one-to-one matching by equality: for each value the lesser of its counts."""
     each = F.array_distinct(predicted)
     count = lambda values, v: F.size(F.filter(values, lambda x: x == v))
     return F.aggregate(each, F.lit(0), lambda a, v: a + F.least(count(predicted, v), count(truth, v)))
 
 
-def list_metrics(rows: DataFrame, by: list[str], universe: int | None = None) -> DataFrame:
-    """Micro tp, fp, fn and what follows; specificity only for a closed vocabulary of universe values."""
-    tp = matched(F.col("predicted"), F.col("truth"))
+def normed_lists(rows: DataFrame, *columns: str) -> DataFrame:
+    """The lists' values in normed form. Lists of ASCII values stay in the JVM, others have their values normed once each."""
+    for c in columns:
+        plain = rows.withColumn("_joined", F.array_join(c, ""))
+        near = plain.where(F.coalesce(text.is_ascii(F.col("_joined")), F.lit(True))).withColumn(c, F.transform(c, text.norm_ascii))
+        far = plain.where(~text.is_ascii(F.col("_joined")))
+        values = far.select(F.explode(c).alias("_v")).distinct().withColumn("_n", text.norm_text("_v"))
+        kept = [F.col(f"`{x}`") for x in plain.columns if x != c]
+        lists = far.select(c).distinct().select(F.col(c).alias("_list"), F.posexplode(c).alias("_i", "_v")).join(values, "_v")
+        lists = lists.groupBy("_list").agg(F.transform(F.sort_array(F.collect_list(F.struct("_i", "_n"))), lambda x: x["_n"]).alias("_normed"))
+        far = far.join(lists, F.col(c) == F.col("_list")).select(*kept, F.col("_normed").alias(c))
+        rows = near.unionByName(far).drop("_joined")
+    return rows
+
+
+def list_metrics(rows: DataFrame, by: list[str], universe: int | None = None, field: str = "", is_fuzzy: bool = False) -> DataFrame:
+    """Micro tp, fp, fn and what follows; specificity only for a closed vocabulary of universe values.
+
+    Values match as in single scores: folded, for authors by their names, and nearly where the field is fuzzy.
+    """
+    if field == "authors" or is_fuzzy:
+        values = lambda c: F.coalesce(c, F.array().cast("array<string>"))
+        ready = rows.withColumn("_p", values("predicted")).withColumn("_t", values("truth"))
+        found = scoring.matched(ready.select("_p", "_t").distinct(), field, is_fuzzy)
+        rows, tp = ready.join(found, ["_p", "_t"]), F.col("m.tp")
+    else:
+        rows, tp = normed_lists(rows, "predicted", "truth"), common(F.col("predicted"), F.col("truth"))
     n_p, n_t = F.size("predicted"), F.size("truth")
-    negatives = F.lit(universe) - F.size(F.array_distinct("truth"))
+    negatives = F.greatest(F.lit(0), F.lit(universe) - F.size(F.array_distinct("truth")))
     counted = rows.select(*by, tp.alias("tp"), (n_p - tp).alias("fp"), (n_t - tp).alias("fn"), F.greatest(F.lit(0), negatives - (n_p - tp)).alias("tn"))
     total = counted.groupBy(*by) if by else counted
     found = total.agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn")])
@@ -106,10 +132,15 @@ def calibration_bins(runs: DataFrame, by: list[str], bins: int = 5) -> DataFrame
     return every.join(filled, [*by, "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
-def agreement(answers: DataFrame) -> DataFrame:
-    """Per model the mean share of other models whose answer to the record is the same, over records that two or more answered."""
-    pairs = answers.alias("a").join(answers.alias("b"), "record_id").where("a.model_id <> b.model_id")
-    share = pairs.groupBy("record_id", F.col("a.model_id").alias("model_id")).agg(F.avg((F.col("a.value") == F.col("b.value")).cast("double")).alias("share"))
+def agreement(answers: DataFrame, field: str = "", kind: str = "single_categorical") -> DataFrame:
+    """Per model the mean share of other models whose answer its own matches, over records that two or more answered.
+
+    An answer matches another if it scores at least the bar with the other as the truth.
+    """
+    mine, other = (answers.select("record_id", F.col("model_id").alias(f"{x}_model"), F.col("value").alias(c)) for x, c in (("own", "predicted"), ("other", "truth")))
+    pairs = mine.join(other, "record_id").where("own_model <> other_model").withColumn("excerpt_verified", F.lit(None).cast("boolean"))
+    scored = scoring.field_scores(pairs, field, kind)
+    share = scored.groupBy("record_id", F.col("own_model").alias("model_id")).agg(F.avg((F.col("result.score") >= T.list_correct).cast("double")).alias("share"))
     return share.groupBy("model_id").agg(F.avg("share").alias("agreement"), F.count("*").alias("n_records"))
 
 

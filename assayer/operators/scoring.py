@@ -15,9 +15,6 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ..config import T
 from ..functions import fuzzy, names, text
 
-LIST_RESULT = "tp int, n_predicted int, n_truth int, missing array<string>, extra array<string>"
-
-
 def result(score: Column, outcome: Column, honesty: Column) -> Column:
     return F.struct(score.alias("score"), (score >= T.list_correct).alias("is_correct"), outcome.alias("outcome"), honesty.alias("honesty_score"))
 
@@ -30,9 +27,9 @@ def single(rows: DataFrame) -> DataFrame:
     each = each.withColumn("pn", text.norm_text("p")).withColumn("tn", text.norm_text("alternative"))
     each = each.withColumn("exact", text.category_fold(F.col("pn")) == text.category_fold(F.col("tn")))
     best = each.where("exact").select("predicted", "truth").distinct().withColumn("credit", F.lit(1.0))
-    left = each.join(best, ["predicted", "truth"], "left_anti")
-    near = left.select("predicted", "truth", similar("pn", "tn").alias("same")).groupBy("predicted", "truth").agg(F.max("same").alias("same")).where("same").select("predicted", "truth", F.lit(T.fuzzy_credit).alias("credit"))
-    found = rows.join(best.unionByName(near), ["predicted", "truth"], "left")
+    left = each.join(best, ["predicted", "truth"], "left_anti").where(fuzzy.may_be_same(F.col("pn"), F.col("tn"), T.fuzzy))
+    near = left.where(similar_at(T.fuzzy)("pn", "tn")).select("predicted", "truth").distinct().withColumn("credit", F.lit(T.fuzzy_credit))
+    found = rows.join(best.unionByName(near), ["predicted", "truth"], "left")  # pairs with a blank side have no credit
     credit = F.coalesce("credit", F.lit(0.0))
     cases = (
         F.when((t == "") & (p == ""), result(F.lit(1.0), F.lit("correct_abstain"), F.lit(1.0)))
@@ -43,33 +40,52 @@ def single(rows: DataFrame) -> DataFrame:
     return found.withColumn("result", cases).drop("credit")
 
 
-@F.pandas_udf(types.BooleanType())
-def similar(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([fuzzy.same_value(x, y, T.fuzzy) for x, y in zip(a, b, strict=True)])
-
-
-def match_lists(field: str, is_fuzzy: bool):
-    """An Arrow UDF: greedy one-to-one matching of predicted with true values, in their order."""
+def same_pairs(pairs: DataFrame, field: str, is_fuzzy: bool) -> DataFrame:
+    """Of distinct value pairs (p, t) those that name the same thing. Python sees only what columns leave open."""
+    ready = pairs.withColumn("pn", text.norm_text("p")).withColumn("tn", text.norm_text("t"))
+    exact = F.col("pn") == F.col("tn")
+    if field == "authors":
+        exact = exact | names.authors_equal(F.col("p"), F.col("t"))
+    told = ready.withColumn("exact", exact)
+    found = told.where("exact").select("p", "t")
+    if not is_fuzzy:
+        return found
     limit = T.fuzzy_authors if field == "authors" else T.fuzzy
+    open_ = told.where(~F.col("exact") & fuzzy.may_be_same(F.col("pn"), F.col("tn"), limit))
+    return found.unionByName(open_.where(similar_at(limit)("pn", "tn")).select("p", "t"))
+
 
-    @F.pandas_udf(LIST_RESULT)
-    def run(predicted: pd.Series, truth: pd.Series) -> pd.DataFrame:
-        rows = []
-        for p, t in zip(predicted, truth, strict=True):
-            p, t = list(p) if p is not None else [], list(t) if t is not None else []
-            pn, tn, free, extra = [text.plain(x) for x in p], [text.plain(x) for x in t], dict.fromkeys(range(len(t))), []
-            for value, normed in zip(p, pn, strict=True):
-                hit = next((i for i in free if normed == tn[i] or is_fuzzy and fuzzy.same_value(normed, tn[i], limit)), None)
-                if hit is None:
-                    extra.append(value)
-                else:
-                    del free[hit]
-            rows.append((len(t) - len(free), len(p), len(t), [t[i] for i in free], extra))
-        return pd.DataFrame(rows, columns=["tp", "n_predicted", "n_truth", "missing", "extra"])
+def similar_at(limit: float):
+    @F.pandas_udf(types.BooleanType())
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([fuzzy.same_value(x, y, limit) for x, y in zip(a, b, strict=True)], dtype=bool)
 
     return run
 
 
+def matched(pairs: DataFrame, field: str, is_fuzzy: bool) -> DataFrame:
+    """Distinct list pairs (_p, _t) with m: greedy one-to-one matching of predicted with true values, in their order.
+
+    Each distinct pair of values is judged once, whatever lists it stands in; the lists then only hold
+    which of their positions go together.
+    """
+    each = pairs.select("_p", "_t", F.posexplode("_p").alias("pi", "p")).select("*", F.posexplode("_t").alias("ti", "t"))
+    same = same_pairs(each.select("p", "t").distinct(), field, is_fuzzy)
+    alike = each.join(same, ["p", "t"]).groupBy("_p", "_t").agg(F.collect_set(F.struct("pi", "ti")).alias("alike"))
+    none = F.array().cast("array<struct<pi:int,ti:int>>")
+    joined = pairs.join(alike, ["_p", "_t"], "left").withColumn("alike", F.coalesce("alike", none))
+
+    def take(taken: Column, i: Column) -> Column:
+        free = F.filter("alike", lambda x: (x["pi"] == i) & ~F.exists(taken, lambda y: y["ti"] == x["ti"]))
+        return F.concat(taken, F.slice(F.sort_array(free), 1, 1))
+
+    order = F.when(F.size("_p") > 0, F.sequence(F.lit(0), F.size("_p") - 1)).otherwise(F.array().cast("array<int>"))
+    done = joined.withColumn("taken", F.aggregate(order, none, take))
+    left = lambda values, side: F.filter(values, lambda x, i: ~F.exists("taken", lambda y: y[side] == i))
+    found = F.struct(F.size("taken").alias("tp"), F.size("_p").alias("n_predicted"), F.size("_t").alias("n_truth"), left("_t", "ti").alias("missing"), left("_p", "pi").alias("extra"))
+    return done.select("_p", "_t", found.alias("m"))
+
+
 def normalised_values(field: str, values: Column, countries: list[str]) -> Column:
     """Each value in its canonical form for the field."""
     canonical = {"author_country": lambda x: names.country(x, countries), "author_affiliation": names.institution}.get(field, lambda x: x)
@@ -77,14 +93,10 @@ def normalised_values(field: str, values: Column, countries: list[str]) -> Colum
 
 
 def lists(rows: DataFrame, field: str, is_fuzzy: bool, countries: list[str] | None = None) -> DataFrame:
-    """rows (predicted, truth lists) with result, missing and extra. Equal lists never reach Python."""
+    """rows (predicted, truth lists) with result, missing and extra."""
     values = lambda c: normalised_values(field, F.coalesce(c, F.array().cast("array<string>")), countries or [])
     ready = rows.withColumn("_p", values(F.col("predicted"))).withColumn("_t", values(F.col("truth")))
-    pairs = ready.select("_p", "_t").distinct()
-    none = F.array().cast("array<string>")
-    same = pairs.where("_p = _t").select("_p", "_t", F.struct(F.size("_p").alias("tp"), F.size("_p").alias("n_predicted"), F.size("_t").alias("n_truth"), none.alias("missing"), none.alias("extra")).cast(f"struct<{', '.join(x.replace(' ', ': ', 1) for x in LIST_RESULT.split(', '))}>").alias("m"))
-    other = pairs.where("_p <> _t").select("_p", "_t", match_lists(field, is_fuzzy)("_p", "_t").alias("m"))
-    found = ready.join(same.unionByName(other), ["_p", "_t"])
+    found = ready.join(matched(ready.select("_p", "_t").distinct(), field, is_fuzzy), ["_p", "_t"])
     tp, n_p, n_t = F.col("m.tp"), F.col("m.n_predicted"), F.col("m.n_truth")
     precision, recall = F.try_divide(tp, n_p), F.try_divide(tp, n_t)
     softened = F.try_divide(tp + T.abstention_credit * (n_t - tp), n_t)
@@ -105,6 +117,21 @@ def penalised(honesty: Column, excerpt_verified: Column, answered: Column) -> Co
     return F.when(F.coalesce(~excerpt_verified, F.lit(False)) & answered, honesty * T.excerpt_penalty).otherwise(honesty)
 
 
+def field_scores(rows: DataFrame, field: str, kind: str, countries: list[str] | None = None) -> DataFrame:
+    """rows (predicted, truth, excerpt_verified) scored by the field's kind of value, honesty docked for a made-up excerpt.
+
+    predicted and truth are strings for single_categorical, lists for list_categorical and list_text.
+    """
+    if kind == "single_categorical":
+        found, answered = single(rows), F.coalesce("predicted", F.lit("")) != ""
+    elif kind in ("list_categorical", "list_text"):
+        found, answered = lists(rows, field, kind == "list_text", countries), F.coalesce(F.size("predicted"), F.lit(0)) > 0
+    else:
+        raise ValueError(f"unknown kind of value: {kind}")
+    honesty = penalised(F.col("result.honesty_score"), F.col("excerpt_verified"), answered)
+    return found.withColumn("result", F.col("result").withField("honesty_score", honesty)).select(*rows.columns, "result")
+
+
 def screening(decision: Column, tag: Column, truth: Column, truth_tag: Column) -> Column:
     """struct(score, outcome): maybe is half right; a wrong tag is told but costs nothing; an empty tag matches none."""
     d, t = F.upper(decision), F.upper(truth)
@@ -180,7 +207,33 @@ def rescored(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 
 def consensus(samples: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
-    """Per key the answer given most often, the earliest of ties, and its share."""
+    """Per key the head of the largest cluster of answers that score alike, the earliest of ties, and its share.
+
+    Answers, in order, join the first cluster whose head they match (score at least the bar). Equal answers
+    are one row with their count before that, so a key's clusters are built from its distinct answers.
+    """
     counts = samples.groupBy(*keys, value).agg(F.count("*").alias("n"), F.min(order).alias("first"))
-    total = counts.groupBy(*keys).agg(F.sum("n").alias("n_samples"), F.max_by(F.struct(value, "n"), F.struct("n", -F.col("first"))).alias("top"))
-    return total.select(*keys, "n_samples", F.col(f"top.{value}").alias("modal_value"), (F.col("top.n") / F.col("n_samples")).alias("agreement"))
+    heads = counts.select(*keys, F.col(value).alias("truth"), F.col("first").alias("head_first"))
+    pairs = counts.join(heads, keys).where("head_first < first").select(*keys, F.col(value).alias("predicted"), "truth")
+    alike = single(pairs).where("result.score >= " + str(T.list_correct)).groupBy(*keys).agg(F.collect_set(F.struct(F.col("predicted").alias("v"), F.col("truth").alias("head"))).alias("alike"))
+    listed = counts.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("first", F.col(value).alias("v"), "n"))).alias("answers"), F.sum("n").alias("n_samples"))
+    kind = samples.schema[value].dataType.simpleString()
+    none = F.array().cast(f"array<struct<v:{kind},head:{kind}>>")
+    joined = listed.join(alike, keys, "left").withColumn("alike", F.coalesce("alike", none))
+
+    def place(clusters: Column, x: Column) -> Column:
+        fits = F.transform(clusters, lambda c: F.exists("alike", lambda y: y["v"].eqNullSafe(x["v"]) & y["head"].eqNullSafe(c["head"])))
+        at = F.array_position(fits, F.lit(True))
+        grown = F.transform(clusters, lambda c, i: F.struct(c["head"].alias("head"), (c["n"] + F.when(i + 1 == at, x["n"]).otherwise(0)).alias("n")))
+        return F.when(at > 0, grown).otherwise(F.concat(clusters, F.array(F.struct(x["v"].alias("head"), x["n"].alias("n")))))
+
+    clusters = F.aggregate("answers", F.array().cast(f"array<struct<head:{kind},n:bigint>>"), place)
+    most = F.array_max(F.transform("clusters", lambda c: c["n"]))
+    top = F.filter("clusters", lambda c: c["n"] == F.col("most"))[0]
+    found = joined.withColumn("clusters", clusters).withColumn("most", most).withColumn("top", top)
+    return found.select(*keys, "n_samples", F.col("top.head").alias("modal_value"), (F.col("top.n") / F.col("n_samples")).alias("agreement"))
+
+
+def consistency_summary(found: DataFrame, by: list[str]) -> DataFrame:
+    """Per group of consensus rows how many there are, their mean agreement, and how many agree in full."""
+    return found.groupBy(*by).agg(F.count("*").alias("n"), F.avg("agreement").alias("mean_agreement"), F.count_if(F.col("agreement") == 1.0).alias("n_unanimous"))

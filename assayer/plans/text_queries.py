@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import fuzzy, names, parsing, text
-from ..operators import ground_truth, scoring, summaries
+from ..operators import ground_truth, metrics, scoring, summaries
 from ..sources import fixtures
 from ..sources.fixtures import sql, sql_and
 from .registry import query
@@ -86,6 +86,44 @@ def list_scores_fuzzy(spark, sf_dir):
     return scoring.lists(fixtures.list_pairs(spark, sf_dir), "author_affiliation", True).select("record_id", "tp", "result.*", "missing", "extra")
 
 
+#: Author lists of customers: two true names; the predicted ones agree by initials, have a lone initial, other letters, or are missing.
+AUTHORS = """a AS (SELECT c_custkey, c_custkey % 5 AS k, CAST(c_acctbal < 0 AS BOOLEAN) AS cited FROM customer)"""
+
+
+def _author_lists(spark, sf_dir):
+    k, id_ = F.col("c_custkey") % 5, F.col("c_custkey").cast("string")
+    truth = F.array(F.concat(F.lit("Ünal"), id_, F.lit(", Robert Edward")), F.concat(F.lit("Okoro"), id_, F.lit(", Ada")))
+    one = F.when(k == 0, F.concat(F.lit("UNAL"), id_, F.lit(", R. E."))).when(k == 1, F.concat(F.lit("Robert Edward Ünal"), id_)).when(k == 2, F.concat(F.lit("Ünal"), id_, F.lit(", R.")))
+    two = F.when(k == 3, F.concat(F.lit("Okoro"), id_, F.lit(", Ada"))).when(k < 3, F.concat(F.lit("okoro"), id_, F.lit(",  ada")))
+    predicted = F.filter(F.array(one, two), lambda x: x.isNotNull())
+    return fixtures.table(spark, sf_dir, "customer").select("c_custkey", k.alias("k"), truth.alias("truth"), predicted.alias("predicted"), (F.col("c_acctbal") >= 0).alias("excerpt_verified"))
+
+
+#: Found of the two names: with k 0 the accent keeps look-up keys apart, with 2 the lone initial.
+AUTHOR_SCORES = "s AS (SELECT c_custkey, k, CASE k WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 1 WHEN 3 THEN 1 ELSE 0 END AS tp, CASE k WHEN 3 THEN 1 WHEN 4 THEN 0 ELSE 2 END AS np, cited FROM a)"
+
+
+@query(f"""WITH {AUTHORS}, {AUTHOR_SCORES} SELECT c_custkey, CAST(tp AS INTEGER) AS tp, 2.0::DOUBLE * tp / (np + 2) AS score, CASE WHEN np = 0 THEN 'abstain_miss' WHEN tp = 2 THEN 'hit' WHEN tp = np THEN 'abstain_miss' ELSE 'wrong' END AS outcome FROM s""")
+def author_list_scores(spark, sf_dir):
+    """SCR2 for authors: folded equality, then author equality, in order."""
+    return scoring.lists(_author_lists(spark, sf_dir), "authors", False).select("c_custkey", "tp", "result.score", "result.outcome")
+
+
+@query(f"""WITH {AUTHORS}, {AUTHOR_SCORES}, h AS (SELECT c_custkey, k, CASE k WHEN 1 THEN 1.0::DOUBLE WHEN 4 THEN 0.5::DOUBLE
+  ELSE 2 * (tp::DOUBLE / np) * ((tp + 0.5::DOUBLE * (2 - tp)) / 2) / ((tp::DOUBLE / np) + ((tp + 0.5::DOUBLE * (2 - tp)) / 2)) END AS honesty, cited, np FROM s)
+SELECT c_custkey, CASE WHEN cited AND np > 0 THEN honesty * 0.5::DOUBLE ELSE honesty END AS honesty_score FROM h""")
+def field_scores(spark, sf_dir):
+    """SCR3, SCR4: dispatch by kind; an excerpt that isn't in the source halves the honesty of an answer."""
+    return scoring.field_scores(_author_lists(spark, sf_dir), "authors", "list_categorical").select("c_custkey", "result.honesty_score")
+
+
+@query(f"""WITH {AUTHORS}, {AUTHOR_SCORES}, t AS (SELECT count(*) AS n, sum(tp)::BIGINT AS tp, sum(np - tp)::BIGINT AS fp, sum(2 - tp)::BIGINT AS fn FROM s)
+SELECT n, tp, fp, fn, tp::DOUBLE / (tp + fp) AS precision, tp::DOUBLE / (tp + fn) AS recall FROM t""")
+def author_gate(spark, sf_dir):
+    """MET6 for authors."""
+    return metrics.list_metrics(_author_lists(spark, sf_dir), [], None, "authors").select("n", "tp", "fp", "fn", "precision", "recall")
+
+
 @query(sql("runs", """SELECT run_id, CASE WHEN k % 10 = 0 THEN 0.5::DOUBLE WHEN (k % 2 = 0) = is_correct THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score,
   CASE WHEN k % 10 = 0 THEN 'maybe_vs_' || CASE WHEN is_correct THEN 'include' ELSE 'exclude' END
     WHEN (k % 2 = 0) = is_correct THEN CASE WHEN NOT is_correct THEN 'correct_wrong_tag' ELSE 'correct' END
@@ -221,4 +259,5 @@ def capped_labels(spark, sf_dir):
 def normalised_texts(spark, sf_dir):
     """STR1-STR5: of whole documents."""
     docs = fixtures.table(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.md5(text.category_fold(text.norm_text("text"))).alias("folded"), F.md5(text.display_fold("text")).alias("display"))
+    folds = docs.select("doc_id", text.both_folds("text").alias("f"))
+    return folds.select("doc_id", F.md5(text.category_fold(F.col("f.normed"))).alias("folded"), F.md5("f.shown").alias("display"))

@@ -158,10 +158,18 @@ def rescored_runs(spark, sf_dir):
 
 @query(sql_and("runs", "c AS (SELECT record_id, truth, count(*) AS n, min(run_id) AS f FROM runs GROUP BY 1, 2) SELECT record_id, CAST(sum(n) AS BIGINT) AS n_samples, first(truth ORDER BY n DESC, f) AS modal_value, first(n ORDER BY n DESC, f)::DOUBLE / sum(n) AS agreement FROM c GROUP BY 1"))
 def self_consistency(spark, sf_dir):
-    """MET12, AGG5: exact equality."""
+    """MET12: here no two different answers are alike, so clusters are equal answers; tests cover the others."""
     return scoring.consensus(fixtures.runs(spark, sf_dir), ["record_id"], "run_id", "truth")
 
 
+@query(sql_and("runs", """c AS (SELECT model_id, record_id // 10 AS g, truth, count(*) AS n, min(run_id) AS f FROM runs GROUP BY ALL), k AS (SELECT model_id, g, first(n ORDER BY n DESC, f)::DOUBLE / sum(n) AS agreement FROM c GROUP BY 1, 2)
+SELECT model_id, count(*) AS n, avg(agreement) AS mean_agreement, count(*) FILTER (WHERE agreement = 1) AS n_unanimous FROM k GROUP BY 1"""))
+def consistency_by_model(spark, sf_dir):
+    """AGG5: ten runs of a model are taken as samples of one record."""
+    samples = fixtures.runs(spark, sf_dir).withColumn("record_id", F.expr("record_id div 10"))
+    return scoring.consistency_summary(scoring.consensus(samples, ["model_id", "record_id"], "run_id", "truth"), ["model_id"])
+
+
 @query("""SELECT n, since, CASE WHEN n >= 25 THEN 'budget' WHEN n >= 5 AND since >= 3 THEN CASE WHEN 0.9 - best > 0.05 THEN 'task_limited' ELSE 'plateaued' END ELSE 'optimize' END AS status
 FROM (SELECT p_partkey, p_size AS n, CAST(p_partkey % 6 AS INTEGER) AS since, (p_partkey % 100) / 100.0::DOUBLE AS best FROM part)""")
 def stop_rule(spark, sf_dir):
