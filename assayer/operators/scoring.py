@@ -212,11 +212,11 @@ def consensus(samples: DataFrame, keys: list[str], order: str, value: str) -> Da
     Answers, in order, join the first cluster whose head they match (score at least the bar). Equal answers
     are one row with their count before that, so a key's clusters are built from its distinct answers.
     """
-    counts = samples.groupBy(*keys, value).agg(F.count("*").alias("n"), F.min(order).alias("first"))
-    heads = counts.select(*keys, F.col(value).alias("truth"), F.col("first").alias("head_first"))
-    pairs = counts.join(heads, keys).where("head_first < first").select(*keys, F.col(value).alias("predicted"), "truth")
-    alike = single(pairs).where("result.score >= " + str(T.list_correct)).groupBy(*keys).agg(F.collect_set(F.struct(F.col("predicted").alias("v"), F.col("truth").alias("head"))).alias("alike"))
-    listed = counts.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("first", F.col(value).alias("v"), "n"))).alias("answers"), F.sum("n").alias("n_samples"))
+    counts = samples.groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("n"), F.min(order).alias("first"))
+    heads = counts.select(*keys, F.col("_v").alias("truth"), F.col("first").alias("head_first"))
+    pairs = counts.join(heads, keys).where("head_first < first").select(*keys, F.col("_v").cast("string").alias("predicted"), F.col("truth").cast("string").alias("truth"), F.col("_v").alias("_p"), F.col("truth").alias("_t"))
+    alike = single(pairs).where(F.col("result.score") >= T.list_correct).groupBy(*keys).agg(F.collect_set(F.struct(F.col("_p").alias("v"), F.col("_t").alias("head"))).alias("alike"))
+    listed = counts.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("first", F.col("_v").alias("v"), "n"))).alias("answers"), F.sum("n").alias("n_samples"))
     kind = samples.schema[value].dataType.simpleString()
     none = F.array().cast(f"array<struct<v:{kind},head:{kind}>>")
     joined = listed.join(alike, keys, "left").withColumn("alike", F.coalesce("alike", none))

@@ -101,7 +101,9 @@ def one_vs_rest(spark, sf_dir):
 @query(
     sql_and(
         "list_pairs",
-        """counted AS (SELECT len(list_intersect(predicted, truth)) AS tp, len(predicted) AS p, len(truth) AS t, 5000 - len(list_distinct(truth)) AS neg FROM list_pairs),
+        """folded AS (SELECT list_transform(predicted, lambda x: lower(x)) AS predicted, list_transform(truth, lambda x: lower(x)) AS truth FROM list_pairs),
+counted AS (SELECT CAST(coalesce(list_sum(list_transform(list_distinct(predicted), lambda v: least(len(list_filter(predicted, lambda x: x = v)), len(list_filter(truth, lambda x: x = v))))), 0) AS BIGINT) AS tp,
+  len(predicted) AS p, len(truth) AS t, 5000 - len(list_distinct(truth)) AS neg FROM folded),
 total AS (SELECT count(*) AS n, sum(tp)::BIGINT AS tp, sum(p - tp)::BIGINT AS fp, sum(t - tp)::BIGINT AS fn, sum(greatest(0, neg - (p - tp)))::BIGINT AS tn FROM counted),
 rates AS (SELECT *, tp::DOUBLE / (tp + fp) AS precision, tp::DOUBLE / (tp + fn) AS recall FROM total)
 SELECT n, tp, fp, fn, precision, recall, 2 * precision * recall / (precision + recall) AS f1, 5 * precision * recall / (4 * precision + recall) AS f2, tn::DOUBLE / (tn + fp) AS specificity FROM rates""",
