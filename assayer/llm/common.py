@@ -106,11 +106,33 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     return link.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(link.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
+#: Keys that are broadcast as hot ones at most: each stands for more than this part of all rows.
+HOT_KEYS = 10_000
+
+
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str], n: str, total: int, how: str = "inner") -> DataFrame:
+    """left joined with right, whose keys are unique and whose column n says how many of left's total rows have each.
+
+    Keys with more than total / HOT_KEYS rows, of which there are at most HOT_KEYS, are broadcast, so that
+    no task gets all rows of one; the others are joined by a shuffle.
+    """
+    is_hot = F.col(n) > total / HOT_KEYS
+    hot, rest = F.broadcast(right.where(is_hot)), right.where(~is_hot)
+    cold = left.join(F.broadcast(right.where(is_hot).select(*keys)), keys, "left_anti").join(rest, keys, how)
+    return left.join(hot, keys).unionByName(cold)
+
+
 #: Ids that are broadcast, 8 bytes each; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs without the rows that have one of the ids (column doc_id); rows with a null doc_id stay."""
-    ids = written(ids.select("doc_id").where("doc_id IS NOT NULL").distinct(), "ids")
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti").select(docs.columns)
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with _row, a number for each row, written so that the numbers stay what they are."""
+    return written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """numbered docs without the rows of these numbers (column _row), and without the numbers."""
+    gone = written(gone.select("_row"), "gone")
+    few = gone.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, "_row", "left_anti").drop("_row")

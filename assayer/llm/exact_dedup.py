@@ -1,25 +1,31 @@
 """Exact dedup by a log-structured merge index of text digests, in DataFrame operations only.
 
-Flush: each task's rows are a memtable, written as a run sorted by digest, with a Parquet bloom filter
-for point look-ups. Compaction merges the runs: of each digest the size of its group and the row that
-stays. Verification: a bitmap over digest prefixes, of bounded size, tells which texts may belong to a
-group of two or more; only those move, and of each digest the least and the greatest normalised text are
-compared byte by byte. Digests that hold different texts are grouped anew by the texts themselves.
+Memtables: what the tasks of a few neighbouring partitions read is aggregated by digest on the map side
+and flushed as one run, sorted by digest, of each digest the number of rows and the row that stays. Each
+run has a filter, a bitmap over digest prefixes. Look-up: a digest whose bit no other run's filter has is
+settled. Compaction merges the others of a few runs into one of the next level, which keeps of each digest
+the best row, and goes on until one run is left. Verification: only texts whose digest's bit is in the
+filter over groups of two or more move, and of each digest the least and the greatest normalised text are
+compared byte by byte. Digests that hold different texts are grouped anew by longer digests.
 """
 
 from __future__ import annotations
 
-import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
-#: Bits of the filter, at most 2 MB when broadcast; on more groups more texts pass it, none is missed.
-FILTER_BITS = 24
-#: Of Spark's bitmaps: bits in one.
-BITMAP = 32_768
+#: Partitions whose memtables make up a run, and runs that one compaction merges.
+RUN_PARTS, FAN = 8, 8
+#: Bits of a filter for each digest that it holds; bits, as a power of two, of all filters that are broadcast
+#: together: 32 MB. With more digests than that look-ups are left out and compaction merges all of them; the
+#: filter over groups stays that large and lets more texts through. Neither changes a result.
+BITS_EACH, FILTER_BITS = 16, 28
+#: Of Spark's bitmaps: bits in one, as a power of two.
+BITMAP = 15
 
 
 def normalised(text: Column) -> Column:
@@ -30,19 +36,16 @@ def normalised(text: Column) -> Column:
     return text
 
 
-def flush(docs: DataFrame, digest_bytes: int) -> DataFrame:
-    """Sorted runs: one for each task that read rows."""
+def digests(docs: DataFrame, digest_bytes: int) -> DataFrame:
+    """(rid, doc_id, points, sha, digest, run) of each row: run numbers the memtables that are flushed together."""
     rows = docs.select(
-        F.monotonically_increasing_id().alias("rid"),
+        "rid",
         F.col("doc_id").cast("long"),
         F.char_length(F.coalesce("text", F.lit(""))).alias("points"),
         F.unhex(F.sha2(normalised(F.col("text")), 256)).alias("sha"),
-    ).withColumn("digest", F.substring("sha", 1, digest_bytes))
-    spark = docs.sparkSession
-    path = f"{common.shared_folder(spark)}/exact-run-{uuid.uuid4().hex}"
-    run = rows.sortWithinPartitions("digest").write.option("compression", "zstd")
-    run.option("parquet.bloom.filter.enabled#digest", "true").option("parquet.bloom.filter.expected.ndv#digest", "20000").parquet(path)
-    return spark.read.schema(rows.schema).parquet(path)
+        (F.spark_partition_id() / RUN_PARTS).cast("int").alias("run"),
+    )
+    return common.written(rows.withColumn("digest", F.substring("sha", 1, digest_bytes)), "exact-rows")
 
 
 def best_first() -> Column:
@@ -50,9 +53,13 @@ def best_first() -> Column:
     return F.struct((-F.col("points")).alias("less"), F.col("doc_id").isNull().alias("unnamed"), "doc_id", "rid")
 
 
-def compact(runs: DataFrame, key: list[str]) -> DataFrame:
-    merged = runs.groupBy(*key).agg(F.count("*").alias("group_size"), F.min(best_first()).alias("best"))
-    return merged.select(*key, "group_size", F.col("best.doc_id").alias("keep_id"), F.col("best.rid").alias("keep_rid"))
+def flush(rows: DataFrame) -> DataFrame:
+    """Level 0: (run, digest, n, best), sorted by run and digest, as the aggregation leaves them."""
+    return common.written(rows.groupBy("run", "digest").agg(F.count("*").alias("n"), F.min(best_first()).alias("best")), "exact-run")
+
+
+def filter_bits(n: int) -> int:
+    return max(BITMAP, (BITS_EACH * n - 1).bit_length())
 
 
 def prefix_bit(digest: Column, bits: int) -> Column:
@@ -60,47 +67,87 @@ def prefix_bit(digest: Column, bits: int) -> Column:
     return F.conv(F.hex(F.substring(digest, 1, 7)), 16, 10).cast("long") % (1 << bits)
 
 
-def may_be_in(docs: DataFrame, groups: DataFrame, bits: int) -> DataFrame:
-    """The rows of docs whose digest's bit is set in the bitmap over the groups' digests."""
-    at = prefix_bit(F.col("digest"), bits)
-    filters = groups.select(at.alias("h")).groupBy((F.col("h") / BITMAP).cast("long").alias("bucket"))
-    filters = filters.agg(F.bitmap_construct_agg((F.col("h") % BITMAP)).alias("bits"))
-    tested = docs.withColumn("h", at).withColumn("bucket", (F.col("h") / BITMAP).cast("long")).join(F.broadcast(filters), "bucket")
-    place = (F.col("h") % BITMAP).cast("int")
-    byte = F.conv(F.hex(F.substring(F.col("bits"), (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return tested.where((F.floor(byte / F.pow(F.lit(2.0), place % 8)) % 2) == 1)
+def bitmaps(rows: DataFrame, bits: int, *by: str) -> DataFrame:
+    """(by, bucket, bits): the rows' filters, a bitmap for each 2^15 bits of them that hold any."""
+    at = rows.select(*by, prefix_bit(F.col("digest"), bits).alias("h"))
+    at = at.select(*by, F.shiftright("h", BITMAP).alias("bucket"), (F.col("h") % (1 << BITMAP)).alias("place"))
+    return at.groupBy(*by, "bucket").agg(F.bitmap_construct_agg("place").alias("bits"))
+
+
+def is_set(bits: Column, place: Column) -> Column:
+    byte = F.conv(F.hex(F.substring(bits, F.shiftright(place, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    return byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), place % 8)) != 0
+
+
+def looked_up(level: DataFrame, largest: int) -> DataFrame:
+    """level with hit: if the filter of another run has the digest's bit."""
+    bits = filter_bits(largest)
+    filters = bitmaps(level, bits, "run").groupBy("bucket").agg(F.collect_list(F.struct("run", "bits")).alias("filters"))
+    h = prefix_bit(F.col("digest"), bits)
+    at = level.withColumn("bucket", F.shiftright(h, BITMAP)).withColumn("place", (h % (1 << BITMAP)).cast("int"))
+    hit = F.exists("filters", lambda f: (f["run"] != F.col("run")) & is_set(f["bits"], F.col("place")))
+    return at.join(F.broadcast(filters), "bucket").select(*level.columns, hit.alias("hit"))
+
+
+def compacted(level: DataFrame) -> DataFrame:
+    """(digest, n, best) of all runs: level by level, until no two runs may hold the same digest."""
+    settled = []
+    while True:
+        sizes = [r.n for r in level.groupBy("run").agg(F.count("*").alias("n")).collect()]  # a row for each run
+        if len(sizes) < 2:
+            return reduce(DataFrame.unionByName, [*settled, level.drop("run")])
+        if len(sizes) << filter_bits(max(sizes)) <= 1 << FILTER_BITS:
+            found = common.written(looked_up(level, max(sizes)), "exact-looked-up")
+            settled.append(found.where("NOT hit").drop("run", "hit"))
+            level = found.where("hit").drop("hit")
+        merged = level.groupBy((F.col("run") / FAN).cast("int").alias("run"), "digest").agg(F.sum("n").alias("n"), F.min("best").alias("best"))
+        level = common.written(merged, "exact-run")
+
+
+def may_be_in(rows: DataFrame, groups: DataFrame, n_groups: int) -> DataFrame:
+    """rows with maybe: if the digest's bit is set in the filter over the groups' digests."""
+    bits = min(filter_bits(n_groups), FILTER_BITS)
+    h = prefix_bit(F.col("digest"), bits)
+    at = rows.withColumn("bucket", F.shiftright(h, BITMAP)).withColumn("place", (h % (1 << BITMAP)).cast("int"))
+    tested = at.join(F.broadcast(bitmaps(groups, bits)), "bucket", "left")
+    return tested.withColumn("maybe", F.col("bits").isNotNull() & is_set(F.col("bits"), F.col("place"))).select(*rows.columns, "maybe")
 
 
-def clashes(docs: DataFrame, groups: DataFrame, digest_bytes: int) -> DataFrame:
+def clashes(docs: DataFrame, groups: DataFrame, n_groups: int, digest_bytes: int) -> DataFrame:
     """Digests under which texts differ."""
     texts = docs.select(normalised(F.col("text")).alias("norm")).withColumn("digest", F.substring(F.unhex(F.sha2("norm", 256)), 1, digest_bytes))
-    hit = may_be_in(texts, groups, FILTER_BITS)
+    hit = may_be_in(texts, groups, n_groups).where("maybe")
     return hit.groupBy("digest").agg(F.min("norm").alias("a"), F.max("norm").alias("b")).where("a <> b").select("digest")
 
 
-def dedup(docs: DataFrame, digest_bytes: int = 32) -> DataFrame:
+def dedup(docs: DataFrame, digest_bytes: int = 32, row: str | None = None) -> DataFrame:
     """Per row of docs the doc_id of the row that stays of its equal texts, their number, and if it stays.
 
     Texts are equal without ASCII white space; a null text is empty, and empty texts are one group. Of
-    rows alike in length and doc_id one stays, the first; a null doc_id comes after all others. An empty
-    table gives no rows; other columns of docs are ignored. digest_bytes below 32 is for tests of clashes.
+    rows alike in length and doc_id one stays, the first; a null doc_id comes after all others. Very long
+    texts are hashed whole. An empty table gives no rows; other columns of docs are ignored. row names a
+    column that numbers the rows, which is returned as rid; digest_bytes below 32 is for tests of clashes.
     """
-    docs = docs.select("doc_id", "text")
-    runs = flush(docs, digest_bytes)
-    index = common.written(compact(runs, ["digest"]), "exact-index")
-    groups = index.where("group_size > 1")
-    wrong = common.written(clashes(docs, groups, digest_bytes), "exact-clashes")
+    docs = docs.select(F.col(row).cast("long").alias("rid") if row else F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
+    rows = digests(docs, digest_bytes)
+    index = common.written(compacted(flush(rows)), "exact-index")
+    groups = index.where("n > 1")
+    n_groups, n_rows = groups.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    wrong = common.written(clashes(docs, groups, n_groups, digest_bytes), "exact-clashes")
     if not wrong.isEmpty():  # the full digest, verified the same way, tells the texts apart
         if digest_bytes == 32:
             raise ValueError("two different texts have one SHA-256 digest")
-        return dedup(docs, 32)
-    placed = runs.join(groups, "digest", "left")
-    alone = F.col("group_size").isNull()
+        return dedup(docs, 32, "rid")
+    told = may_be_in(rows.drop("run", "points"), groups, n_groups)
+    of = groups.select("digest", "n", F.col("best.doc_id").alias("keep_id"), F.col("best.rid").alias("keep_rid"))
+    alone = told.where("NOT maybe").select("*", *[F.lit(None).cast("long").alias(c) for c in ("n", "keep_id", "keep_rid")])
+    placed = alone.unionByName(common.join_hot(told.where("maybe"), of, ["digest"], "n", n_rows, "left"))
+    single = F.col("n").isNull()
     return placed.select(
         "doc_id",
-        F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
-        F.coalesce("group_size", F.lit(1)).alias("group_size"),
-        (alone | (F.col("rid") == F.col("keep_rid"))).alias("kept"),
+        F.when(single, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
+        F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
+        (single | (F.col("rid") == F.col("keep_rid"))).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
         "rid",
     )
