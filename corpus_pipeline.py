@@ -1,8 +1,9 @@
 """The corpus pipeline: from raw documents to packed training sequences.
 
 Each stage reads what its predecessor kept, written as Parquet, and calls one operator of assayer.llm. All
-but the last return the columns of documents. What a stage drops it names by doc_id; a row with a null
-doc_id can't be named and stays.
+but the last return the columns of documents. A stage that drops rows numbers them first and names what it
+drops by these numbers, so that null and repeated doc_ids are rows of their own. An empty table gives no
+rows; very long texts are read whole; further columns are kept, but one named _row is not allowed.
 """
 
 from __future__ import annotations
@@ -18,26 +19,27 @@ from assayer.llm import common, exact_dedup, language_id, ngram_jaccard, packing
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in an identified language; those that language ID rejects go."""
-    found = language_id.identify_documents(docs)
-    kept = found.where("NOT rejected").select("doc_id")
-    return common.without(docs, found.where("rejected").select("doc_id").join(kept, "doc_id", "left_anti"))
+    rows = common.numbered(docs)
+    found = language_id.identify_documents(rows.withColumn("doc_id", F.col("_row")))
+    return common.without(rows, found.where("rejected").select(F.col("doc_id").alias("_row")))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts, and one row of those that repeat it."""
-    found = common.written(exact_dedup.dedup(docs).groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n")), "exact-decisions")
-    kept = common.without(docs, found.where("NOT kept"))
-    again = common.written(found.where("kept AND n > 1 AND doc_id IS NOT NULL").select("doc_id"), "exact-again")
-    if again.isEmpty():
-        return kept
-    repeats = kept.join(again, "doc_id", "left_semi").select(docs.columns)
-    once = repeats.withColumn("norm", exact_dedup.normalised(F.col("text"))).dropDuplicates(["doc_id", "norm"]).drop("norm")
-    return common.without(kept, again).unionByName(once)
+    """One row of each group of equal texts: the longest, of those the one with the smallest doc_id."""
+    rows = common.numbered(docs)
+    found = exact_dedup.dedup(rows, row="_row")
+    return common.without(rows, found.where("NOT kept").select(F.col("rid").alias("_row")))
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near copies."""
-    return common.without(docs, ngram_jaccard.link(docs).where("component_id <> doc_id"))
+    """The row with the smallest doc_id of each group of near copies; a null doc_id comes after all others."""
+    rows = common.numbered(docs)
+    found = ngram_jaccard.link(rows.withColumn("doc_id", F.col("_row"))).select(F.col("doc_id").alias("_row"), "component_id")
+    found = common.written(found.join(rows.select("_row", "doc_id"), "_row"), "near-copies")
+    first = found.groupBy("component_id").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_row")).alias("first"))
+    stays = common.written(first.where("n > 1").select("component_id", "n", F.col("first._row").alias("stays")), "near-first")
+    total = stays.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return common.without(rows, common.join_hot(found, stays, ["component_id"], "n", total).where("_row <> stays"))
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
