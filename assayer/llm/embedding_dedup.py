@@ -1,11 +1,12 @@
 """Embedding near-dedup by collision-counting projections.
 
-Unit vectors are projected on many random lines. On each, a query's window reaches as far as a near
-vector's projection strays; a pair that collides in enough windows, a count calibrated for recall, is
-verified by its cosine. The first projection deals the work: sorted into cells as wide as its window, so
-that only vectors of one cell or of neighbouring ones meet; cells of many vectors are split in blocks
-and every two blocks meet in one task. Pairs never leave a task: it gives each vector's number of links
-and its root among what is linked there.
+Equal vectors are one class. Unit vectors are projected on many random lines. On each, sorted, the window
+around a query reaches as far as a near vector's projection strays; a pair that collides in enough windows,
+a count calibrated for recall, is verified by its cosine. The first lines, more of them for labels of more
+vectors, deal the work: cut into cells so wide that near vectors lie in one cell or in neighbouring ones,
+they make units of work, in one of which each near pair meets. Units of many vectors are split in blocks,
+and every two blocks meet in one task. Pairs never leave a task: it gives each vector's number of links and
+its root among what is linked there.
 """
 
 from __future__ import annotations
@@ -14,23 +15,29 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
 #: Projections counted; standard deviations of a near pair that the windows reach; the share of near pairs
 #: at the threshold whose count must pass; vectors of a block; the seed.
-PROJECTIONS, REACH, RECALL, BLOCK, SEED = 20, 2.0, 0.9995, 2000, 7
-#: Reach of the window on the first projection, which no other count makes good.
-DEAL_REACH = 4.0
-#: Rows of (label, dimensions, cell) that are broadcast, 24 bytes each.
-BROADCAST_CELLS = 100_000
+PROJECTIONS, REACH, RECALL, BLOCK, SEED = 20, 2.0, 0.9995, 1000, 7
+#: Lines that deal the work at most: a vector goes to 2 ** lines units; how far a near pair may stray on
+#: each, which no count makes good; the share of vectors in the fullest cell of one, by the normal law.
+DEAL_LINES, DEAL_REACH, DEAL_SHARE = 4, 4.0, 0.62
+#: Rows of the table of units that are broadcast, 64 bytes each; more are joined by a shuffle.
+BROADCAST_UNITS = 100_000
 
+_LINES: dict[int, np.ndarray] = {}
 
-def lines(dims: int) -> np.ndarray:
-    """Directions, one a column; the projections of a unit vector spread about 1."""
-    return np.random.default_rng([SEED, dims]).normal(size=(dims, PROJECTIONS + 1))
+
+def lines_of(dims: int) -> np.ndarray:
+    """Directions, one a column, those that deal first; the projections of a unit vector spread about 1."""
+    if dims not in _LINES:
+        _LINES[dims] = np.random.default_rng([SEED, dims]).normal(size=(dims, DEAL_LINES + PROJECTIONS))
+    return _LINES[dims]
 
 
 def least_count() -> int:
@@ -44,16 +51,17 @@ def least_count() -> int:
 
 
 def placed(rows: DataFrame, width: float) -> DataFrame:
-    """(rid, vec_id, label, dims, cell, vector): cell is null for vectors that link with nothing."""
-    schema = pa.schema([("rid", pa.int64()), ("vec_id", pa.int64()), ("label", pa.int64()), ("dims", pa.int32()), ("cell", pa.int64()), ("vector", pa.list_(pa.float64()))])
+    """(rid, vec_id, label, dims, a, b, cells, vector): the unit vector, a 128-bit name for it, its cells; null for vectors that link with nothing."""
+    schema = pa.schema([
+        ("rid", pa.int64()), ("vec_id", pa.int64()), ("label", pa.string()), ("dims", pa.int32()),
+        ("a", pa.int64()), ("b", pa.int64()), ("cells", pa.list_(pa.int64())), ("vector", pa.list_(pa.float64())),
+    ])
 
     def run(batches):
         for batch in batches:
-            dims, cells, vectors = [], [], []
+            found = []
             for label, x in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                dims.append(len(x) if x is not None else None)
-                cells.append(None)
-                vectors.append(None)
+                found.append((len(x) if x is not None else None, None, None, None, None))
                 if label is None or not x or None in x:
                     continue
                 v = np.array(x, np.float64)
@@ -62,71 +70,79 @@ def placed(rows: DataFrame, width: float) -> DataFrame:
                     continue
                 v /= top
                 v /= np.sqrt(v @ v)
-                cells[-1], vectors[-1] = int(np.floor(v @ lines_of(len(v))[:, 0] / width)), v
-            yield common.batch_of(schema, batch.column(0), batch.column(1), batch.column(2), dims, cells, vectors)
-
-    return common.mapped(rows, run, "rid long, vec_id long, label long, dims int, cell long, vector array<double>")
+                v += 0.0  # -0.0 is 0.0
+                name = np.frombuffer(xxhash.xxh3_128_digest(v.tobytes()), np.int64)
+                cells = np.floor(v @ lines_of(len(v))[:, :DEAL_LINES] / width).astype(np.int64)
+                found[-1] = (len(v), int(name[0]), int(name[1]), cells, v)
+            yield common.batch_of(schema, *(batch.column(i) for i in range(3)), *zip(*found, strict=True))
 
+    return common.mapped(rows, run, "rid long, vec_id long, label string, dims int, a long, b long, cells array<long>, vector array<double>")
 
-_LINES: dict[int, np.ndarray] = {}
 
+def deal_lines(n: Column) -> Column:
+    """How many lines deal n vectors, so that a unit holds about a block."""
+    wanted = F.ceil(F.log(n / BLOCK) / math.log(1 / DEAL_SHARE))
+    return F.least(F.greatest(wanted, F.lit(0)), F.lit(DEAL_LINES)).cast("int")
 
-def lines_of(dims: int) -> np.ndarray:
-    if dims not in _LINES:
-        _LINES[dims] = lines(dims)
-    return _LINES[dims]
 
+def meet(vectors: DataFrame) -> DataFrame:
+    """Adds of which units of work a vector is part: unit, and the two blocks i and j that meet, block the vector's own.
 
-def meet(rows: DataFrame) -> DataFrame:
-    """Adds of which unit of work a vector is part and on which side: each two blocks that may hold near vectors meet once."""
-    blocks = rows.groupBy("label", "dims", "cell").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    blocks = common.written(blocks, "embedding-cells")
-    if blocks.count() <= BROADCAST_CELLS:
-        blocks = F.broadcast(blocks)
-    at = rows
-    for name, shift in (("blocks", 0), ("before", -1), ("after", 1)):
-        of = blocks.select("label", "dims", (F.col("cell") - shift).alias("cell"), F.col("blocks").alias(name))
-        at = at.join(of, ["label", "dims", "cell"], "left")
-    at = at.withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")))
-    every = lambda n: F.when(F.col(n).isNotNull(), F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).otherwise(F.array().cast("array<bigint>"))
-    unit = lambda cell, kind, i, j, side: F.struct(cell.alias("home"), F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.alias("side"))
-    b, c = F.col("block"), F.col("cell")
-    same = F.transform(every("blocks"), lambda k: unit(c, 0, F.least(b, k), F.greatest(b, k), F.when(b <= k, 0).otherwise(1)))
-    home = F.transform(every("after"), lambda k: unit(c, 1, b, k, F.lit(0)))
-    guest = F.transform(every("before"), lambda k: unit(c - 1, 1, k, b, F.lit(1)))
-    return at.select("rid", "label", "dims", "vector", F.explode(F.concat(same, home, guest)).alias("unit")).select("rid", "label", "dims", "vector", "unit.*")
-
-
-def near_in(group: pa.Table, threshold: float, window: float, deal: float, least: int, schema: pa.Schema) -> pa.Table:
+    A unit is a cell with its upper neighbours on each dealing line: both vectors of a pair are in the unit
+    of their lesser cells, and only that one counts it.
+    """
+    sizes = common.written(vectors.groupBy("label", "dims").agg(F.count("*").alias("n")), "embedding-labels")
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    at = common.join_hot(vectors, sizes, ["label", "dims"], "n", total)
+    at = at.withColumn("cells", F.slice("cells", F.lit(1), deal_lines(F.col("n")))).drop("n")
+    grow = lambda units, c: F.flatten(F.transform(units, lambda u: F.array(F.concat(u, F.array(c - 1)), F.concat(u, F.array(c)))))
+    units = F.aggregate("cells", F.array(F.array().cast("array<bigint>")), grow)
+    at = common.written(at.withColumn("unit", F.explode(units)), "embedding-units")
+    blocks = common.written(at.groupBy("label", "dims", "unit").agg(F.count("*").alias("n")), "embedding-blocks")
+    count, rows = blocks.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    keys = ["label", "dims", "unit"]
+    at = at.join(F.broadcast(blocks), keys) if count <= BROADCAST_UNITS else common.join_hot(at, blocks, keys, "n", rows)
+    at = at.withColumn("blocks", F.ceil(F.col("n") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")))
+    b = F.col("block")
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: F.struct(F.least(b, k).alias("i"), F.greatest(b, k).alias("j")))
+    return at.select("rid", "size", *keys, "cells", "vector", "block", F.explode(pairs).alias("met")).select("rid", "size", *keys, "cells", "vector", "block", "met.*")
+
+
+def near_in(group: pa.Table, threshold: float, window: float, least: int, schema: pa.Schema) -> pa.Table:
     """Each vector's links within a unit of work, and its root there."""
-    rid, side = (group.column(x).to_numpy() for x in ("rid", "side"))
-    dims = group.column("dims")[0].as_py()
-    vectors = group.column("vector").combine_chunks().flatten().to_numpy().reshape(-1, dims)
-    within = group.column("kind")[0].as_py() == 0 and group.column("i")[0].as_py() == group.column("j")[0].as_py()
-    spots = vectors @ lines_of(dims)
-    one = np.flatnonzero(side == 0)
-    two = one if within else np.flatnonzero(side == 1)
-    one, two = one[np.argsort(spots[one, 0])], two[np.argsort(spots[two, 0])]
-    links, root = np.zeros(len(rid), np.int64), np.arange(len(rid))
+    rid, size, block = (group.column(x).to_numpy() for x in ("rid", "size", "block"))
+    unit, i, j = (group.column(x)[0].as_py() for x in ("unit", "i", "j"))
+    flat = lambda name: group.column(name).combine_chunks().flatten().to_numpy().reshape(len(rid), -1)
+    vectors, cells = flat("vector"), flat("cells") if unit else np.zeros((len(rid), 0), np.int64)
+    one, two = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    spots = vectors @ lines_of(vectors.shape[1])[:, DEAL_LINES:]
+    ranks, lows, widths = [], [], []
+    for m in range(PROJECTIONS):  # in the order of each projection, the window around a query is a range of ranks
+        order = np.argsort(spots[two, m], kind="stable")
+        spot, rank = spots[two, m][order], np.empty(len(two), np.int32)
+        rank[order] = np.arange(len(two))
+        low = np.searchsorted(spot, spots[one, m] - window)
+        ranks.append(rank)
+        lows.append(low.astype(np.int32))
+        widths.append((np.searchsorted(spot, spots[one, m] + window, side="right") - low).astype(np.uint32))
     left, right = [], []
-    sorted_two = spots[two].astype(np.float32)
     for k in range(0, len(one), 256):
-        ask = one[k : k + 256]
-        low = np.searchsorted(spots[two, 0], spots[ask[0], 0] - deal)
-        high = np.searchsorted(spots[two, 0], spots[ask[-1], 0] + deal, side="right")
-        count = np.zeros((len(ask), high - low), np.int8)
-        for m in range(1, PROJECTIONS + 1):
-            count += np.abs(spots[ask, m].astype(np.float32)[:, None] - sorted_two[None, low:high, m]) <= window
+        ask = slice(k, k + 256)
+        count = np.zeros((len(one[ask]), len(two)), np.int8)
+        for rank, low, width in zip(ranks, lows, widths, strict=True):
+            count += (rank[None, :] - low[ask, None]).view(np.uint32) < width[ask, None]
         a, b = np.nonzero(count >= least)
-        a, b = ask[a], two[low + b]
-        if within:
-            a, b = a[a < b], b[a < b]
+        a, b = one[ask][a], two[b]
+        once = a < b if i == j else np.ones(len(a), bool)
+        once &= (np.minimum(cells[a], cells[b]) == np.array(unit, np.int64)).all(axis=1)
+        a, b = a[once], b[once]
         near = np.einsum("ij,ij->i", vectors[a], vectors[b]) >= threshold
         left.append(a[near])
         right.append(b[near])
-    a, b = np.concatenate([*left, np.zeros(0, np.int64)]).astype(np.int64), np.concatenate([*right, np.zeros(0, np.int64)]).astype(np.int64)
-    np.add.at(links, a, 1)
-    np.add.at(links, b, 1)
+    a, b = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (left, right))
+    links, root = np.zeros(len(rid), np.int64), np.arange(len(rid))
+    np.add.at(links, a, size[b])
+    np.add.at(links, b, size[a])
     while len(a):  # the least number spreads along the links, by halving paths
         before = root.copy()
         low = np.minimum(root[a], root[b])
@@ -142,30 +158,41 @@ def near_in(group: pa.Table, threshold: float, window: float, deal: float, least
 def link(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     """Per row of vectors (vec_id, embedding, label) n_links, component_id and kept.
 
-    Only rows of one label and as many dimensions are compared. Null labels, and vectors that are null,
-    empty, zero or hold null or non-finite components, link with nothing. Rows that repeat a vec_id are
-    vectors of their own; of those that carry the component's smallest id each is kept. A null vec_id
-    takes part, but names no component unless it is alone there, and isn't kept. An empty table gives
-    no rows; other columns are ignored.
+    Only rows of one label, whatever its type, and as many dimensions are compared. Null labels, and vectors
+    that are null, empty, zero or hold null or non-finite components, link with nothing. Equal vectors link
+    with each other. Rows that repeat a vec_id are vectors of their own; of those that carry the component's
+    smallest id each is kept. A null vec_id takes part, but names no component unless it is alone there, and
+    isn't kept. An empty table gives no rows; other columns are ignored.
     """
-    rows = vectors.select(F.monotonically_increasing_id().alias("rid"), F.col("vec_id").cast("long"), F.col("label").cast("long"), F.col("embedding").cast("array<double>").alias("embedding"))
+    rows = vectors.select(F.monotonically_increasing_id().alias("rid"), F.col("vec_id").cast("long"), F.col("label").cast("string"), F.col("embedding").cast("array<double>").alias("embedding"))
     near = math.sqrt(2 - 2 * threshold)
-    window, deal, least = REACH * near, DEAL_REACH * near, least_count()
-    rows = common.written(placed(rows, deal), "embedding-rows")
+    window, least = REACH * near, least_count()
+    rows = common.written(placed(rows, DEAL_REACH * near), "embedding-rows")
     schema = pa.schema([("rid", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
 
     def run(group: pa.Table) -> pa.Table:
-        return near_in(group, threshold, window, deal, least, schema)
-
-    met = meet(rows.where("cell IS NOT NULL"))
-    found = common.written(met.groupBy("label", "dims", "home", "kind", "i", "j").applyInArrow(run, "rid long, links long, root long"), "embedding-links")
+        return near_in(group, threshold, window, least, schema)
+
+    key = ["label", "dims", "a", "b"]
+    named = rows.where("a IS NOT NULL")
+    classes = named.groupBy(*key).agg(F.min("rid").alias("rid"), F.count("*").alias("size"), F.min("vec_id").alias("least"))
+    classes = common.written(classes, "embedding-classes")
+    n_classes, n_rows = classes.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    heads = classes.select("rid", "size")
+    heads = named.select("rid", "label", "dims", "cells", "vector").join(F.broadcast(heads) if n_classes <= common.BROADCAST_IDS else heads, "rid")
+    met = meet(heads).groupBy("label", "dims", "unit", "i", "j").applyInArrow(run, "rid long, links long, root long")
+    found = common.written(met, "embedding-links")
     roots = common.components(found.select(F.col("rid").alias("a"), F.col("root").alias("b")), "embedding-components")
-    links = found.groupBy("rid").agg(F.sum("links").alias("n_links"))
-    known = rows.select("rid", "vec_id").join(roots.withColumnRenamed("node", "rid"), "rid", "left").join(links, "rid", "left")
+    links = found.groupBy("rid").agg(F.sum("links").alias("links"))
+    known = classes.join(roots.withColumnRenamed("node", "rid"), "rid", "left").join(links, "rid", "left")
     known = common.written(known.withColumn("component", F.coalesce("component", "rid")), "embedding-known")
-    least_id = common.written(known.groupBy("component").agg(F.min("vec_id").alias("component_id")), "embedding-ids")
-    out = known.join(least_id, "component")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    least_id = common.written(known.groupBy("component").agg(F.count("*").alias("n"), F.min("least").alias("component_id")), "embedding-ids")
+    told = common.join_hot(known, least_id, ["component"], "n", n_classes)
+    told = common.written(told.select(*key, "size", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), "component_id"), "embedding-told")
+    kept = F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept")
+    linked = common.join_hot(named.select("vec_id", *key), told, key, "size", n_rows).select("vec_id", "n_links", "component_id", kept)
+    alone = rows.where("a IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
+    return linked.unionByName(alone)
 
 
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
