@@ -1,23 +1,31 @@
 """N-gram Jaccard self-join with set-relation skipping, exact.
 
-Equal sets are one class, with the smallest doc_id. A class's shingles are ordered by hash, the commonest
-last; its prefix, the part of which two sets of enough similarity must share one, goes to the index. An
-index list is ordered by set size and holds positions; size and position bounds skip what can't match.
-Sets that are highly similar share their answers: neighbours in a list are compared first, and a list
-whose sets are linked already, however long, is skipped as a whole; what is left of the others meets
-near neighbours in random orders, which ties large groups of near copies together by few comparisons.
-What is left then, pairs of a list in different components, is compared in full. Every comparison is of
-the whole sets.
+Equal sets are one class. A class's shingles are ordered by hash, the commonest last; its prefix, the part
+of which two sets of enough similarity must share one, goes to the index, lists of which hold each set's
+size and the shingle's position in it. Two relations between sets are used to skip work:
+
+Index level: a list is cut into blocks of like size and position. Blocks are compared by their bounds
+before any of their members are; a pair of blocks whose positions leave too few shingles is skipped.
+
+Answer level: each block's leader is compared with the others of its list first. A set that links with a
+leader follows it, and its answers are derived from the leader's: what it shares with a third set is at
+most what the leader shares with that set and what the two differ by. So lists are joined by leaders, and
+only where a leader's answer is so near to the threshold that the differences could matter are followers
+compared themselves. What links have tied together already is skipped as well.
+
+Before whole sets are compared, 512 parity bits of each bound what two sets share.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from . import common, wordhash
@@ -25,9 +33,13 @@ from . import common, wordhash
 #: Shingles of a task that are counted together, how often one must occur there to count as common, and
 #: how many of the commonest are put last (16 bytes each when broadcast). They set the order of shingles
 #: alone: any order gives all links.
-BLOCK, COMMON_HERE, COMMONEST = 2_000_000, 8, 500_000
-#: For each round in which the sets of a list that is left meet others in random order: how far off those stand.
-RANDOM_ROUNDS = ((1, 2, 3, 5), tuple(range(1, 17)), tuple(range(1, 17)))
+BLOCK, COMMON_HERE, COMMONEST = 2_000_000, 8, 200_000
+#: Turns in which each block's leader is compared with the rest of its list.
+LEADER_TURNS = 2
+#: Sizes of a block differ by less than this factor, positions (from 1) by less than the other.
+SIZE_STEP, POSITION_STEP = 1.25, 2.0
+#: Parity bits of a set.
+PARITY = 512
 #: Ids that are broadcast when texts are fetched, 8 bytes each; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -37,39 +49,49 @@ def shingle_sets(texts: list[str], size: int) -> list[np.ndarray]:
     return [np.unique(wordhash.shingles(wordhash.hashes(x.encode("utf-8", "surrogatepass").lower().split()), size)) for x in texts]
 
 
-def set_id(shingles: np.ndarray) -> int:
-    return int(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes())).astype(np.int64))
+def set_id(shingles: np.ndarray, clashing: frozenset = frozenset()) -> tuple[int, int]:
+    """A set's number, and a second hash of it that takes its place where two sets have one number."""
+    one, two = np.frombuffer(xxhash.xxh3_128_digest(shingles.tobytes()), np.int64).tolist()
+    return (two if one in clashing else one), two
+
+
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """For each of PARITY parts of all shingles, by their first bits, if the set holds an odd number of them."""
+    odd = np.bincount((shingles >> np.uint64(64 - PARITY.bit_length() + 1)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def read_sets(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, sid, n) of each row, and how often common shingles occur in a task's distinct sets."""
-    schema = pa.schema([("doc_id", pa.int64()), ("sid", pa.int64()), ("n", pa.int64()), ("shingle", pa.int64())])
+    """(doc_id, sid, proof, n, bits) of each row, and how often common shingles occur in a task's distinct sets."""
+    schema = pa.schema([("doc_id", pa.int64()), ("sid", pa.int64()), ("proof", pa.int64()), ("n", pa.int64()), ("bits", pa.list_(pa.int64())), ("shingle", pa.int64())])
 
     def counted(block: list[np.ndarray]) -> pa.RecordBatch:
         value, n = np.unique(np.concatenate(block), return_counts=True)
         value, n = value[n >= COMMON_HERE].view(np.int64), n[n >= COMMON_HERE]
         none = pa.nulls(len(value), pa.int64())
-        return common.batch_of(schema, none, none, n, value)
+        return common.batch_of(schema, none, none, none, n, pa.nulls(len(value), pa.list_(pa.int64())), value)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, block, held = set(), [], 0
         for batch in batches:
-            sids, sizes = [], []
+            rows = []
             for found in shingle_sets(common.texts_of(batch), size):
-                sids.append(set_id(found) if len(found) else None)
-                sizes.append(len(found))
-                if len(found) and sids[-1] not in seen:
-                    seen.add(sids[-1])
+                if not len(found):
+                    rows.append((None, None, 0, None))
+                    continue
+                rows.append((*set_id(found), len(found), parity(found)))
+                if rows[-1][0] not in seen:
+                    seen.add(rows[-1][0])
                     block.append(found)
                     held += len(found)
                 if held >= BLOCK:
                     yield counted(block)
                     block, held = [], 0
-            yield common.batch_of(schema, batch.column(0), sids, sizes, pa.nulls(len(sids), pa.int64()))
+            yield common.batch_of(schema, batch.column(0), *zip(*rows, strict=True), pa.nulls(len(rows), pa.int64()))
         if block:
             yield counted(block)
 
-    both = common.written(common.mapped(docs, run, "doc_id long, sid long, n long, shingle long"), "jaccard-sets")
+    both = common.written(common.mapped(docs, run, "doc_id long, sid long, proof long, n long, bits array<long>, shingle long"), "jaccard-sets")
     return both.where("shingle IS NULL").drop("shingle"), both.where("shingle IS NOT NULL").select("shingle", "n")
 
 
@@ -78,9 +100,9 @@ def prefix_length(n, threshold: int):
     return n - -(-n * threshold // 100) + 1
 
 
-def prefixes(docs: DataFrame, size: int, threshold: int, last: np.ndarray) -> DataFrame:
-    """(shingle, sid, n, pos): each distinct set's prefix, once for each task that reads it. last: the commonest, in order."""
-    schema = pa.schema([("shingle", pa.int64()), ("sid", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
+def prefixes(docs: DataFrame, size: int, threshold: int, last: np.ndarray, clashing: frozenset) -> DataFrame:
+    """(shingle, sid, n, pos, frequent): each distinct set's prefix, once for each task that reads it. last: the commonest, in order."""
+    schema = pa.schema([("shingle", pa.int64()), ("sid", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("frequent", pa.bool_())])
     by_value = np.argsort(last)
     held = docs.sparkSession.sparkContext.broadcast((last[by_value], by_value))
 
@@ -89,87 +111,194 @@ def prefixes(docs: DataFrame, size: int, threshold: int, last: np.ndarray) -> Da
         for batch in batches:
             rows = []
             for found in shingle_sets(common.texts_of(batch), size):
-                if not len(found) or (sid := set_id(found)) in seen:
+                if not len(found) or (sid := set_id(found, clashing)[0]) in seen:
                     continue
                 seen.add(sid)
+                rest = len(found)
                 if len(value):
                     at = np.minimum(np.searchsorted(value, found), len(value) - 1)
                     is_last = value[at] == found
                     tail = found[is_last][np.argsort(place[at[is_last]])]
+                    rest -= len(tail)
                     found = np.concatenate([found[~is_last], tail])
-                rows.append((sid, len(found), found[: prefix_length(len(found), threshold)].view(np.int64)))
+                rows.append((sid, len(found), rest, found[: prefix_length(len(found), threshold)].view(np.int64)))
             if rows:
                 length = np.array([len(x) for *_, x in rows])
-                sid, n = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.int32)
+                sid, n, rest = (np.repeat(np.array([r[k] for r in rows]), length) for k in range(3))
                 pos = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
-                yield common.batch_of(schema, np.concatenate([x for *_, x in rows]), np.repeat(sid, length), np.repeat(n, length), pos.astype(np.int32))
+                yield common.batch_of(schema, np.concatenate([x for *_, x in rows]), sid, n.astype(np.int32), pos.astype(np.int32), pos >= rest)
+
+    return common.mapped(docs, run, "shingle long, sid long, n int, pos int, frequent boolean")
+
+
+def shared_lists(index: DataFrame) -> DataFrame:
+    """(shingle, sid, n, pos) of the lists that hold two sets or more, each set once.
+
+    The commonest shingles' lists may be very long and needn't be asked; no other shingle occurs as often.
+    """
+    of_list, by_set = Window.partitionBy("shingle"), Window.partitionBy("shingle").orderBy("sid")
+    rare = index.where("NOT frequent").withColumn("before", F.lag("sid").over(by_set))
+    rare = rare.withColumn("low", F.min("sid").over(of_list)).withColumn("high", F.max("sid").over(of_list))
+    rare = rare.where("low <> high AND (before IS NULL OR before <> sid)").select("shingle", "sid", "n", "pos")
+    return rare.unionByName(index.where("frequent").select("shingle", "sid", "n", "pos").distinct())
+
 
-    return common.mapped(docs, run, "shingle long, sid long, n int, pos int")
+def need(threshold: int, n: Column, m: Column) -> Column:
+    """100 + threshold times what sets of these sizes must share."""
+    return threshold * (n + m)
 
 
 def may_match(threshold: int) -> str:
-    """If the smaller set a and the larger b, which meet at these positions first, can be similar enough."""
-    return f"100 * a_n >= {threshold} * b_n AND {100 + threshold} * (1 + least(a_n - 1 - a_pos, b_n - 1 - b_pos)) >= {threshold} * (a_n + b_n)"
+    """If sets a and b, which meet at these positions first, can be similar enough."""
+    sizes = f"100 * least(a_n, b_n) >= {threshold} * greatest(a_n, b_n)"
+    return f"{sizes} AND {100 + threshold} * (1 + least(a_n - 1 - a_pos, b_n - 1 - b_pos)) >= {threshold} * (a_n + b_n)"
+
+
+def size_cell(n: Column) -> Column:
+    return F.floor(F.log(n) / np.log(SIZE_STEP)).cast("int")
+
+
+def sides(rows: DataFrame, *columns: str, by: tuple[str, ...] = ("shingle",)) -> list[DataFrame]:
+    """rows as side a and as side b of a join on by."""
+    return [rows.select(*by, *[F.col(c).alias(f"{x}_{c}") for c in columns]) for x in "ab"]
+
+
+def leader_pairs(lists: DataFrame, threshold: int, turn: int) -> DataFrame:
+    """(a, b): each block's leader with the sets of its list of like size that aren't tied to it yet."""
+    blocks = lists.withColumn("cell", size_cell(F.col("n")))
+    of = F.struct("sid", "n", "pos", "component")
+    leader = blocks.groupBy("shingle", "cell").agg(F.min_by(of, F.struct(F.xxhash64("sid", F.lit(turn)), "sid")).alias("b"))
+    near = leader.select("shingle", "b", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell"))
+    met = blocks.join(near, ["shingle", "cell"]).where("component <> b.component")
+    met = met.selectExpr("sid AS a", "b.sid AS b", "n AS a_n", "b.n AS b_n", "pos AS a_pos", "b.pos AS b_pos").where(may_match(threshold))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def block_pairs(lists: DataFrame, threshold: int) -> DataFrame:
+    """(a, b): heads that some list holds, themselves or by followers, in blocks whose bounds let them match, and that aren't tied."""
+    rest = F.col("n") - 1 - F.col("pos")
+    cells = lists.withColumn("cell", size_cell(F.col("n"))).withColumn("part", F.floor(F.log(F.col("pos") + 1) / np.log(POSITION_STEP)).cast("int"))
+    member = cells.groupBy("shingle", "cell", "part", "head").agg(F.min("component").alias("component"), F.min("n").alias("low"), F.max("n").alias("high"), F.max(rest).alias("rest"))
+    member = common.written(member, "jaccard-members")
+    block = member.groupBy("shingle", "cell", "part").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("rest").alias("rest"), F.min("component").alias("first"), F.max("component").alias("last"))
+    sizes = f"100 * a_high >= {threshold} * b_low AND 100 * b_high >= {threshold} * a_low"
+    bound = f"{sizes} AND {100 + threshold} * (1 + least(a_rest, b_rest)) >= {threshold} * (a_low + b_low)"
+    a, b = sides(block, "cell", "part", "low", "high", "rest", "first", "last")
+    met = a.join(b, "shingle").where(f"struct(a_cell, a_part) <= struct(b_cell, b_part) AND {bound} AND NOT (a_first = a_last AND b_first = b_last AND a_first = b_first)")
+    met = common.written(met.select("shingle", "a_cell", "a_part", "b_cell", "b_part"), "jaccard-blocks")
+    one, two = (member.select("shingle", *[F.col(c).alias(f"{x}_{c}") for c in ("cell", "part", "head", "component", "low", "high", "rest")]) for x in "ab")
+    pairs = met.join(one, ["shingle", "a_cell", "a_part"]).join(two, ["shingle", "b_cell", "b_part"]).where(f"a_component <> b_component AND {bound}")
+    return pairs.select(F.least("a_head", "b_head").alias("a"), F.greatest("a_head", "b_head").alias("b")).distinct()
+
+
+def may_share(classes: DataFrame, pairs: DataFrame, threshold: int) -> DataFrame:
+    """pairs (a, b, slack) with a_n, b_n whose parity bits let them share, with slack more, what they need."""
+    of = classes.select("sid", "n", "bits")
+    for x in "ab":
+        pairs = pairs.join(of.select(F.col("sid").alias(x), F.col("n").alias(f"{x}_n"), F.col("bits").alias(f"{x}_bits")), x)
+    differ = reduce(Column.__add__, [F.bit_count(F.col("a_bits")[k].bitwiseXOR(F.col("b_bits")[k])) for k in range(PARITY // 64)])
+    most = F.col("a_n") + F.col("b_n") - differ + 2 * F.col("slack")
+    ok = (100 + threshold) * most >= 2 * need(threshold, F.col("a_least"), F.col("b_least"))
+    pairs = pairs.withColumn("a_least", F.coalesce("a_least", "a_n")).withColumn("b_least", F.coalesce("b_least", "b_n"))
+    return pairs.where(ok).select("a", "b", "a_n", "b_n")
+
+
+class Sets:
+    """Compares whole sets, read anew from the texts of the documents that are asked for."""
+
+    def __init__(self, docs: DataFrame, classes: DataFrame, size: int, threshold: int, clashing: frozenset):
+        self.docs, self.classes, self.size, self.threshold, self.clashing = docs, classes, size, threshold, clashing
+
+    def fetch(self, pairs: DataFrame) -> DataFrame:
+        """(sid, shingles) of the pairs' sets."""
+        size, clashing = self.size, self.clashing
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(self.classes.select("sid", "doc_id"), "sid")
+        wanted = common.written(wanted, "jaccard-wanted")
+        texts = self.docs.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, "doc_id").select("sid", "text")
+        schema = pa.schema([("sid", pa.int64()), ("shingles", pa.binary())])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                kept = {}
+                for sid, x in zip(batch.column(0).to_pylist(), shingle_sets(common.texts_of(batch), size), strict=True):
+                    if len(x) and set_id(x, clashing)[0] == sid:  # where a doc_id repeats, only the rows with that very set count
+                        kept[sid] = x.tobytes()
+                if kept:
+                    yield common.batch_of(schema, *zip(*kept.items(), strict=True))
+
+        return common.written(common.mapped(texts, run, "sid long, shingles binary").dropDuplicates(["sid"]), "jaccard-shingles")
+
+    def compare(self, pairs: DataFrame) -> DataFrame:
+        """(a, b, a_n, b_n, shared, linked) of pairs (a, b, slack, a_least, b_least) that may share what they need."""
+        pairs = common.written(may_share(self.classes, pairs, self.threshold), "jaccard-pairs")
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("a_n", pa.int64()), ("b_n", pa.int64()), ("shared", pa.int64())])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                shared = []
+                for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
+                    both = np.sort(np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)]), kind="stable")
+                    shared.append(int((both[1:] == both[:-1]).sum()))
+                yield common.batch_of(schema, *(batch.column(k) for k in range(4)), shared)
+
+        if pairs.isEmpty():
+            return pairs.withColumns({"shared": F.lit(0).cast("long"), "linked": F.lit(False)})
+        sets = self.fetch(pairs)
+        one = pairs.join(sets.select(F.col("sid").alias("a"), F.col("shingles").alias("x")), "a")
+        two = one.join(sets.select(F.col("sid").alias("b"), F.col("shingles").alias("y")), "b")
+        found = common.mapped(two.select("a", "b", "a_n", "b_n", "x", "y"), run, "a long, b long, a_n long, b_n long, shared long")
+        linked = (100 + self.threshold) * F.col("shared") >= need(self.threshold, F.col("a_n"), F.col("b_n"))
+        found = common.written(found.withColumn("linked", linked), "jaccard-compared")
+        common.discard(sets)
+        return found
 
 
-def neighbours(lists: DataFrame, order: list, steps: tuple[int, ...]) -> DataFrame:
-    """The pairs of sets in different components that stand so many steps apart in their list's order, the smaller as a."""
-    by_order, column = Window.partitionBy("shingle").orderBy(*order), ("component", "n", "sid", "pos")
-    ahead = [F.lead(F.struct(*column), k).over(by_order) for k in steps]
-    met = lists.select(F.struct(*column).alias("one"), F.array(*ahead).alias("ahead"))
-    met = met.select("one", F.explode(F.filter("ahead", lambda x: x.component != F.col("one.component"))).alias("two"))
-    one_first = F.struct("one.n", "one.sid") < F.struct("two.n", "two.sid")
-    met = met.select(F.when(one_first, F.col("one")).otherwise(F.col("two")).alias("x"), F.when(one_first, F.col("two")).otherwise(F.col("one")).alias("y"))
-    return met.selectExpr("x.sid AS a", "y.sid AS b", "x.n AS a_n", "y.n AS b_n", "x.pos AS a_pos", "y.pos AS b_pos")
+def plain(pairs: DataFrame) -> DataFrame:
+    """Pairs that are compared for themselves alone."""
+    return pairs.withColumns({"slack": F.lit(0), "a_least": F.lit(None).cast("long"), "b_least": F.lit(None).cast("long")})
 
 
-def fetch_sets(docs: DataFrame, wanted: DataFrame, size: int, short: bool) -> DataFrame:
-    """(sid, shingles) of the wanted (doc_id, sid); short: the shingles' low 16 bits, a quarter of the bytes."""
-    wanted = common.written(wanted, "jaccard-wanted")
-    few = wanted.count() <= BROADCAST_IDS
-    texts = docs.join(F.broadcast(wanted) if few else wanted, "doc_id").select("sid", "text")
-    schema = pa.schema([("sid", pa.int64()), ("shingles", pa.binary())])
+def tied(root: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    """(node, component) with the links added."""
+    if root is None or not links.isEmpty():
+        known = links.select("a", "b")
+        known = known if root is None else known.unionByName(root.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        root = common.written(common.components(known, "jaccard-components"), "jaccard-roots")
+    return root
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = []
-            for sid, x in zip(batch.column(0).to_pylist(), shingle_sets(common.texts_of(batch), size), strict=True):
-                if len(x) and set_id(x) == sid:  # where a doc_id repeats, only the rows with that very set count
-                    kept.append((sid, (np.sort(x.astype(np.uint16)) if short else x).tobytes()))
-            if kept:
-                yield common.batch_of(schema, *zip(*kept, strict=True))
 
-    return common.written(common.mapped(texts, run, "sid long, shingles binary"), "jaccard-shingles")
+def with_component(rows: DataFrame, root: DataFrame, sid: str, name: str) -> DataFrame:
+    found = rows.join(root.select(F.col("node").alias(sid), F.col("component").alias(name)), sid, "left")
+    return found.withColumn(name, F.coalesce(name, sid))
 
 
-def compare(pairs: DataFrame, sets: DataFrame, threshold: int, short: bool) -> DataFrame:
-    """(a, b, linked): whether the pairs' sets are similar enough; for short sets, whether they may be."""
-    schema, kind = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_())]), np.uint16 if short else np.uint64
+def untied(pairs: DataFrame, root: DataFrame) -> DataFrame:
+    """The pairs (a, b) of different components."""
+    found = with_component(with_component(pairs, root, "a", "_a"), root, "b", "_b")
+    return found.where("_a <> _b").drop("_a", "_b")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            linked = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, kind), np.frombuffer(y, kind)
-                both = np.sort(np.concatenate([x, y]), kind="stable")
-                shared = int((both[1:] == both[:-1]).sum())  # of short sets, no fewer than they share
-                linked.append((100 + threshold) * shared >= threshold * (len(x) + len(y)))
-            yield common.batch_of(schema, batch.column(0), batch.column(1), linked)
-
-    one = pairs.join(sets.withColumnRenamed("sid", "a").withColumnRenamed("shingles", "x"), "a")
-    two = one.join(sets.withColumnRenamed("sid", "b").withColumnRenamed("shingles", "y"), "b")
-    found = common.mapped(two.select("a", "b", "x", "y"), run, "a long, b long, linked boolean")
-    return common.written(found, "jaccard-compared")
-
-
-def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, threshold: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough; the short sets rule most others out first."""
-    for short in (True, False):
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(classes, "sid")
-        sets = fetch_sets(docs, wanted, size, short)
-        pairs = common.written(compare(pairs, sets, threshold, short).where("linked").select("a", "b").distinct(), "jaccard-linked")
-        common.discard(sets)
-    return pairs
+
+def open_lists(lists: DataFrame, root: DataFrame | None) -> DataFrame:
+    """The lists that hold sets of more than one component."""
+    if root is None:
+        return lists.withColumn("component", F.col("sid"))
+    rows = common.written(with_component(lists, root, "sid", "component"), "jaccard-told")
+    mixed = rows.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("length")).where("low <> high")
+    mixed = common.written(mixed.select("shingle", "length"), "jaccard-mixed")
+    total = mixed.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    return common.written(common.join_hot(rows, mixed, ["shingle"], "length", total).drop("length"), "jaccard-open")
+
+
+def followers(links: DataFrame) -> DataFrame:
+    """(sid, head, d): sets that follow a head that they link with, and how many shingles they have that it hasn't.
+
+    Heads come first, by a hash, among all that they link with; of several heads the likest is followed.
+    """
+    both = links.select("a", "b", "a_n", "shared").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("b_n").alias("a_n"), "shared"))
+    rank = lambda c: F.struct(F.xxhash64(c), c)
+    heads = both.groupBy("a").agg(F.min(rank("b")).alias("first")).where(F.col("first") > F.struct(F.xxhash64("a").alias("col1"), F.col("a").alias("b")))
+    heads = common.written(heads.select(F.col("a").alias("b")), "jaccard-heads")
+    return both.join(heads, "b").groupBy(F.col("a").alias("sid")).agg(F.max_by(F.struct(F.col("b").alias("head"), (F.col("a_n") - F.col("shared")).alias("d")), F.struct("shared", "b")).alias("f")).select("sid", "f.*")
 
 
 def link(docs: DataFrame, threshold: int = 80, size: int = 5) -> DataFrame:
@@ -177,53 +306,72 @@ def link(docs: DataFrame, threshold: int = 80, size: int = 5) -> DataFrame:
 
     A document with fewer than size words has one shingle, all its words; without words or with a null
     text it has none and its own doc_id. Rows with a null doc_id link with nothing, their component_id is
-    null; rows that repeat a doc_id are each judged by their text. An empty table gives no rows; other
-    columns of docs are ignored. Sets and shingles are told apart by 64-bit hashes.
+    null; rows that repeat a doc_id are each judged by their text. Very long texts are read whole. An empty
+    table gives no rows; other columns of docs are ignored. Shingles are told apart by 64-bit hashes, which
+    two shingles of the same two sets share by a chance of their number squared in 2^64; sets by 128 bits.
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     rows, frequent = read_sets(docs, size)
+    proofs = rows.where("sid IS NOT NULL").groupBy("sid").agg(F.min("proof").alias("low"), F.max("proof").alias("high")).where("low <> high")
+    clashing = frozenset(r.sid for r in proofs.select("sid").collect())  # of N sets about N squared in 2^65
+    if clashing:
+        rows = rows.withColumn("sid", F.when(F.col("sid").isin(*clashing), F.col("proof")).otherwise(F.col("sid")))
     named = docs.where("doc_id IS NOT NULL")
-    classes = common.written(rows.where("sid IS NOT NULL AND doc_id IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("doc_id")), "jaccard-classes")
-
-    ranked = frequent.groupBy("shingle").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shingle").limit(COMMONEST)
-    commonest = np.array([r.shingle for r in ranked.collect()], np.int64).view(np.uint64)[::-1]
-    index = prefixes(named.select("text"), size, threshold, commonest)
-    of_list, by_size = Window.partitionBy("shingle"), Window.partitionBy("shingle").orderBy("n", "sid")
-    near = index.withColumn("before", F.lag("sid").over(by_size))
-    near = near.withColumn("low", F.min("sid").over(of_list)).withColumn("high", F.max("sid").over(of_list))
-    shared = near.where("low <> high AND (before IS NULL OR before <> sid)")  # tasks may repeat a set
-    lists = common.written(shared.select("shingle", "sid", "n", "pos"), "jaccard-index")
-
-    done = root = None
-    for turn in range(len(RANDOM_ROUNDS) + 2):
-        open_ = lists.withColumn("component", F.col("sid"))
-        if root is not None:  # lists of one component have their answers
-            open_ = lists.join(root.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-            mixed = open_.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("shingle")
-            open_ = common.written(open_.join(common.written(mixed, "jaccard-mixed"), "shingle"), "jaccard-open")
-        if turn == 0:
-            pairs = neighbours(open_, ["n", "sid"], (1,))
-        elif turn <= len(RANDOM_ROUNDS):
-            pairs = neighbours(open_, [F.xxhash64("sid", F.lit(turn)), "sid"], RANDOM_ROUNDS[turn - 1])
-        else:
-            a, b = (open_.select("shingle", "component", *[F.col(c).alias(f"{x}_{c}") for c in ("sid", "n", "pos")]) for x in "ab")
-            a = a.withColumnRenamed("component", "a_component")
-            met = a.join(b, "shingle").where("a_component <> component AND (a_n < b_n OR a_n = b_n AND a_sid < b_sid)")
-            pairs = met.withColumnRenamed("a_sid", "a").withColumnRenamed("b_sid", "b")
-        pairs = pairs.where(may_match(threshold)).select("a", "b").distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = common.written(pairs, "jaccard-pairs")
-        found = verify(pairs, named, classes, size, threshold)
-        done = pairs if done is None else done.unionByName(pairs)
-        if root is None or not found.isEmpty():
-            known = found if root is None else found.unionByName(root.select(F.col("node").alias("a"), F.col("component").alias("b")))
-            root = common.written(common.components(known, "jaccard-components"), "jaccard-roots")
-
+    classes = rows.where("sid IS NOT NULL AND doc_id IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.count("*").alias("copies"))
+    classes = common.written(classes, "jaccard-classes")
+
+    ranked = frequent.groupBy("shingle").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shingle").limit(COMMONEST).select("shingle").toArrow()
+    commonest = ranked.column(0).to_numpy().view(np.uint64)[::-1]
+    index = prefixes(named.select("text"), size, threshold, commonest, clashing)
+    lists = common.written(shared_lists(index), "jaccard-index")
+
+    sets, root, links = Sets(named, classes, size, threshold, clashing), None, []
+    for turn in range(LEADER_TURNS):
+        compared = sets.compare(plain(leader_pairs(open_lists(lists, root), threshold, turn)))
+        links.append(compared.where("linked"))
+        root = tied(root, links[-1])
+
+    # lists by their heads: what is left to be found is between sets of different components
+    follow = common.written(followers(reduce(DataFrame.unionByName, links)), "jaccard-followers")
+    of = follow.select("sid", "head", "d")
+    left = open_lists(lists, root).join(of, "sid", "left").withColumn("head", F.coalesce("head", "sid"))
+    pairs = block_pairs(left, threshold)
+    group = follow.join(classes.select("sid", "n"), "sid").groupBy("head").agg(F.max("d").alias("far"), F.min("n").alias("least"))
+    group = common.written(group, "jaccard-groups")
+    far = {x: F.coalesce(f"{x}_far", F.lit(0)) for x in "ab"}
+    for x in "ab":
+        pairs = pairs.join(group.select(F.col("head").alias(x), F.col("far").alias(f"{x}_far"), F.col("least").alias(f"{x}_low")), x, "left")
+    own = classes.select("sid", "n")
+    for x in "ab":
+        pairs = pairs.join(own.select(F.col("sid").alias(x), F.col("n").alias(f"{x}_own")), x).withColumn(f"{x}_least", F.least(f"{x}_low", f"{x}_own"))
+    asked = common.written(pairs.select("a", "b", (far["a"] + far["b"]).alias("slack"), "a_least", "b_least"), "jaccard-asked")
+    compared = sets.compare(asked)
+    root = tied(root, compared.where("linked"))
+
+    # followers of heads that miss the threshold by less than the differences
+    enough = lambda more, n, m: (100 + threshold) * (F.col("shared") + more) >= need(threshold, n, m)
+    near = compared.where("NOT linked").join(asked, ["a", "b"]).where(enough(F.col("slack"), F.col("a_least"), F.col("b_least")))
+    near = common.written(untied(near.where("slack > 0").select("a", "b", "a_n", "b_n", "shared"), root), "jaccard-near")
+    if not near.isEmpty():
+        sizes = follow.join(own, "sid")
+        spokes = []
+        for x, y in ("ab", "ba"):
+            spoke = near.join(sizes.withColumnRenamed("head", x), x).where(enough(F.col("d"), F.col("n"), F.col(f"{y}_n")))
+            spokes.append(spoke.select(F.least("sid", y).alias("a"), F.greatest("sid", y).alias("b")))
+        root = tied(root, sets.compare(plain(spokes[0].unionByName(spokes[1]).distinct())).where("linked"))
+        near = untied(near, root)
+        for x in "ab":
+            near = near.join(sizes.select(F.col("head").alias(x), F.col("sid").alias(f"{x}_sid"), F.col("d").alias(f"{x}_d"), F.col("n").alias(f"{x}_size")), x)
+        met = near.where(enough(F.col("a_d") + F.col("b_d"), F.col("a_size"), F.col("b_size")))
+        met = untied(met.select(F.least("a_sid", "b_sid").alias("a"), F.greatest("a_sid", "b_sid").alias("b")).distinct(), root)
+        root = tied(root, sets.compare(plain(met)).where("linked"))
+
+    n_rows = rows.count()
     least = root.withColumnRenamed("node", "sid").join(classes, "sid").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    of = root.join(common.written(least, "jaccard-least"), "component").select(F.col("node").alias("sid"), "component_id")
-    ids = classes.join(of, "sid", "left").select("sid", F.coalesce("component_id", "doc_id").alias("component_id"))
-    joined = rows.join(common.written(ids, "jaccard-ids"), "sid", "left")
+    of_root = root.join(common.written(least, "jaccard-least"), "component").select(F.col("node").alias("sid"), "component_id")
+    ids = classes.join(of_root, "sid", "left").select("sid", "copies", F.coalesce("component_id", "doc_id").alias("component_id"))
+    joined = common.join_hot(rows.where("sid IS NOT NULL"), common.written(ids, "jaccard-ids"), ["sid"], "copies", n_rows, "left")
+    joined = joined.select("doc_id", "n", "component_id").unionByName(rows.where("sid IS NULL").select("doc_id", "n", F.lit(None).cast("long").alias("component_id")))
     alone = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return joined.select("doc_id", F.col("n").alias("n_shingles"), alone.alias("component_id"))
 
