@@ -1,10 +1,12 @@
 """Substring dedup by recompression, exact.
 
-Every text is parsed into consistently named symbols (recompress.py). A window of words that recurs
-elsewhere shares with its copies each symbol that it holds with all the symbol depends on. So only windows
-whose telling symbols all occur in two documents or more are looked at, and those that hold no such symbol.
-They are verified by 128-bit hashes of their words: of each the smallest document is aggregated, and
-windows in larger ones mark their words. Whole copies are told by a hash of all their words beforehand.
+Rounds name runs and pairs of all texts (recompress.py). After each, Spark groups the new names over all
+documents: a symbol that only one document has rules out every window of words that holds what the symbol
+depends on, and goes; documents without a window left go too. What is left grows into longer symbols, so
+that after the last round the windows left are those whose symbols, long ones among them, other documents
+share. These windows alone are verified, by 128-bit hashes of their words: of each the smallest document is
+aggregated, and windows in larger ones mark their words. Whole copies are told by a hash of all their words
+beforehand.
 """
 
 from __future__ import annotations
@@ -18,14 +20,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, recompress, wordhash
+from .recompress import Symbols
 
 #: Odd bases of the two window hashes.
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 #: Words of documents that are parsed together.
 GROUP_WORDS = 400_000
-#: Ids that are broadcast when whole copies are told, 8 bytes each; more are joined by a shuffle.
+#: Ids that are broadcast to find documents by, 8 bytes each; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
+#: A document by its id and 128 bits of its words: rows that repeat an id with another text are apart.
+KEY = ["doc_id", "copy_a", "copy_b"]
+#: Symbols by their names, the words before each that no symbol spans, its words, and how far it depends on those around it.
+STATE = "names array<long>, gaps array<int>, lengths array<int>, before array<int>, after array<int>, fresh array<boolean>, ranges array<int>"
+STATE_FIELDS = [("names", pa.list_(pa.int64())), *((x, pa.list_(pa.int32())) for x in ("gaps", "lengths", "before", "after")), ("fresh", pa.list_(pa.bool_())), ("ranges", pa.list_(pa.int32()))]
+
 
 def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split()
@@ -50,6 +59,11 @@ def window_hashes(words: np.ndarray, window: int, at: np.ndarray) -> list[np.nda
     return found
 
 
+def content(words: np.ndarray) -> tuple[int, int]:
+    """128 bits of a sequence of word hashes."""
+    return tuple(int(wordhash.mixed(np.sum(wordhash.mixed(words ^ b) * powers(b, len(words)), keepdims=True)).view(np.int64)[0]) for b in BASES)
+
+
 def groups(texts: list[str]) -> Iterator[list[tuple[int, list[bytes]]]]:
     """(number, words) of the texts, in groups of about GROUP_WORDS words."""
     group, held = [], 0
@@ -64,115 +78,182 @@ def groups(texts: list[str]) -> Iterator[list[tuple[int, list[bytes]]]]:
         yield group
 
 
-def parsed(group: list[tuple[int, list[bytes]]], window: int) -> Iterator[tuple[int, list[bytes], np.ndarray, tuple[np.ndarray, ...]]]:
-    """Of each text of at least window words: number, words, their hashes and (name, low, high) of its telling symbols."""
-    group = [x for x in group if len(x[1]) >= window]
-    if not group:
-        return
-    hashes = wordhash.hashes([w for _, words in group for w in words])
-    at = np.concatenate([[0], np.cumsum([len(words) for _, words in group])])
-    first = np.zeros(len(hashes), bool)
-    first[at[:-1]] = True
-    name, start, end, low, high = recompress.parse(hashes, first)
-    told = recompress.telling(start, end, low, high, window)
-    name, start, low, high = name[told], start[told], low[told], high[told]
-    cut = np.searchsorted(start, at)
-    for (i, words), a, b, c, d in zip(group, at[:-1], at[1:], cut[:-1], cut[1:], strict=True):
-        yield i, words, hashes[a:b], (name[c:d].view(np.int64), low[c:d] - a, high[c:d] - a)
+def packed(s: Symbols, alive: np.ndarray) -> tuple:
+    """STATE of a document: its symbols, and its windows that are alive as ranges of starts."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], alive.astype(np.int8), [0]])))
+    gaps = s.start - np.append(0, s.end[:-1])[: len(s.start)]
+    return s.name.view(np.int64), gaps.astype(np.int32), (s.end - s.start).astype(np.int32), (s.start - s.low).astype(np.int32), (s.high - s.end).astype(np.int32), s.fresh, edge.astype(np.int32)
+
+
+def unpacked(names, gaps, lengths, before, after, fresh, ranges, n_words: int, window: int) -> tuple[Symbols, np.ndarray]:
+    end = np.cumsum(gaps.astype(np.int64) + lengths)
+    start = end - lengths
+    change = np.zeros(n_words - window + 2, np.int8)
+    change[ranges[::2]] += 1
+    change[ranges[1::2]] -= 1
+    return Symbols(names.view(np.uint64), start, end, start - before, end + after, fresh.astype(bool)), np.cumsum(change)[:-1] > 0
 
 
 def survey(docs: DataFrame, window: int) -> DataFrame:
-    """(doc_id, n_words, whole_sha, copy_a, copy_b, symbols, bare): bare if some window holds no telling symbol."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("whole_sha", pa.string()), ("copy_a", pa.int64()), ("copy_b", pa.int64()), ("symbols", pa.list_(pa.int64())), ("bare", pa.bool_())])
+    """(doc_id, n_words, whole_sha, copy_a, copy_b) and, of texts of at least window words, STATE after the first round."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("whole_sha", pa.string()), ("copy_a", pa.int64()), ("copy_b", pa.int64()), *STATE_FIELDS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_pylist()
             for group in groups(common.texts_of(batch)):
-                rows = {i: [ids[i], len(words), hashlib.sha256(b" ".join(words)).hexdigest(), None, None, None, False] for i, words in group}
-                for i, _, hashes, (name, low, high) in parsed(group, window):
-                    whole = [wordhash.mixed(np.sum(wordhash.mixed(hashes ^ b) * powers(b, len(hashes)), keepdims=True)).view(np.int64)[0] for b in BASES]
-                    starts = len(hashes) - window + 1
-                    rows[i][3:] = *whole, np.unique(name), bool((recompress.covered(low, high, starts, window) == 0).any())
+                rows = {i: [ids[i], len(words), hashlib.sha256(b" ".join(words)).hexdigest(), *[None] * (2 + len(STATE_FIELDS))] for i, words in group}
+                long = [x for x in group if len(x[1]) >= window]
+                if long:
+                    hashes = wordhash.hashes([w for _, words in long for w in words])
+                    at = np.concatenate([[0], np.cumsum([len(words) for _, words in long])])
+                    first = np.zeros(len(hashes), bool)
+                    first[at[:-1]] = True
+                    every = recompress.parse(hashes, first)
+                    cut = np.searchsorted(every.start, at)
+                    for (i, words), a, b, c, d in zip(long, at[:-1], at[1:], cut[:-1], cut[1:], strict=True):
+                        s = every[c:d]
+                        s = Symbols(s.name, s.start - a, s.end - a, s.low - a, s.high - a, s.fresh)
+                        rows[i][3:] = *content(hashes[a:b]), *packed(s, np.ones(len(words) - window + 1, bool))
                 yield common.batch_of(schema, *zip(*rows.values(), strict=True))
 
-    columns = "doc_id long, n_words long, whole_sha string, copy_a long, copy_b long, symbols array<long>, bare boolean"
-    return common.written(common.mapped(docs, run, columns), "substring-survey")
+    return common.written(common.mapped(docs, run, f"doc_id long, n_words long, whole_sha string, copy_a long, copy_b long, {STATE}"), "substring-survey")
 
 
-def candidates(texts: DataFrame, window: int) -> DataFrame:
-    """(a, b, doc_id, at): hashes and start of each window that may recur. texts: doc_id, text, shared symbols."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32())])
+def telling_names(state: DataFrame, window: int) -> DataFrame:
+    """(doc_id, copy_a, copy_b, symbol): the names that this round asks the other documents for."""
+    tests = F.zip_with("lengths", F.zip_with("before", "after", lambda a, b: a + b), lambda n, d: (n >= recompress.LEAST) & (n + d <= window))
+    asked = F.zip_with("names", F.zip_with(tests, "fresh", lambda a, b: a & b), lambda x, t: F.when(t, x))
+    return state.select(*KEY, F.explode(F.array_distinct(F.filter(asked, lambda x: x.isNotNull()))).alias("symbol"))
+
+
+def next_round(state: DataFrame, shared: DataFrame, window: int, turn: int) -> DataFrame:
+    """STATE after the round, of documents that have a window left. shared: (KEY, shared), the names that others have too."""
+    schema = pa.schema([("doc_id", pa.int64()), ("copy_a", pa.int64()), ("copy_b", pa.int64()), ("n_words", pa.int64()), *STATE_FIELDS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, shared = batch.column(0).to_pylist(), batch.column(2)
-            for group in groups(common.texts_of(batch)):
-                for i, _, hashes, (name, low, high) in parsed(group, window):
-                    known = shared[i].values
-                    here = np.isin(name, known.to_numpy(zero_copy_only=False)) if known is not None else np.zeros(len(name), bool)
-                    starts = len(hashes) - window + 1
-                    at = np.flatnonzero(recompress.covered(low[~here], high[~here], starts, window) == 0)
-                    if len(at):
-                        yield common.batch_of(schema, *window_hashes(hashes, window, at), np.full(len(at), ids[i]), at.astype(np.int32))
+            rows = []
+            columns = [batch.column(k) for k in range(4, 11)]
+            for k, (doc_id, a, b, n) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True)):
+                s, alive = unpacked(*[c[k].values.to_numpy(zero_copy_only=False) for c in columns], n, window)
+                known = batch.column(11)[k].values
+                known = known.to_numpy(zero_copy_only=False) if known is not None else np.zeros(0, np.int64)
+                dead = s.telling(window) & ~np.isin(s.name.view(np.int64), known)
+                alive &= recompress.covered(s.low[dead], s.high[dead], len(alive), window) == 0
+                if not alive.any():
+                    continue
+                s = s[~dead]
+                s = s[recompress.held(s, alive, window)]
+                if turn < len(recompress.ROUNDS):
+                    s = recompress.pairs(s, np.array([0, n]), turn)
+                rows.append((doc_id, a, b, n, *packed(s, alive)))
+            if rows:
+                yield common.batch_of(schema, *zip(*rows, strict=True))
+
+    found = state.join(shared, KEY, "left").select(*KEY, "n_words", *[x for x, _ in STATE_FIELDS], "shared")
+    return common.written(common.mapped(found, run, f"doc_id long, copy_a long, copy_b long, n_words long, {STATE}"), "substring-state")
+
+
+def rounds(state: DataFrame, window: int) -> DataFrame:
+    """The documents and windows that are left when all rounds have been asked for."""
+    for turn in range(1, len(recompress.ROUNDS) + 1):
+        each = telling_names(state, window)
+        named = each.groupBy("symbol").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+        named = common.written(named.select("symbol", "n"), "substring-names")
+        total = named.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        shared = common.join_hot(each, named, ["symbol"], "n", total).groupBy(*KEY).agg(F.collect_list("symbol").alias("shared"))
+        state = next_round(state, shared, window, turn)
+    return state.select(*KEY, "ranges")
+
+
+def texts_of_windows(docs: DataFrame, left: DataFrame) -> DataFrame:
+    """(doc_id, copy_a, copy_b, text, ranges) of the rows that have windows left, by id and then by content."""
+    ids = common.written(left.select("doc_id").distinct(), "substring-ids")
+    if ids.count() <= BROADCAST_IDS:
+        docs = docs.join(F.broadcast(ids), "doc_id", "left_semi")
+    schema = pa.schema([("doc_id", pa.int64()), ("copy_a", pa.int64()), ("copy_b", pa.int64()), ("text", pa.string()), ("ranges", pa.list_(pa.int32()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for k, (text, a, b) in enumerate(zip(common.texts_of(batch), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                if content(wordhash.hashes(words_of(text))) == (a, b):
+                    kept.append(k)
+            if kept:
+                part = batch.take(pa.array(kept))
+                yield common.batch_of(schema, *(part.column(k) for k in (0, 2, 3, 1, 4)))
+
+    found = docs.join(left.dropDuplicates(KEY), "doc_id").select("doc_id", "text", "copy_a", "copy_b", "ranges")
+    return common.written(common.mapped(found, run, "doc_id long, copy_a long, copy_b long, text string, ranges array<int>"), "substring-texts")
+
+
+def windows_left(texts: DataFrame, window: int) -> DataFrame:
+    """(a, b, doc_id, copy_a, copy_b, at): hashes and start of each window that is left."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("doc_id", pa.int64()), ("copy_a", pa.int64()), ("copy_b", pa.int64()), ("at", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [batch.column(k).to_pylist() for k in range(3)]
+            for k, text in enumerate(common.texts_of(batch)):
+                hashes, r = wordhash.hashes(words_of(text)), batch.column(4)[k].values.to_numpy(zero_copy_only=False).reshape(-1, 2)
+                at = np.concatenate([np.arange(x, y) for x, y in r])
+                yield common.batch_of(schema, *window_hashes(hashes, window, at), *[np.full(len(at), c[k]) for c in keys], at.astype(np.int32))
 
-    return common.mapped(texts, run, "a long, b long, doc_id long, at int")
+    return common.mapped(texts, run, "a long, b long, doc_id long, copy_a long, copy_b long, at int")
 
 
 def trimmed(texts: DataFrame, window: int) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha): texts without the words of the windows at starts."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
+    """(KEY, n_removed, kept_sha256): texts without the words of the windows at starts."""
+    schema = pa.schema([("doc_id", pa.int64()), ("copy_a", pa.int64()), ("copy_b", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc_id, text, starts in zip(batch.column(0).to_pylist(), common.texts_of(batch), batch.column(2), strict=True):
+            for doc_id, a, b, text, starts in zip(*(batch.column(k).to_pylist() for k in range(3)), common.texts_of(batch), batch.column(4), strict=True):
                 words, at = words_of(text), np.unique(starts.values.to_numpy(zero_copy_only=False))
-                change = np.zeros(max(len(words), int(at.max()) + window) + 1, np.int64)
+                change = np.zeros(len(words) + 1, np.int64)
                 change[at] += 1
                 change[at + window] -= 1
                 kept = (np.cumsum(change)[: len(words)] == 0).nonzero()[0].tolist()
-                rows.append((doc_id, len(words), len(words) - len(kept), hashlib.sha256(b" ".join([words[k] for k in kept])).hexdigest()))
+                rows.append((doc_id, a, b, len(words) - len(kept), hashlib.sha256(b" ".join([words[k] for k in kept])).hexdigest()))
             yield common.batch_of(schema, *zip(*rows, strict=True))
 
-    return common.mapped(texts, run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return common.mapped(texts, run, "doc_id long, copy_a long, copy_b long, n_removed long, kept_sha256 string")
 
 
 def dedup(docs: DataFrame, window: int = 50) -> DataFrame:
     """Per row of docs doc_id, n_words, n_removed and the hash of the words that stay.
 
     A word goes if a window of that many words covers it whose words also start in a document with a
-    smaller doc_id. A null text has no words; texts shorter than a window lose none. A row with a null
-    doc_id loses none and counts for no other. Rows that repeat a doc_id must repeat its text too. An
-    empty table gives no rows; other columns of docs are ignored.
+    smaller doc_id. A null text has no words; texts shorter than a window lose none; very long texts are
+    read whole. A row with a null doc_id loses none and counts for no other. Rows that repeat a doc_id are
+    each judged by their own text, none of them by another of that id. An empty table gives no rows; other
+    columns of docs are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     rows = survey(docs, window)
     known = rows.where("copy_a IS NOT NULL AND doc_id IS NOT NULL")
-    copies = known.groupBy("copy_a", "copy_b").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    copies = known.groupBy("copy_a", "copy_b").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first < last")
     copies = common.written(copies, "substring-copies")
-    gone = known.select("doc_id", "copy_a", "copy_b").join(copies, ["copy_a", "copy_b"]).where("doc_id > first").select("doc_id")
+    total = copies.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    gone = common.join_hot(known.select(*KEY), copies, ["copy_a", "copy_b"], "n", total).where("doc_id > first").select(*KEY)
     gone = common.written(gone.distinct(), "substring-gone")
     few = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
 
-    symbols = known.select("doc_id", "symbols", "bare").join(few, "doc_id", "left_anti")
-    each = symbols.select("doc_id", F.explode("symbols").alias("symbol"))
-    shared = each.groupBy("symbol").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("symbol")
-    shared = common.written(shared, "substring-shared")
-    bare = symbols.where("bare").select("doc_id", F.lit(None).cast("long").alias("symbol"))
-    of_doc = each.join(shared, "symbol").select("doc_id", "symbol").unionByName(bare).groupBy("doc_id").agg(F.collect_set("symbol").alias("shared"))
-    of_doc = common.written(of_doc, "substring-symbols")
-
-    texts = common.written(docs.join(of_doc, "doc_id").select("doc_id", "text", "shared"), "substring-texts")
-    windows = common.written(candidates(texts, window), "substring-windows")
-    first = windows.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("a", "b", "first")
-    again = windows.join(common.written(first, "substring-repeats"), ["a", "b"]).where("doc_id > first")
-    starts = again.groupBy("doc_id").agg(F.collect_set("at").alias("starts"))
-    cut = common.written(trimmed(texts.select("doc_id", "text").join(starts, "doc_id").select("doc_id", "text", "starts"), window), "substring-trimmed")
-
-    all_gone = gone.select("doc_id", F.lit(None).cast("long").alias("n_removed"), F.sha2(F.lit(""), 256).alias("kept_sha256"))
-    changed = common.written(cut.select("doc_id", "n_removed", "kept_sha256").unionByName(all_gone).dropDuplicates(["doc_id"]), "substring-changed")
-    joined = rows.select("doc_id", "n_words", "whole_sha").join(changed.withColumn("changed", F.lit(True)), "doc_id", "left")
+    state = known.join(few, KEY, "left_anti").select(*KEY, "n_words", *[x for x, _ in STATE_FIELDS])
+    texts = texts_of_windows(docs.where("doc_id IS NOT NULL"), rounds(state, window))
+    windows = common.written(windows_left(texts, window), "substring-windows")
+    first = windows.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first < last")
+    first = common.written(first.select("a", "b", "first", "n"), "substring-repeats")
+    total = first.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    again = common.join_hot(windows, first, ["a", "b"], "n", total).where("doc_id > first")
+    starts = again.groupBy(*KEY).agg(F.collect_set("at").alias("starts"))
+    cut = trimmed(texts.drop("ranges").join(starts, KEY).select(*KEY, "text", "starts"), window)
+
+    all_gone = gone.select(*KEY, F.lit(None).cast("long").alias("n_removed"), F.sha2(F.lit(""), 256).alias("kept_sha256"))
+    changed = common.written(cut.dropDuplicates(KEY).unionByName(all_gone), "substring-changed")
+    joined = rows.select(*KEY, "n_words", "whole_sha").join(changed.withColumn("changed", F.lit(True)), KEY, "left")
     return joined.select(
         "doc_id",
         "n_words",

@@ -124,6 +124,15 @@ def test_substrings_of_few_words(spark):
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in found} == trim([x for x in rows if x[0] is not None], 8)
 
 
+def test_substrings_where_ids_repeat(spark):
+    rng = random.Random(8)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    shared, other = words(60), words(70)
+    rows = [(1, " ".join(words(20) + shared + words(20))), (5, " ".join(words(50) + shared + words(50))), (5, " ".join(words(80))), (5, " ".join(words(40))), (5, " ".join(other)), (5, " ".join(other)), (7, " ".join(other)), (7, "x " + " ".join(other))]
+    found = sorted((r.doc_id, r.n_words, r.n_removed) for r in substring_dedup.dedup(documents(spark, rows)).collect())
+    assert found == [(1, 100, 0), (5, 40, 0), (5, 70, 0), (5, 70, 0), (5, 80, 0), (5, 160, 60), (7, 70, 70), (7, 71, 70)]
+
+
 def test_symbols_recur_with_what_they_depend_on():
     rng = np.random.default_rng(4)
     words = rng.integers(0, 6, 3000).astype(np.uint64)
@@ -131,10 +140,14 @@ def test_symbols_recur_with_what_they_depend_on():
     words = wordhash.mixed(words)
     first = np.zeros(3000, bool)
     first[[0, 1000, 1990]] = True
-    name, start, end, low, high = recompress.parse(words, first)
-    here = {(int(n), s - 500, e - 500) for n, s, e, a, b in zip(name, start, end, low, high, strict=True) if a >= 500 and b <= 560}
-    there = {(int(n), s - 2000, e - 2000) for n, s, e in zip(name, start, end, strict=True)}
-    assert here and here <= there
+    s = recompress.parse(words, first)
+    for turn in range(3):
+        at = list(zip(s.name.tolist(), s.start.tolist(), s.end.tolist(), s.low.tolist(), s.high.tolist(), strict=True))
+        here = {(n, a - 500, b - 500) for n, a, b, low, high in at if low >= 500 and high <= 560}
+        there = {(n, a - 2000, b - 2000) for n, a, b, *_ in at}
+        assert here <= there and (here or turn)
+        if turn < 2:
+            s = recompress.pairs(s, np.append(np.flatnonzero(first), len(words)), turn + 1)
 
 
 def test_embeddings(spark, monkeypatch):
