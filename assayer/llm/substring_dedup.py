@@ -4,9 +4,9 @@ Rounds name runs and pairs of all texts (recompress.py). After each, Spark group
 documents: a symbol that only one document has rules out every window of words that holds what the symbol
 depends on, and goes; documents without a window left go too. What is left grows into longer symbols, so
 that after the last round the windows left are those whose symbols, long ones among them, other documents
-share. These windows alone are verified, by 128-bit hashes of their words: of each the smallest document is
-aggregated, and windows in larger ones mark their words. Whole copies are told by a hash of all their words
-beforehand.
+share. These windows alone are verified, by 128-bit hashes of their words: first whole blocks of them, which
+symbols bound, so that a long repeat is a few rows; then single windows of blocks that no smaller document
+has as a whole. Whole copies are told by a hash of all their words beforehand.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from .recompress import Symbols
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 #: Words of documents that are parsed together.
 GROUP_WORDS = 400_000
+#: One symbol in so many, a power of two, ends a block of windows.
+CUT = 4
 #: Ids that are broadcast to find documents by, 8 bytes each; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -50,12 +52,13 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return np.cumprod(steps)
 
 
-def window_hashes(words: np.ndarray, window: int, at: np.ndarray) -> list[np.ndarray]:
-    """Two 64-bit hashes of the windows that start at the given words."""
+def span_hashes(words: np.ndarray, since: np.ndarray, until: np.ndarray) -> list[np.ndarray]:
+    """Two 64-bit hashes of words[since:until] for each pair of bounds."""
     found = []
     for base in BASES:
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(wordhash.mixed(words ^ base) * powers(base, len(words)))])
-        found.append(wordhash.mixed((sums[at + window] - sums[at]) * powers(inverse(base), len(words))[at]).view(np.int64))
+        value = (sums[until] - sums[since]) * powers(inverse(base), len(words))[since]
+        found.append(wordhash.mixed(value + (until - since).astype(np.uint64) * base).view(np.int64))
     return found
 
 
@@ -188,30 +191,84 @@ def texts_of_windows(docs: DataFrame, left: DataFrame) -> DataFrame:
     return common.written(common.mapped(found, run, "doc_id long, copy_a long, copy_b long, text string, ranges array<int>"), "substring-texts")
 
 
+def starts_of(ranges: pa.Scalar, n: int) -> np.ndarray:
+    """Which of n starts the ranges hold."""
+    r, change = ranges.values, np.zeros(n + 1, np.int32)
+    if r is not None:
+        r = r.to_numpy(zero_copy_only=False).reshape(-1, 2)
+        np.add.at(change, r[:, 0], 1)
+        np.add.at(change, r[:, 1], -1)
+    return np.cumsum(change)[:-1] > 0
+
+
+HASHED = "a long, b long, doc_id long, copy_a long, copy_b long, since int, until int"
+HASHED_SCHEMA = pa.schema([*((x, pa.int64()) for x in ("a", "b", *KEY)), ("since", pa.int32()), ("until", pa.int32())])
+
+
+def blocks_left(texts: DataFrame, window: int) -> DataFrame:
+    """(a, b, KEY, since, until): the windows that are left in blocks of neighbours, cut where certain symbols start, hashed as a whole.
+
+    Symbols stand at the same places in copies, so long repeats are blocks of equal words.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [batch.column(k).to_pylist() for k in range(3)]
+            for k, text in enumerate(common.texts_of(batch)):
+                hashes = wordhash.hashes(words_of(text))
+                alive = starts_of(batch.column(4)[k], len(hashes) - window + 1)
+                first = np.zeros(len(hashes), bool)
+                first[0] = True
+                s = recompress.parse(hashes, first)
+                cut = s.start[(s.name & np.uint64(CUT - 1)) == 0]
+                begin = alive & np.append(True, ~alive[:-1])
+                begin[cut[cut < len(alive)]] = True
+                begin &= alive
+                since = np.flatnonzero(begin)
+                edge = np.flatnonzero(alive & np.append(~alive[1:], True)) + 1  # where ranges end
+                until = np.minimum(np.append(since[1:], len(alive)), edge[np.searchsorted(edge, since, side="right")])
+                yield common.batch_of(HASHED_SCHEMA, *span_hashes(hashes, since, until + window - 1), *[np.full(len(since), c[k]) for c in keys], since.astype(np.int32), until.astype(np.int32))
+
+    return common.mapped(texts, run, HASHED)
+
+
 def windows_left(texts: DataFrame, window: int) -> DataFrame:
-    """(a, b, doc_id, copy_a, copy_b, at): hashes and start of each window that is left."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("doc_id", pa.int64()), ("copy_a", pa.int64()), ("copy_b", pa.int64()), ("at", pa.int32())])
+    """(a, b, KEY, since, until) of each window of the ranges that no settled block holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = [batch.column(k).to_pylist() for k in range(3)]
             for k, text in enumerate(common.texts_of(batch)):
-                hashes, r = wordhash.hashes(words_of(text)), batch.column(4)[k].values.to_numpy(zero_copy_only=False).reshape(-1, 2)
-                at = np.concatenate([np.arange(x, y) for x, y in r])
-                yield common.batch_of(schema, *window_hashes(hashes, window, at), *[np.full(len(at), c[k]) for c in keys], at.astype(np.int32))
+                hashes = wordhash.hashes(words_of(text))
+                n = len(hashes) - window + 1
+                at = np.flatnonzero(starts_of(batch.column(4)[k], n) & ~starts_of(batch.column(5)[k], n))
+                if len(at):
+                    yield common.batch_of(HASHED_SCHEMA, *span_hashes(hashes, at, at + window), *[np.full(len(at), c[k]) for c in keys], at.astype(np.int32), (at + 1).astype(np.int32))
 
-    return common.mapped(texts, run, "a long, b long, doc_id long, copy_a long, copy_b long, at int")
+    return common.mapped(texts, run, HASHED)
+
+
+def repeated(hashed: DataFrame) -> DataFrame:
+    """(KEY, ranges): the starts of each document whose words a smaller document has too."""
+    hashed = common.written(hashed, "substring-hashed")
+    first = hashed.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first < last")
+    first = common.written(first.select("a", "b", "first", "n"), "substring-repeats")
+    total = first.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    again = common.join_hot(hashed, first, ["a", "b"], "n", total).where("doc_id > first")
+    found = again.groupBy(*KEY).agg(F.flatten(F.collect_list(F.array("since", "until"))).alias("ranges"))
+    return common.written(found, "substring-again")
 
 
 def trimmed(texts: DataFrame, window: int) -> DataFrame:
-    """(KEY, n_removed, kept_sha256): texts without the words of the windows at starts."""
+    """(KEY, n_removed, kept_sha256): texts without the words of the windows that start in the ranges."""
     schema = pa.schema([("doc_id", pa.int64()), ("copy_a", pa.int64()), ("copy_b", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc_id, a, b, text, starts in zip(*(batch.column(k).to_pylist() for k in range(3)), common.texts_of(batch), batch.column(4), strict=True):
-                words, at = words_of(text), np.unique(starts.values.to_numpy(zero_copy_only=False))
+            for doc_id, a, b, text, ranges in zip(*(batch.column(k).to_pylist() for k in range(3)), common.texts_of(batch), batch.column(4), strict=True):
+                words = words_of(text)
+                at = np.flatnonzero(starts_of(ranges, len(words) - window + 1))
                 change = np.zeros(len(words) + 1, np.int64)
                 change[at] += 1
                 change[at + window] -= 1
@@ -243,13 +300,11 @@ def dedup(docs: DataFrame, window: int = 50) -> DataFrame:
 
     state = known.join(few, KEY, "left_anti").select(*KEY, "n_words", *[x for x, _ in STATE_FIELDS])
     texts = texts_of_windows(docs.where("doc_id IS NOT NULL"), rounds(state, window))
-    windows = common.written(windows_left(texts, window), "substring-windows")
-    first = windows.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first < last")
-    first = common.written(first.select("a", "b", "first", "n"), "substring-repeats")
-    total = first.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    again = common.join_hot(windows, first, ["a", "b"], "n", total).where("doc_id > first")
-    starts = again.groupBy(*KEY).agg(F.collect_set("at").alias("starts"))
-    cut = trimmed(texts.drop("ranges").join(starts, KEY).select(*KEY, "text", "starts"), window)
+    settled = repeated(blocks_left(texts, window))
+    # a window's smallest document never has it in a settled block: so single windows are asked for only elsewhere
+    single = repeated(windows_left(texts.join(settled.withColumnRenamed("ranges", "settled"), KEY, "left"), window))
+    ranges = settled.unionByName(single).groupBy(*KEY).agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
+    cut = trimmed(texts.drop("ranges").join(ranges, KEY).select(*KEY, "text", "ranges"), window)
 
     all_gone = gone.select(*KEY, F.lit(None).cast("long").alias("n_removed"), F.sha2(F.lit(""), 256).alias("kept_sha256"))
     changed = common.written(cut.dropDuplicates(KEY).unionByName(all_gone), "substring-changed")
