@@ -9,6 +9,7 @@ longer ones one at a time.
 from __future__ import annotations
 
 import json
+from array import array
 
 import numpy as np
 
@@ -25,14 +26,13 @@ def byte_alphabet() -> list[str]:
 
 
 class PairTable:
-    """(left id, right id) -> rank by open addressing, for arrays of pairs."""
+    """(left id, right id) -> rank by open addressing, for arrays of pairs of ids below size."""
 
-    BITS = 19
-
-    def __init__(self, left: np.ndarray, right: np.ndarray):
-        self.keys = np.full(1 << self.BITS, -1, np.int64)
-        self.ranks = np.full(1 << self.BITS, NONE, np.int32)
-        todo, rank = (left.astype(np.int64) << 17) | right, np.arange(len(left), dtype=np.int32)
+    def __init__(self, left: np.ndarray, right: np.ndarray, size: int):
+        self.size, self.bits = size, max(4, (8 * len(left)).bit_length())
+        self.keys = np.full(1 << self.bits, -1, np.int64)
+        self.ranks = np.full(1 << self.bits, NONE, np.int32)
+        todo, rank = left.astype(np.int64) * size + right, np.arange(len(left), dtype=np.int32)
         slot = self.slot(todo)
         while len(todo):
             free = self.keys[slot] < 0
@@ -40,19 +40,19 @@ class PairTable:
             put = first[free[first]]
             self.keys[slot[put]], self.ranks[slot[put]] = todo[put], rank[put]
             left_over = np.setdiff1d(np.arange(len(todo)), put)
-            todo, rank, slot = todo[left_over], rank[left_over], (slot[left_over] + 1) & ((1 << self.BITS) - 1)
+            todo, rank, slot = todo[left_over], rank[left_over], (slot[left_over] + 1) & ((1 << self.bits) - 1)
 
     def slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.BITS)).astype(np.int64)
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        keys = (left.astype(np.int64) << 17) | right
+        keys = left.astype(np.int64) * self.size + right
         slot = self.slot(keys)
         there = self.keys[slot]
         found = np.where(there == keys, self.ranks[slot], NONE)
         open_ = np.flatnonzero((there != keys) & (there >= 0))
         while len(open_):
-            slot[open_] = (slot[open_] + 1) & ((1 << self.BITS) - 1)
+            slot[open_] = (slot[open_] + 1) & ((1 << self.bits) - 1)
             there = self.keys[slot[open_]]
             hit = there == keys[open_]
             found[open_[hit]] = self.ranks[slot[open_[hit]]]
@@ -74,7 +74,9 @@ class Merger:
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         left, right = np.array([[vocab[a], vocab[b]] for a, b in pairs], np.int32).T
         self.made = np.array([vocab[a + b] for a, b in pairs], np.int32)
-        self.pairs, self.rank_of = PairTable(left, right), None
+        self.pairs, self.rank_of = PairTable(left, right, self.size), None
+        if len(pairs) >= 2**31 // VECTOR_SYMBOLS:
+            raise ValueError("ranks and positions of so many merges don't fit 32 bits")
         self.sides = left, right
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         byte_of = {c: b for b, c in enumerate(chars)}
@@ -155,11 +157,14 @@ class Merger:
     def _alone(self, word: bytes) -> np.ndarray:
         if self.rank_of is None:
             self.rank_of = {(a, b): r for r, (a, b) in enumerate(zip(*(x.tolist() for x in self.sides), strict=True))}
-        ids = [*self.first[np.frombuffer(word[:-1], np.uint8)].tolist(), int(self.last[word[-1]])]
+        raw = np.frombuffer(word, np.uint8)
+        ids = array("i", np.append(self.first[raw[:-1]], self.last[raw[-1]]).astype(np.int32).tobytes())  # arrays: a word may be a whole text
         n, width = len(ids), 1 << (len(ids) - 1).bit_length()
-        after, before, none, rank_of, made = [*range(1, n + 1)], [*range(-1, n - 1)], 1 << 62, self.rank_of, self.made
+        after, before, none, rank_of, made = array("i", range(1, n + 1)), array("i", range(-1, n - 1)), 1 << 62, self.rank_of, self.made
         key = lambda i, j: (none if (r := rank_of.get((ids[i], ids[j]))) is None else r * width + i)
-        tree = [none] * width + [key(i, i + 1) for i in range(n - 1)] + [none] * (width - n + 1)
+        tree = array("q", [none]) * width
+        tree.extend(key(i, i + 1) for i in range(n - 1))
+        tree.extend(array("q", [none]) * (width - n + 1))
         for k in range(width - 1, 0, -1):
             tree[k] = min(tree[2 * k], tree[2 * k + 1])
 
@@ -185,7 +190,8 @@ class Merger:
                 put(at, none)
             if before[at] >= 0:
                 put(before[at], key(before[at], at))
-        return np.array([x for x in ids if x >= 0], np.int32)
+        ids = np.frombuffer(ids, np.int32)
+        return ids[ids >= 0]
 
 
 _LOADED: dict[str, Merger] = {}

@@ -28,7 +28,7 @@ def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Per row of docs its ids (little-endian unsigned 32-bit) and the text they decode to.
 
     A null text is empty and gives no ids; bytes that aren't UTF-8 decode to U+FFFD. doc_id may be null
-    or repeat. An empty table gives no rows; other columns of docs are ignored.
+    or repeat. Very long texts are encoded in parts. An empty table gives no rows; other columns of docs are ignored.
     """
     path = path or public_tokenizers.path("byte_bpe_50k.json")
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("decoded", pa.string())])
@@ -37,7 +37,7 @@ def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
         tokens = pretokens.encoder(path)
         for batch in batches:
             ids, n = tokens.encode(common.texts_of(batch))
-            ids = [np.frombuffer(x, "<u2") for x in ids]
+            ids = [np.frombuffer(x, tokens.kind) for x in ids]
             decoded = [decode_bytes(tokens.merger, x).decode("utf-8", "replace") for x in ids]
             yield common.batch_of(schema, batch.column(0), n, [x.astype("<u4").tobytes() for x in ids], decoded)
 

@@ -29,13 +29,13 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 def encode(docs: DataFrame, path: str, end_id: int | None) -> DataFrame:
     """The ids of each text (null: empty), then end_id, with the tokens before it in its partition."""
     schema = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("doc_tokens", pa.int64()), ("before", pa.int64()), ("ids", pa.binary())])
-    end = b"" if end_id is None else np.array([end_id], "<u2").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, part, total = pretokens.encoder(path), TaskContext.get().partitionId(), 0
+        end = b"" if end_id is None else np.array([end_id], tokens.kind).tobytes()
         for batch in batches:
             ids, n = tokens.encode(common.texts_of(batch))
-            ids, n = [x + end for x in ids], n + len(end) // 2
+            ids, n = [x + end for x in ids], n + (end_id is not None)
             before = total + np.cumsum(n) - n
             total += int(n.sum())
             yield common.batch_of(schema, pa.array(np.full(len(n), part, np.int32)), batch.column(0), n, before, ids)
@@ -51,7 +51,7 @@ def cut(encoded: DataFrame, window: int) -> DataFrame:
         for batch in batches:
             rows = []
             for doc, n, at, ids in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                ids, start = np.frombuffer(ids, "<u2").astype("<u4"), 0
+                ids, start = np.frombuffer(ids, f"<u{len(ids) // n}" if n else "<u4").astype("<u4"), 0
                 while start < n:
                     sequence, offset = divmod(at + start, window)
                     length = min(n - start, window - offset)
@@ -66,7 +66,7 @@ def pack(docs: DataFrame, path: str | None = None, window: int = 2048, end_id: i
     """One row for each piece of each document: where it lies in its document and in which sequence.
 
     Only the last sequence has padding. doc_id may be null or repeat: each row of docs is packed on its
-    own. A null text is empty and still has its end id; with end_id None it gives no piece. An empty
+    own, very long texts in parts. A null text is empty and still has its end id; with end_id None it gives no piece. An empty
     table gives no rows; other columns of docs are ignored.
     """
     path = path or public_tokenizers.path("byte_bpe_50k.json")

@@ -1,13 +1,13 @@
 """Whole texts to ids in numpy: pre-tokens by character classes, a memo of the pre-tokens merged before.
 
-A batch's texts are one array of code points. Where classes change, pre-tokens start, by the rules of the
-vocabulary file's pattern. Each pre-token's 64-bit hash looks up its ids; what isn't known goes through
-the segment tree (bpe.py) once. Texts that hold a special string go to the tokenizers library itself.
+A batch's texts are cut at special strings, which have ids of their own, and into parts of bounded size
+where no pre-token is. Parts are arrays of code points. Where classes change, pre-tokens start, by the rules
+of the vocabulary file's pattern. Each pre-token's 64-bit hash looks up its ids; what isn't known goes
+through the segment tree (bpe.py) once.
 """
 
 from __future__ import annotations
 
-import os
 import unicodedata
 from collections.abc import Iterator
 
@@ -18,13 +18,15 @@ from . import bpe
 
 #: Pre-tokens that a Python worker remembers (about 40 bytes each); beyond that the memo starts anew.
 MEMO_WORDS = 1 << 20
-#: Characters that are looked at together, about 80 bytes each; longer texts are cut where no pre-token is.
+#: Characters that are looked at together, about 80 bytes each; longer texts are cut where no pre-token is. Only
+#: a run of one class, white space say, or of letters, is a pre-token of any length.
 CHUNK_CHARS = 400_000
 
 #: White space as the tokenizers library takes it.
 SPACE = r"\t-\r \x85\xa0  -     　"
 OTHER, LETTER, NUMBER, WHITE = range(4)
-SAFE_CUT = regex.compile(r"(?<=\S) (?=\S)")
+#: Before white space, and where a letter or a digit is followed by another class: what follows an apostrophe stays with it.
+SAFE_CUT = regex.compile(rf"(?<=[^{SPACE}])(?=[{SPACE}])|(?<=\p{{L}})(?=[^\p{{L}}{SPACE}])|(?<=\p{{N}})(?=[^\p{{N}}{SPACE}])")
 
 _TABLES: list[np.ndarray] = []
 _LOADED: dict[str, Encoder] = {}
@@ -88,9 +90,12 @@ class Encoder:
     """Ids or counts of texts for one vocabulary file."""
 
     def __init__(self, path: str):
-        self.path, self.merger, self.library = path, bpe.merger(path), None
+        self.path, self.merger = path, bpe.merger(path)
+        #: How ids are kept: 16 bits each if all fit.
+        self.kind = np.dtype("<u2" if self.merger.size <= 1 << 16 else "<u4")
         self.words_only = self.merger.last[0] != self.merger.first[0]
-        self.special = regex.compile("|".join(map(regex.escape, self.merger.special)))
+        self.special = regex.compile("|".join(map(regex.escape, self.merger.special)) or r"(?!)")
+        self.marked = all("<" in x for x in self.merger.special)
         self.bits = MEMO_WORDS.bit_length() + 1
         self.powers = self._powers(64)
         self.clear()
@@ -106,7 +111,7 @@ class Encoder:
         self.entry = np.zeros(1 << self.bits, np.int32)
         self.n, self.used = 0, 0
         self.offset, self.length = np.zeros(1024, np.int64), np.zeros(1024, np.int32)
-        self.pool = np.zeros(4096, np.uint16)
+        self.pool = np.zeros(4096, self.kind)
 
     def find(self, key: np.ndarray) -> np.ndarray:
         """Entries of the keys, -1 for unknown ones."""
@@ -178,25 +183,21 @@ class Encoder:
             found[unknown] = self.find(key[unknown])
         return begin, found
 
-    def _plain(self, text: str) -> str | None:
-        """The normalised text; None if only the library can tell its ids."""
-        if "<|" in text and self.special.search(text):
-            return None
+    def _plain(self, text: str) -> str:
+        """The normalised text; each letter is lower-cased by itself, a capital sigma too."""
         if not self.words_only:
             return text
-        if "Σ" in text:  # lower-cased by its place here, but not there
-            return None
-        return (text if text.isascii() else unicodedata.normalize("NFC", text)).lower()
+        return text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
-    def by_library(self, text: str) -> list[int]:
-        if self.library is None:
-            os.environ["TOKENIZERS_PARALLELISM"] = "false"
-            from tokenizers import Tokenizer
-
-            self.library = Tokenizer.from_file(self.path)
-            self.library.no_truncation()
-            self.library.no_padding()
-        return self.library.encode(text, add_special_tokens=False).ids
+    def _parts(self, texts: list[str]) -> Iterator[tuple[int, str, int | None]]:
+        """(number, normalised text, id) in order: the stretches of each text, and the id of the special string that follows."""
+        for i, text in enumerate(texts):
+            at = 0
+            if "<" in text or not self.marked:
+                for m in self.special.finditer(text):
+                    yield i, self._plain(text[at : m.start()]), self.merger.special[m.group()]
+                    at = m.end()
+            yield i, self._plain(text[at:]), None
 
     def _groups(self, texts: list[str]) -> Iterator[list[tuple[int, str]]]:
         """Parts of texts, cut where no pre-token is, in groups of about CHUNK_CHARS characters."""
@@ -218,15 +219,11 @@ class Encoder:
             yield group
 
     def encode(self, texts: list[str], counts_only: bool = False) -> tuple[list[bytes] | None, np.ndarray]:
-        """Each text's ids as little-endian 16-bit numbers (None if not asked for), and how many they are."""
+        """Each text's ids as little-endian numbers of self.kind (None if not asked for), and how many they are."""
         total, parts = np.zeros(len(texts), np.int64), [[] for _ in texts]
-        plain = [self._plain(x) for x in texts]
-        for i, text in enumerate(plain):
-            if text is None:
-                ids = self.by_library(texts[i])
-                total[i] = len(ids)
-                parts[i].append(np.array(ids, "<u2").tobytes())
-        for group in self._groups([x or "" for x in plain]):
+        stretches = list(self._parts(texts))
+        found: list[list[bytes]] = [[] for _ in stretches]
+        for group in self._groups([x for _, x, _ in stretches]):
             sizes = np.array([len(x) for _, x in group])
             at = np.cumsum(sizes) - sizes
             first = np.zeros(int(sizes.sum()), bool)
@@ -235,12 +232,18 @@ class Encoder:
             n = self.length[entry].astype(np.int64)
             sums = np.concatenate([[0], np.cumsum(n)])
             bounds = sums[np.searchsorted(begin, np.append(at, len(first)))]
-            np.add.at(total, [i for i, _ in group], np.diff(bounds))
+            np.add.at(total, [stretches[i][0] for i, _ in group], np.diff(bounds))
             if counts_only:
                 continue
-            ids = self.pool[np.repeat(self.offset[entry] - sums[:-1], n) + np.arange(sums[-1])].astype("<u2").tobytes()
+            ids = self.pool[np.repeat(self.offset[entry] - sums[:-1], n) + np.arange(sums[-1])].tobytes()
+            size = self.kind.itemsize
             for (i, _), a, b in zip(group, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                parts[i].append(ids[2 * a : 2 * b])
+                found[i].append(ids[size * a : size * b])
+        for (i, _, special), ids in zip(stretches, found, strict=True):
+            parts[i] += ids
+            if special is not None:
+                total[i] += 1
+                parts[i].append(np.array([special], self.kind).tobytes())
         return None if counts_only else [b"".join(x) for x in parts], total
 
 

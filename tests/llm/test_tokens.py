@@ -1,6 +1,8 @@
 """Token counts, encoding and packing against the tokenizers library itself."""
 
+import json
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -35,6 +37,49 @@ def test_long_and_short_words_merge_alike():
     assert flat[n[0] :].tolist() == merger._alone(word * 9).tolist()
 
 
+@pytest.mark.parametrize("name", FILES)
+def test_parts_of_long_texts(name, monkeypatch):
+    """Texts without blanks, with newlines alone, with special strings: cut in parts, the ids stay."""
+    monkeypatch.setattr(pretokens, "CHUNK_CHARS", 40)
+    rng = random.Random(6)
+    texts = ["\n".join(f"w{rng.randrange(999)}'s" for _ in range(300)), "".join(rng.choice(["ab", "7", "!", "'", "don't", "é", "_-"]) for _ in range(900)), "x <|endoftext|>y<|endoftext|>\n" * 40, "ΟΔΟΣ Σ <|startoftext|> ΑΣ" * 20, " \n" * 300 + "a"]
+    for text, found, wanted in zip(texts, pretokens.Encoder(public_tokenizers.path(name)).encode(texts)[0], library(name).encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(found, "<u2").tolist() == wanted.ids, text[:80]
+
+
+def test_large_vocabularies_keep_their_ids(tmp_path):
+    """Ids over 65,535, which 16 bits don't hold."""
+    chars = bpe.byte_alphabet()
+    vocab = {c: 70_000 + i for i, c in enumerate(chars)} | {"ab": 200_001, "abc": 131_072}
+    spec = {"added_tokens": [{"content": "<|x|>", "id": 300_000, "special": True, "single_word": False, "lstrip": False, "rstrip": False, "normalized": False}], "model": {"type": "BPE", "vocab": vocab, "merges": ["a b", "ab c"], "end_of_word_suffix": None}}
+    (tmp_path / "t.json").write_text(json.dumps(spec))
+    ids, n = pretokens.Encoder(str(tmp_path / "t.json")).encode(["abcab<|x|>a"])
+    assert np.frombuffer(ids[0], "<u4").tolist() == [131_072, 200_001, 300_000, 70_000 + chars.index("a")] and n.tolist() == [4]
+
+
+def test_twenty_megabytes(spark):
+    """A long text of lines and one without blanks, in one batch each: right counts, and memory within bounds."""
+    lines, solid = "\n".join(f"w{i % 5003}" for i in range(3_300_000)), "ab7!" * 5_000_000
+    encoder = pretokens.Encoder(public_tokenizers.path(FILES[0]))
+    tracemalloc.start()
+    counts = [int(encoder.encode([x], counts_only=True)[1][0]) for x in (lines, solid)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 400 << 20
+    piece = encoder.encode(["\n".join(f"w{i}" for i in range(5003)), "\n"], counts_only=True)[1]
+    whole, rest = divmod(3_300_000, 5003)
+    tail = encoder.encode(["\n".join(f"w{i}" for i in range(rest))], counts_only=True)[1][0]
+    assert counts == [whole * (piece[0] + 1) + tail, 15_000_000]
+
+
+def test_fourfold_chunks(spark):
+    """Texts without white space have no stable boundary until one chunk holds them whole."""
+    rows = [(1, "xy7" * 700), (2, "ab " * 900), (3, "q" * 999)]
+    found = token_counts.count_tokens(documents(spark, rows), chunk=64, overlap=16).collect()
+    tokens = library(FILES[1])
+    assert sorted((r.doc_id, r.n_tokens) for r in found) == [(i, len(tokens.encode(t, add_special_tokens=False).ids)) for i, t in rows]
+
+
 def test_memo_starts_anew(monkeypatch):
     monkeypatch.setattr(pretokens, "MEMO_WORDS", 64)
     monkeypatch.setattr(pretokens, "CHUNK_CHARS", 300)
