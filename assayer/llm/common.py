@@ -117,6 +117,8 @@ def join_hot(left: DataFrame, right: DataFrame, keys: list[str], n: str, total:
     no task gets all rows of one; the others are joined by a shuffle.
     """
     is_hot = F.col(n) > total / HOT_KEYS
+    if right.where(is_hot).isEmpty():
+        return left.join(right, keys, how)
     hot, rest = F.broadcast(right.where(is_hot)), right.where(~is_hot)
     cold = left.join(F.broadcast(right.where(is_hot).select(*keys)), keys, "left_anti").join(rest, keys, how)
     return left.join(hot, keys).unionByName(cold)

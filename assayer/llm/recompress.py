@@ -55,8 +55,8 @@ def runs(words: np.ndarray, first: np.ndarray) -> Symbols:
     return Symbols(name, start, end, start - 1, end + 1, np.ones(len(start), bool))
 
 
-def pairs(s: Symbols, first: np.ndarray, turn: int) -> Symbols:
-    """The steps of one round. first: the words where documents start, in order, and the number of words.
+def pairs(s: Symbols, starts: np.ndarray, ends: np.ndarray, turn: int) -> Symbols:
+    """The steps of one round. starts, ends: for each word, and one more, if a document starts or has ended there.
 
     A symbol whose pairing a gap leaves open is dropped. What depends on where its document ends depends on
     the word beyond.
@@ -68,7 +68,7 @@ def pairs(s: Symbols, first: np.ndarray, turn: int) -> Symbols:
         salt = mixed(np.full(1, r + 1, np.uint64) * K)[0]
         left = (mixed(s.name ^ salt) & np.uint64(1)) == 0
         size = s.end - s.start
-        at_start, at_end = np.isin(s.start, first), np.isin(s.end, first)
+        at_start, at_end = starts[s.start], ends[s.end]
         next_to = np.append((s.end[:-1] == s.start[1:]) & ~at_start[1:], False)  # the next symbol follows at once
         after, before = next_to, np.append(False, next_to[:-1])
         one = np.append(left[:-1] & ~left[1:] & (size[:-1] + size[1:] <= cap), False) & after
@@ -89,7 +89,8 @@ def pairs(s: Symbols, first: np.ndarray, turn: int) -> Symbols:
 
 def parse(words: np.ndarray, first: np.ndarray) -> Symbols:
     """Runs and the first round of pairs."""
-    return pairs(runs(words, first), np.append(np.flatnonzero(first), len(words)), 0)
+    starts = np.append(first, False)
+    return pairs(runs(words, first), starts, np.append(first, True), 0)
 
 
 def covered(low: np.ndarray, high: np.ndarray, n: int, window: int) -> np.ndarray:

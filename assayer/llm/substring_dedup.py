@@ -16,6 +16,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,18 +26,19 @@ from .recompress import Symbols
 
 #: Odd bases of the two window hashes.
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
-#: Words of documents that are parsed together.
-GROUP_WORDS = 400_000
+#: Characters of texts that are parsed together.
+GROUP_CHARS = 2_500_000
 #: One symbol in so many, a power of two, ends a block of windows.
 CUT = 4
 #: Ids that are broadcast to find documents by, 8 bytes each; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
-#: A document by its id and 128 bits of its words: rows that repeat an id with another text are apart.
-KEY = ["doc_id", "copy_a", "copy_b"]
-#: Symbols by their names, the words before each that no symbol spans, its words, and how far it depends on those around it.
-STATE = "names array<long>, gaps array<int>, lengths array<int>, before array<int>, after array<int>, fresh array<boolean>, ranges array<int>"
-STATE_FIELDS = [("names", pa.list_(pa.int64())), *((x, pa.list_(pa.int32())) for x in ("gaps", "lengths", "before", "after")), ("fresh", pa.list_(pa.bool_())), ("ranges", pa.list_(pa.int32()))]
+#: A document: num numbers the rows, so that those that repeat an id are apart; its text is known by 128 bits of its words.
+DOC = ["num", "doc_id", "copy_a", "copy_b", "n_words"]
+#: Symbols by their names, the words before each that no symbol spans, its words, how far it depends on those around it, and windows by ranges of starts.
+LISTS = ("gaps", "lengths", "before", "after", "ranges")
+STATE = "num long, doc_id long, copy_a long, copy_b long, n_words long, names array<long>, fresh array<boolean>, " + ", ".join(f"{x} array<int>" for x in LISTS)
+STATE_SCHEMA = pa.schema([*((x, pa.int64()) for x in DOC), ("names", pa.list_(pa.int64())), ("fresh", pa.list_(pa.bool_())), *((x, pa.list_(pa.int32())) for x in LISTS)])
 
 
 def words_of(text: str) -> list[bytes]:
@@ -57,105 +60,124 @@ def span_hashes(words: np.ndarray, since: np.ndarray, until: np.ndarray) -> list
     found = []
     for base in BASES:
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(wordhash.mixed(words ^ base) * powers(base, len(words)))])
-        value = (sums[until] - sums[since]) * powers(inverse(base), len(words))[since]
+        value = (sums[until] - sums[since]) * powers(inverse(base), len(words) + 1)[since]
         found.append(wordhash.mixed(value + (until - since).astype(np.uint64) * base).view(np.int64))
     return found
 
 
-def content(words: np.ndarray) -> tuple[int, int]:
-    """128 bits of a sequence of word hashes."""
-    return tuple(int(wordhash.mixed(np.sum(wordhash.mixed(words ^ b) * powers(b, len(words)), keepdims=True)).view(np.int64)[0]) for b in BASES)
+def hashed_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The words of all texts as hashes, and where each text starts in them, and their number."""
+    words = [words_of(x) for x in texts]
+    return wordhash.hashes([w for x in words for w in x]), np.concatenate([[0], np.cumsum([len(x) for x in words], dtype=np.int64)])
 
 
-def groups(texts: list[str]) -> Iterator[list[tuple[int, list[bytes]]]]:
-    """(number, words) of the texts, in groups of about GROUP_WORDS words."""
-    group, held = [], 0
-    for i, text in enumerate(texts):
-        words = words_of(text)
-        group.append((i, words))
-        held += len(words)
-        if held >= GROUP_WORDS:
-            yield group
-            group, held = [], 0
-    if group:
-        yield group
+def grouped(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in slices whose texts have about GROUP_CHARS characters."""
+    since, held = 0, 0
+    for k, text in enumerate(common.texts_of(batch)):
+        held += len(text)
+        if held >= GROUP_CHARS:
+            yield batch.slice(since, k + 1 - since)
+            since, held = k + 1, 0
+    if since < batch.num_rows:
+        yield batch.slice(since)
 
 
-def packed(s: Symbols, alive: np.ndarray) -> tuple:
-    """STATE of a document: its symbols, and its windows that are alive as ranges of starts."""
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], alive.astype(np.int8), [0]])))
-    gaps = s.start - np.append(0, s.end[:-1])[: len(s.start)]
-    return s.name.view(np.int64), gaps.astype(np.int32), (s.end - s.start).astype(np.int32), (s.start - s.low).astype(np.int32), (s.high - s.end).astype(np.int32), s.fresh, edge.astype(np.int32)
+def list_of(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+    return pa.ListArray.from_arrays(offsets, pa.array(values, kind))
 
 
-def unpacked(names, gaps, lengths, before, after, fresh, ranges, n_words: int, window: int) -> tuple[Symbols, np.ndarray]:
-    end = np.cumsum(gaps.astype(np.int64) + lengths)
-    start = end - lengths
-    change = np.zeros(n_words - window + 2, np.int8)
-    change[ranges[::2]] += 1
-    change[ranges[1::2]] -= 1
-    return Symbols(names.view(np.uint64), start, end, start - before, end + after, fresh.astype(bool)), np.cumsum(change)[:-1] > 0
+def packed(doc: list[pa.Array], s: Symbols, alive: np.ndarray, base: np.ndarray) -> pa.RecordBatch:
+    """STATE of documents that start at the words base, the last of which is the number of words."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], alive.astype(np.int8), [0]])))
+    n_symbols = np.diff(np.searchsorted(s.start, base))
+    n_edges = np.diff(np.searchsorted(edge[::2], base)) * 2
+    last = np.append(0, s.end[:-1])
+    at = (np.cumsum(n_symbols) - n_symbols)[n_symbols > 0]
+    last[at] = base[:-1][n_symbols > 0]
+    values = {"gaps": s.start - last, "lengths": s.end - s.start, "before": s.start - s.low, "after": s.high - s.end}
+    lists = [list_of(s.name.view(np.int64), n_symbols, pa.int64()), list_of(s.fresh, n_symbols, pa.bool_())]
+    lists += [list_of(values[x].astype(np.int32), n_symbols, pa.int32()) for x in LISTS[:-1]]
+    lists.append(list_of((edge - np.repeat(base[:-1], n_edges)).astype(np.int32), n_edges, pa.int32()))
+    return pa.RecordBatch.from_arrays([*doc, *lists], schema=STATE_SCHEMA)
+
+
+def unpacked(batch: pa.RecordBatch) -> tuple[Symbols, np.ndarray, np.ndarray]:
+    """The symbols of all documents on one axis of words, a word apart; which windows are alive; where documents start."""
+    base = np.concatenate([[0], np.cumsum(batch.column("n_words").to_numpy() + 1)])
+    flat = lambda name: batch.column(name).flatten().to_numpy(zero_copy_only=False)
+    counts = batch.column("names").value_lengths().to_numpy()
+    step = flat("gaps").astype(np.int64) + flat("lengths")
+    upto = np.cumsum(step)
+    at = np.cumsum(counts) - counts
+    end = upto + np.repeat(base[:-1] - np.append(0, upto)[at], counts)
+    start = end - flat("lengths")
+    bounds = flat("ranges").reshape(-1, 2) + np.repeat(base[:-1], batch.column("ranges").value_lengths().to_numpy() // 2)[:, None]
+    change = np.zeros(base[-1] + 1, np.int8)
+    change[bounds[:, 0]] += 1
+    change[bounds[:, 1]] -= 1
+    return Symbols(flat("names").view(np.uint64), start, end, start - flat("before"), end + flat("after"), flat("fresh").astype(bool)), np.cumsum(change)[:-1] > 0, base
 
 
 def survey(docs: DataFrame, window: int) -> DataFrame:
-    """(doc_id, n_words, whole_sha, copy_a, copy_b) and, of texts of at least window words, STATE after the first round."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("whole_sha", pa.string()), ("copy_a", pa.int64()), ("copy_b", pa.int64()), *STATE_FIELDS])
+    """STATE after the first round, and whole_sha, n_words of each row; copy_a is null for texts of fewer words than a window."""
+    schema = pa.schema([*STATE_SCHEMA, ("whole_sha", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        num = TaskContext.get().partitionId() << 40
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            for group in groups(common.texts_of(batch)):
-                rows = {i: [ids[i], len(words), hashlib.sha256(b" ".join(words)).hexdigest(), *[None] * (2 + len(STATE_FIELDS))] for i, words in group}
-                long = [x for x in group if len(x[1]) >= window]
-                if long:
-                    hashes = wordhash.hashes([w for _, words in long for w in words])
-                    at = np.concatenate([[0], np.cumsum([len(words) for _, words in long])])
-                    first = np.zeros(len(hashes), bool)
-                    first[at[:-1]] = True
-                    every = recompress.parse(hashes, first)
-                    cut = np.searchsorted(every.start, at)
-                    for (i, words), a, b, c, d in zip(long, at[:-1], at[1:], cut[:-1], cut[1:], strict=True):
-                        s = every[c:d]
-                        s = Symbols(s.name, s.start - a, s.end - a, s.low - a, s.high - a, s.fresh)
-                        rows[i][3:] = *content(hashes[a:b]), *packed(s, np.ones(len(words) - window + 1, bool))
-                yield common.batch_of(schema, *zip(*rows.values(), strict=True))
-
-    return common.written(common.mapped(docs, run, f"doc_id long, n_words long, whole_sha string, copy_a long, copy_b long, {STATE}"), "substring-survey")
+            for part in grouped(batch):
+                words = [words_of(x) for x in common.texts_of(part)]
+                n = np.array([len(x) for x in words], np.int64)
+                sha = [hashlib.sha256(b" ".join(x)).hexdigest() for x in words]
+                is_long = n >= window
+                hashes = wordhash.hashes([w for x, long in zip(words, is_long, strict=True) if long for w in x])
+                at = np.concatenate([[0], np.cumsum(n * is_long)])
+                first = np.zeros(len(hashes), bool)
+                first[at[:-1][is_long]] = True
+                every = recompress.parse(hashes, first) if len(hashes) else recompress.runs(hashes, first)
+                change = np.zeros(len(hashes) + 1, np.int32)
+                change[at[:-1][is_long]] += 1
+                np.add.at(change, (at[1:] - window + 1)[is_long], -1)
+                copy = [pa.array(x, pa.int64(), mask=~is_long) for x in span_hashes(hashes, at[:-1], at[1:])] if len(hashes) else [pa.nulls(len(n), pa.int64())] * 2
+                doc = [pa.array(num + np.arange(len(n))), part.column(0), *copy, pa.array(n)]
+                num += len(n)
+                found = packed(doc, every, np.cumsum(change)[:-1] > 0, at)
+                yield pa.RecordBatch.from_arrays([*found.columns, pa.array(sha)], schema=schema)
+
+    return common.written(common.mapped(docs, run, f"{STATE}, whole_sha string"), "substring-survey")
 
 
 def telling_names(state: DataFrame, window: int) -> DataFrame:
-    """(doc_id, copy_a, copy_b, symbol): the names that this round asks the other documents for."""
-    tests = F.zip_with("lengths", F.zip_with("before", "after", lambda a, b: a + b), lambda n, d: (n >= recompress.LEAST) & (n + d <= window))
-    asked = F.zip_with("names", F.zip_with(tests, "fresh", lambda a, b: a & b), lambda x, t: F.when(t, x))
-    return state.select(*KEY, F.explode(F.array_distinct(F.filter(asked, lambda x: x.isNotNull()))).alias("symbol"))
+    """(num, doc_id, symbol): the names that this round asks the other documents for."""
+    each = state.select("num", "doc_id", F.explode(F.arrays_zip("names", "fresh", "lengths", "before", "after")).alias("s"))
+    asked = each.where(f"s.fresh AND s.lengths >= {recompress.LEAST} AND s.lengths + s.before + s.after <= {window}")
+    return asked.select("num", "doc_id", F.col("s.names").alias("symbol"))
 
 
 def next_round(state: DataFrame, shared: DataFrame, window: int, turn: int) -> DataFrame:
-    """STATE after the round, of documents that have a window left. shared: (KEY, shared), the names that others have too."""
-    schema = pa.schema([("doc_id", pa.int64()), ("copy_a", pa.int64()), ("copy_b", pa.int64()), ("n_words", pa.int64()), *STATE_FIELDS])
+    """STATE after the round, of documents that have a window left. shared: (num, shared), the names that others have too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            columns = [batch.column(k) for k in range(4, 11)]
-            for k, (doc_id, a, b, n) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True)):
-                s, alive = unpacked(*[c[k].values.to_numpy(zero_copy_only=False) for c in columns], n, window)
-                known = batch.column(11)[k].values
-                known = known.to_numpy(zero_copy_only=False) if known is not None else np.zeros(0, np.int64)
-                dead = s.telling(window) & ~np.isin(s.name.view(np.int64), known)
-                alive &= recompress.covered(s.low[dead], s.high[dead], len(alive), window) == 0
-                if not alive.any():
-                    continue
-                s = s[~dead]
-                s = s[recompress.held(s, alive, window)]
-                if turn < len(recompress.ROUNDS):
-                    s = recompress.pairs(s, np.array([0, n]), turn)
-                rows.append((doc_id, a, b, n, *packed(s, alive)))
-            if rows:
-                yield common.batch_of(schema, *zip(*rows, strict=True))
-
-    found = state.join(shared, KEY, "left").select(*KEY, "n_words", *[x for x, _ in STATE_FIELDS], "shared")
-    return common.written(common.mapped(found, run, f"doc_id long, copy_a long, copy_b long, n_words long, {STATE}"), "substring-state")
+            s, alive, base = unpacked(batch)
+            known = np.unique(batch.column("shared").flatten().to_numpy(zero_copy_only=False))
+            dead = s.telling(window) & ~np.isin(s.name.view(np.int64), known)
+            alive &= recompress.covered(s.low[dead], s.high[dead], len(alive), window) == 0
+            s = s[~dead]
+            s = s[recompress.held(s, alive, window)]
+            if turn < len(recompress.ROUNDS):
+                starts, ends = np.zeros(base[-1] + 1, bool), np.zeros(base[-1] + 1, bool)
+                starts[base[:-1]], ends[base[1:] - 1] = True, True
+                s = recompress.pairs(s, starts, ends, turn)
+            found = packed([batch.column(x) for x in DOC], s, alive, base)
+            left = pa.compute.greater(found.column("ranges").value_lengths(), 0)
+            if pa.compute.any(left).as_py():
+                yield found.filter(left)
+
+    found = state.join(shared, "num", "left").select(*STATE_SCHEMA.names, F.coalesce("shared", F.array().cast("array<long>")).alias("shared"))
+    return common.written(common.mapped(found, run, STATE), "substring-state")
 
 
 def rounds(state: DataFrame, window: int) -> DataFrame:
@@ -165,118 +187,115 @@ def rounds(state: DataFrame, window: int) -> DataFrame:
         named = each.groupBy("symbol").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
         named = common.written(named.select("symbol", "n"), "substring-names")
         total = named.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        shared = common.join_hot(each, named, ["symbol"], "n", total).groupBy(*KEY).agg(F.collect_list("symbol").alias("shared"))
+        shared = common.join_hot(each.select("num", "symbol"), named, ["symbol"], "n", total).groupBy("num").agg(F.collect_set("symbol").alias("shared"))
         state = next_round(state, shared, window, turn)
-    return state.select(*KEY, "ranges")
+    return state.select(*DOC, "ranges")
 
 
 def texts_of_windows(docs: DataFrame, left: DataFrame) -> DataFrame:
-    """(doc_id, copy_a, copy_b, text, ranges) of the rows that have windows left, by id and then by content."""
+    """(num, doc_id, text, ranges) of the rows that have windows left, found by id and then by content."""
     ids = common.written(left.select("doc_id").distinct(), "substring-ids")
     if ids.count() <= BROADCAST_IDS:
         docs = docs.join(F.broadcast(ids), "doc_id", "left_semi")
-    schema = pa.schema([("doc_id", pa.int64()), ("copy_a", pa.int64()), ("copy_b", pa.int64()), ("text", pa.string()), ("ranges", pa.list_(pa.int32()))])
+    schema = pa.schema([("num", pa.int64()), ("doc_id", pa.int64()), ("text", pa.string()), ("ranges", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = []
-            for k, (text, a, b) in enumerate(zip(common.texts_of(batch), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                if content(wordhash.hashes(words_of(text))) == (a, b):
-                    kept.append(k)
-            if kept:
-                part = batch.take(pa.array(kept))
-                yield common.batch_of(schema, *(part.column(k) for k in (0, 2, 3, 1, 4)))
-
-    found = docs.join(left.dropDuplicates(KEY), "doc_id").select("doc_id", "text", "copy_a", "copy_b", "ranges")
-    return common.written(common.mapped(found, run, "doc_id long, copy_a long, copy_b long, text string, ranges array<int>"), "substring-texts")
-
-
-def starts_of(ranges: pa.Scalar, n: int) -> np.ndarray:
-    """Which of n starts the ranges hold."""
-    r, change = ranges.values, np.zeros(n + 1, np.int32)
-    if r is not None:
-        r = r.to_numpy(zero_copy_only=False).reshape(-1, 2)
-        np.add.at(change, r[:, 0], 1)
-        np.add.at(change, r[:, 1], -1)
+            for part in grouped(batch):
+                hashes, at = hashed_words(common.texts_of(part))
+                one, two = span_hashes(hashes, at[:-1], at[1:]) if len(hashes) else (np.zeros(part.num_rows, np.int64),) * 2
+                same = (one == part.column("copy_a").to_numpy()) & (two == part.column("copy_b").to_numpy())
+                yield pa.RecordBatch.from_arrays([part.column(x) for x in schema.names], schema=schema).filter(pa.array(same))
+
+    found = docs.join(left, "doc_id").select("num", "doc_id", "text", "ranges", "copy_a", "copy_b")
+    return common.written(common.mapped(found, run, "num long, doc_id long, text string, ranges array<int>"), "substring-texts")
+
+
+def starts_of(lists: pa.ListArray, base: np.ndarray) -> np.ndarray:
+    """Which starts, on the axis of all documents' words, the ranges hold."""
+    r = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, 2) + np.repeat(base[:-1], lists.value_lengths().fill_null(0).to_numpy() // 2)[:, None]
+    change = np.zeros(base[-1] + 1, np.int32)
+    np.add.at(change, r[:, 0], 1)
+    np.add.at(change, r[:, 1], -1)
     return np.cumsum(change)[:-1] > 0
 
 
-HASHED = "a long, b long, doc_id long, copy_a long, copy_b long, since int, until int"
-HASHED_SCHEMA = pa.schema([*((x, pa.int64()) for x in ("a", "b", *KEY)), ("since", pa.int32()), ("until", pa.int32())])
+HASHED = "a long, b long, num long, doc_id long, since int, until int"
+HASHED_SCHEMA = pa.schema([*((x, pa.int64()) for x in ("a", "b", "num", "doc_id")), ("since", pa.int32()), ("until", pa.int32())])
+
+
+def hashed_spans(part: pa.RecordBatch, hashes: np.ndarray, base: np.ndarray, since: np.ndarray, until: np.ndarray, window: int) -> pa.RecordBatch:
+    """HASHED of the windows that start in since:until, on the axis of all documents' words."""
+    doc = np.searchsorted(base, since, side="right") - 1
+    own = [part.column(x).to_numpy()[doc] for x in ("num", "doc_id")]
+    return common.batch_of(HASHED_SCHEMA, *span_hashes(hashes, since, until + window - 1), *own, (since - base[doc]).astype(np.int32), (until - base[doc]).astype(np.int32))
 
 
 def blocks_left(texts: DataFrame, window: int) -> DataFrame:
-    """(a, b, KEY, since, until): the windows that are left in blocks of neighbours, cut where certain symbols start, hashed as a whole.
+    """HASHED: the windows that are left in blocks of neighbours, cut where certain symbols start, hashed as a whole.
 
     Symbols stand at the same places in copies, so long repeats are blocks of equal words.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [batch.column(k).to_pylist() for k in range(3)]
-            for k, text in enumerate(common.texts_of(batch)):
-                hashes = wordhash.hashes(words_of(text))
-                alive = starts_of(batch.column(4)[k], len(hashes) - window + 1)
+            for part in grouped(batch):
+                hashes, base = hashed_words(common.texts_of(part))
+                alive = starts_of(part.column("ranges"), base)
                 first = np.zeros(len(hashes), bool)
-                first[0] = True
+                first[base[:-1]] = True
                 s = recompress.parse(hashes, first)
-                cut = s.start[(s.name & np.uint64(CUT - 1)) == 0]
                 begin = alive & np.append(True, ~alive[:-1])
-                begin[cut[cut < len(alive)]] = True
-                begin &= alive
-                since = np.flatnonzero(begin)
+                begin[s.start[(s.name & np.uint64(CUT - 1)) == 0]] = True
+                since = np.flatnonzero(begin & alive)
                 edge = np.flatnonzero(alive & np.append(~alive[1:], True)) + 1  # where ranges end
                 until = np.minimum(np.append(since[1:], len(alive)), edge[np.searchsorted(edge, since, side="right")])
-                yield common.batch_of(HASHED_SCHEMA, *span_hashes(hashes, since, until + window - 1), *[np.full(len(since), c[k]) for c in keys], since.astype(np.int32), until.astype(np.int32))
+                yield hashed_spans(part, hashes, base, since, until, window)
 
     return common.mapped(texts, run, HASHED)
 
 
 def windows_left(texts: DataFrame, window: int) -> DataFrame:
-    """(a, b, KEY, since, until) of each window of the ranges that no settled block holds."""
+    """HASHED of each window of the ranges that no settled block holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [batch.column(k).to_pylist() for k in range(3)]
-            for k, text in enumerate(common.texts_of(batch)):
-                hashes = wordhash.hashes(words_of(text))
-                n = len(hashes) - window + 1
-                at = np.flatnonzero(starts_of(batch.column(4)[k], n) & ~starts_of(batch.column(5)[k], n))
-                if len(at):
-                    yield common.batch_of(HASHED_SCHEMA, *span_hashes(hashes, at, at + window), *[np.full(len(at), c[k]) for c in keys], at.astype(np.int32), (at + 1).astype(np.int32))
+            for part in grouped(batch):
+                hashes, base = hashed_words(common.texts_of(part))
+                since = np.flatnonzero(starts_of(part.column("ranges"), base) & ~starts_of(part.column("settled"), base))
+                yield hashed_spans(part, hashes, base, since, since + 1, window)
 
     return common.mapped(texts, run, HASHED)
 
 
 def repeated(hashed: DataFrame) -> DataFrame:
-    """(KEY, ranges): the starts of each document whose words a smaller document has too."""
+    """(num, ranges): the starts of each document whose words a smaller document has too."""
     hashed = common.written(hashed, "substring-hashed")
     first = hashed.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first < last")
     first = common.written(first.select("a", "b", "first", "n"), "substring-repeats")
     total = first.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     again = common.join_hot(hashed, first, ["a", "b"], "n", total).where("doc_id > first")
-    found = again.groupBy(*KEY).agg(F.flatten(F.collect_list(F.array("since", "until"))).alias("ranges"))
+    found = again.groupBy("num").agg(F.flatten(F.collect_list(F.array("since", "until"))).alias("ranges"))
     return common.written(found, "substring-again")
 
 
 def trimmed(texts: DataFrame, window: int) -> DataFrame:
-    """(KEY, n_removed, kept_sha256): texts without the words of the windows that start in the ranges."""
-    schema = pa.schema([("doc_id", pa.int64()), ("copy_a", pa.int64()), ("copy_b", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
+    """(num, n_removed, kept_sha256): texts without the words of the windows that start in the ranges."""
+    schema = pa.schema([("num", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc_id, a, b, text, ranges in zip(*(batch.column(k).to_pylist() for k in range(3)), common.texts_of(batch), batch.column(4), strict=True):
-                words = words_of(text)
-                at = np.flatnonzero(starts_of(ranges, len(words) - window + 1))
+            for num, text, ranges in zip(batch.column(0).to_pylist(), common.texts_of(batch), batch.column(2), strict=True):
+                words, r = words_of(text), ranges.values.to_numpy(zero_copy_only=False).reshape(-1, 2)
                 change = np.zeros(len(words) + 1, np.int64)
-                change[at] += 1
-                change[at + window] -= 1
+                np.add.at(change, r[:, 0], 1)
+                np.add.at(change, r[:, 1] - 1 + window, -1)
                 kept = (np.cumsum(change)[: len(words)] == 0).nonzero()[0].tolist()
-                rows.append((doc_id, a, b, len(words) - len(kept), hashlib.sha256(b" ".join([words[k] for k in kept])).hexdigest()))
+                rows.append((num, len(words) - len(kept), hashlib.sha256(b" ".join([words[k] for k in kept])).hexdigest()))
             yield common.batch_of(schema, *zip(*rows, strict=True))
 
-    return common.mapped(texts, run, "doc_id long, copy_a long, copy_b long, n_removed long, kept_sha256 string")
+    return common.mapped(texts, run, "num long, n_removed long, kept_sha256 string")
 
 
 def dedup(docs: DataFrame, window: int = 50) -> DataFrame:
@@ -289,26 +308,29 @@ def dedup(docs: DataFrame, window: int = 50) -> DataFrame:
     columns of docs are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    rows = survey(docs, window)
+    surveyed = survey(docs, window)
+    rows = common.written(surveyed.select(*DOC, "whole_sha"), "substring-rows")
     known = rows.where("copy_a IS NOT NULL AND doc_id IS NOT NULL")
     copies = known.groupBy("copy_a", "copy_b").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first < last")
     copies = common.written(copies, "substring-copies")
     total = copies.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    gone = common.join_hot(known.select(*KEY), copies, ["copy_a", "copy_b"], "n", total).where("doc_id > first").select(*KEY)
-    gone = common.written(gone.distinct(), "substring-gone")
+    gone = common.join_hot(known.select("num", "doc_id", "copy_a", "copy_b"), copies, ["copy_a", "copy_b"], "n", total).where("doc_id > first").select("num")
+    gone = common.written(gone, "substring-gone")
     few = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
 
-    state = known.join(few, KEY, "left_anti").select(*KEY, "n_words", *[x for x, _ in STATE_FIELDS])
-    texts = texts_of_windows(docs.where("doc_id IS NOT NULL"), rounds(state, window))
+    state = surveyed.where("copy_a IS NOT NULL AND doc_id IS NOT NULL").join(few, "num", "left_anti").select(*STATE_SCHEMA.names)
+    left = rounds(state, window)
+    common.discard(surveyed)
+    texts = texts_of_windows(docs.where("doc_id IS NOT NULL"), left)
     settled = repeated(blocks_left(texts, window))
     # a window's smallest document never has it in a settled block: so single windows are asked for only elsewhere
-    single = repeated(windows_left(texts.join(settled.withColumnRenamed("ranges", "settled"), KEY, "left"), window))
-    ranges = settled.unionByName(single).groupBy(*KEY).agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
-    cut = trimmed(texts.drop("ranges").join(ranges, KEY).select(*KEY, "text", "ranges"), window)
+    single = repeated(windows_left(texts.join(settled.withColumnRenamed("ranges", "settled"), "num", "left"), window))
+    ranges = settled.unionByName(single).groupBy("num").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
+    cut = trimmed(texts.drop("ranges").join(ranges, "num").select("num", "text", "ranges"), window)
 
-    all_gone = gone.select(*KEY, F.lit(None).cast("long").alias("n_removed"), F.sha2(F.lit(""), 256).alias("kept_sha256"))
-    changed = common.written(cut.dropDuplicates(KEY).unionByName(all_gone), "substring-changed")
-    joined = rows.select(*KEY, "n_words", "whole_sha").join(changed.withColumn("changed", F.lit(True)), KEY, "left")
+    all_gone = gone.select("num", F.lit(None).cast("long").alias("n_removed"), F.sha2(F.lit(""), 256).alias("kept_sha256"))
+    changed = common.written(cut.dropDuplicates(["num"]).unionByName(all_gone), "substring-changed")
+    joined = rows.join(changed.withColumn("changed", F.lit(True)), "num", "left")
     return joined.select(
         "doc_id",
         "n_words",

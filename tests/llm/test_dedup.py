@@ -109,7 +109,7 @@ def trim(corpus, window):
 @pytest.mark.parametrize("few", [1_000_000, 0])
 def test_substrings(spark, corpus, monkeypatch, few):
     monkeypatch.setattr(substring_dedup, "BROADCAST_IDS", few)
-    monkeypatch.setattr(substring_dedup, "GROUP_WORDS", 700)
+    monkeypatch.setattr(substring_dedup, "GROUP_CHARS", 4000)
     found = substring_dedup.dedup(documents(spark, corpus)).collect()
     assert len(found) == len(corpus)
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in found} == trim(corpus, 50)
@@ -147,7 +147,7 @@ def test_symbols_recur_with_what_they_depend_on():
         there = {(n, a - 2000, b - 2000) for n, a, b, *_ in at}
         assert here <= there and (here or turn)
         if turn < 2:
-            s = recompress.pairs(s, np.append(np.flatnonzero(first), len(words)), turn + 1)
+            s = recompress.pairs(s, np.append(first, False), np.append(first, True), turn + 1)
 
 
 def test_embeddings(spark, monkeypatch):
