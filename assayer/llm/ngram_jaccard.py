@@ -4,6 +4,8 @@ Equal sets are one class. A class's shingles are ordered by hash, the commonest
 of which two sets of enough similarity must share one, goes to the index, lists of which hold each set's
 size and the shingle's position in it. Two relations between sets are used to skip work:
 
+Lists of a few sets give all their pairs. Of longer ones:
+
 Index level: a list is cut into blocks of like size and position. Blocks are compared by their bounds
 before any of their members are; a pair of blocks whose positions leave too few shingles is skipped.
 
@@ -34,6 +36,8 @@ from . import common, wordhash
 #: how many of the commonest are put last (16 bytes each when broadcast). They set the order of shingles
 #: alone: any order gives all links.
 BLOCK, COMMON_HERE, COMMONEST = 2_000_000, 8, 200_000
+#: Sets of a list whose pairs are all asked for at once; longer lists go by leaders and blocks.
+SHORT = 24
 #: Turns in which each block's leader is compared with the rest of its list.
 LEADER_TURNS = 2
 #: Sizes of a block differ by less than this factor, positions (from 1) by less than the other.
@@ -132,15 +136,31 @@ def prefixes(docs: DataFrame, size: int, threshold: int, last: np.ndarray, clash
 
 
 def shared_lists(index: DataFrame) -> DataFrame:
-    """(shingle, sid, n, pos) of the lists that hold two sets or more, each set once.
+    """(shingle, sets array<struct<sid, n, pos>>) of the lists that hold two sets or more, each set once.
 
-    The commonest shingles' lists may be very long and needn't be asked; no other shingle occurs as often.
+    Lists of up to SHORT sets are one row; of longer ones, and of the commonest shingles, which aren't asked
+    how long theirs are, each set is a row. No other shingle occurs as often as those.
     """
-    of_list, by_set = Window.partitionBy("shingle"), Window.partitionBy("shingle").orderBy("sid")
-    rare = index.where("NOT frequent").withColumn("before", F.lag("sid").over(by_set))
-    rare = rare.withColumn("low", F.min("sid").over(of_list)).withColumn("high", F.max("sid").over(of_list))
-    rare = rare.where("low <> high AND (before IS NULL OR before <> sid)").select("shingle", "sid", "n", "pos")
-    return rare.unionByName(index.where("frequent").select("shingle", "sid", "n", "pos").distinct())
+    part = F.when(F.col("frequent"), F.pmod("sid", F.lit(256))).otherwise(0)
+    rows = index.withColumn("part", part)
+    of_list, by_set = Window.partitionBy("shingle", "part"), Window.partitionBy("shingle", "part").orderBy("sid")
+    rows = rows.withColumn("before", F.lag("sid").over(by_set)).where("before IS NULL OR before <> sid")
+    rows = rows.withColumn("length", F.count("*").over(of_list)).where("frequent OR length > 1")
+    alone = F.when(F.col("frequent") | (F.col("length") > SHORT), F.col("sid"))
+    return rows.groupBy("shingle", "part", alone.alias("alone")).agg(F.collect_list(F.struct("sid", "n", "pos")).alias("sets")).select("shingle", "sets")
+
+
+def short_pairs(index: DataFrame, threshold: int) -> DataFrame:
+    """(a, b): the pairs of each short list whose sizes and positions let them match."""
+
+    def meets(x: Column, y: Column) -> Column:
+        small, large, rest = F.least(x["n"], y["n"]), F.greatest(x["n"], y["n"]), F.least(x["n"] - 1 - x["pos"], y["n"] - 1 - y["pos"])
+        return (100 * small >= threshold * large) & ((100 + threshold) * (1 + rest) >= need(threshold, x["n"], y["n"]))
+
+    pair = lambda x, y: F.struct(F.least(x["sid"], y["sid"]).alias("a"), F.greatest(x["sid"], y["sid"]).alias("b"))
+    after = lambda x, i: F.transform(F.filter(F.slice("sets", i + 2, F.size("sets")), lambda y: meets(x, y)), lambda y: pair(x, y))
+    lists = index.where("size(sets) > 1")
+    return lists.select(F.explode(F.flatten(F.transform("sets", after))).alias("p")).select("p.*").distinct()
 
 
 def need(threshold: int, n: Column, m: Column) -> Column:
@@ -278,10 +298,8 @@ def untied(pairs: DataFrame, root: DataFrame) -> DataFrame:
     return found.where("_a <> _b").drop("_a", "_b")
 
 
-def open_lists(lists: DataFrame, root: DataFrame | None) -> DataFrame:
+def open_lists(lists: DataFrame, root: DataFrame) -> DataFrame:
     """The lists that hold sets of more than one component."""
-    if root is None:
-        return lists.withColumn("component", F.col("sid"))
     rows = common.written(with_component(lists, root, "sid", "component"), "jaccard-told")
     mixed = rows.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("length")).where("low <> high")
     mixed = common.written(mixed.select("shingle", "length"), "jaccard-mixed")
@@ -323,15 +341,18 @@ def link(docs: DataFrame, threshold: int = 80, size: int = 5) -> DataFrame:
     ranked = frequent.groupBy("shingle").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shingle").limit(COMMONEST).select("shingle").toArrow()
     commonest = ranked.column(0).to_numpy().view(np.uint64)[::-1]
     index = prefixes(named.select("text"), size, threshold, commonest, clashing)
-    lists = common.written(shared_lists(index), "jaccard-index")
+    index = common.written(shared_lists(index), "jaccard-index")
+    lists = index.where("size(sets) = 1").select("shingle", F.col("sets")[0].alias("s")).select("shingle", "s.*")
 
-    sets, root, links = Sets(named, classes, size, threshold, clashing), None, []
+    sets, links = Sets(named, classes, size, threshold, clashing), []
+    links.append(sets.compare(plain(short_pairs(index, threshold))).where("linked"))
+    root = tied(None, links[-1])
     for turn in range(LEADER_TURNS):
         compared = sets.compare(plain(leader_pairs(open_lists(lists, root), threshold, turn)))
         links.append(compared.where("linked"))
         root = tied(root, links[-1])
 
-    # lists by their heads: what is left to be found is between sets of different components
+    # long lists by their heads: what is left to be found is between sets of different components
     follow = common.written(followers(reduce(DataFrame.unionByName, links)), "jaccard-followers")
     of = follow.select("sid", "head", "d")
     left = open_lists(lists, root).join(of, "sid", "left").withColumn("head", F.coalesce("head", "sid"))

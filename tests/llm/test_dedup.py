@@ -71,6 +71,7 @@ def jaccard(corpus):
 def test_jaccard(spark, corpus, monkeypatch, commonest):
     monkeypatch.setattr(ngram_jaccard, "COMMON_HERE", 2)
     monkeypatch.setattr(ngram_jaccard, "BROADCAST_IDS", 2)
+    monkeypatch.setattr(ngram_jaccard, "SHORT", 24 if commonest else 1)
     if not commonest:
         monkeypatch.setattr(ngram_jaccard, "COMMONEST", 1)
     found = ngram_jaccard.link(documents(spark, corpus)).collect()
@@ -80,7 +81,7 @@ def test_jaccard(spark, corpus, monkeypatch, commonest):
     assert len({c for _, c in wanted.values()}) < len(wanted) - 10
 
 
-def test_jaccard_chains(spark):
+def test_jaccard_chains(spark, monkeypatch):
     """Texts that drift: neighbours link, ends don't; and a group whose sets differ in pairs."""
     words = [f"w{i}" for i in range(400)]
     rows = [(100 + k, " ".join(words[8 * k : 8 * k + 120])) for k in range(25)]
@@ -88,6 +89,7 @@ def test_jaccard_chains(spark):
     for k in range(20):
         rows.append((200 + k, " ".join([*base[: 4 * k], f"x{k}", *base[4 * k + 1 :]])))
     rows += [(None, rows[0][1]), (None, None)]
+    monkeypatch.setattr(ngram_jaccard, "SHORT", 2)
     found = ngram_jaccard.link(documents(spark, rows)).collect()
     wanted = jaccard([x for x in rows if x[0] is not None])
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found if r.doc_id is not None} == wanted
