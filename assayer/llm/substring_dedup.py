@@ -271,12 +271,14 @@ def windows_left(texts: DataFrame, window: int) -> DataFrame:
 def repeated(hashed: DataFrame) -> DataFrame:
     """(num, ranges): the starts of each document whose words a smaller document has too."""
     hashed = common.written(hashed, "substring-hashed")
-    first = hashed.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first < last")
-    first = common.written(first.select("a", "b", "first", "n"), "substring-repeats")
+    first = hashed.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = common.written(first, "substring-repeats")
     total = first.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     again = common.join_hot(hashed, first, ["a", "b"], "n", total).where("doc_id > first")
     found = again.groupBy("num").agg(F.flatten(F.collect_list(F.array("since", "until"))).alias("ranges"))
-    return common.written(found, "substring-again")
+    found = common.written(found, "substring-again")
+    common.discard(hashed)
+    return found
 
 
 def trimmed(texts: DataFrame, window: int) -> DataFrame:
@@ -326,6 +328,9 @@ def dedup(docs: DataFrame, window: int = 50) -> DataFrame:
     # a window's smallest document never has it in a settled block: so single windows are asked for only elsewhere
     single = repeated(windows_left(texts.join(settled.withColumnRenamed("ranges", "settled"), "num", "left"), window))
     ranges = settled.unionByName(single).groupBy("num").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
+    ranges = common.written(ranges, "substring-ranges")
+    if ranges.count() <= BROADCAST_IDS:
+        texts = texts.join(F.broadcast(ranges.select("num")), "num", "left_semi")
     cut = trimmed(texts.drop("ranges").join(ranges, "num").select("num", "text", "ranges"), window)
 
     all_gone = gone.select("num", F.lit(None).cast("long").alias("n_removed"), F.sha2(F.lit(""), 256).alias("kept_sha256"))
