@@ -4,7 +4,8 @@ Equal sets are one class. A class's shingles are ordered by hash, the commonest
 of which two sets of enough similarity must share one, goes to the index, lists of which hold each set's
 size and the shingle's position in it. Two relations between sets are used to skip work:
 
-Lists of a few sets give all their pairs. Of longer ones:
+Lists of a few sets give the pairs of sets next to each other in size, and later, of what these links
+haven't tied together, all. Of longer ones:
 
 Index level: a list is cut into blocks of like size and position. Blocks are compared by their bounds
 before any of their members are; a pair of blocks whose positions leave too few shingles is skipped.
@@ -15,7 +16,7 @@ most what the leader shares with that set and what the two differ by. So lists a
 only where a leader's answer is so near to the threshold that the differences could matter are followers
 compared themselves. What links have tied together already is skipped as well.
 
-Before whole sets are compared, 512 parity bits of each bound what two sets share.
+Before whole sets are compared, parity bits of each, 512 or as many as it has shingles, bound what two share.
 """
 
 from __future__ import annotations
@@ -42,8 +43,8 @@ SHORT = 24
 LEADER_TURNS = 2
 #: Sizes of a block differ by less than this factor, positions (from 1) by less than the other.
 SIZE_STEP, POSITION_STEP = 1.25, 2.0
-#: Parity bits of a set.
-PARITY = 512
+#: Parity bits of a set, at least: twice this number.
+PARITY = 256
 #: Ids that are broadcast when texts are fetched, 8 bytes each; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -59,21 +60,28 @@ def set_id(shingles: np.ndarray, clashing: frozenset = frozenset()) -> tuple[int
     return (two if one in clashing else one), two
 
 
-def parity(shingles: np.ndarray) -> np.ndarray:
-    """For each of PARITY parts of all shingles, by their first bits, if the set holds an odd number of them."""
-    odd = np.bincount((shingles >> np.uint64(64 - PARITY.bit_length() + 1)).astype(np.int64), minlength=PARITY) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+def parity(shingles: np.ndarray) -> bytes:
+    """For equal parts of all hashes, as many as the set is large, if the set holds an odd number of them: a bit each."""
+    power = max(PARITY, len(shingles) - 1).bit_length()
+    odd = np.bincount((shingles >> np.uint64(64 - power)).astype(np.int64), minlength=1 << power) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def differ(x: bytes, y: bytes) -> int:
+    """Shingles that only one of two sets has, at least; the finer bits are folded to the coarser."""
+    x, y = (np.unpackbits(np.frombuffer(b, np.uint8)) for b in sorted((x, y), key=len))
+    return int((x ^ np.bitwise_xor.reduce(y.reshape(len(x), -1), axis=1)).sum())
 
 
 def read_sets(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, sid, proof, n, bits) of each row, and how often common shingles occur in a task's distinct sets."""
-    schema = pa.schema([("doc_id", pa.int64()), ("sid", pa.int64()), ("proof", pa.int64()), ("n", pa.int64()), ("bits", pa.list_(pa.int64())), ("shingle", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("sid", pa.int64()), ("proof", pa.int64()), ("n", pa.int64()), ("bits", pa.binary()), ("shingle", pa.int64())])
 
     def counted(block: list[np.ndarray]) -> pa.RecordBatch:
         value, n = np.unique(np.concatenate(block), return_counts=True)
         value, n = value[n >= COMMON_HERE].view(np.int64), n[n >= COMMON_HERE]
         none = pa.nulls(len(value), pa.int64())
-        return common.batch_of(schema, none, none, none, n, pa.nulls(len(value), pa.list_(pa.int64())), value)
+        return common.batch_of(schema, none, none, none, n, pa.nulls(len(value), pa.binary()), value)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, block, held = set(), [], 0
@@ -95,7 +103,7 @@ def read_sets(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
         if block:
             yield counted(block)
 
-    both = common.written(common.mapped(docs, run, "doc_id long, sid long, proof long, n long, bits array<long>, shingle long"), "jaccard-sets")
+    both = common.written(common.mapped(docs, run, "doc_id long, sid long, proof long, n long, bits binary, shingle long"), "jaccard-sets")
     return both.where("shingle IS NULL").drop("shingle"), both.where("shingle IS NOT NULL").select("shingle", "n")
 
 
@@ -150,16 +158,16 @@ def shared_lists(index: DataFrame) -> DataFrame:
     return rows.groupBy("shingle", "part", alone.alias("alone")).agg(F.collect_list(F.struct("sid", "n", "pos")).alias("sets")).select("shingle", "sets")
 
 
-def short_pairs(index: DataFrame, threshold: int) -> DataFrame:
-    """(a, b): the pairs of each short list whose sizes and positions let them match."""
+def short_pairs(index: DataFrame, threshold: int, most: int) -> DataFrame:
+    """(a, b): of each short list, by size, each set with so many of the next ones, if sizes and positions let them match."""
 
     def meets(x: Column, y: Column) -> Column:
         small, large, rest = F.least(x["n"], y["n"]), F.greatest(x["n"], y["n"]), F.least(x["n"] - 1 - x["pos"], y["n"] - 1 - y["pos"])
         return (100 * small >= threshold * large) & ((100 + threshold) * (1 + rest) >= need(threshold, x["n"], y["n"]))
 
     pair = lambda x, y: F.struct(F.least(x["sid"], y["sid"]).alias("a"), F.greatest(x["sid"], y["sid"]).alias("b"))
-    after = lambda x, i: F.transform(F.filter(F.slice("sets", i + 2, F.size("sets")), lambda y: meets(x, y)), lambda y: pair(x, y))
-    lists = index.where("size(sets) > 1")
+    after = lambda x, i: F.transform(F.filter(F.slice("sets", i + 2, F.lit(most)), lambda y: meets(x, y)), lambda y: pair(x, y))
+    lists = index.where("size(sets) > 1").select(F.sort_array(F.transform("sets", lambda x: F.struct(x["n"].alias("n"), x["sid"].alias("sid"), x["pos"].alias("pos")))).alias("sets"))
     return lists.select(F.explode(F.flatten(F.transform("sets", after))).alias("p")).select("p.*").distinct()
 
 
@@ -212,15 +220,20 @@ def block_pairs(lists: DataFrame, threshold: int) -> DataFrame:
 
 
 def may_share(classes: DataFrame, pairs: DataFrame, threshold: int) -> DataFrame:
-    """pairs (a, b, slack) with a_n, b_n whose parity bits let them share, with slack more, what they need."""
-    of = classes.select("sid", "n", "bits")
+    """(a, b, a_n, b_n) of pairs (a, b, slack, a_least, b_least) whose parity bits let them share, with slack more, what they need."""
+    of, schema = classes.select("sid", "n", "bits"), pa.schema([(x, pa.int64()) for x in ("a", "b", "a_n", "b_n")])
     for x in "ab":
         pairs = pairs.join(of.select(F.col("sid").alias(x), F.col("n").alias(f"{x}_n"), F.col("bits").alias(f"{x}_bits")), x)
-    differ = reduce(Column.__add__, [F.bit_count(F.col("a_bits")[k].bitwiseXOR(F.col("b_bits")[k])) for k in range(PARITY // 64)])
-    most = F.col("a_n") + F.col("b_n") - differ + 2 * F.col("slack")
-    ok = (100 + threshold) * most >= 2 * need(threshold, F.col("a_least"), F.col("b_least"))
-    pairs = pairs.withColumn("a_least", F.coalesce("a_least", "a_n")).withColumn("b_least", F.coalesce("b_least", "b_n"))
-    return pairs.where(ok).select("a", "b", "a_n", "b_n")
+    least = need(threshold, F.coalesce("a_least", "a_n"), F.coalesce("b_least", "b_n")).cast("long")
+    most = (F.col("a_n") + F.col("b_n") + 2 * F.col("slack")).cast("long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            apart = np.array([differ(x, y) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)])
+            ok = (100 + threshold) * (batch.column(6).to_numpy() - apart) >= 2 * batch.column(7).to_numpy()
+            yield pa.RecordBatch.from_arrays(batch.columns[:4], schema=schema).filter(pa.array(ok))
+
+    return common.mapped(pairs.select("a", "b", "a_n", "b_n", "a_bits", "b_bits", most, least), run, "a long, b long, a_n long, b_n long")
 
 
 class Sets:
@@ -345,12 +358,15 @@ def link(docs: DataFrame, threshold: int = 80, size: int = 5) -> DataFrame:
     lists = index.where("size(sets) = 1").select("shingle", F.col("sets")[0].alias("s")).select("shingle", "s.*")
 
     sets, links = Sets(named, classes, size, threshold, clashing), []
-    links.append(sets.compare(plain(short_pairs(index, threshold))).where("linked"))
+    links.append(sets.compare(plain(short_pairs(index, threshold, 1))).where("linked"))
     root = tied(None, links[-1])
     for turn in range(LEADER_TURNS):
         compared = sets.compare(plain(leader_pairs(open_lists(lists, root), threshold, turn)))
         links.append(compared.where("linked"))
         root = tied(root, links[-1])
+    others = common.written(untied(short_pairs(index, threshold, SHORT), root), "jaccard-others")
+    links.append(sets.compare(plain(others)).where("linked"))
+    root = tied(root, links[-1])
 
     # long lists by their heads: what is left to be found is between sets of different components
     follow = common.written(followers(reduce(DataFrame.unionByName, links)), "jaccard-followers")
