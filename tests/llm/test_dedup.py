@@ -48,6 +48,17 @@ def test_exact(spark, corpus, digest_bytes):
     assert sum(r.kept for r in found) == len(groups)
 
 
+def test_exact_by_levels(spark, corpus, monkeypatch):
+    """A run for each partition, merged two by two, with look-ups and without."""
+    wanted = sorted((r.doc_id, r.keep_id, r.group_size) for r in exact_dedup.dedup(documents(spark, corpus)).collect())
+    monkeypatch.setattr(exact_dedup, "RUN_PARTS", 1)
+    monkeypatch.setattr(exact_dedup, "FAN", 2)
+    docs = common.written(documents(spark, corpus, 9), "nine")
+    for bits in (28, 16):
+        monkeypatch.setattr(exact_dedup, "FILTER_BITS", bits)
+        assert sorted((r.doc_id, r.keep_id, r.group_size) for r in exact_dedup.dedup(docs.repartition(9)).collect()) == wanted
+
+
 def test_exact_without_ids(spark):
     found = exact_dedup.dedup(documents(spark, [(None, "a b"), (3, "ab"), (None, None), (None, "")])).collect()
     assert sorted((r.doc_id or -1, r.keep_id, r.group_size, r.kept) for r in found if r.text_sha256 == hashlib.sha256(b"ab").hexdigest()) == [(-1, None, 2, True), (3, None, 2, False)]
@@ -175,6 +186,14 @@ def test_embeddings(spark, monkeypatch):
     assert embedding_dedup.link(table.limit(0)).count() == 0
 
 
+def test_embeddings_of_any_label(spark):
+    """Copies are one class whose members link; labels of other types stay what they are; further columns are ignored."""
+    rows = [(i, [1.0, float(i % 2)], 1.2 if i < 4 else 1.7, "x", 1) for i in range(8)] + [(8, [2.0, 0.0], 1.2, "x", 1)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label double, size string, cells int")
+    found = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.link(table).collect()}
+    assert found == {0: (2, 0, True), 2: (2, 0, False), 8: (2, 0, False), 1: (1, 1, True), 3: (1, 1, False), 4: (1, 4, True), 6: (1, 4, False), 5: (1, 5, True), 7: (1, 5, False)}
+
+
 def test_empty_tables(spark):
     empty = documents(spark, [])
     assert exact_dedup.dedup(empty).count() == ngram_jaccard.link(empty).count() == substring_dedup.dedup(empty).count() == 0

@@ -103,6 +103,19 @@ def test_pipeline_stages(spark, corpus):
     assert sorted(r.doc_id for r in near.collect()) == sorted({c for _, c in jaccard(once).values()})
 
 
+def test_stages_drop_rows_not_ids(spark):
+    """Repeated and null ids: a near copy goes, a text of its own with the same id stays."""
+    own = " ".join(f"a{k}" for k in range(60))
+    near, other = own.replace("a59", "b"), " ".join(f"c{k}" for k in range(60))
+    docs = documents(spark, [(3, own), (5, near), (5, other), (None, other + " end"), (None, "one two three four five")])
+    kept = sorted((r.doc_id or -1, r.text) for r in corpus_pipeline.jaccard_stage(spark, docs, SF).collect())
+    assert kept == sorted([(3, own), (5, other), (-1, "one two three four five")])
+    exact = corpus_pipeline.exact_stage(spark, documents(spark, [(5, own), (5, other), (6, own), (None, own), (5, own)]), SF).collect()
+    assert sorted((r.doc_id, r.text) for r in exact) == sorted([(5, own), (5, other)])
+    empty = documents(spark, [])
+    assert all(stage(spark, empty, SF).count() == 0 for _, stage in corpus_pipeline.STAGES)
+
+
 def test_pipeline(spark):
     found = corpus_pipeline.run(spark, SF)
     assert found.count() > 0 and {"doc_id", "sequence_id", "offset", "length"} <= set(found.columns)
