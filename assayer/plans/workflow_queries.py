@@ -88,7 +88,7 @@ def seeded_sample(spark, sf_dir):
 @query("""WITH r AS (SELECT p_partkey, row_number() OVER (ORDER BY md5('7:' || CAST(p_partkey AS VARCHAR)), p_partkey) AS i, count(*) OVER () AS n FROM part),
 c AS (SELECT *, least(400, n // 3) AS h FROM r) SELECT p_partkey, CASE WHEN i <= h THEN 'holdout' WHEN i <= h + least(300, greatest(1, (n - h) // 2)) THEN 'val' ELSE 'train' END AS part FROM c""")
 def splits(spark, sf_dir):
-    """SMP2-SMP4."""
+    """SMP2."""
     return sampling.split(fixtures.table(spark, sf_dir, "part").select("p_partkey"), "p_partkey", 7, 400, 300)
 
 

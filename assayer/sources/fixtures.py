@@ -91,6 +91,46 @@ def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def field_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs, each of one of three fields."""
+    return runs(spark, sf_dir).withColumn("field_name", F.concat(F.lit("f"), (F.col("record_id") % 3).cast("string")))
+
+
+def ground_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two of three fields' truths for a record, in a table of their own: raw text, a JSON string or a JSON list."""
+    value = F.concat(F.lit("c"), (F.col("o_custkey") % 15).cast("string"))
+    stored = F.when(F.col("o_custkey") % 3 == 0, value).when(F.col("o_custkey") % 3 == 1, F.concat(F.lit('"'), value, F.lit('"'))).otherwise(F.concat(F.lit('["'), value, F.lit('"]')))
+    field = F.concat(F.lit("f"), (F.col("o_orderkey") % 3).cast("string"))
+    return table(spark, sf_dir, "orders").select(F.expr("o_orderkey div 2").alias("record_id"), field.alias("field_name"), stored.alias("value_json"))
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("record_id"), F.col("c_name").alias("title"))
+
+
+def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts with a parent each, but for some, by model."""
+    c = F.col("conv_id")
+    return table(spark, sf_dir, "conversations").select("conv_id").distinct().select(
+        F.concat(F.lit("m"), (c % 4).cast("string")).alias("model_id"),
+        c.alias("prompt_id"),
+        (c % 5 + 1).cast("int").alias("version"),
+        F.when((c % 7 != 0) & (c >= 4), c - 4).alias("parent_id"),
+        (c % 3 != 0).alias("accepted"),
+    )
+
+
+def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Projects as users create them, some with a slug that isn't valid; their config declares fields and criteria."""
+    k = F.col("n_nationkey").cast("string")
+    slug = F.concat(F.when(F.col("n_nationkey") % 5 == 0, "-").otherwise(""), F.lower(F.replace("n_name", F.lit("_"), F.lit("-"))))
+    config = F.concat(
+        F.lit('{"fields":[{"name":"size_'), k, F.lit('","label":"Size","type":"number"},{"name":"land_'), k,
+        F.lit('","description":"Land"}],"exclusion_criteria":[{"tag":"off_topic","question":"Is it on topic?"},{"tag":" ","question":"q"}]}'),
+    )
+    return table(spark, sf_dir, "nation").select("n_nationkey", slug.alias("slug"), F.col("n_name").alias("name"), F.when(F.col("n_nationkey") % 2 == 0, "a nation").alias("description"), config.alias("config"))
+
+
 #: The same tables in DuckDB's SQL, as common table expressions.
 SQL = {
     "runs": """runs AS (
@@ -115,6 +155,14 @@ list_pairs AS (SELECT a.p_partkey AS record_id, a.words AS truth, b.words AS pre
     "tasks": """tasks AS (SELECT o_orderkey AS task_id, 'kind' || CAST(o_custkey % 3 AS VARCHAR) AS kind, o_custkey % 50 AS args,
     CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'P' THEN 'running' WHEN 'O' THEN 'pending' END AS status,
     CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS priority, o_orderdate AS claimed_at, o_totalprice AS price FROM orders)""",
+    "field_runs": "field_runs AS (SELECT *, 'f' || CAST(record_id % 3 AS VARCHAR) AS field_name FROM runs)",
+    "ground_truth": """ground_truth AS (SELECT o_orderkey // 2 AS record_id, 'f' || CAST(o_orderkey % 3 AS VARCHAR) AS field_name,
+    CASE o_custkey % 3 WHEN 0 THEN v WHEN 1 THEN '"' || v || '"' ELSE '["' || v || '"]' END AS value_json FROM (SELECT *, 'c' || CAST(o_custkey % 15 AS VARCHAR) AS v FROM orders))""",
+    "records": "records AS (SELECT c_custkey AS record_id, c_name AS title FROM customer)",
+    "prompts": """prompts AS (SELECT DISTINCT 'm' || CAST(conv_id % 4 AS VARCHAR) AS model_id, conv_id AS prompt_id, CAST(conv_id % 5 + 1 AS INTEGER) AS version,
+    CASE WHEN conv_id % 7 <> 0 AND conv_id >= 4 THEN conv_id - 4 END AS parent_id, conv_id % 3 <> 0 AS accepted FROM conversations)""",
+    "projects": """projects AS (SELECT n_nationkey, CASE WHEN n_nationkey % 5 = 0 THEN '-' ELSE '' END || lower(replace(n_name, '_', '-')) AS slug, n_name AS name,
+    CASE WHEN n_nationkey % 2 = 0 THEN 'a nation' END AS description FROM nation)""",
 }
 
 
