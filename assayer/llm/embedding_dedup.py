@@ -2,11 +2,9 @@
 
 Equal vectors are one class. Unit vectors are projected on many random lines. On each, sorted, the window
 around a query reaches as far as a near vector's projection strays; a pair that collides in enough windows,
-a count calibrated for recall, is verified by its cosine. The first lines, more of them for labels of more
-vectors, deal the work: cut into cells so wide that near vectors lie in one cell or in neighbouring ones,
-they make units of work, in one of which each near pair meets. Units of many vectors are split in blocks,
-and every two blocks meet in one task. Pairs never leave a task: it gives each vector's number of links and
-its root among what is linked there.
+a count calibrated for recall, is verified by its cosine. Labels of many vectors are split in blocks, and
+every two blocks of a label meet in one task. Pairs never leave a task: it gives each vector's number of
+links and its root among what is linked there.
 """
 
 from __future__ import annotations
@@ -23,20 +21,15 @@ from . import common
 
 #: Projections counted; standard deviations of a near pair that the windows reach; the share of near pairs
 #: at the threshold whose count must pass; vectors of a block; the seed.
-PROJECTIONS, REACH, RECALL, BLOCK, SEED = 20, 2.0, 0.9995, 1000, 7
-#: Lines that deal the work at most: a vector goes to 2 ** lines units; how far a near pair may stray on
-#: each, which no count makes good; the share of vectors in the fullest cell of one, by the normal law.
-DEAL_LINES, DEAL_REACH, DEAL_SHARE = 4, 4.0, 0.62
-#: Rows of the table of units that are broadcast, 64 bytes each; more are joined by a shuffle.
-BROADCAST_UNITS = 100_000
+PROJECTIONS, REACH, RECALL, BLOCK, SEED = 20, 2.0, 0.9995, 1500, 7
 
 _LINES: dict[int, np.ndarray] = {}
 
 
 def lines_of(dims: int) -> np.ndarray:
-    """Directions, one a column, those that deal first; the projections of a unit vector spread about 1."""
+    """Directions, one a column; the projections of a unit vector spread about 1."""
     if dims not in _LINES:
-        _LINES[dims] = np.random.default_rng([SEED, dims]).normal(size=(dims, DEAL_LINES + PROJECTIONS))
+        _LINES[dims] = np.random.default_rng([SEED, dims]).normal(size=(dims, PROJECTIONS))
     return _LINES[dims]
 
 
@@ -50,18 +43,18 @@ def least_count() -> int:
     return 0
 
 
-def placed(rows: DataFrame, width: float) -> DataFrame:
-    """(rid, vec_id, label, dims, a, b, cells, vector): the unit vector, a 128-bit name for it, its cells; null for vectors that link with nothing."""
+def placed(rows: DataFrame) -> DataFrame:
+    """(rid, vec_id, label, dims, a, b, vector): the unit vector and a 128-bit name for it; null for vectors that link with nothing."""
     schema = pa.schema([
         ("rid", pa.int64()), ("vec_id", pa.int64()), ("label", pa.string()), ("dims", pa.int32()),
-        ("a", pa.int64()), ("b", pa.int64()), ("cells", pa.list_(pa.int64())), ("vector", pa.list_(pa.float64())),
+        ("a", pa.int64()), ("b", pa.int64()), ("vector", pa.list_(pa.float64())),
     ])
 
     def run(batches):
         for batch in batches:
             found = []
             for label, x in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                found.append((len(x) if x is not None else None, None, None, None, None))
+                found.append((len(x) if x is not None else None, None, None, None))
                 if label is None or not x or None in x:
                     continue
                 v = np.array(x, np.float64)
@@ -72,50 +65,31 @@ def placed(rows: DataFrame, width: float) -> DataFrame:
                 v /= np.sqrt(v @ v)
                 v += 0.0  # -0.0 is 0.0
                 name = np.frombuffer(xxhash.xxh3_128_digest(v.tobytes()), np.int64)
-                cells = np.floor(v @ lines_of(len(v))[:, :DEAL_LINES] / width).astype(np.int64)
-                found[-1] = (len(v), int(name[0]), int(name[1]), cells, v)
+                found[-1] = (len(v), int(name[0]), int(name[1]), v)
             yield common.batch_of(schema, *(batch.column(i) for i in range(3)), *zip(*found, strict=True))
 
-    return common.mapped(rows, run, "rid long, vec_id long, label string, dims int, a long, b long, cells array<long>, vector array<double>")
-
-
-def deal_lines(n: Column) -> Column:
-    """How many lines deal n vectors, so that a unit holds about a block."""
-    wanted = F.ceil(F.log(n / BLOCK) / math.log(1 / DEAL_SHARE))
-    return F.least(F.greatest(wanted, F.lit(0)), F.lit(DEAL_LINES)).cast("int")
+    return common.mapped(rows, run, "rid long, vec_id long, label string, dims int, a long, b long, vector array<double>")
 
 
 def meet(vectors: DataFrame) -> DataFrame:
-    """Adds of which units of work a vector is part: unit, and the two blocks i and j that meet, block the vector's own.
-
-    A unit is a cell with its upper neighbours on each dealing line: both vectors of a pair are in the unit
-    of their lesser cells, and only that one counts it.
-    """
-    sizes = common.written(vectors.groupBy("label", "dims").agg(F.count("*").alias("n")), "embedding-labels")
+    """Each vector once for every block of its label that its own one meets: the two blocks i and j, block its own."""
+    keys = ["label", "dims"]
+    sizes = common.written(vectors.groupBy(*keys).agg(F.count("*").alias("n")), "embedding-labels")
     total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    at = common.join_hot(vectors, sizes, ["label", "dims"], "n", total)
-    at = at.withColumn("cells", F.slice("cells", F.lit(1), deal_lines(F.col("n")))).drop("n")
-    grow = lambda units, c: F.flatten(F.transform(units, lambda u: F.array(F.concat(u, F.array(c - 1)), F.concat(u, F.array(c)))))
-    units = F.aggregate("cells", F.array(F.array().cast("array<bigint>")), grow)
-    at = common.written(at.withColumn("unit", F.explode(units)), "embedding-units")
-    blocks = common.written(at.groupBy("label", "dims", "unit").agg(F.count("*").alias("n")), "embedding-blocks")
-    count, rows = blocks.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    keys = ["label", "dims", "unit"]
-    at = at.join(F.broadcast(blocks), keys) if count <= BROADCAST_UNITS else common.join_hot(at, blocks, keys, "n", rows)
+    at = common.join_hot(vectors, sizes, keys, "n", total)
     at = at.withColumn("blocks", F.ceil(F.col("n") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")))
     b = F.col("block")
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: F.struct(F.least(b, k).alias("i"), F.greatest(b, k).alias("j")))
-    return at.select("rid", "size", *keys, "cells", "vector", "block", F.explode(pairs).alias("met")).select("rid", "size", *keys, "cells", "vector", "block", "met.*")
+    return at.select("rid", "size", *keys, "vector", "block", F.explode(pairs).alias("met")).select("rid", "size", *keys, "vector", "block", "met.*")
 
 
 def near_in(group: pa.Table, threshold: float, window: float, least: int, schema: pa.Schema) -> pa.Table:
-    """Each vector's links within a unit of work, and its root there."""
+    """Each vector's links between two blocks, and its root there."""
     rid, size, block = (group.column(x).to_numpy() for x in ("rid", "size", "block"))
-    unit, i, j = (group.column(x)[0].as_py() for x in ("unit", "i", "j"))
-    flat = lambda name: group.column(name).combine_chunks().flatten().to_numpy().reshape(len(rid), -1)
-    vectors, cells = flat("vector"), flat("cells") if unit else np.zeros((len(rid), 0), np.int64)
+    i, j = (group.column(x)[0].as_py() for x in ("i", "j"))
+    vectors = group.column("vector").combine_chunks().flatten().to_numpy().reshape(len(rid), -1)
     one, two = np.flatnonzero(block == i), np.flatnonzero(block == j)
-    spots = vectors @ lines_of(vectors.shape[1])[:, DEAL_LINES:]
+    spots = vectors @ lines_of(vectors.shape[1])
     ranks, lows, widths = [], [], []
     for m in range(PROJECTIONS):  # in the order of each projection, the window around a query is a range of ranks
         order = np.argsort(spots[two, m], kind="stable")
@@ -133,9 +107,9 @@ def near_in(group: pa.Table, threshold: float, window: float, least: int, schema
             count += (rank[None, :] - low[ask, None]).view(np.uint32) < width[ask, None]
         a, b = np.nonzero(count >= least)
         a, b = one[ask][a], two[b]
-        once = a < b if i == j else np.ones(len(a), bool)
-        once &= (np.minimum(cells[a], cells[b]) == np.array(unit, np.int64)).all(axis=1)
-        a, b = a[once], b[once]
+        if i == j:
+            once = a < b
+            a, b = a[once], b[once]
         near = np.einsum("ij,ij->i", vectors[a], vectors[b]) >= threshold
         left.append(a[near])
         right.append(b[near])
@@ -167,7 +141,7 @@ def link(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     rows = vectors.select(F.monotonically_increasing_id().alias("rid"), F.col("vec_id").cast("long"), F.col("label").cast("string"), F.col("embedding").cast("array<double>").alias("embedding"))
     near = math.sqrt(2 - 2 * threshold)
     window, least = REACH * near, least_count()
-    rows = common.written(placed(rows, DEAL_REACH * near), "embedding-rows")
+    rows = common.written(placed(rows), "embedding-rows")
     schema = pa.schema([("rid", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
 
     def run(group: pa.Table) -> pa.Table:
@@ -179,8 +153,8 @@ def link(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     classes = common.written(classes, "embedding-classes")
     n_classes, n_rows = classes.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     heads = classes.select("rid", "size")
-    heads = named.select("rid", "label", "dims", "cells", "vector").join(F.broadcast(heads) if n_classes <= common.BROADCAST_IDS else heads, "rid")
-    met = meet(heads).groupBy("label", "dims", "unit", "i", "j").applyInArrow(run, "rid long, links long, root long")
+    heads = named.select("rid", "label", "dims", "vector").join(F.broadcast(heads) if n_classes <= common.BROADCAST_IDS else heads, "rid")
+    met = meet(heads).groupBy("label", "dims", "i", "j").applyInArrow(run, "rid long, links long, root long")
     found = common.written(met, "embedding-links")
     roots = common.components(found.select(F.col("rid").alias("a"), F.col("root").alias("b")), "embedding-components")
     links = found.groupBy("rid").agg(F.sum("links").alias("links"))
