@@ -16,6 +16,8 @@ _QUERIES = {
     "op8_embedding_dedup": "embedding_dedup",
     "op9_exact_dedup": "exact_dedup",
     "op10_language_id": "language_id",
+    "op11_vector_codes": "vector_codes",
+    "op13_divergence": "source_divergence",
 }
 
 
