@@ -17,6 +17,7 @@ _QUERIES = {
     "op9_exact_dedup": "exact_dedup",
     "op10_language_id": "language_id",
     "op11_vector_codes": "vector_codes",
+    "op12_line_dedup": "line_dedup",
     "op13_divergence": "source_divergence",
 }
 
