@@ -63,10 +63,38 @@ def partial(a: str, b: str) -> float:
     return best
 
 
+def end_distances(pattern: str, long: str) -> np.ndarray:
+    """At each position of long, the fewest insertions and deletions between pattern and some stretch that ends there.
+
+    A column of the table of distances, in one bit for each character of pattern, is carried along long: where the
+    distance falls, stays or rises from one row to the next (down, level), and from one column to the next (less, even).
+    """
+    where: dict[str, int] = {}
+    for i, c in enumerate(pattern):
+        where[c] = where.get(c, 0) | 1 << i
+    all_ = (1 << len(pattern)) - 1
+    top, now = 1 << len(pattern) - 1, len(pattern)
+    down = level = 0  # at first every row costs one more than the one before
+    found = np.empty(len(long), np.int64)
+    for j, c in enumerate(long):
+        match = where.get(c, 0)
+        up = all_ ^ down ^ level
+        less = (((up + (match & up)) ^ up) | match) & up
+        start = level & (match | less << 1)
+        run = up & ~less
+        even = start | ((run + (((start << 1) | 1) & run)) ^ run) & run
+        now += -1 if less & top else 0 if even & top else 1
+        even_in = ((even << 1) | 1) & all_
+        more_in = all_ ^ even_in ^ ((less << 1) & all_)
+        level, down = (match & even_in) | (~match & ((down & even_in) | (level & more_in))), more_in & (match | down)
+        found[j] = now
+    return found
+
+
 def reaches(a: str, b: str, threshold: float) -> bool:
-    """partial(a, b) >= threshold, without the stretches that can't get there.
+    """partial(a, b) >= threshold: only stretches that end where the carried distance is small enough are compared.
 
-    From one stretch to the next the common subsequence grows by 1 at most and what is needed falls by at
+    Of those, the common subsequence grows by 1 at most from one stretch to the next and what is needed falls by at
     most threshold / 200, so a stretch that is short of it by a gap rules out those after it.
     """
     short, long = (a, b) if len(a) <= len(b) else (b, a)
@@ -74,6 +102,14 @@ def reaches(a: str, b: str, threshold: float) -> bool:
         return partial(short, long) >= threshold
     n = len(short)
     starts = np.concatenate([np.arange(1 - n, 0), full_stretches(short, long, threshold), np.arange(len(long) - n + 1, len(long))])
+    # stretches that overlap are searched as one text; a stretch of a far one begins with a column of its own
+    breaks = np.flatnonzero(np.diff(starts) > n) + 1
+    near = []
+    for part in np.split(starts, breaks):
+        first, ends = max(0, int(part[0])), np.minimum(part + n, len(long))
+        off = end_distances(short, long[first : int(ends[-1])])[ends - first - 1]
+        near.append(part[off <= (1 - threshold / 100) * (n + ends - np.maximum(part, 0)) + 1e-6])
+    starts = np.concatenate(near)
     at = 0
     while at < len(starts):
         i = int(starts[at])

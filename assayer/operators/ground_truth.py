@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fuzzy, text
+from . import passages
+from .tables import durable
 
 
 def audit(truth: DataFrame, allowed: DataFrame) -> DataFrame:
@@ -124,12 +126,41 @@ def first_failing(rows: DataFrame, reasons: list[tuple[str, Column]]) -> DataFra
     return rows.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
 
 
-def leaked(documents: DataFrame, passages: DataFrame, length: int = 60) -> DataFrame:
-    """Documents that hold the head of a passage: the passages are a bounded benchmark and are broadcast."""
-    heads = F.broadcast(passages.select("item_id", F.substring("text", 1, length).alias("head")))
-    return documents.join(heads, F.col("text").contains(F.col("head"))).select("doc_id", "item_id")
-
-
 def capped(rows: DataFrame, label: str, rank: list[Column], cap: int) -> DataFrame:
     """At most cap rows of a label, by rank."""
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(label).orderBy(*rank))).where(F.col("_r") <= cap).drop("_r")
+
+
+REASONS = ["gt_leak", "dup", "low_confidence", "low_logprob", "over_cap"]
+
+
+def training_rows(rows: DataFrame, truth: DataFrame, least_confidence: float = 0.0, least_logprob: float = 0.0, cap: int = 0) -> DataFrame:
+    """rows (ordinal, record_id, value, confidence, logprob) with reason: what keeps each out of a training set, or kept.
+
+    As if the rows were taken in order: a record with a truth leaks; one that was kept before is a duplicate; a bound
+    of 0 isn't asked for, a missing number is below any other; a value that has cap kept rows is full. Rows are kept
+    as records and values would choose each other, both by the smaller ordinal, which gives what taking turns gives:
+    each round drops what a full value turns away, and lets the record's next row stand, until none is turned away.
+    """
+    marked = passages.with_truth(rows, truth)
+    low = lambda c, least: F.coalesce(F.col(c) < least, F.lit(True)) if least else F.lit(False)
+    marked = marked.withColumn("unsure", low("confidence", least_confidence)).withColumn("unlikely", low("logprob", least_logprob))
+    able = marked.where("NOT leak AND NOT unsure AND NOT unlikely").select("ordinal", "record_id", "value")
+    cut = None
+    while True:
+        standing = able if cut is None else able.join(cut, F.col("value").eqNullSafe(F.col("_full")), "left").where("_last IS NULL OR ordinal <= _last").select(*able.columns)
+        first = standing.groupBy("record_id").agg(F.min_by(F.struct("ordinal", "value"), "ordinal").alias("x")).select("record_id", "x.*")
+        if not cap:
+            break
+        turned = first.withColumn("_n", F.row_number().over(Window.partitionBy("value").orderBy("ordinal"))).where(F.col("_n") == cap)
+        new = durable(turned.select(F.col("value").alias("_full"), F.col("ordinal").alias("_last")))
+        if cut is not None and new.exceptAll(cut).isEmpty():
+            break
+        cut = new
+    kept = first.select("record_id", F.col("ordinal").alias("_kept"))
+    told = marked.join(kept, marked["record_id"].eqNullSafe(kept["record_id"]), "left").drop(kept["record_id"])
+    reason = (
+        F.when(F.col("leak"), "gt_leak").when(F.col("ordinal") > F.col("_kept"), "dup").when(F.col("unsure"), "low_confidence")
+        .when(F.col("unlikely"), "low_logprob").when(F.col("ordinal") == F.col("_kept"), "kept").otherwise("over_cap")
+    )
+    return told.select(*rows.columns, reason.alias("reason"))

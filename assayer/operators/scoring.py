@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import islice
-
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..config import T
 from ..functions import fuzzy, names, text
@@ -149,57 +144,6 @@ def verify_excerpts(rows: DataFrame, excerpt: str, source: str) -> DataFrame:
     return rows.withColumn("verified", F.when(~blank, verified))
 
 
-#: Passages that one pass over the documents looks for.
-PASSAGES_AT_ONCE = 20_000
-
-
-def excerpt_pairs(documents: DataFrame, passages: DataFrame, words: int = 3) -> DataFrame:
-    """documents (doc_id, text), passages (item_id, text): (doc_id, item_id, excerpt, source) that share words in a row.
-
-    An equi-join on all word shingles of the normalised texts: of three words, or of all words of the shorter
-    text if it has fewer. Passages are the table that goes to every task, so many at a time, and documents
-    stay where they are: no shuffle, whatever a passage's share of them. Blank texts share nothing.
-    """
-    spark, found = documents.sparkSession, None
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")  # texts are long
-    item = passages.schema["item_id"].dataType
-    schema = types.StructType([types.StructField("doc_id", documents.schema["doc_id"].dataType), types.StructField("item_id", item), types.StructField("excerpt", types.StringType()), types.StructField("source", types.StringType())])
-    rows = passages.select("item_id", "text").toLocalIterator()
-    while part := [(r.item_id, r.text, (text.plain(r.text) or "").split()) for r in islice(rows, PASSAGES_AT_ONCE)]:
-        pairs = documents.select("doc_id", "text").mapInArrow(_pairing(part, words, to_arrow_schema(schema)), schema)
-        found = pairs if found is None else found.unionByName(pairs)
-    return spark.createDataFrame([], schema) if found is None else found
-
-
-def _pairing(passages: list, words: int, schema: pa.Schema):
-    def shingles(listed: list[str], n: int) -> set:
-        return {tuple(listed[k : k + n]) for k in range(len(listed) - n + 1)}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of_short: dict[int, dict] = {}  # by a passage's own number of words, for documents with more
-        of_all: dict[int, dict] = {n: {} for n in range(1, words + 1)}
-        for k, (_, _, listed) in enumerate(passages):
-            for n in range(1, min(words, len(listed)) + 1):
-                for x in shingles(listed, n):
-                    of_all[n].setdefault(x, []).append(k)
-            if 0 < len(listed) < words:
-                of_short.setdefault(len(listed), {}).setdefault(tuple(listed), []).append(k)
-        for batch in batches:
-            rows = []
-            for doc_id, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                listed = (text.plain(source) or "").split()
-                full = min(words, len(listed))
-                met = set()
-                for n, where in [(full, of_all.get(full, {})), *((n, x) for n, x in of_short.items() if n < full)]:
-                    for x in shingles(listed, n) & where.keys():
-                        met.update(where[x])
-                rows += [(doc_id, passages[k][0], passages[k][1], source) for k in sorted(met)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-
-    return run
-
-
 def rescored(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Rows whose score moved by more than 1e-9 or whose verdict turned."""
     joined = old.join(new.select(key, F.col("score").alias("new_score"), F.col("is_correct").alias("new_is_correct")), key)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import fuzzy, names, parsing, text
-from ..operators import ground_truth, metrics, scoring, summaries
+from ..operators import ground_truth, metrics, passages, scoring, summaries
 from ..sources import fixtures
 from ..sources.fixtures import sql, sql_and
 from .registry import query
@@ -17,10 +17,20 @@ def boilerplate_strip(spark, sf_dir):
     return fixtures.table(spark, sf_dir, "pages").select("page_id", F.length(text.stripped_boilerplate(F.col("html"))).alias("n"))
 
 
-@query("SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, substr(b.text, 1, 60))")
+#: Stretches of eight words of documents and passages, whole passages that have fewer.
+QUOTED = r"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM benchmark),
+ds AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' '))) AS s FROM d),
+bs AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' '))) AS s FROM b),
+quoted AS (SELECT doc_id, item_id FROM ds JOIN bs USING (s) UNION
+  SELECT doc_id, item_id FROM d JOIN (SELECT item_id, w FROM b WHERE len(w) BETWEEN 1 AND 7) p ON contains(' ' || array_to_string(d.w, ' ') || ' ', ' ' || array_to_string(p.w, ' ') || ' '))
+"""
+
+
+@query(QUOTED + "SELECT doc_id, item_id FROM quoted")
 def excerpt_containment(spark, sf_dir):
-    """STR17's exact branch, JON18, GTQ8."""
-    return ground_truth.leaked(fixtures.table(spark, sf_dir, "documents"), fixtures.table(spark, sf_dir, "benchmark"))
+    """Quotations of benchmark passages: eight words in a row from anywhere in a passage, or all of a shorter one."""
+    return passages.leaked(fixtures.table(spark, sf_dir, "documents"), fixtures.table(spark, sf_dir, "benchmark"))
 
 
 @query("SELECT p_partkey, trim(regexp_replace(regexp_replace(lower(trim(p_name || ' (' || p_brand || ')')), '[^a-z0-9_\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS key FROM part")
@@ -139,7 +149,7 @@ def screening_scores(spark, sf_dir):
 @query()
 def excerpt_verification(spark, sf_dir):
     """STR17: benchmark passages against all documents that share three words in a row with them, exact and near."""
-    pairs = scoring.excerpt_pairs(fixtures.table(spark, sf_dir, "documents"), fixtures.table(spark, sf_dir, "benchmark"))
+    pairs = passages.excerpt_pairs(fixtures.table(spark, sf_dir, "documents"), fixtures.table(spark, sf_dir, "benchmark"))
     return scoring.verify_excerpts(pairs, "excerpt", "source").select("doc_id", "item_id", "verified")
 
 
@@ -238,12 +248,27 @@ def list_plan(spark, sf_dir):
     return ground_truth.plan_lists(reviews, truth)
 
 
-@query("""WITH x AS (SELECT d.doc_id, d.n_chars, d.doc_id IN (SELECT d.doc_id FROM documents d JOIN benchmark b ON contains(d.text, substr(b.text, 1, 60))) AS leak, l.quality FROM documents d LEFT JOIN labels l USING (doc_id))
+@query(sql_and("runs ground_truth", """raw AS (SELECT run_id, record_id, 'c' || CAST(record_id % 15 AS VARCHAR) AS value, k, CASE WHEN k % 11 <> 0 THEN latency_ms END AS lp,
+  record_id IN (SELECT record_id FROM ground_truth WHERE field_name = 'f0' AND record_id % 3 = 0) AS leak FROM runs),
+marked AS (SELECT *, coalesce(k < 30, true) AS unsure, coalesce(lp < 100, true) AS unlikely FROM raw),
+first AS (SELECT record_id, value, min(run_id) AS run_id FROM marked WHERE NOT leak AND NOT unsure AND NOT unlikely GROUP BY ALL),
+kept AS (SELECT record_id, run_id AS kept_id FROM (SELECT *, row_number() OVER (PARTITION BY value ORDER BY run_id) AS n FROM first) WHERE n <= 40)
+SELECT run_id, CASE WHEN leak THEN 'gt_leak' WHEN run_id > kept_id THEN 'dup' WHEN unsure THEN 'low_confidence' WHEN unlikely THEN 'low_logprob' WHEN run_id = kept_id THEN 'kept' ELSE 'over_cap' END AS reason
+FROM marked LEFT JOIN kept USING (record_id)"""))
+def training_rows(spark, sf_dir):
+    """GTQ8, JON18: what keeps each teacher label out of the training set: a truth anywhere, a copy, confidence, logprob, a full value."""
+    value = F.concat(F.lit("c"), (F.col("record_id") % 15).cast("string"))
+    rows = fixtures.runs(spark, sf_dir).select(F.col("run_id").alias("ordinal"), "record_id", value.alias("value"), (F.col("k") / 100).alias("confidence"), F.when(F.col("k") % 11 != 0, F.col("latency_ms") / 1000).alias("logprob"))
+    truth = fixtures.ground_truth(spark, sf_dir).where("field_name = 'f0' AND record_id % 3 = 0")
+    return ground_truth.training_rows(rows, truth, 0.3, 0.1, 40).select(F.col("ordinal").alias("run_id"), "reason")
+
+
+@query(QUOTED + """, x AS (SELECT d.doc_id, d.n_chars, d.doc_id IN (SELECT doc_id FROM quoted) AS leak, l.quality FROM documents d LEFT JOIN labels l USING (doc_id))
 SELECT CASE WHEN leak THEN 'leak' WHEN n_chars < 200 THEN 'short' WHEN quality = 0 THEN 'quality' ELSE 'kept' END AS reason, count(*) AS n FROM x GROUP BY 1""")
 def training_filter(spark, sf_dir):
-    """GTQ8: the first failing reason counts."""
+    """Drop counts of documents by the first reason that holds, as GTQ8 has for rows: a quoted passage, length, quality."""
     docs = fixtures.table(spark, sf_dir, "documents")
-    leaks = ground_truth.leaked(docs, fixtures.table(spark, sf_dir, "benchmark")).select("doc_id").distinct().withColumn("leak", F.lit(True))
+    leaks = passages.leaked(docs, fixtures.table(spark, sf_dir, "benchmark")).select("doc_id").distinct().withColumn("leak", F.lit(True))
     rows = docs.select("doc_id", "n_chars").join(leaks, "doc_id", "left").join(fixtures.table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
     return ground_truth.first_failing(rows, [("leak", F.col("leak")), ("short", F.col("n_chars") < 200), ("quality", F.col("quality") == 0)])
 

@@ -3,10 +3,18 @@
 import random
 
 from assayer.functions import fuzzy, text
-from assayer.operators import scoring
+from assayer.operators import ground_truth, passages, scoring
 from assayer.plans import text_queries
 
 
+def test_distances_carried_along_a_text():
+    rng = random.Random(1)
+    for _ in range(300):
+        p, t = "".join(rng.choices("ab c", k=rng.randint(1, 9))), "".join(rng.choices("ab cd", k=rng.randint(1, 14)))
+        least = [min(len(p) + j - i - 2 * fuzzy.lcs(p, t[i:j]) for i in range(j + 1)) for j in range(1, len(t) + 1)]
+        assert fuzzy.end_distances(p, t).tolist() == least, (p, t)
+
+
 def test_reaches_is_partial():
     rng = random.Random(3)
     for k in range(400):
@@ -26,24 +34,23 @@ def test_reaches_is_partial_at_the_bound():
         assert fuzzy.reaches(a, b, 90.0) == (fuzzy.partial(a, b) >= 90), (a, b)
 
 
-def test_excerpt_pairs(spark, monkeypatch):
-    monkeypatch.setattr(scoring, "PASSAGES_AT_ONCE", 3)
+def test_excerpt_pairs(spark):
     rng = random.Random(8)
     words = ["".join(rng.choices("abcdefghi", k=rng.randint(2, 7))) for _ in range(40)]
     make = lambda n: rng.choices(words, k=n)
-    passages = [make(14) for _ in range(6)]
-    items = [(k, " ".join(p)) for k, p in enumerate(passages)] + [(6, "Óne tWo"), (7, " "), (8, None)]
+    texts = [make(14) for _ in range(6)]
+    items = [(k, " ".join(p)) for k, p in enumerate(texts)] + [(6, "Óne tWo"), (7, " "), (8, None)]
     docs = []
     for k in range(18):
-        p = passages[k % 6][:]
+        p = texts[k % 6][:]
         if k % 3 == 1:
             p[7] = p[7][:-1] + "x"  # near
         if k % 3 == 2:
             p[4:10] = make(6)  # the head stays, the rest is another text
         docs.append((k, " ".join(make(120) + p + make(60)).title()))
-    docs += [(100, None), (101, ""), (102, "one"), (103, "here one  TWO stand"), (104, " ".join(passages[0][:2])), (None, items[1][1])]
+    docs += [(100, None), (101, ""), (102, "one"), (103, "here one  TWO stand"), (104, " ".join(texts[0][:2])), (None, items[1][1])]
     tables = [spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")]
-    pairs = scoring.excerpt_pairs(*tables)
+    pairs = passages.excerpt_pairs(*tables)
     found = {(r.doc_id, r.item_id): r.verified for r in scoring.verify_excerpts(pairs, "excerpt", "source").collect()}
     wanted = {}
     for i, d in docs:
@@ -56,7 +63,7 @@ def test_excerpt_pairs(spark, monkeypatch):
     assert found == wanted
     assert {True, False} == set(found.values()) and sum(found.values()) >= 12
     assert pairs.count() == len(found)
-    assert scoring.excerpt_pairs(tables[0], tables[1].limit(0)).count() == 0
+    assert passages.excerpt_pairs(tables[0], tables[1].limit(0)).count() == 0
 
 
 def test_query_reads_long_documents_and_the_benchmark(spark):
@@ -67,3 +74,48 @@ def test_query_reads_long_documents_and_the_benchmark(spark):
     whole = {(i, j) for i, d in docs.items() for j, p in items.items() if p in d}
     assert whole and whole <= {x for x, v in found.items() if v}
     assert any(len(docs[i]) >= 400 for i, _ in found)
+
+
+def test_quotations_from_anywhere_in_a_passage(spark):
+    words = [f"w{k}" for k in range(30)]
+    items = [(1, " ".join(words)), (2, "a short one"), (3, None), (4, ""), (5, "x"), (5, "y " * 9)]
+    docs = [
+        (1, "before " + "  ".join(words[12:20]) + "\tafter"),  # eight words from the middle
+        (2, " ".join(words[:7]) + " other " + " ".join(words[8:15])),  # seven at most
+        (3, "this is a short one indeed"), (4, "a short\none"), (5, "a short"), (6, None), (7, ""), (8, "w0"), (9, "it is x"), (9, "nothing"), (None, " ".join(words)), (10, "y " * 8),
+    ]
+    tables = [spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")]
+    found = {tuple(r) for r in passages.leaked(*tables).collect()}
+    assert found == {(1, 1), (None, 1), (3, 2), (4, 2), (9, 5), (10, 5)}
+    assert passages.leaked(tables[0].limit(0), tables[1]).count() == passages.leaked(tables[0], tables[1].limit(0)).count() == 0
+
+
+def taken_in_order(rows, leaks, confidence, logprob, cap):
+    kept, full, told = set(), {}, []
+    for ordinal, record, value, c, lp in sorted(rows):
+        if record in leaks:
+            reason = "gt_leak"
+        elif record in kept:
+            reason = "dup"
+        elif confidence and (c is None or c < confidence):
+            reason = "low_confidence"
+        elif logprob and (lp is None or lp < logprob):
+            reason = "low_logprob"
+        elif cap and full.get(value, 0) >= cap:
+            reason = "over_cap"
+        else:
+            reason, full[value] = "kept", full.get(value, 0) + 1
+            kept.add(record)
+        told.append((ordinal, reason))
+    return told
+
+
+def test_training_rows_are_those_taken_in_order(spark):
+    rng = random.Random(2)
+    for cap, records in ((0, 40), (3, 40), (2, 15)):
+        rows = [(k, rng.randrange(records), rng.choice("abcde") if k % 9 else None, rng.choice([None, 0.2, 0.6, 0.9]), rng.choice([None, 0.5, 0.9, 0.9])) for k in range(120)]
+        frame = spark.createDataFrame(rows, "ordinal long, record_id long, value string, confidence double, logprob double")
+        truth = spark.createDataFrame([(3,), (3,), (7,)], "record_id long")
+        for bounds in ((0.0, 0.0), (0.5, 0.6)):
+            found = ground_truth.training_rows(frame, truth, *bounds, cap)
+            assert sorted((r.ordinal, r.reason) for r in found.collect()) == taken_in_order(rows, {3, 7}, *bounds, cap)
