@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fuzzy, text
-from . import passages
+from . import nearest, passages
 from .tables import durable
 
 
@@ -35,19 +35,24 @@ def audit(truth: DataFrame, allowed: DataFrame) -> DataFrame:
 def propose(values: DataFrame, allowed: DataFrame, least: float = 85.0) -> DataFrame:
     """Distinct values with what to do: valid, manual_pick, remap to the nearest allowed value, or review.
 
-    allowed is a taxonomy of at most a few hundred values; each distinct value that is not in it meets them all.
+    Near is by words in any order; of allowed values equally near, or equal in folded form, the first counts: by the
+    column rank, or as the table is read. Neither table needs to be small.
     """
+    rank = F.col("rank") if "rank" in allowed.columns else F.monotonically_increasing_id()
+    sorted_words = lambda c: F.array_join(F.array_sort(F.split(c, " ")), " ")
     ready = values.select("value").distinct().withColumn("folded", F.lower(text.display_fold("value")))
-    options = F.broadcast(allowed.select(F.col("value").alias("option"), F.lower(text.display_fold("value")).alias("option_folded"), F.monotonically_increasing_id().alias("rank")))
-    marked = ready.join(options.select(F.col("option_folded").alias("folded"), F.lit(True).alias("valid")).distinct(), "folded", "left")
+    options = allowed.select(F.col("value").alias("option"), F.lower(text.display_fold("value")).alias("option_folded"), rank.alias("rank"))
+    options = options.groupBy("option_folded").agg(F.min(F.struct("rank", "option")).alias("o"))
+    options = durable(options.select("option_folded", "o.*"))
+    marked = ready.join(options.select(F.col("option_folded").alias("folded"), F.lit(True).alias("valid")), "folded", "left")
     open_ = marked.where(F.col("valid").isNull() & ~F.col("value").contains("|"))
-    scored = open_.crossJoin(options).withColumn("score", fuzzy.token_sort_ratio("folded", "option_folded"))
-    best = scored.groupBy("value").agg(F.max_by(F.struct("option", "score"), F.struct("score", -F.col("rank"))).alias("best"))
-    near = best.select("value", F.col("best.option").alias("proposed"), F.col("best.score").alias("score"), F.when(F.col("best.score") >= least, "remap").otherwise("review").alias("action"))
+    texts = options.groupBy(sorted_words(F.col("option_folded")).alias("text")).agg(F.min("rank").alias("rank"))
+    best = nearest.nearest(open_.select("value", sorted_words(F.col("folded")).alias("text")), texts).join(options.select("rank", "option"), "rank")
+    near = best.select("value", F.col("option").alias("proposed"), "score", F.when(F.col("score") >= least, "remap").otherwise("review").alias("action"))
     rest = marked.where(F.col("valid").isNotNull() | F.col("value").contains("|"))
     # several values in one cell: the allowed ones among them are proposed, all if none is, for a person to pick
     parts = rest.where("valid IS NULL").select("value", F.posexplode(text.alternatives(F.col("value"))).alias("i", "part"))
-    parts = parts.withColumn("part_folded", F.lower(text.display_fold("part"))).join(options.select(F.col("option_folded").alias("part_folded"), F.lit(True).alias("ok")).distinct(), "part_folded", "left")
+    parts = parts.withColumn("part_folded", F.lower(text.display_fold("part"))).join(options.select(F.col("option_folded").alias("part_folded"), F.lit(True).alias("ok")), "part_folded", "left")
     listed = parts.groupBy("value").agg(F.sort_array(F.collect_list(F.struct("i", "part", "ok"))).alias("parts"))
     good = F.filter("parts", lambda x: x["ok"])
     pick = F.array_join(F.transform(F.when(F.size(good) > 0, good).otherwise(F.col("parts")), lambda x: x["part"]), " OR ")

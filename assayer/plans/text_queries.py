@@ -218,6 +218,16 @@ def truth_proposals(spark, sf_dir):
     return ground_truth.propose(values.unionByName(allowed), allowed)
 
 
+@query("""SELECT s_name AS value, s_name AS proposed, NULL::DOUBLE AS score, 'valid' AS action FROM supplier UNION ALL SELECT ' supplier ' || substr(s_name, 10), ' supplier ' || substr(s_name, 10), NULL, 'valid' FROM supplier
+UNION ALL SELECT 'Suplier#' || substr(s_name, 10), s_name, 200 * 17 / 35.0::DOUBLE, 'remap' FROM supplier UNION ALL SELECT s_name || ' Limited', s_name, 200 * 18 / 44.0::DOUBLE, 'review' FROM supplier
+UNION ALL SELECT s_name || '|none', s_name, NULL, 'manual_pick' FROM supplier""")
+def nearest_allowed(spark, sf_dir):
+    """GTQ2, JON16, STR15: each allowed name as it is, in other letters, with a letter less, with a word more, and beside another."""
+    names = fixtures.table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", F.expr("substring(s_name, 10)").alias("number"))
+    forms = F.array("s_name", F.concat(F.lit(" supplier "), "number"), F.concat(F.lit("Suplier#"), "number"), F.concat("s_name", F.lit(" Limited")), F.concat("s_name", F.lit("|none")))
+    return ground_truth.propose(names.select(F.explode(forms).alias("value")), names.select(F.col("s_name").alias("value"), F.col("s_suppkey").alias("rank")))
+
+
 @query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'keep' WHEN 1 THEN 'accept' WHEN 2 THEN 'edit' ELSE 'edit' END AS kind, CASE p_partkey % 4 WHEN 2 THEN p_brand WHEN 3 THEN p_name END AS value FROM part")
 def review_decisions(spark, sf_dir):
     """GTQ3."""

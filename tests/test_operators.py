@@ -180,3 +180,27 @@ def test_uploads(spark, tmp_path):
 def test_summaries(spark):
     runs = rows(spark, [("m", "r", None), ("m", "s", "e"), ("n", "r", "e")], "model_id string, record_id string, error string")
     assert [r.model_id for r in summaries.all_failed(runs, ["model_id"]).collect()] == ["n"]
+
+
+def test_nearest_equals_the_cross_join(spark):
+    import random
+
+    from assayer.functions import fuzzy
+    from assayer.operators import nearest
+
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(1, 9)))
+    options = list(dict.fromkeys([" ".join(word() for _ in range(rng.randint(1, 4))) for _ in range(300)] + ["", "a", "ab"]))
+    values = [" ".join(word() for _ in range(rng.randint(1, 4))) for _ in range(150)]
+    for t in rng.sample(options, 150):  # near ones
+        at = rng.randrange(len(t) + 1)
+        values.append(t[:at] + rng.choice(["", "x", "yy"]) + t[at + rng.randint(0, 2) :])
+    values = list(dict.fromkeys([*values, "", "zzzz", "1 2 3", "é"]))
+    found = nearest.nearest(rows(spark, [(v, v) for v in values], "value string, text string"), rows(spark, list(enumerate(options)), "rank long, text string"))
+    wanted = {}
+    for v in values:
+        score, less = max((fuzzy.ratio(v, t), -k) for k, t in enumerate(options))
+        wanted[v] = (-less, score)
+    assert {r.value: (r.rank, r.score) for r in found.collect()} == wanted
+    none = nearest.nearest(rows(spark, [("a", "a")], "value string, text string"), rows(spark, [], "rank long, text string"))
+    assert none.collect() == []
