@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import gates, sampling, scoring, summaries, versions, workflow
-from ..sources import fixtures, sinks
+from ..operators import gates, sampling, scoring, summaries, tables, versions, workflow
+from ..sources import fixtures, sinks, snapshots
 from ..sources.fixtures import sql, sql_and
-from ..streaming import run_log
+from ..streaming import queue, run_log
 from .registry import query
 
 
@@ -207,9 +206,8 @@ def prompt_fallback(spark, sf_dir):
     return versions.with_fallback(runs.select("model_id").distinct(), own, shared)
 
 
-def _checkpoint(spark) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
-    return f"{folder}/stream-{uuid.uuid4().hex}"
+def _folder(spark, name: str) -> str:
+    return f"{tables.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def _stream(spark, sf_dir):
@@ -217,10 +215,61 @@ def _stream(spark, sf_dir):
     return spark.readStream.schema(run_log.EVENTS).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
 
 
+def _queue(spark, sf_dir) -> snapshots.Snapshots:
+    """The tasks as a table that changes."""
+    held = snapshots.Snapshots(spark, _folder(spark, "queue"), queue.TASKS, ["task_id"])
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("worker_id", "string"), ("request_id", "long"))]
+    held.upsert(fixtures.tasks(spark, sf_dir).select("task_id", "kind", "priority", "status", *none))
+    return held
+
+
+@query(sql_and("tasks", """p AS (SELECT task_id, row_number() OVER (ORDER BY priority DESC NULLS LAST, task_id) AS nth FROM tasks WHERE status = 'pending'),
+r AS (SELECT s_suppkey AS request_id, s_name AS worker_id, row_number() OVER (ORDER BY s_suppkey) AS nth FROM supplier)
+SELECT task_id, worker_id, request_id, CASE WHEN request_id % 3 = 0 THEN 'done' ELSE 'running' END AS status FROM p JOIN r USING (nth)"""))
+def claimed_tasks(spark, sf_dir):
+    """STM2, STM9: requests for tasks as a stream, claims on a versioned queue, and some of them finished."""
+    held = _queue(spark, sf_dir)
+    requests = spark.readStream.schema("s_suppkey long, s_name string").option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/supplier.parquet*")
+    requests = requests.select(F.col("s_suppkey").alias("request_id"), F.col("s_name").alias("worker_id"))
+    claims = requests.writeStream.foreachBatch(queue.claim_batches(held)).option("checkpointLocation", _folder(spark, "claims")).trigger(availableNow=True).start()
+    claims.awaitTermination()
+    mine = held.read().where("request_id IS NOT NULL AND status = 'running'")
+    queue.finish(held, mine.where("request_id % 3 = 0").select("task_id", F.lit("done").alias("status")))
+    return held.read().where("request_id IS NOT NULL").select("task_id", "worker_id", "request_id", "status")
+
+
+@query("""WITH e AS (SELECT user_id AS task_id, epoch_us(ts) // 1000 AS ms, CASE event_type WHEN 'purchase' THEN 'finish' WHEN 'signup' THEN 'claim' ELSE 'beat' END AS kind, event_id FROM events),
+s AS (SELECT *, CASE WHEN ms - lag(ms) OVER w <= 21600000 AND lag(kind) OVER w <> 'finish' THEN 0 ELSE 1 END AS begins FROM e WINDOW w AS (PARTITION BY task_id ORDER BY ms, kind)),
+g AS (SELECT *, sum(begins) OVER (PARTITION BY task_id ORDER BY ms, kind ROWS UNBOUNDED PRECEDING) AS island FROM s)
+SELECT task_id, max(ms) + 21600000 AS requeued_ms FROM g GROUP BY task_id, island HAVING bool_or(kind = 'claim') AND max_by(kind, ms) <> 'finish' AND max(ms) + 21600000 <= (SELECT max(ms) - 600000 FROM e)""")
+def requeued_leases(spark, sf_dir):
+    """STM4: leases of six hours over the event log as a stream; beats renew them, timers tell that they ran out."""
+    kind = F.when(F.col("event_type") == "purchase", "finish").when(F.col("event_type") == "signup", "claim").otherwise("beat")
+    events = _stream(spark, sf_dir).select(F.col("user_id").alias("task_id"), F.col("ts").alias("at"), kind.alias("kind"))
+    with queue.with_rocksdb(spark):
+        return run_log.run_once(queue.expired_leases(events, 6 * 3600), "append", _folder(spark, "leases"))
+
+
+@query(sql_and("runs", """s AS (SELECT run_id, CASE WHEN abs(score - confidence) > 1e-9 OR is_correct <> (confidence >= 0.9) THEN confidence ELSE score END AS score,
+  CASE WHEN abs(score - confidence) > 1e-9 OR is_correct <> (confidence >= 0.9) THEN confidence >= 0.9 ELSE is_correct END AS is_correct FROM runs WHERE run_id % 2 = 0 UNION ALL SELECT run_id, score, is_correct FROM runs WHERE run_id % 2 = 1)
+SELECT run_id, score, is_correct FROM s WHERE run_id % 10 <> 7"""))
+def mirrored_scores(spark, sf_dir):
+    """SNK5, SNK6, SNK8, SNK16: scores in a table of snapshots and its mirror; changed rows are replaced, others deleted, and the mirror is read."""
+    folder = _folder(spark, "scores")
+    held = snapshots.Snapshots(spark, f"{folder}/primary", "run_id long, score double, is_correct boolean", ["run_id"], mirror=f"{folder}/mirror")
+    runs = fixtures.runs(spark, sf_dir)
+    held.upsert(runs.select("run_id", "score", "is_correct"))
+    new = runs.where("run_id % 2 = 0").select("run_id", F.col("confidence").alias("score"), (F.col("confidence") >= 0.9).alias("is_correct"))
+    changed = scoring.rescored(held.read(), new, "run_id").select("run_id", F.col("new_score").alias("score"), F.col("new_is_correct").alias("is_correct"))
+    held.upsert(tables.durable(changed))
+    held.delete(runs.where("run_id % 10 = 7").select("run_id"))
+    return held.read(from_mirror=True)
+
+
 @query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n, avg(value) AS mean_value FROM events GROUP BY 1, 2")
 def streamed_rates(spark, sf_dir):
     """STM1: windows over the run log as a stream, the same rows as in batch."""
-    return run_log.run_once(run_log.windowed_rates(_stream(spark, sf_dir)), f"rates_{uuid.uuid4().hex}", "complete", _checkpoint(spark))
+    return run_log.run_once(run_log.windowed_rates(_stream(spark, sf_dir)), "complete", _folder(spark, "rates"))
 
 
 @query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, avg(value) AS mean_value FROM events GROUP BY 1, 2")

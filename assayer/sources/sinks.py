@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -11,10 +11,14 @@ def append(df: DataFrame, path: str, partition_by: list[str] | None = None) -> N
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
-    """old with new rows in place of those with their keys; of new rows with one key the last by order."""
-    both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)), allowMissingColumns=True)
-    by = Window.partitionBy(*keys).orderBy(F.desc("_new"), *([F.desc(order)] if order else []))
-    return both.withColumn("_r", F.row_number().over(by)).where("_r = 1").drop("_r", "_new")
+    """old with new rows in place of those with their keys; of new rows with one key the last by order, or else the greatest.
+
+    old moves to one anti-join; new is cut to a row a key before.
+    """
+    values = [c for c in new.columns if c not in keys]
+    by = F.struct(*([order] if order else []), *values)
+    last = new.groupBy(*keys).agg(F.max(F.struct(by.alias("by"), F.struct(*values).alias("row"))).alias("last")).select(*keys, "last.row.*") if values else new.dropDuplicates(keys)
+    return old.join(last.select(*keys), keys, "left_anti").unionByName(last, allowMissingColumns=True)
 
 
 def insert_missing(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -67,15 +71,3 @@ def valid_chat(df: DataFrame, key: str) -> DataFrame:
 def subset(tables: dict[str, DataFrame], ids: DataFrame, key: str) -> dict[str, DataFrame]:
     """The tables' rows of the given records."""
     return {name: df.join(ids.select(key).distinct(), key, "left_semi") if key in df.columns else df for name, df in tables.items()}
-
-
-def dual_writer(primary: str, mirror: str):
-    """For foreachBatch: both places get each batch in a folder of its own, so that a repeated batch writes nothing twice."""
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
-        for place in (primary, mirror):
-            batch.write.mode("overwrite").parquet(f"{place}/batch={batch_id}")
-        batch.unpersist()
-
-    return write

@@ -28,8 +28,16 @@ def first_of_each(events: DataFrame, late: str = "2 days") -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def run_once(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Runs the stream over what is there and returns its result table."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_once(stream: DataFrame, mode: str, folder: str) -> DataFrame:
+    """Runs the stream over what is there; its result is a table in the folder, of which no row passes the driver.
+
+    Each micro-batch writes a folder of its own, in complete mode the one there is, so that one that is repeated
+    after a failure replaces what it wrote before.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/result/batch={'all' if mode == 'complete' else batch_id}")
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/result/*")
