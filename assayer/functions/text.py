@@ -42,8 +42,8 @@ def plain(text: str | None) -> str | None:
 
 
 def display(text: str) -> str:
-    text = re.sub(r"[^\w\s]", " ", unaccented(repaired(text)))
-    return re.sub(r"\s+", " ", text).strip()
+    """As plain, but in its own letters: for values that are shown."""
+    return re.sub(r"\s+", " ", unaccented(repaired(text))).strip()
 
 
 FOLDS = types.StructType([types.StructField("normed", types.StringType()), types.StructField("shown", types.StringType())])
@@ -92,7 +92,7 @@ def norm_ascii(value: Column) -> Column:
 
 
 def display_ascii(value: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(value, r"[^\w\s\x1c-\x1f]", " "), SPACES, " "))
+    return F.trim(F.regexp_replace(value, SPACES, " "))
 
 
 def norm_text(value: Column | str) -> Column:
@@ -102,7 +102,7 @@ def norm_text(value: Column | str) -> Column:
 
 
 def display_fold(value: Column | str) -> Column:
-    """Repaired, without accents and punctuation, white space collapsed."""
+    """Repaired, without accents, white space collapsed; letters and punctuation stay."""
     value = _column(value)
     return F.when(is_ascii(value), display_ascii(value)).otherwise(_display(foreign(value)))
 

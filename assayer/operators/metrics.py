@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import Z95, T
 from ..functions import text
-from . import scoring
+from . import ranks, scoring
 from .summaries import rate
 
 OTHER, NONE = "(other)", "(none)"
@@ -103,11 +103,12 @@ def normed_lists(rows: DataFrame, *columns: str) -> DataFrame:
 def list_metrics(rows: DataFrame, by: list[str], universe: int | None = None, field: str = "", is_fuzzy: bool = False) -> DataFrame:
     """Micro tp, fp, fn and what follows; specificity only for a closed vocabulary of universe values.
 
-    Values match as in single scores: folded, for authors by their names, and nearly where the field is fuzzy.
+    Values match as in single scores: folded, for authors by their names, and nearly where the field is fuzzy. A null
+    list is an empty one.
     """
+    rows = rows.withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in ("predicted", "truth")})
     if field == "authors" or is_fuzzy:
-        values = lambda c: F.coalesce(c, F.array().cast("array<string>"))
-        ready = rows.withColumn("_p", values("predicted")).withColumn("_t", values("truth"))
+        ready = rows.withColumn("_p", F.col("predicted")).withColumn("_t", F.col("truth"))
         found = scoring.matched(ready.select("_p", "_t").distinct(), field, is_fuzzy)
         rows, tp = ready.join(found, ["_p", "_t"]), F.col("m.tp")
     else:
@@ -176,6 +177,5 @@ def share_at(curve: DataFrame, by: list[str], target: float) -> DataFrame:
 def work_saved_exact(runs: DataFrame, by: list[str]) -> DataFrame:
     """The curve on single answers: one row for each confidence, ties together."""
     each = runs.where("confidence IS NOT NULL").groupBy(*by, "confidence").agg(F.count("*").alias("n"), F.count_if("is_correct").alias("right"))
-    order = Window.partitionBy(*by).orderBy(F.desc("confidence")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = F.sum("n").over(Window.partitionBy(*by))
-    return each.select(*by, "confidence", (F.sum("n").over(order) / whole).alias("share"), (F.sum("right").over(order) / F.sum("n").over(order)).alias("accuracy"))
+    upto = ranks.running(each, by, "confidence", ["n", "right"], descending=True)
+    return upto.select(*by, "confidence", (F.col("upto_n") / F.col("whole_n")).alias("share"), (F.col("upto_right") / F.col("upto_n")).alias("accuracy"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranks
+
 
 def rate(part: Column, whole: Column) -> Column:
     return F.coalesce(F.try_divide(part, whole), F.lit(0.0))
@@ -79,8 +81,8 @@ def complete_cases(truth: DataFrame, n_fields: int) -> DataFrame:
 
 
 def field_summary(rows: DataFrame, by: str, value: str, bar: float) -> DataFrame:
-    """Count, passes, range, interpolated median and the lower middle value."""
-    return rows.groupBy(by).agg(
+    """Count, passes, range, interpolated median and the lower middle value, which is one of the values."""
+    found = rows.groupBy(by).agg(
         F.count(value).alias("n"),
         F.count_if(F.col(value) >= bar).alias("n_pass"),
         F.max(value).alias("high"),
@@ -88,6 +90,7 @@ def field_summary(rows: DataFrame, by: str, value: str, bar: float) -> DataFrame
         F.min(value).alias("low"),
         (100 * F.count_if(F.col(value) >= bar) / F.count(value)).alias("pass_pct"),
     )
+    return ranks.same(found, ranks.lower_middle(rows, [by], value).withColumnRenamed(value, "lower_median"), [by], "left")
 
 
 def frequencies(rows: DataFrame, value: str, most: int | None = None) -> DataFrame:

@@ -19,14 +19,14 @@ def _report(spark, sf_dir):
 
 @query(sql_and("runs field_runs", REPORT + " SELECT field_name, model_id, n, accuracy, passes FROM report"))
 def gate_report(spark, sf_dir):
-    """MET19: the gate is a parameter."""
+    """Raw accuracy of all versions by field and model; the gate is a parameter. MET19 is typed_gate_report."""
     return _report(spark, sf_dir).select("field_name", "model_id", "n", "accuracy", "passes")
 
 
 @query(sql_and("runs field_runs", REPORT + """, o AS (SELECT *, row_number() OVER (PARTITION BY field_name ORDER BY accuracy DESC) AS i, count(*) OVER (PARTITION BY field_name) AS c FROM report)
 SELECT field_name, count(*) FILTER (WHERE passes) AS n_passing, count(*) AS n_models, max(accuracy) AS best, min(accuracy) AS worst, avg(accuracy) AS mean, max(CASE WHEN i = c // 2 + 1 THEN accuracy END) AS median FROM o GROUP BY 1"""))
 def gate_report_by_field(spark, sf_dir):
-    """MET19, POL5: the mean is that of the models."""
+    """A summary of raw accuracy over all versions, beside typed_gates_by_field."""
     return reports.gate_summary(_report(spark, sf_dir), "field_name")
 
 

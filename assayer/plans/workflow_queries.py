@@ -180,7 +180,7 @@ def stop_rule(spark, sf_dir):
 @query("""SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 'extract' WHEN p_size % 7 = 1 THEN 'judge' WHEN p_size % 4 = 0 THEN 'judge' WHEN p_size % 3 = 1 THEN 'optimize'
   WHEN p_size % 2 = 0 AND p_size < 20 THEN 'extract' WHEN p_size % 2 = 0 THEN 'done' WHEN p_size % 3 = 2 THEN 'review' ELSE 'stuck' END AS action FROM part""")
 def next_actions(spark, sf_dir):
-    """POL2, POL3."""
+    """POL3 over made-up states, so that every action is reached; field_actions derives the states."""
     s = F.col("p_size")
     state = fixtures.table(spark, sf_dir, "part").select(
         "p_partkey", F.when(s % 5 == 0, 0).otherwise(s * 5).alias("refs"), F.when(s % 7 == 1, 1).otherwise(0).alias("unjudged"), (s % 4).alias("n_evaluated"),
@@ -191,7 +191,7 @@ def next_actions(spark, sf_dir):
 
 @query("""SELECT p_partkey, (p_partkey % 97) / 97.0::DOUBLE > (p_partkey % 89) / 89.0::DOUBLE + 0.01 AND p_size % 2 = 0 AND (p_partkey % 83) / 83.0::DOUBLE >= (p_partkey % 79) / 79.0::DOUBLE - 0.01 AS accepted FROM part""")
 def acceptance(spark, sf_dir):
-    """POL4, POL10."""
+    """POL4."""
     at = lambda n: F.col("p_partkey") % n / n
     rows = fixtures.table(spark, sf_dir, "part").select("p_partkey", at(97).alias("val_score"), at(89).alias("best_score"), at(83).alias("holdout_score"), at(79).alias("holdout_best"), (F.col("p_size") % 2 == 0).alias("floor_ok"))
     return gates.accepts(rows, F.lit(0.01)).select("p_partkey", "accepted")

@@ -104,6 +104,35 @@ def ground_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.expr("o_orderkey div 2").alias("record_id"), field.alias("field_name"), stored.alias("value_json"))
 
 
+#: The kind of value of each field of typed_runs.
+KINDS = {"sector_name": "single_categorical", "region": "single_categorical", "countries": "list_categorical"}
+
+
+def typed_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs, each of a field with its kind of value: truth and predicted are lists, of one value for single ones; predicted is null without an answer."""
+    found = runs(spark, sf_dir)
+    at = F.col("record_id") % 3
+    field = F.when(at == 0, "sector_name").when(at == 1, "region").otherwise("countries")
+    other = lambda c: F.concat(F.lit("C"), (c % 4).cast("string"))
+    truth = F.when(at == 2, F.array("truth", other(F.col("record_id")))).otherwise(F.array("truth"))
+    answer = F.when(at == 2, F.array(other(F.col("k")), F.upper("predicted"))).otherwise(F.array("predicted"))
+    return found.withColumns({"field_name": field, "predicted": F.when(F.col("predicted").isNotNull(), answer), "truth": truth})
+
+
+def field_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompt versions that were run: the models' own, but for m3, which has the shared ones (model_id null)."""
+    ran = typed_runs(spark, sf_dir).select("field_name", "model_id", "version").distinct()
+    own = ran.where("model_id <> 'm3'").withColumn("accepted", (F.col("version") + F.substring("model_id", 2, 1).cast("int")) % 3 != 0)
+    shared = ran.where("model_id = 'm3'").withColumn("model_id", F.lit(None).cast("string")).withColumn("accepted", F.col("version") < 3)
+    return own.unionByName(shared)
+
+
+def field_iterations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The optimizer's candidates by field, each from a parent version."""
+    field = F.element_at(F.array(*[F.lit(f) for f in KINDS]), (F.col("prompt_id") % 3 + 1).cast("int"))
+    return iterations(spark, sf_dir).withColumn("field_name", field).withColumn("parent_version", (F.col("prompt_id") % 4).cast("int"))
+
+
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("record_id"), F.col("c_name").alias("title"))
 
@@ -158,6 +187,12 @@ list_pairs AS (SELECT a.p_partkey AS record_id, a.words AS truth, b.words AS pre
     "field_runs": "field_runs AS (SELECT *, 'f' || CAST(record_id % 3 AS VARCHAR) AS field_name FROM runs)",
     "ground_truth": """ground_truth AS (SELECT o_orderkey // 2 AS record_id, 'f' || CAST(o_orderkey % 3 AS VARCHAR) AS field_name,
     CASE o_custkey % 3 WHEN 0 THEN v WHEN 1 THEN '"' || v || '"' ELSE '["' || v || '"]' END AS value_json FROM (SELECT *, 'c' || CAST(o_custkey % 15 AS VARCHAR) AS v FROM orders))""",
+    "typed_runs": """typed_runs AS (SELECT * EXCLUDE (truth, predicted), CASE record_id % 3 WHEN 0 THEN 'sector_name' WHEN 1 THEN 'region' ELSE 'countries' END AS field_name,
+    CASE WHEN record_id % 3 = 2 THEN [truth, 'C' || CAST(record_id % 4 AS VARCHAR)] ELSE [truth] END AS truth,
+    CASE WHEN predicted IS NOT NULL THEN CASE WHEN record_id % 3 = 2 THEN ['C' || CAST(k % 4 AS VARCHAR), upper(predicted)] ELSE [predicted] END END AS predicted FROM runs)""",
+    "field_prompts": """ran AS (SELECT DISTINCT field_name, model_id, version FROM typed_runs),
+field_prompts AS (SELECT *, (version + CAST(model_id[2] AS INTEGER)) % 3 <> 0 AS accepted FROM ran WHERE model_id <> 'm3' UNION ALL SELECT field_name, NULL, version, version < 3 FROM ran WHERE model_id = 'm3')""",
+    "field_iterations": "field_iterations AS (SELECT *, ['sector_name', 'region', 'countries'][prompt_id % 3 + 1] AS field_name, CAST(prompt_id % 4 AS INTEGER) AS parent_version FROM iterations)",
     "records": "records AS (SELECT c_custkey AS record_id, c_name AS title FROM customer)",
     "prompts": """prompts AS (SELECT DISTINCT 'm' || CAST(conv_id % 4 AS VARCHAR) AS model_id, conv_id AS prompt_id, CAST(conv_id % 5 + 1 AS INTEGER) AS version,
     CASE WHEN conv_id % 7 <> 0 AND conv_id >= 4 THEN conv_id - 4 END AS parent_id, conv_id % 3 <> 0 AS accepted FROM conversations)""",
