@@ -54,8 +54,16 @@ def test_field_states(spark):
     }
 
 
+@pytest.fixture
+def many_ranges(spark):
+    """Small data would be one range otherwise."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 @pytest.mark.parametrize("descending", [False, True])
-def test_running_sums_of_a_hot_group(spark, descending):
+def test_running_sums_of_a_hot_group(spark, many_ranges, descending):
     rng = random.Random(1)
     points = {(g, round(rng.random(), 4)): rng.randrange(1, 9) for g in ["hot"] * 3000 + ["a", "b", None] * 40 + ["one"]}
     frame = spark.createDataFrame([(g, v, n) for (g, v), n in points.items()], "g string, v double, n long").repartition(7)
@@ -69,7 +77,7 @@ def test_running_sums_of_a_hot_group(spark, descending):
     assert held.where("g = 'hot'").select("part").distinct().count() > 1  # no task holds the hot group
 
 
-def test_lower_middle(spark):
+def test_lower_middle(spark, many_ranges):
     rng = random.Random(2)
     values = {g: [rng.randrange(50) for _ in range(n)] for g, n in (("a", 1), ("b", 2), ("c", 301), ("d", 300))}
     frame = spark.createDataFrame([(g, v) for g, x in values.items() for v in [*x, None]], "g string, v int")
