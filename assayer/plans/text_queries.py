@@ -200,13 +200,15 @@ def rare_values(spark, sf_dir):
     return summaries.frequencies(fixtures.table(spark, sf_dir, "part"), "p_type", 410)
 
 
-@query("""WITH names AS (SELECT p_name AS v, count(*) AS n FROM part GROUP BY 1), brands AS (SELECT p_brand AS v, count(*) AS n FROM part GROUP BY 1)
-SELECT 'encoding_noise' AS issue, sum(n)::BIGINT AS n FROM brands UNION ALL SELECT 'not_in_taxonomy', sum(n)::BIGINT FROM brands UNION ALL SELECT 'name_order', sum(n)::BIGINT FROM names
-UNION ALL SELECT 'rare_category', count(*) FROM (SELECT * FROM names UNION ALL SELECT * FROM brands) WHERE n <= 2 HAVING count(*) > 0""")
+@query("""WITH k AS (SELECT *, p_partkey % 6 AS k FROM part),
+i AS (SELECT p_partkey, k, p_name AS v FROM k WHERE k NOT IN (0, 2) UNION ALL SELECT p_partkey, k, upper(p_name) FROM k WHERE k = 1 UNION ALL SELECT p_partkey, k, 'José ' || p_name FROM k WHERE k = 2 UNION ALL SELECT p_partkey, k, p_brand FROM k WHERE k > 2)
+SELECT 'empty' AS issue, count(*) AS n FROM k WHERE k = 0 UNION ALL SELECT 'encoding_noise', count(*) FROM i WHERE k = 2 UNION ALL SELECT 'duplicate_entry', count(*) FROM k WHERE k = 1 UNION ALL SELECT 'name_order', count(*) FROM i WHERE contains(v, ' ')
+UNION ALL SELECT 'not_in_taxonomy', count(*) FROM i WHERE lower(v) NOT IN (SELECT p_name FROM part) UNION ALL SELECT 'rare_category', count(*) FROM (SELECT v FROM i GROUP BY v HAVING count(*) <= 2) HAVING count(*) > 0""")
 def truth_audit(spark, sf_dir):
-    """GTQ1, STR26, AGG21: names of two words are in the taxonomy, brands with their # aren't."""
-    part = fixtures.table(spark, sf_dir, "part")
-    truth = part.select(F.col("p_partkey").alias("record_id"), F.array("p_name", "p_brand").alias("values"))
+    """GTQ1, STR26, AGG21: records without values, with a copy in other letters, with accents, and with values outside the taxonomy."""
+    part, k = fixtures.table(spark, sf_dir, "part"), F.col("p_partkey") % 6
+    values = F.when(k == 0, F.array().cast("array<string>")).when(k == 1, F.array("p_name", F.upper("p_name"))).when(k == 2, F.array(F.concat(F.lit("José "), "p_name"))).otherwise(F.array("p_name", "p_brand"))
+    truth = part.select(F.col("p_partkey").alias("record_id"), values.alias("values"))
     return ground_truth.audit(truth, part.select(F.col("p_name").alias("value")).distinct()).groupBy("issue").agg(F.count("*").alias("n"))
 
 
@@ -218,13 +220,13 @@ def truth_proposals(spark, sf_dir):
     return ground_truth.propose(values.unionByName(allowed), allowed)
 
 
-@query("""SELECT s_name AS value, s_name AS proposed, NULL::DOUBLE AS score, 'valid' AS action FROM supplier UNION ALL SELECT ' supplier ' || substr(s_name, 10), ' supplier ' || substr(s_name, 10), NULL, 'valid' FROM supplier
+@query("""SELECT s_name AS value, s_name AS proposed, NULL::DOUBLE AS score, 'valid' AS action FROM supplier UNION ALL SELECT ' SUPPLIER' || substr(s_name, 9), ' SUPPLIER' || substr(s_name, 9), NULL, 'valid' FROM supplier
 UNION ALL SELECT 'Suplier#' || substr(s_name, 10), s_name, 200 * 17 / 35.0::DOUBLE, 'remap' FROM supplier UNION ALL SELECT s_name || ' Limited', s_name, 200 * 18 / 44.0::DOUBLE, 'review' FROM supplier
 UNION ALL SELECT s_name || '|none', s_name, NULL, 'manual_pick' FROM supplier""")
 def nearest_allowed(spark, sf_dir):
     """GTQ2, JON16, STR15: each allowed name as it is, in other letters, with a letter less, with a word more, and beside another."""
     names = fixtures.table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", F.expr("substring(s_name, 10)").alias("number"))
-    forms = F.array("s_name", F.concat(F.lit(" supplier "), "number"), F.concat(F.lit("Suplier#"), "number"), F.concat("s_name", F.lit(" Limited")), F.concat("s_name", F.lit("|none")))
+    forms = F.array("s_name", F.concat(F.lit(" SUPPLIER#"), "number"), F.concat(F.lit("Suplier#"), "number"), F.concat("s_name", F.lit(" Limited")), F.concat("s_name", F.lit("|none")))
     return ground_truth.propose(names.select(F.explode(forms).alias("value")), names.select(F.col("s_name").alias("value"), F.col("s_suppkey").alias("rank")))
 
 
