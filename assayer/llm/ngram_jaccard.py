@@ -43,8 +43,8 @@ SHORT = 24
 LEADER_TURNS = 2
 #: Sizes of a block differ by less than this factor, positions (from 1) by less than the other.
 SIZE_STEP, POSITION_STEP = 1.25, 2.0
-#: Parity bits of a set, at least: twice this number.
-PARITY = 256
+#: Parity bits of a set, at least: twice this number; and bits of the coarser parity that goes along in blocks.
+PARITY, COARSE = 256, 256
 #: Ids that are broadcast when texts are fetched, 8 bytes each; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -67,6 +67,12 @@ def parity(shingles: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def coarse(bits: bytes) -> list[int]:
+    """The parity bits folded to COARSE of them, as numbers of 64 bits."""
+    folded = np.bitwise_xor.reduce(np.unpackbits(np.frombuffer(bits, np.uint8)).reshape(COARSE, -1), axis=1)
+    return np.frombuffer(np.packbits(folded).tobytes(), np.int64).tolist()
+
+
 def differ(x: bytes, y: bytes) -> int:
     """Shingles that only one of two sets has, at least; the finer bits are folded to the coarser."""
     x, y = (np.unpackbits(np.frombuffer(b, np.uint8)) for b in sorted((x, y), key=len))
@@ -74,14 +80,14 @@ def differ(x: bytes, y: bytes) -> int:
 
 
 def read_sets(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, sid, proof, n, bits) of each row, and how often common shingles occur in a task's distinct sets."""
-    schema = pa.schema([("doc_id", pa.int64()), ("sid", pa.int64()), ("proof", pa.int64()), ("n", pa.int64()), ("bits", pa.binary()), ("shingle", pa.int64())])
+    """(doc_id, sid, proof, n, bits, coarse) of each row, and how often common shingles occur in a task's distinct sets."""
+    schema = pa.schema([("doc_id", pa.int64()), ("sid", pa.int64()), ("proof", pa.int64()), ("n", pa.int64()), ("bits", pa.binary()), ("coarse", pa.list_(pa.int64())), ("shingle", pa.int64())])
 
     def counted(block: list[np.ndarray]) -> pa.RecordBatch:
         value, n = np.unique(np.concatenate(block), return_counts=True)
         value, n = value[n >= COMMON_HERE].view(np.int64), n[n >= COMMON_HERE]
         none = pa.nulls(len(value), pa.int64())
-        return common.batch_of(schema, none, none, none, n, pa.nulls(len(value), pa.binary()), value)
+        return common.batch_of(schema, none, none, none, n, pa.nulls(len(value), pa.binary()), pa.nulls(len(value), pa.list_(pa.int64())), value)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, block, held = set(), [], 0
@@ -89,9 +95,9 @@ def read_sets(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
             rows = []
             for found in shingle_sets(common.texts_of(batch), size):
                 if not len(found):
-                    rows.append((None, None, 0, None))
+                    rows.append((None, None, 0, None, None))
                     continue
-                rows.append((*set_id(found), len(found), parity(found)))
+                rows.append((*set_id(found), len(found), bits := parity(found), coarse(bits)))
                 if rows[-1][0] not in seen:
                     seen.add(rows[-1][0])
                     block.append(found)
@@ -103,7 +109,7 @@ def read_sets(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
         if block:
             yield counted(block)
 
-    both = common.written(common.mapped(docs, run, "doc_id long, sid long, proof long, n long, bits binary, shingle long"), "jaccard-sets")
+    both = common.written(common.mapped(docs, run, "doc_id long, sid long, proof long, n long, bits binary, coarse array<long>, shingle long"), "jaccard-sets")
     return both.where("shingle IS NULL").drop("shingle"), both.where("shingle IS NOT NULL").select("shingle", "n")
 
 
@@ -202,21 +208,30 @@ def leader_pairs(lists: DataFrame, threshold: int, turn: int) -> DataFrame:
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def block_pairs(lists: DataFrame, threshold: int) -> DataFrame:
-    """(a, b): heads that some list holds, themselves or by followers, in blocks whose bounds let them match, and that aren't tied."""
+def block_pairs(lists: DataFrame, heads: DataFrame, threshold: int) -> DataFrame:
+    """(a, b, slack, a_least, b_least): heads that some list holds, themselves or by followers, in blocks whose bounds let them match, and that aren't tied.
+
+    heads (head, own, coarse, far, least) go along, so that a pair is there only if the coarse parity bits let its groups match.
+    """
     rest = F.col("n") - 1 - F.col("pos")
     cells = lists.withColumn("cell", size_cell(F.col("n"))).withColumn("part", F.floor(F.log(F.col("pos") + 1) / np.log(POSITION_STEP)).cast("int"))
     member = cells.groupBy("shingle", "cell", "part", "head").agg(F.min("component").alias("component"), F.min("n").alias("low"), F.max("n").alias("high"), F.max(rest).alias("rest"))
-    member = common.written(member, "jaccard-members")
+    member = common.written(member.join(heads, "head"), "jaccard-members")
     block = member.groupBy("shingle", "cell", "part").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("rest").alias("rest"), F.min("component").alias("first"), F.max("component").alias("last"))
     sizes = f"100 * a_high >= {threshold} * b_low AND 100 * b_high >= {threshold} * a_low"
     bound = f"{sizes} AND {100 + threshold} * (1 + least(a_rest, b_rest)) >= {threshold} * (a_low + b_low)"
+    apart = " + ".join(f"bit_count(a_coarse[{k}] ^ b_coarse[{k}])" for k in range(COARSE // 64))
+    share = f"{100 + threshold} * (a_own + b_own + 2 * (a_far + b_far) - ({apart})) >= {2 * threshold} * (a_least + b_least)"
     a, b = sides(block, "cell", "part", "low", "high", "rest", "first", "last")
     met = a.join(b, "shingle").where(f"struct(a_cell, a_part) <= struct(b_cell, b_part) AND {bound} AND NOT (a_first = a_last AND b_first = b_last AND a_first = b_first)")
     met = common.written(met.select("shingle", "a_cell", "a_part", "b_cell", "b_part"), "jaccard-blocks")
-    one, two = (member.select("shingle", *[F.col(c).alias(f"{x}_{c}") for c in ("cell", "part", "head", "component", "low", "high", "rest")]) for x in "ab")
-    pairs = met.join(one, ["shingle", "a_cell", "a_part"]).join(two, ["shingle", "b_cell", "b_part"]).where(f"a_component <> b_component AND {bound}")
-    return pairs.select(F.least("a_head", "b_head").alias("a"), F.greatest("a_head", "b_head").alias("b")).distinct()
+    carried = ("cell", "part", "head", "component", "low", "high", "rest", "own", "coarse", "far", "least")
+    one, two = (member.select("shingle", *[F.col(c).alias(f"{x}_{c}") for c in carried]) for x in "ab")
+    pairs = met.join(one, ["shingle", "a_cell", "a_part"]).join(two, ["shingle", "b_cell", "b_part"]).where(f"a_component <> b_component AND {bound} AND {share}")
+    first = F.col("a_head") < F.col("b_head")
+    turned = lambda c: [F.when(first, F.col(f"a_{c}")).otherwise(F.col(f"b_{c}")), F.when(first, F.col(f"b_{c}")).otherwise(F.col(f"a_{c}"))]
+    (a, b), (a_least, b_least) = turned("head"), turned("least")
+    return pairs.select(a.alias("a"), b.alias("b"), (F.col("a_far") + F.col("b_far")).alias("slack"), a_least.alias("a_least"), b_least.alias("b_least")).distinct()
 
 
 def may_share(classes: DataFrame, pairs: DataFrame, threshold: int) -> DataFrame:
@@ -348,7 +363,7 @@ def link(docs: DataFrame, threshold: int = 80, size: int = 5) -> DataFrame:
     if clashing:
         rows = rows.withColumn("sid", F.when(F.col("sid").isin(*clashing), F.col("proof")).otherwise(F.col("sid")))
     named = docs.where("doc_id IS NOT NULL")
-    classes = rows.where("sid IS NOT NULL AND doc_id IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.count("*").alias("copies"))
+    classes = rows.where("sid IS NOT NULL AND doc_id IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("coarse").alias("coarse"), F.count("*").alias("copies"))
     classes = common.written(classes, "jaccard-classes")
 
     ranked = frequent.groupBy("shingle").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shingle").limit(COMMONEST).select("shingle").toArrow()
@@ -372,16 +387,11 @@ def link(docs: DataFrame, threshold: int = 80, size: int = 5) -> DataFrame:
     follow = common.written(followers(reduce(DataFrame.unionByName, links)), "jaccard-followers")
     of = follow.select("sid", "head", "d")
     left = open_lists(lists, root).join(of, "sid", "left").withColumn("head", F.coalesce("head", "sid"))
-    pairs = block_pairs(left, threshold)
-    group = follow.join(classes.select("sid", "n"), "sid").groupBy("head").agg(F.max("d").alias("far"), F.min("n").alias("least"))
-    group = common.written(group, "jaccard-groups")
-    far = {x: F.coalesce(f"{x}_far", F.lit(0)) for x in "ab"}
-    for x in "ab":
-        pairs = pairs.join(group.select(F.col("head").alias(x), F.col("far").alias(f"{x}_far"), F.col("least").alias(f"{x}_low")), x, "left")
     own = classes.select("sid", "n")
-    for x in "ab":
-        pairs = pairs.join(own.select(F.col("sid").alias(x), F.col("n").alias(f"{x}_own")), x).withColumn(f"{x}_least", F.least(f"{x}_low", f"{x}_own"))
-    asked = common.written(pairs.select("a", "b", (far["a"] + far["b"]).alias("slack"), "a_least", "b_least"), "jaccard-asked")
+    group = follow.join(own, "sid").groupBy("head").agg(F.max("d").alias("far"), F.min("n").alias("least"))
+    heads = classes.select(F.col("sid").alias("head"), F.col("n").alias("own"), "coarse").join(group, "head", "left")
+    heads = heads.withColumn("far", F.coalesce("far", F.lit(0).cast("long"))).withColumn("least", F.least("least", "own"))
+    asked = common.written(block_pairs(left, heads, threshold), "jaccard-asked")
     compared = sets.compare(asked)
     root = tied(root, compared.where("linked"))
 
