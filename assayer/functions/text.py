@@ -60,6 +60,11 @@ def _plain(values: pd.Series) -> pd.Series:
     return values.map(plain, na_action="ignore")
 
 
+@F.pandas_udf(types.ArrayType(types.StringType()))
+def _plain_lists(values: pd.Series) -> pd.Series:
+    return values.map(lambda x: None if x is None else [plain(v) for v in x])
+
+
 @F.pandas_udf(types.StringType())
 def _display(values: pd.Series) -> pd.Series:
     return values.map(display, na_action="ignore")
@@ -101,6 +106,13 @@ def norm_text(value: Column | str) -> Column:
     return F.when(is_ascii(value), norm_ascii(value)).otherwise(_plain(foreign(value)))
 
 
+def norm_list(values: Column | str) -> Column:
+    """A list's values in normed form. Lists of ASCII values never reach Python."""
+    values = _column(values)
+    plain_ = F.coalesce(is_ascii(F.array_join(values, "")), F.lit(True))
+    return F.when(plain_, F.transform(values, norm_ascii)).otherwise(_plain_lists(F.when(~plain_, values)))
+
+
 def display_fold(value: Column | str) -> Column:
     """Repaired, without accents, white space collapsed; letters and punctuation stay."""
     value = _column(value)
@@ -174,9 +186,10 @@ def without_nul(value: Column) -> Column:
 
 
 def record_markdown(title: Column, abstract: Column, authors: Column, year: Column) -> Column:
-    """A record's fields that are there as a small document."""
-    line = lambda head, x: F.when(F.coalesce(F.trim(x), F.lit("")) != "", F.concat(F.lit(head), x))
-    return F.concat_ws("\n\n", line("# ", title), line("Authors: ", authors), line("Year: ", year.cast("string")), line("## Abstract\n", abstract))
+    """A record as a small document; only fields that are there have a line. The layout is a fixed value."""
+    value = lambda x: F.trim(F.coalesce(x, F.lit("")))
+    line = lambda head, x, end: F.when(value(x) != "", F.concat(F.lit(head), value(x), F.lit(end))).otherwise("")
+    return F.concat(F.lit("# "), value(title), F.lit("\n\n"), line("**Authors:** ", authors, "  \n"), line("**Year:** ", year.cast("string"), "  \n\n"), line("## Abstract\n\n", abstract, "\n"))
 
 
 def numbered(criteria: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import T
 from . import metrics, summaries, versions
+from .tables import durable
 
 
 def floor_ok(recall: Column | None, sensitivity: Column | None, gateable: Column | None) -> Column:
@@ -24,9 +25,13 @@ def stop_status(n: Column, since: Column, best: Column, threshold: Column) -> Co
 
 def stage_status(runs: DataFrame, prompt_versions: DataFrame, judgments: DataFrame, iterations: DataFrame, threshold: float = T.kappa_gate) -> DataFrame:
     """Per model on its best version: metrics, floor, judges, gate and what the optimizer should do. A null metric doesn't pass."""
-    chosen = versions.of_best_version(runs, prompt_versions)
-    quality = metrics.categorical(chosen, ["model_id"], "run_id")
-    judged = summaries.judge_summary(judgments, chosen)
+    key = ["model_id", "version"]
+    cells = runs.groupBy(*key, "truth", "predicted").agg(F.count("*").alias("n"), F.min("run_id").alias("seen"))
+    cells = durable(cells)  # all that the versions' choice, kappa and the confusion matrix need of the runs
+    best = durable(versions.best_of(cells.groupBy(*key).agg(F.sum("n").alias("n_runs")), prompt_versions).select(*key))
+    chosen = cells.where("truth IS NOT NULL AND truth <> ''").join(F.broadcast(best), key, "left_semi")
+    quality = metrics.categorical_of(chosen, ["model_id"])
+    judged = summaries.judge_summary(judgments, runs.join(F.broadcast(best), key, "left_semi"))
     found = quality.join(judged, "model_id", "left").join(summaries.optimizer_stats(iterations), "model_id", "left")
     bar = F.lit(threshold)
     clears = F.coalesce(F.col("kappa") >= bar, F.lit(False)) & floor_ok(None, F.col("sensitivity"), F.col("sensitivity_gateable"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import T
+from ..config import Z95_SHORT, T
 from . import gates, metrics, ranks
 
 KINDS = ("single_categorical", "list_categorical", "list_text")
@@ -139,3 +139,18 @@ def field_states(models: DataFrame) -> DataFrame:
         F.count_if(below & (status == "optimize") & ~F.col("exhausted")).alias("n_optimizable"), F.count_if(below & (status != "optimize")).alias("n_flagged"),
         F.coalesce(F.max(gated & F.col("passes")), F.lit(False)).alias("best_passes"),
     )
+
+
+def human_agreement(pairs: DataFrame, kinds: dict[str, str], best: DataFrame, **more) -> DataFrame:
+    """pairs (field_name, predicted: the second reading, truth) -> per field the readers' agreement, its interval, and what the best model is beside it.
+
+    best (field_name, model_id, metric): the models' gate metrics, of which the highest counts. Readings that are left
+    blank are no pairs.
+    """
+    read = pairs.where("size(predicted) > 0 AND truth IS NOT NULL")
+    found = gate_metrics(read, kinds, [], **more).select("field_name", "metric_name", F.col("metric").alias("human"), "n")
+    low, high = metrics.wilson(F.col("human"), F.col("n"), Z95_SHORT)
+    top = best.where("metric IS NOT NULL").groupBy("field_name").agg(F.max(F.struct("metric", "model_id")).alias("top")).select("field_name", F.col("top.model_id").alias("model_id"), F.col("top.metric").alias("model"))
+    found = found.withColumn("low", low).withColumn("high", high).join(top, "field_name", "left")
+    verdict = F.when(F.col("model").isNull(), "no model runs").when(F.col("model") >= F.col("low"), "model within human range").otherwise("model below human")
+    return found.withColumn("verdict", verdict).withColumn("gap", F.when(verdict == "model below human", F.col("human") - F.col("model")))

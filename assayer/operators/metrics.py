@@ -9,6 +9,7 @@ from ..config import Z95, T
 from ..functions import text
 from . import ranks, scoring
 from .summaries import rate
+from .tables import durable
 
 OTHER, NONE = "(other)", "(none)"
 
@@ -30,9 +31,19 @@ def labelled(rows: DataFrame) -> DataFrame:
     return rows.where("truth IS NOT NULL AND truth <> ''").withColumn("predicted", F.coalesce("predicted", F.lit("")))
 
 
+def cell_counts(rows: DataFrame, by: list[str], order: str) -> DataFrame:
+    """(by, truth, predicted, n, seen): how often each pair of labels occurs, and first where: what all of these metrics are made of."""
+    return rows.where("truth IS NOT NULL AND truth <> ''").groupBy(*by, "truth", "predicted").agg(F.count("*").alias("n"), F.min(order).alias("seen"))
+
+
 def kappa(rows: DataFrame, by: list[str]) -> DataFrame:
     """Cohen's kappa; null without rows or if chance agreement is 1."""
-    cells = labelled(rows).groupBy(*by, "truth", "predicted").agg(F.count("*").alias("n"))
+    return kappa_of(labelled(rows).groupBy(*by, "truth", "predicted").agg(F.count("*").alias("n")), by)
+
+
+def kappa_of(cells: DataFrame, by: list[str]) -> DataFrame:
+    """Kappa from cells (by, truth, predicted, n); a null prediction is the empty label."""
+    cells = cells.withColumn("predicted", F.coalesce("predicted", F.lit("")))
     sides = [cells.groupBy(*by, F.col(c).alias("label")).agg(F.sum("n").alias(c)) for c in ("truth", "predicted")]
     chance = sides[0].join(sides[1], [*by, "label"]).groupBy(*by).agg(F.sum(F.col("truth").cast("double") * F.col("predicted")).alias("met"))
     total = cells.groupBy(*by).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("truth") == F.col("predicted"), F.col("n")).otherwise(0)).alias("agreed"))
@@ -42,13 +53,16 @@ def kappa(rows: DataFrame, by: list[str]) -> DataFrame:
 
 def confusion_cells(rows: DataFrame, by: list[str], order: str, most: int = T.visible_classes) -> DataFrame:
     """Cells of the confusion matrix over the commonest truths, ties by first seen; the rest is (other)."""
-    rows = rows.where("truth IS NOT NULL AND truth <> ''")
-    counts = rows.groupBy(*by, "truth").agg(F.count("*").alias("n"), F.min(order).alias("seen"))
+    return confusion_of(cell_counts(rows, by, order), by, most)
+
+
+def confusion_of(cells: DataFrame, by: list[str], most: int = T.visible_classes) -> DataFrame:
+    """The confusion matrix from cells (by, truth, predicted, n, seen)."""
+    counts = cells.groupBy(*by, "truth").agg(F.sum("n").alias("n"), F.min("seen").alias("seen"))
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), "seen"))
     top = counts.withColumn("rank", rank).where(F.col("rank") <= most).select(*by, F.col("truth").alias("label"))
     as_truth = top.select(*by, F.col("label").alias("truth"), F.col("label").alias("truth_label"))
     as_predicted = top.select(*by, F.col("label").alias("predicted"), F.col("label").alias("predicted_label"))
-    cells = rows.groupBy(*by, "truth", "predicted").agg(F.count("*").alias("n"))
     shown = cells.join(as_truth, [*by, "truth"], "left").join(as_predicted, [*by, "predicted"], "left")
     predicted = F.when(F.coalesce("predicted", F.lit("")) == "", NONE).otherwise(F.coalesce("predicted_label", F.lit(OTHER)))
     return shown.groupBy(*by, F.coalesce("truth_label", F.lit(OTHER)).alias("truth_label"), predicted.alias("predicted_label")).agg(F.sum("n").alias("n"))
@@ -75,7 +89,12 @@ def one_vs_rest(cells: DataFrame, by: list[str]) -> DataFrame:
 
 
 def categorical(rows: DataFrame, by: list[str], order: str) -> DataFrame:
-    return kappa(rows, by).join(one_vs_rest(confusion_cells(rows, by, order), by), by)
+    """Kappa and one-vs-rest metrics, from cells that are counted once."""
+    return categorical_of(durable(cell_counts(rows, by, order)), by)
+
+
+def categorical_of(cells: DataFrame, by: list[str]) -> DataFrame:
+    return kappa_of(cells, by).join(one_vs_rest(confusion_of(cells, by), by), by)
 
 
 def common(predicted: Column, truth: Column) -> Column:
@@ -85,21 +104,6 @@ def common(predicted: Column, truth: Column) -> Column:
     return F.aggregate(each, F.lit(0), lambda a, v: a + F.least(count(predicted, v), count(truth, v)))
 
 
-def normed_lists(rows: DataFrame, *columns: str) -> DataFrame:
-    """The lists' values in normed form. Lists of ASCII values stay in the JVM, others have their values normed once each."""
-    for c in columns:
-        plain = rows.withColumn("_joined", F.array_join(c, ""))
-        near = plain.where(F.coalesce(text.is_ascii(F.col("_joined")), F.lit(True))).withColumn(c, F.transform(c, text.norm_ascii))
-        far = plain.where(~text.is_ascii(F.col("_joined")))
-        values = far.select(F.explode(c).alias("_v")).distinct().withColumn("_n", text.norm_text("_v"))
-        kept = [F.col(f"`{x}`") for x in plain.columns if x != c]
-        lists = far.select(c).distinct().select(F.col(c).alias("_list"), F.posexplode(c).alias("_i", "_v")).join(values, "_v")
-        lists = lists.groupBy("_list").agg(F.transform(F.sort_array(F.collect_list(F.struct("_i", "_n"))), lambda x: x["_n"]).alias("_normed"))
-        far = far.join(lists, F.col(c) == F.col("_list")).select(*kept, F.col("_normed").alias(c))
-        rows = near.unionByName(far).drop("_joined")
-    return rows
-
-
 def list_metrics(rows: DataFrame, by: list[str], universe: int | None = None, field: str = "", is_fuzzy: bool = False) -> DataFrame:
     """Micro tp, fp, fn and what follows; specificity only for a closed vocabulary of universe values.
 
@@ -112,7 +116,7 @@ def list_metrics(rows: DataFrame, by: list[str], universe: int | None = None, fi
         found = scoring.matched(ready.select("_p", "_t").distinct(), field, is_fuzzy)
         rows, tp = ready.join(found, ["_p", "_t"]), F.col("m.tp")
     else:
-        rows, tp = normed_lists(rows, "predicted", "truth"), common(F.col("predicted"), F.col("truth"))
+        rows, tp = rows.withColumns({c: text.norm_list(c) for c in ("predicted", "truth")}), common(F.col("predicted"), F.col("truth"))
     n_p, n_t = F.size("predicted"), F.size("truth")
     negatives = F.greatest(F.lit(0), F.lit(universe) - F.size(F.array_distinct("truth")))
     counted = rows.select(*by, tp.alias("tp"), (n_p - tp).alias("fp"), (n_t - tp).alias("fn"), F.greatest(F.lit(0), negatives - (n_p - tp)).alias("tn"))

@@ -49,3 +49,12 @@ def lower_middle(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """Per group the value at the middle, the lower of two."""
     middle = rows.groupBy(*by).agg(F.floor((F.count(value) + 1) / 2).alias("rank"))
     return ranked_value(rows, by, value, middle)
+
+
+def numbered(rows: DataFrame, name: str) -> DataFrame:
+    """rows with their number from 0 in the order in which they are read: positions in partitions, and the partitions' sizes before."""
+    held = durable(rows.withColumn("_id", F.monotonically_increasing_id()))
+    part = F.shiftright("_id", 33)
+    sizes = held.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row a partition
+    return held.withColumn("_part", part).join(F.broadcast(before), "_part").select(*rows.columns, (F.col("_before") + F.col("_id") % (1 << 33)).alias(name))

@@ -9,6 +9,7 @@ from pyspark.sql import types
 
 from ..config import T
 from ..functions import fuzzy, names, text
+from .tables import durable
 
 def result(score: Column, outcome: Column, honesty: Column) -> Column:
     return F.struct(score.alias("score"), (score >= T.list_correct).alias("is_correct"), outcome.alias("outcome"), honesty.alias("honesty_score"))
@@ -61,14 +62,15 @@ def similar_at(limit: float):
 def matched(pairs: DataFrame, field: str, is_fuzzy: bool) -> DataFrame:
     """Distinct list pairs (_p, _t) with m: greedy one-to-one matching of predicted with true values, in their order.
 
-    Each distinct pair of values is judged once, whatever lists it stands in; the lists then only hold
-    which of their positions go together.
+    List pairs are numbered, so that their cells move without the lists. Each distinct pair of values is judged
+    once, whatever lists it stands in; the lists then only hold which of their positions go together.
     """
-    each = pairs.select("_p", "_t", F.posexplode("_p").alias("pi", "p")).select("*", F.posexplode("_t").alias("ti", "t"))
+    pairs = durable(pairs.select("_p", "_t").withColumn("_id", F.monotonically_increasing_id()))
+    each = pairs.select("_id", "_t", F.posexplode("_p").alias("pi", "p")).select("_id", "pi", "p", F.posexplode("_t").alias("ti", "t"))
     same = same_pairs(each.select("p", "t").distinct(), field, is_fuzzy)
-    alike = each.join(same, ["p", "t"]).groupBy("_p", "_t").agg(F.collect_set(F.struct("pi", "ti")).alias("alike"))
+    alike = each.join(same, ["p", "t"]).groupBy("_id").agg(F.collect_set(F.struct("pi", "ti")).alias("alike"))
     none = F.array().cast("array<struct<pi:int,ti:int>>")
-    joined = pairs.join(alike, ["_p", "_t"], "left").withColumn("alike", F.coalesce("alike", none))
+    joined = pairs.join(alike, "_id", "left").withColumn("alike", F.coalesce("alike", none))
 
     def take(taken: Column, i: Column) -> Column:
         free = F.filter("alike", lambda x: (x["pi"] == i) & ~F.exists(taken, lambda y: y["ti"] == x["ti"]))
@@ -150,19 +152,28 @@ def rescored(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return joined.where((F.abs(F.col("score") - F.col("new_score")) > 1e-9) | ~F.col("is_correct").eqNullSafe(F.col("new_is_correct")))
 
 
-def consensus(samples: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
+def consensus(samples: DataFrame, keys: list[str], order: str, value: str, field: str = "", kind: str = "single_categorical") -> DataFrame:
     """Per key the head of the largest cluster of answers that score alike, the earliest of ties, and its share.
 
-    Answers, in order, join the first cluster whose head they match (score at least the bar). Equal answers
-    are one row with their count before that, so a key's clusters are built from its distinct answers.
+    Answers, in order, join the first cluster whose head they match (score at least the bar, by the field's kind of
+    value: value is a string, or a list for list_categorical and list_text). Equal answers are one row with their count
+    before that, so a key's clusters are built from its distinct answers; a key with one is settled by that.
     """
     counts = samples.groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("n"), F.min(order).alias("first"))
-    heads = counts.select(*keys, F.col("_v").alias("truth"), F.col("first").alias("head_first"))
-    pairs = counts.join(heads, keys).where("head_first < first").select(*keys, F.col("_v").cast("string").alias("predicted"), F.col("truth").cast("string").alias("truth"), F.col("_v").alias("_p"), F.col("truth").alias("_t"))
-    alike = single(pairs).where(F.col("result.score") >= T.list_correct).groupBy(*keys).agg(F.collect_set(F.struct(F.col("_p").alias("v"), F.col("_t").alias("head"))).alias("alike"))
     listed = counts.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("first", F.col("_v").alias("v"), "n"))).alias("answers"), F.sum("n").alias("n_samples"))
-    kind = samples.schema[value].dataType.simpleString()
-    none = F.array().cast(f"array<struct<v:{kind},head:{kind}>>")
+    settled = listed.where(F.size("answers") == 1).select(*keys, "n_samples", F.col("answers")[0]["v"].alias("modal_value"), F.lit(1.0).alias("agreement"))
+    listed = listed.where(F.size("answers") > 1)
+    before = lambda x, i: F.transform(F.slice("answers", F.lit(1), i), lambda y: F.struct(x["v"].alias("v"), y["v"].alias("head")))
+    met = listed.select(*keys, F.explode(F.flatten(F.transform("answers", before))).alias("x")).select(*keys, "x.*")
+    single_value = kind == "single_categorical"
+    as_scored = (lambda c: F.col(c).cast("string")) if single_value else F.col
+    distinct = met.select("v", "head").distinct().select(F.col("v").alias("_answer"), F.col("head").alias("_head"), as_scored("v").alias("predicted"), as_scored("head").alias("truth"))
+    scored = single(distinct) if single_value else lists(distinct, field, kind == "list_text")
+    scored = scored.where(F.col("result.score") >= T.list_correct)
+    fits = met.join(scored.select("_answer", "_head"), F.col("v").eqNullSafe(F.col("_answer")) & F.col("head").eqNullSafe(F.col("_head")))
+    alike = fits.groupBy(*keys).agg(F.collect_set(F.struct("v", "head")).alias("alike"))
+    kind_of = samples.schema[value].dataType.simpleString()
+    none = F.array().cast(f"array<struct<v:{kind_of},head:{kind_of}>>")
     joined = listed.join(alike, keys, "left").withColumn("alike", F.coalesce("alike", none))
 
     def place(clusters: Column, x: Column) -> Column:
@@ -171,11 +182,11 @@ def consensus(samples: DataFrame, keys: list[str], order: str, value: str) -> Da
         grown = F.transform(clusters, lambda c, i: F.struct(c["head"].alias("head"), (c["n"] + F.when(i + 1 == at, x["n"]).otherwise(0)).alias("n")))
         return F.when(at > 0, grown).otherwise(F.concat(clusters, F.array(F.struct(x["v"].alias("head"), x["n"].alias("n")))))
 
-    clusters = F.aggregate("answers", F.array().cast(f"array<struct<head:{kind},n:bigint>>"), place)
+    clusters = F.aggregate("answers", F.array().cast(f"array<struct<head:{kind_of},n:bigint>>"), place)
     most = F.array_max(F.transform("clusters", lambda c: c["n"]))
     top = F.filter("clusters", lambda c: c["n"] == F.col("most"))[0]
     found = joined.withColumn("clusters", clusters).withColumn("most", most).withColumn("top", top)
-    return found.select(*keys, "n_samples", F.col("top.head").alias("modal_value"), (F.col("top.n") / F.col("n_samples")).alias("agreement"))
+    return found.select(*keys, "n_samples", F.col("top.head").alias("modal_value"), (F.col("top.n") / F.col("n_samples")).alias("agreement")).unionByName(settled)
 
 
 def consistency_summary(found: DataFrame, by: list[str]) -> DataFrame:

@@ -8,7 +8,12 @@ from pyspark.sql import functions as F
 
 def best_version(runs: DataFrame, versions: DataFrame) -> DataFrame:
     """Per model the highest accepted version that was run, else the version with most runs, the higher of ties."""
-    counts = runs.groupBy("model_id", "version").agg(F.count("*").alias("n_runs")).join(F.broadcast(versions), "version")
+    return best_of(runs.groupBy("model_id", "version").agg(F.count("*").alias("n_runs")), versions)
+
+
+def best_of(counts: DataFrame, versions: DataFrame) -> DataFrame:
+    """The same from counts (model_id, version, n_runs)."""
+    counts = counts.join(versions, "version")
     order = Window.partitionBy("model_id").orderBy(F.desc("accepted"), F.desc_nulls_last(F.when(F.col("accepted"), F.col("version"))), F.desc("n_runs"), F.desc("version"))
     return counts.withColumn("rank", F.row_number().over(order)).where("rank = 1").select("model_id", "version", "accepted", "n_runs")
 

@@ -59,3 +59,12 @@ def recent_health(tasks: DataFrame, as_of: Column, hours: int = 24) -> DataFrame
     """Finished tasks of the last hours by kind."""
     recent = tasks.where((F.col("claimed_at") > as_of - F.expr(f"INTERVAL {hours} HOURS")) & (F.col("claimed_at") <= as_of))
     return recent.groupBy("kind").agg(F.count("*").alias("n"), (F.count_if(F.col("status") == "done") / F.count("*")).alias("done_rate"))
+
+
+def optimizer_health(tasks: DataFrame, iterations: DataFrame, as_of: Column, hours: int = 24, kind: str = "optimization") -> DataFrame:
+    """One row: finished optimizer tasks of the last hours and the share that failed, candidates and the share that was accepted."""
+    since = lambda c: (F.col(c) > as_of - F.expr(f"INTERVAL {hours} HOURS")) & (F.col(c) <= as_of)
+    ended = tasks.where((F.col("kind") == kind) & F.col("status").isin("done", "failed") & since("finished_at")).agg(F.count("*").alias("n_runs"), F.count_if(F.col("status") == "failed").alias("n_failed"))
+    tried = iterations.where(since("created_at")).agg(F.count("*").alias("n_candidates"), F.count_if("accepted").alias("n_accepted"))
+    rate = lambda a, b: F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0))
+    return ended.join(F.broadcast(tried)).withColumns({"failure_rate": rate("n_failed", "n_runs"), "accept_rate": rate("n_accepted", "n_candidates")})

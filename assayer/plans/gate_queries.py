@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..config import Z95_SHORT
 from ..operators import gates, gating, sampling
 from ..sources import fixtures
 from ..sources.fixtures import sql_and
-from .metric_queries import CONFUSION, KAPPA, REST
+from .metric_queries import CONFUSION, KAPPA, REST, _wilson_sql
 from .registry import query
 
 
@@ -108,3 +109,16 @@ def field_actions(spark, sf_dir):
     """POL2, POL3: the state of each field and what to do next; judges of one field are taken as done, so that later steps are reached."""
     states = gating.field_states(_states(spark, sf_dir)).withColumn("unjudged", F.when(F.col("field_name") == "region", 0).otherwise(F.col("unjudged")).cast("long"))
     return gates.next_action(states)
+
+
+@query(sql_and("runs typed_runs field_prompts", REPORT + """, best AS (SELECT field_name, max(metric) AS model, max_by(model_id, (metric, model_id)) AS model_id FROM report GROUP BY 1),
+h AS (WITH second AS (SELECT field_name AS grp, field_name, run_id, truth, CASE WHEN k % 9 = 0 THEN ['other'] ELSE truth END AS predicted FROM typed_runs WHERE k % 4 <> 0),
+""" + gate_sql("second") + f""" SELECT field_name, n, metric_name, metric AS human, metric AS p FROM gates),
+b AS (SELECT *, {_wilson_sql(Z95_SHORT)} FROM h)
+SELECT field_name, metric_name, human, n, low, high, model_id, model, CASE WHEN model IS NULL THEN 'no model runs' WHEN model >= low THEN 'model within human range' ELSE 'model below human' END AS verdict,
+  CASE WHEN model < low THEN human - model END AS gap FROM b LEFT JOIN best USING (field_name)"""))
+def human_agreement(spark, sf_dir):
+    """MET17: a second reading against the truth by kind of field, its interval, and the best model beside it."""
+    runs = fixtures.typed_runs(spark, sf_dir)
+    second = F.when(F.col("k") % 4 == 0, F.array().cast("array<string>")).when(F.col("k") % 9 == 0, F.array(F.lit("other"))).otherwise(F.col("truth"))
+    return gating.human_agreement(runs.withColumn("predicted", second), fixtures.KINDS, _report(spark, sf_dir))

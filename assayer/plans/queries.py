@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import gate_queries, listing_queries, metric_queries, prompt_queries, report_queries, text_queries, workflow_queries  # noqa: F401
+from . import file_queries, gate_queries, listing_queries, metric_queries, prompt_queries, report_queries, text_queries, workflow_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -56,9 +56,14 @@ def json_lines(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
 
 
-def chat_rows(df: DataFrame, system: str, user: str, assistant: str) -> DataFrame:
+def chat(system: str, user: str, assistant: str) -> Column:
+    """The three turns of a training example."""
     turn = lambda role, c: F.struct(F.lit(role).alias("role"), F.col(c).alias("content"))
-    return df.select(F.array(turn("system", system), turn("user", user), turn("assistant", assistant)).alias("messages"))
+    return F.array(turn("system", system), turn("user", user), turn("assistant", assistant))
+
+
+def chat_rows(df: DataFrame, system: str, user: str, assistant: str) -> DataFrame:
+    return df.select(chat(system, user, assistant).alias("messages"))
 
 
 def valid_chat(df: DataFrame, key: str) -> DataFrame:
