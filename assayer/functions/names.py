@@ -86,6 +86,7 @@ INSTITUTION_ALIASES = {
     "jhu": "Johns Hopkins University",
     "kellogg": "Kellogg Foundation",
 }
+# Words of a university's name.
 UNIVERSITY_WORDS = ("university", "college", "institute of technology")
 
 

@@ -65,6 +65,18 @@ def next_action(state: DataFrame, final_stage: int = T.stage_records) -> DataFra
     return state.withColumn("action", action)
 
 
+# By how much a candidate has to be better, and for fields whose metric varies more.
+EPSILON, FIELD_EPSILON = 0.01, {"authors": 0.03, "author_affiliation": 0.03}
+
+
+def epsilon(field: Column) -> Column:
+    """By how much a candidate for the field has to be better."""
+    found = F.lit(EPSILON)
+    for name, more in FIELD_EPSILON.items():
+        found = F.when(field == name, more).otherwise(found)
+    return found
+
+
 def accepts(candidates: DataFrame, epsilon: Column) -> DataFrame:
     """A candidate is taken if it beats the best by epsilon, keeps its floor, and holds on models that didn't train it."""
     better = F.col("val_score") > F.col("best_score") + epsilon

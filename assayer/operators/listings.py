@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text
+
 PROJECT = "fields array<struct<name:string,label:string,type:string,description:string>>, exclusion_criteria array<struct<tag:string,question:string>>"
 SLUG = "^[a-z0-9][a-z0-9-]{1,60}$"
 
@@ -125,3 +127,28 @@ def tag_counts(rows: DataFrame, decision: str, order: str) -> DataFrame:
     tag = F.regexp_replace(F.regexp_replace(F.lower("label"), "[^a-z0-9]+", "_"), "^_+|_+$", "")
     found = said.withColumn("tag", tag).where("tag <> ''").groupBy("tag")
     return found.agg(F.min_by("label", order).alias("label"), F.count("*").alias("n")).orderBy(F.desc("n"), "tag")
+
+
+def newest(rows: DataFrame, order: list[str], asked: int | None = None) -> DataFrame:
+    """The newest rows: 200, or as many as are asked for, held in 1 to 2000."""
+    return rows.orderBy(*[F.desc(c) for c in order]).limit(200 if asked is None else max(1, min(2000, asked)))
+
+
+def by_slug(projects: DataFrame, slug: str) -> DataFrame:
+    """The one project with the slug; an error that names it if there is none."""
+    found = projects.where(F.col("slug") == slug)
+    if found.isEmpty():
+        raise LookupError(f"no project with the slug {slug!r}")
+    return found.limit(1)
+
+
+def with_ids(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows with these ids, in the order of the ids; ids without a row give none."""
+    return rows.join(ids.select(key).distinct(), key, "left_semi").orderBy(key)
+
+
+def not_in(values: str, others: str) -> Column:
+    """The values whose folded form isn't among the others', each folded form once, in their order."""
+    fold = lambda x: text.norm_ascii(x)
+    mine, theirs = F.transform(values, fold), F.transform(others, fold)
+    return F.filter(values, lambda x, i: ~F.array_contains(theirs, fold(x)) & (F.array_position(mine, fold(x)) == i + 1))

@@ -67,11 +67,16 @@ def evaluated(responses: DataFrame, by: list[str]) -> DataFrame:
 
 
 def best_candidates(candidates: DataFrame, run: list[str], step: str, tie: str) -> DataFrame:
-    """Per step the candidate with the best mean score, the first of ties."""
+    """Per step the candidate with the best mean score, the first of ties. improves says if it was accepted."""
     first = F.max_by(F.struct(F.col(tie), "mean_score", "improves"), F.struct("mean_score", -F.col(tie)))
     return candidates.groupBy(*run, step).agg(first.alias("b")).select(*run, step, "b.*")
 
 
+def with_all_steps(best: DataFrame, steps: DataFrame, run: list[str], step: str) -> DataFrame:
+    """The steps that were taken with their best candidates: a step without any is a miss."""
+    return steps.select(*run, step).distinct().join(best, [*run, step], "left").withColumn("improves", F.coalesce("improves", F.lit(False)))
+
+
 def replayed(steps: DataFrame, run: list[str], step: str) -> DataFrame:
     """The steps of an optimizer's runs up to the stop: rejections in a row before each, and whether it is a bold one.
 

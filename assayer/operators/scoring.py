@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types
 
 from ..config import T
-from ..functions import fuzzy, names, text
+from ..functions import fuzzy, names, parsing, text
 from .tables import durable
 
 def result(score: Column, outcome: Column, honesty: Column) -> Column:
@@ -192,3 +192,15 @@ def consensus(samples: DataFrame, keys: list[str], order: str, value: str, field
 def consistency_summary(found: DataFrame, by: list[str]) -> DataFrame:
     """Per group of consensus rows how many there are, their mean agreement, and how many agree in full."""
     return found.groupBy(*by).agg(F.count("*").alias("n"), F.avg("agreement").alias("mean_agreement"), F.count_if(F.col("agreement") == 1.0).alias("n_unanimous"))
+
+
+def retried(runs: DataFrame, replies: DataFrame, keys: list[str]) -> DataFrame:
+    """New runs for the keys all of whose runs failed: replies (keys, raw, truth) parsed and scored, ready to be appended.
+
+    A reply without a JSON object is a failed run again, and has no score.
+    """
+    failed = runs.groupBy(*keys).agg(F.count_if(F.col("error").isNull()).alias("_ok")).where("_ok = 0").select(*keys)
+    told = replies.join(failed, keys, "left_semi").withColumn("_object", parsing.json_object(F.col("raw")))
+    told = told.withColumn("predicted", parsing.scalar_answer(F.col("_object"))).withColumn("error", F.when(F.col("_object").isNull(), "no JSON object in the reply")).drop("_object")
+    scored = single(told)
+    return scored.withColumn("result", F.when(F.col("error").isNull(), F.col("result")))

@@ -21,6 +21,7 @@ def model_summary(runs: DataFrame) -> DataFrame:
         n.alias("n"),
         F.avg("score").alias("mean_score"),
         F.avg("honesty_score").alias("mean_honesty"),
+        F.avg("logprob_confidence").alias("mean_logprob"),
         F.avg("latency_ms").alias("mean_latency_ms"),
         rate(F.count_if("is_correct"), n).alias("accuracy"),
         rate(count("hallucination"), n).alias("hallucination_rate"),
@@ -98,6 +99,15 @@ def frequencies(rows: DataFrame, value: str, most: int | None = None) -> DataFra
     return found if most is None else found.where(F.col("n") <= most)
 
 
+def imbalance(rows: DataFrame, label: str, above: float = 0.4) -> DataFrame:
+    """One row: distinct labels, the commonest (of ties the smallest), its share of all rows, and if that is too much; none without labels."""
+    counts = frequencies(rows, label)
+    n = rows.agg(F.count("*").alias("n"))  # rows without a label count
+    top = counts.agg(F.count("*").alias("n_labels"), F.min(F.struct((-F.col("n")).alias("less"), label)).alias("t")).where("n_labels > 0")
+    share = -F.col("t.less") / F.col("n")
+    return top.join(F.broadcast(n)).select("n_labels", F.col(f"t.{label}").alias("commonest"), share.alias("share"), (share > above).alias("imbalanced"))
+
+
 def confused_pairs(rows: DataFrame, limit: int = 10) -> DataFrame:
     """The commonest wrong (truth, predicted) pairs."""
     wrong = rows.where("truth IS NOT NULL AND predicted IS NOT NULL AND truth <> predicted")

@@ -61,6 +61,11 @@ def recent_health(tasks: DataFrame, as_of: Column, hours: int = 24) -> DataFrame
     return recent.groupBy("kind").agg(F.count("*").alias("n"), (F.count_if(F.col("status") == "done") / F.count("*")).alias("done_rate"))
 
 
+def unjudged(runs: DataFrame, judgments: DataFrame, judge: str) -> DataFrame:
+    """The runs that this judge hasn't judged."""
+    return runs.join(judgments.where(F.col("judge_model") == judge).select("run_id"), "run_id", "left_anti")
+
+
 def optimizer_health(tasks: DataFrame, iterations: DataFrame, as_of: Column, hours: int = 24, kind: str = "optimization") -> DataFrame:
     """One row: finished optimizer tasks of the last hours and the share that failed, candidates and the share that was accepted."""
     since = lambda c: (F.col(c) > as_of - F.expr(f"INTERVAL {hours} HOURS")) & (F.col(c) <= as_of)

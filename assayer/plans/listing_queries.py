@@ -78,7 +78,7 @@ def records_in_both(spark, sf_dir):
 
 @query(sql("iterations prompts", "SELECT i.model_id, i.prompt_id, iteration_num, mean_score, i.accepted, version FROM iterations i JOIN prompts p ON i.prompt_id = p.prompt_id"))
 def iterations_with_prompts(spark, sf_dir):
-    """JON14, PRJ3."""
+    """JON14."""
     return fixtures.iterations(spark, sf_dir).drop("created_at").join(fixtures.prompts(spark, sf_dir).select("prompt_id", "version"), "prompt_id").orderBy("iteration_num", "prompt_id")
 
 
@@ -238,8 +238,24 @@ def compared_versions(spark, sf_dir):
     return summaries.run_versions(runs, fixtures.prompt_versions(spark)).where("n_models >= 2")
 
 
-@query(sql_and("runs", "v AS (SELECT record_id, model_id, truth, run_id FROM runs WHERE version = 1) SELECT record_id, model_id, truth AS prior FROM v QUALIFY row_number() OVER (PARTITION BY record_id, model_id ORDER BY run_id DESC) = 1"))
+@query(sql_and("runs typed_runs", "v AS (SELECT record_id // 2 AS g, model_id, predicted[1] AS prior, run_id FROM typed_runs WHERE predicted IS NOT NULL) SELECT g AS record_id, model_id, prior FROM v QUALIFY row_number() OVER (PARTITION BY g, model_id ORDER BY run_id DESC) = 1"))
 def prior_values(spark, sf_dir):
-    """WIN4."""
-    runs = fixtures.runs(spark, sf_dir).where("version = 1")
-    return versions.latest(runs, ["record_id", "model_id"], ["run_id"], ["truth"]).withColumnRenamed("truth", "prior")
+    """WIN4: the latest answer of a model to a record, of lists their first value; two records are taken as one, so that there are several."""
+    runs = fixtures.typed_runs(spark, sf_dir).where("predicted IS NOT NULL").withColumn("record_id", F.expr("record_id div 2"))
+    return versions.latest(runs, ["record_id", "model_id"], ["run_id"], ["predicted"]).select("record_id", "model_id", F.get("predicted", F.lit(0)).alias("prior"))
+
+
+@query(sql("prompts", "SELECT model_id, string_agg(version || ':' || prompt_id || CASE WHEN accepted THEN '+' ELSE '' END, ' ' ORDER BY version, prompt_id) AS listed FROM prompts GROUP BY 1"))
+def prompt_list(spark, sf_dir):
+    """PRJ3: a model's prompt versions in the order of their numbers."""
+    line = F.concat(F.col("version").cast("string"), F.lit(":"), F.col("prompt_id").cast("string"), F.when(F.col("accepted"), "+").otherwise(""))
+    found = fixtures.prompts(spark, sf_dir).groupBy("model_id").agg(F.sort_array(F.collect_list(F.struct("version", "prompt_id", line.alias("line")))).alias("p"))
+    return found.select("model_id", F.array_join(F.transform("p", lambda x: x["line"]), " ").alias("listed"))
+
+
+@query(sql("projects", "SELECT n_nationkey, slug FROM projects WHERE n_nationkey IN (SELECT r_regionkey * 3 FROM region) OR slug = 'nation-7'"))
+def projects_asked_for(spark, sf_dir):
+    """FLT8: projects by their ids, some of which don't exist, and one by its slug."""
+    found = fixtures.projects(spark, sf_dir).select("n_nationkey", "slug")
+    ids = fixtures.table(spark, sf_dir, "region").select((F.col("r_regionkey") * 3).alias("n_nationkey"))
+    return listings.with_ids(found, ids, "n_nationkey").unionByName(listings.by_slug(found, "nation-7")).distinct()

@@ -49,7 +49,7 @@ def of(spark, sf_dir):
 @query(
     sql(
         "runs",
-        """SELECT model_id, count(*) AS n, avg(score) AS mean_score, avg(honesty_score) AS mean_honesty, avg(latency_ms) AS mean_latency_ms,
+        """SELECT model_id, count(*) AS n, avg(score) AS mean_score, avg(honesty_score) AS mean_honesty, avg(logprob_confidence) AS mean_logprob, avg(latency_ms) AS mean_latency_ms,
   count(*) FILTER (WHERE is_correct)::DOUBLE / count(*) AS accuracy, count(*) FILTER (WHERE outcome = 'hallucination')::DOUBLE / count(*) AS hallucination_rate,
   count(*) FILTER (WHERE outcome IN ('abstain_miss', 'correct_abstain'))::DOUBLE / count(*) AS abstention_rate, count(error)::DOUBLE / count(*) AS error_rate,
   count(*) FILTER (WHERE excerpt_verified)::DOUBLE / nullif(count(excerpt_verified), 0) AS excerpt_verified_rate, sum(cost_usd) AS total_cost_usd,
@@ -316,6 +316,15 @@ def token_estimates(spark, sf_dir):
     return summaries.estimated_tokens(fixtures.table(spark, sf_dir, "conversations"), "text")
 
 
+@query("""WITH c AS (SELECT 'size' AS label, CASE WHEN p_size < 25 THEN 'small' WHEN p_size < 45 THEN 'large' END AS v FROM part UNION ALL SELECT 'brand', p_brand FROM part), n AS (SELECT label, v, count(*) AS n FROM c WHERE v IS NOT NULL GROUP BY 1, 2)
+SELECT label, count(*) AS n_labels, first(v ORDER BY n DESC, v) AS commonest, max(n)::DOUBLE / (SELECT count(*) FROM part) AS share, max(n)::DOUBLE / (SELECT count(*) FROM part) > 0.4 AS imbalanced FROM n GROUP BY 1""")
+def class_imbalance(spark, sf_dir):
+    """AGG23's check: labels of which one stands for too many rows."""
+    part = fixtures.table(spark, sf_dir, "part").withColumn("size", F.when(F.col("p_size") < 25, "small").when(F.col("p_size") < 45, "large")).withColumnRenamed("p_brand", "brand")
+    found = [summaries.imbalance(part, c).select(F.lit(c).alias("label"), "n_labels", "commonest", "share", "imbalanced") for c in ("size", "brand")]
+    return found[0].unionByName(found[1])
+
+
 @query(sql_and("runs", "s AS (SELECT model_id, version, avg(score) AS score FROM runs GROUP BY 1, 2) SELECT model_id, min_by(score, version) AS first_score, max_by(score, version) AS last_score, count(*) AS n_versions, max_by(score, version) - min_by(score, version) AS delta FROM s GROUP BY 1"))
 def version_progression(spark, sf_dir):
     """WIN10, UI5."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import reports, summaries
+from ..operators import gates, reports, summaries
 from ..sources import fixtures
 from ..sources.fixtures import sql, sql_and
 from .registry import query
@@ -90,15 +90,20 @@ def evaluated_prompts(spark, sf_dir):
     return reports.evaluated(fixtures.runs(spark, sf_dir), ["model_id", "version"])
 
 
-@query(sql_and("iterations", """b AS (SELECT model_id, prompt_id // 100 AS run, prompt_id AS step, iteration_num, mean_score, mean_score > 0.6::DOUBLE AS improves FROM iterations QUALIFY row_number() OVER (PARTITION BY prompt_id ORDER BY mean_score DESC, iteration_num) = 1),
+@query(sql_and("iterations", """c AS (SELECT model_id, prompt_id // 100 AS run, prompt_id AS step, iteration_num, mean_score, mean_score > 0.6::DOUBLE AND iteration_num < 3 AND mean_score * 0.9::DOUBLE >= 0.6::DOUBLE - 0.01::DOUBLE AS improves FROM iterations WHERE prompt_id % 7 <> 3 QUALIFY row_number() OVER (PARTITION BY prompt_id ORDER BY mean_score DESC, iteration_num) = 1),
+b AS (SELECT s.*, iteration_num, mean_score, coalesce(improves, false) AS improves FROM (SELECT DISTINCT model_id, prompt_id // 100 AS run, prompt_id AS step FROM iterations) s LEFT JOIN c USING (model_id, run, step)),
 i AS (SELECT *, row_number() OVER w AS place FROM b WINDOW w AS (PARTITION BY model_id, run ORDER BY step)),
 m AS (SELECT *, place - 1 - coalesce(max(CASE WHEN improves THEN place END) OVER (PARTITION BY model_id, run ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS misses FROM i),
 s AS (SELECT *, NOT improves AND misses + 1 >= 4 AS stops FROM m), o AS (SELECT *, coalesce(max(stops) OVER (PARTITION BY model_id, run ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS past FROM s)
 SELECT model_id, run, step, iteration_num, mean_score, improves, misses, stops, misses >= 2 AS bold FROM o WHERE NOT past"""))
 def replayed_optimizer(spark, sf_dir):
-    """POL6: best candidate of each step, bold steps, and the stop after four rejections in a row."""
-    tried = fixtures.iterations(spark, sf_dir).select("model_id", F.expr("prompt_id div 100").alias("run"), F.col("prompt_id").alias("step"), "iteration_num", "mean_score", (F.col("mean_score") > 0.6).alias("improves"))
-    return reports.replayed(reports.best_candidates(tried, ["model_id", "run"], "step", "iteration_num"), ["model_id", "run"], "step")
+    """POL6: best candidate of each step, accepted by gate, floor and held-out score; steps without candidates, bold ones, and the stop after four rejections in a row."""
+    run = ["model_id", "run"]
+    tried = fixtures.iterations(spark, sf_dir).select("model_id", F.expr("prompt_id div 100").alias("run"), F.col("prompt_id").alias("step"), "iteration_num", "mean_score")
+    judged = tried.where("step % 7 <> 3").withColumns({"val_score": F.col("mean_score"), "best_score": F.lit(0.59), "floor_ok": F.col("iteration_num") < 3, "holdout_score": F.col("mean_score") * 0.9, "holdout_best": F.lit(0.6)})
+    accepted = gates.accepts(judged, F.lit(gates.EPSILON)).withColumnRenamed("accepted", "improves")
+    best = reports.with_all_steps(reports.best_candidates(accepted, run, "step", "iteration_num"), tried, run, "step")
+    return reports.replayed(best, run, "step")
 
 
 @query(sql_and("runs", """r AS (SELECT record_id, event_id % 2 AS reflector, event_id % 4 // 2 + 1 AS attempt, CASE WHEN k % 3 = 0 THEN 'v' || CAST(k AS VARCHAR) END AS revised FROM (SELECT record_id, run_id AS event_id, k FROM runs))

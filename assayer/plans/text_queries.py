@@ -48,7 +48,7 @@ def slugs(spark, sf_dir):
 
 @query("SELECT p_partkey, p_name || ';' || p_brand AS listed FROM part")
 def value_alternatives(spark, sf_dir):
-    """STR6, STR7, STR29, GTQ9."""
+    """STR6."""
     part = fixtures.table(spark, sf_dir, "part")
     return part.select("p_partkey", F.array_join(text.alternatives(F.concat("p_name", F.lit(" | "), "p_brand", F.lit("|"))), ";").alias("listed"))
 
@@ -68,6 +68,19 @@ def response_objects(spark, sf_dir):
     return found.select("event_id", F.try_variant_get("object", "$.k", "string").alias("k"))
 
 
+@query(sql("runs", """SELECT run_id, CASE WHEN predicted IS NULL THEN 'abstain_miss' WHEN k % 5 = 0 OR predicted = truth OR k % 5 = 2 THEN 'hit' ELSE 'wrong' END AS outcome,
+  CASE WHEN predicted IS NULL THEN 0.0::DOUBLE WHEN k % 5 = 0 OR (predicted = truth AND k % 5 <> 2) THEN 1.0::DOUBLE WHEN k % 5 = 2 THEN 0.9::DOUBLE ELSE 0.0::DOUBLE END AS score,
+  CASE WHEN predicted IS NULL THEN 0.5::DOUBLE WHEN k % 5 = 0 OR (predicted = truth AND k % 5 <> 2) THEN 1.0::DOUBLE WHEN k % 5 = 2 THEN 0.9::DOUBLE ELSE 0.0::DOUBLE END AS honesty_score FROM runs"""))
+def alternative_scores(spark, sf_dir):
+    """SCR1: any of several true values, in other letters and punctuation, counts in full; one that is nearly the same counts 0.9."""
+    k = F.col("k") % 5
+    truth = F.when(k == 0, F.concat(F.lit("other | "), "predicted", F.lit("| more"))).when(k == 2, "an international research collaboration").otherwise(F.col("truth"))
+    said = F.when(F.col("predicted").isNull(), None).when(k == 0, F.concat(F.lit(" "), F.upper("predicted"), F.lit("."))).when(k == 2, "an internationl research collaboratio").otherwise(F.col("predicted"))
+    runs = fixtures.runs(spark, sf_dir).select("run_id", truth.alias("truth"), said.alias("predicted"))
+    runs = runs.withColumn("truth", F.coalesce("truth", F.lit("x")))
+    return scoring.single(runs).select("run_id", "result.outcome", "result.score", "result.honesty_score")
+
+
 @query(sql("runs", """SELECT run_id, CASE WHEN truth = 'c0' THEN CASE WHEN predicted IS NULL THEN 'correct_abstain' ELSE 'hallucination' END
   WHEN predicted IS NULL THEN 'abstain_miss' WHEN predicted = truth THEN 'hit' ELSE 'wrong' END AS outcome,
   CASE WHEN truth = 'c0' THEN CASE WHEN predicted IS NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END WHEN predicted = truth THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score FROM runs"""))
@@ -136,14 +149,15 @@ def author_gate(spark, sf_dir):
 
 @query(sql("runs", """SELECT run_id, CASE WHEN k % 10 = 0 THEN 0.5::DOUBLE WHEN (k % 2 = 0) = is_correct THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score,
   CASE WHEN k % 10 = 0 THEN 'maybe_vs_' || CASE WHEN is_correct THEN 'include' ELSE 'exclude' END
-    WHEN (k % 2 = 0) = is_correct THEN CASE WHEN NOT is_correct THEN 'correct_wrong_tag' ELSE 'correct' END
+    WHEN (k % 2 = 0) = is_correct THEN CASE WHEN NOT is_correct AND k % 3 <> 1 THEN 'correct_wrong_tag' ELSE 'correct' END
     ELSE CASE WHEN k % 2 = 0 THEN 'wrong_include_vs_exclude' ELSE 'wrong_exclude_vs_include' END END AS outcome FROM runs"""))
 def screening_scores(spark, sf_dir):
-    """SCR5, STR18."""
+    """SCR5: with a tag that is part of the true one, another one, and none."""
     d = F.when(F.col("k") % 10 == 0, "MAYBE").when(F.col("k") % 2 == 0, "INCLUDE").otherwise("EXCLUDE")
     truth = F.when(F.col("is_correct"), "include").otherwise("exclude")
+    tag = F.when(F.col("k") % 3 == 1, " Design ").when(F.col("k") % 3 == 2, "population").otherwise("")
     runs = fixtures.runs(spark, sf_dir)
-    return runs.select("run_id", scoring.screening(d, F.lit(""), truth, F.lit("design")).alias("s")).select("run_id", "s.*")
+    return runs.select("run_id", scoring.screening(d, tag, truth, F.lit("wrong design")).alias("s")).select("run_id", "s.*")
 
 
 @query()
@@ -153,11 +167,13 @@ def excerpt_verification(spark, sf_dir):
     return scoring.verify_excerpts(pairs, "excerpt", "source").select("doc_id", "item_id", "verified")
 
 
-@query("SELECT n_nationkey, CASE n_name WHEN 'x' THEN 'x' ELSE n_name END AS country FROM nation")
+@query("""SELECT c_custkey, CASE c_custkey % 8 WHEN 0 THEN 'Korea, Rep.' WHEN 1 THEN 'Korea, Rep.' WHEN 2 THEN 'Egypt, Arab Rep.' WHEN 3 THEN 'Korea, Dem. People''s Rep.' WHEN 4 THEN 'Micronesia, Fed. Sts.' WHEN 5 THEN 'Congo' WHEN 6 THEN 'usa' ELSE c_name END AS country FROM customer""")
 def countries(spark, sf_dir):
-    """STR9: the nations' names are their own canonical form."""
-    nation = fixtures.table(spark, sf_dir, "nation")
-    return nation.select("n_nationkey", names.country(F.col("n_name"), ["Korea, Rep.", "Egypt, Arab Rep."]).alias("country"))
+    """STR9: aliases, names in other letters, the head of a name with a comma, a head that two names share, and an alias of a country that isn't in the taxonomy."""
+    known = ["Korea, Rep.", "Egypt, Arab Rep.", "Korea, Dem. People's Rep.", "Micronesia, Fed. Sts.", "Congo, Rep.", "Congo, Dem. Rep."]
+    said = F.element_at(F.array(*[F.lit(x) for x in ("South  Korea", "KOREA, REP", "egypt", "DPRK", "Micronesia", "Congo", "usa", "")]), (F.col("c_custkey") % 8 + 1).cast("int"))
+    said = F.when(said == "", F.col("c_name")).otherwise(said)
+    return fixtures.table(spark, sf_dir, "customer").select("c_custkey", names.country(said, known).alias("country"))
 
 
 @query("SELECT c_custkey, c_name AS a, c_custkey % 2 = 0 AS same FROM customer")
@@ -173,8 +189,7 @@ def author_equality(spark, sf_dir):
 def institutions(spark, sf_dir):
     """STR10, STR13."""
     k = F.col("c_custkey") % 3
-    raw = F.when(k == 0, "Not specified (see text)").when(k == 1, "W.H.O.").otherwise(F.col("c_name"))
-    raw = F.when(k == 1, "WHO").otherwise(raw)
+    raw = F.when(k == 0, "Not specified (see text)").when(k == 1, F.when(F.col("c_custkey") % 2 == 0, "who").otherwise(" WHO ")).otherwise(F.col("c_name"))
     return fixtures.table(spark, sf_dir, "customer").select("c_custkey", F.when(text.is_missing(raw), text.MISSING).otherwise(names.institution(raw)).alias("value"))
 
 

@@ -38,6 +38,7 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("k") / F.lit(100.0)).cast("double").alias("confidence"),
         error.alias("error"),
         F.floor(F.col("value") * 10).cast("long").alias("latency_ms"),
+        F.when(F.col("k") % 4 != 0, F.col("k") / F.lit(200.0)).cast("double").alias("logprob_confidence"),
         (F.col("value") / 1000).alias("cost_usd"),
         (F.col("value") / 100).alias("co2e_grams"),
         F.when(right, 1.0).otherwise(0.0).alias("score"),
@@ -168,7 +169,7 @@ SQL = {
     CAST(user_id % 3 + 1 AS INTEGER) AS version, ts AS created_at, k,
     CASE event_type WHEN 'purchase' THEN 'hit' WHEN 'signup' THEN 'correct_abstain' WHEN 'view' THEN 'abstain_miss' WHEN 'click' THEN 'wrong' WHEN 'error' THEN 'hallucination' END AS outcome,
     event_type IN ('purchase', 'signup') AS is_correct, CAST(k AS DOUBLE) / 100.0::DOUBLE AS confidence,
-    CASE WHEN k % 20 = 0 THEN 'simulated' END AS error, CAST(floor(value * 10) AS BIGINT) AS latency_ms,
+    CASE WHEN k % 20 = 0 THEN 'simulated' END AS error, CAST(floor(value * 10) AS BIGINT) AS latency_ms, CASE WHEN k % 4 <> 0 THEN CAST(k AS DOUBLE) / 200.0::DOUBLE END AS logprob_confidence,
     value / 1000 AS cost_usd, value / 100 AS co2e_grams,
     CASE WHEN event_type IN ('purchase', 'signup') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score,
     CASE WHEN event_type IN ('purchase', 'signup') THEN 1.0::DOUBLE WHEN event_type = 'view' THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS honesty_score,
