@@ -10,10 +10,12 @@ reported string are reported. Rows are independent: no shuffle.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right, insort
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from itertools import accumulate
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,8 +75,9 @@ class Novelty:
 
         primed = zstandard.ZstdCompressionDict(DICTIONARY, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         self.compress = zstandard.ZstdCompressor(level=3, dict_data=primed, write_checksum=False, write_content_size=False).compress
+        self.added = lru_cache(maxsize=4096)(self._added)  # lines that repeat bring the same string in the same text
 
-    def added(self, before: str, candidate: str) -> int:
+    def _added(self, before: str, candidate: str) -> int:
         before = before.encode("utf-8", "replace")
         return len(self.compress(before + candidate.encode())) - len(self.compress(before))
 
@@ -94,15 +97,28 @@ def is_mixed(word: str) -> bool:
     return sum((any(c.isdigit() for c in word), any(c.islower() for c in word), any(c.isupper() for c in word))) >= 2
 
 
-def surroundings(text: str, s: int, e: int) -> tuple[str, str]:
-    """What stands before and after text[s:e], its copies blanked out, those that the limit would cut among them."""
+def blanked(text: str, s: int, e: int, spans: list[tuple[int, int]]) -> str:
+    """text[s:e] with blanks in place of the spans, which are sorted and don't overlap."""
+    s, e, parts = max(0, s), min(len(text), e), []
+    k = bisect_right(spans, (s, s))
+    k -= k > 0 and spans[k - 1][1] > s
+    while k < len(spans) and spans[k][0] < e:
+        a, b = max(s, spans[k][0]), min(e, spans[k][1])
+        parts += [text[s:a], " " * (b - a)]
+        s, k = b, k + 1
+    return "".join([*parts, text[s:e]])
+
+
+def surroundings(text: str, s: int, e: int, spans: list[tuple[int, int]] = ()) -> tuple[str, str]:
+    """What stands before and after text[s:e], its copies blanked out, those that the limit would cut among them, and the spans."""
     word, far = text[s:e], SURROUNDING_CHARS + e - s
-    return text[max(0, s - far) : s].replace(word, " ")[-SURROUNDING_CHARS:], text[e : e + far].replace(word, " ")[:SURROUNDING_CHARS]
+    before = blanked(text, s - far, s, spans).replace(word, " ")[-SURROUNDING_CHARS:]
+    return before, blanked(text, e, e + far, spans).replace(word, " ")[:SURROUNDING_CHARS]
 
 
-def is_novel(text: str, s: int, e: int, novelty: Novelty) -> bool:
-    """text[s:e] is hard to compress after the text before it, and after what follows it as well."""
-    before, after = surroundings(text, s, e)
+def is_novel(text: str, s: int, e: int, novelty: Novelty, spans: list[tuple[int, int]] = ()) -> bool:
+    """text[s:e] is hard to compress after the text before it, and after what follows it as well; spans are blanked out there."""
+    before, after = surroundings(text, s, e, spans)
     return novelty.added(after + before, text[s:e]) >= NOVELTY * (e - s)
 
 
@@ -112,42 +128,73 @@ def value_of(word: str) -> str:
     return longest if len(longest) >= 16 else word
 
 
+def occurrences(text: str, values: Iterable[str]) -> list[tuple[int, int]]:
+    """Where the values stand, each leftmost and non-overlapping, by one pass over the text."""
+    automaton, until, found = ahocorasick.Automaton(), {}, []
+    for value in values:
+        automaton.add_word(value, value)
+    if not len(automaton):
+        return found
+    automaton.make_automaton()
+    for last, value in automaton.iter(text):
+        s, e = last + 1 - len(value), last + 1
+        if s >= until.get(value, 0):
+            until[value] = e
+            found.append((s, e))
+    return found
+
+
+def not_within(copies: list[tuple[int, int]], others: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The copies that lie in none of the others and in no longer copy."""
+    kept, reach = [], 0
+    for s, less, is_copy in sorted([(s, -e, False) for s, e in others] + [(s, -e, True) for s, e in copies]):
+        if is_copy and -less > reach:
+            kept.append((s, -less))
+        reach = max(reach, -less)
+    return kept
+
+
 def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty) -> list[tuple[int, int, int]]:
     """Candidates in a sensitive context that don't overlap a base span and are hard to compress, and all their copies.
 
-    The values of base spans that are hard to compress have their copies reported too.
+    The values of base spans that are hard to compress have their copies reported too. All steps go along sorted
+    spans or once over the text, so that the work grows with its length.
     """
     taken = sorted((s, e) for s, _, e in base)
     ends = list(accumulate((e for _, e in taken), max))
     starts = [s for s, _ in taken]
     overlaps = lambda s, e: (k := bisect_left(starts, e)) > 0 and ends[k - 1] > s
-    spans, unsure = set(), set()
+    spans, unsure = [], []  # both in the order of the text
     found = list(CANDIDATE.finditer(text))
     for m, sensitive in zip(found, in_context(text, found), strict=True):
         s, e = m.span()
         if overlaps(s, e) or not sensitive or not is_mixed(m.group()):
             continue
-        (spans if is_novel(text, s, e, novelty) else unsure).add((s, e))
-    fresh = spans
-    while fresh and unsure:  # random strings nearby make a string look less novel: those reported are blanked out
-        near = {(s, e) for s, e in unsure if any(a < e + SURROUNDING_CHARS and s < b + SURROUNDING_CHARS for a, b in fresh)}
-        blanked = redacted_text(text, [(s, 0, e) for s, e in spans], None) if near else text
-        fresh = {(s, e) for s, e in near if is_novel(blanked, s, e, novelty)}
-        spans, unsure = spans | fresh, unsure - fresh
+        (spans if is_novel(text, s, e, novelty) else unsure).append((s, e))
+    unsure_starts, unsure_ends, open_ = [s for s, _ in unsure], [e for _, e in unsure], [True] * len(unsure)
+    fresh = list(spans)
+    while fresh:  # random strings nearby make a string look less novel: those reported are blanked out
+        near = sorted({
+            k for a, b in fresh for k in range(bisect_right(unsure_ends, a - SURROUNDING_CHARS), bisect_left(unsure_starts, b + SURROUNDING_CHARS)) if open_[k]
+        })
+        near = [k for k in near if is_novel(text, *unsure[k], novelty, spans)]
+        fresh = [unsure[k] for k in near]
+        for k in near:
+            open_[k] = False
+            insort(spans, unsure[k])
     values = {value_of(text[s:e]) for s, e in spans}
-    spans |= {tail.span(1) for _, e in spans if (tail := TAIL.match(text, e))}
+    spans += [tail.span(1) for _, e in spans if (tail := TAIL.match(text, e))]
+    held: dict[str, list[tuple[int, int]]] = {}
     for s, kind, e in base:
         for m in CANDIDATE.finditer(text, BASE[0][1].match(text, s).start(2) if kind == 0 else s, e):
-            if m.group() not in values and text.count(m.group()) > 1 and is_mixed(m.group()) and is_novel(text, *m.span(), novelty):
-                values.add(value_of(m.group()))
-    for value in values:
-        s = text.find(value)
-        while s >= 0:
-            e = s + len(value)
-            if not any(a <= s and e <= b for a, b in taken) and not any(a <= s and e <= b for a, b in spans):
-                spans.add((s, e))
-            s = text.find(value, e)
-    return [(s, len(BASE), e) for s, e in sorted(spans)]
+            if m.group() not in values and is_mixed(m.group()):
+                held.setdefault(m.group(), []).append(m.span())
+    times: dict[str, int] = {}
+    for s, e in occurrences(text, held):
+        times[text[s:e]] = times.get(text[s:e], 0) + 1
+    values |= {value_of(word) for word, at in held.items() if times[word] > 1 and any(is_novel(text, *x, novelty) for x in at)}
+    spans += not_within(occurrences(text, values), taken + spans)
+    return [(s, len(BASE), e) for s, e in sorted(set(spans))]
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
@@ -157,9 +204,10 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 def scan(docs: DataFrame) -> DataFrame:
     """Per row of docs the spans of secrets in its whole text, as kind, start and end in code points.
 
-    base: the base kinds' spans, joined by start and then kind; spans: with the novel ones. A null text
-    is empty and has none. doc_id may be null or repeat. An empty table gives no rows; other columns of
-    docs are ignored.
+    base: the base kinds' spans, joined by start and then kind; spans: with the novel ones. A sensitive word counts
+    within 48 characters of a candidate or of one that adjoins it, and a candidate is compressed after the 512
+    characters on either side. A null text is empty and has none; very long texts are scanned whole, in one pass for
+    all copies. doc_id may be null or repeat. An empty table gives no rows; other columns of docs are ignored.
     """
     schema = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base", pa.string()), ("spans", pa.string())])
 
@@ -178,13 +226,11 @@ def scan(docs: DataFrame) -> DataFrame:
     return common.mapped(docs.select(F.col("doc_id").cast("long"), "text"), run, f"doc_id long, {counts}, base string, spans string")
 
 
-def redacted_text(text: str, spans: list[tuple[int, int, int]], mark: str | None) -> str:
-    """text with mark in place of each run of spans that overlap; without a mark blanks, as many as characters."""
+def redacted_text(text: str, spans: list[tuple[int, int, int]], mark: str) -> str:
+    """text with mark in place of each run of spans that overlap."""
     parts, end = [], 0
     for s, _, e in sorted(spans):
-        if mark is None:
-            parts += [text[end:s], " " * (e - max(s, end))]
-        elif s >= end:
+        if s >= end:
             parts += [text[end:s], mark]
         end = max(end, e)
     return "".join([*parts, text[end:]]) if parts else text
