@@ -2,8 +2,8 @@
 
 Memtables: what the tasks of a few neighbouring partitions read is aggregated by digest on the map side
 and flushed as one run, sorted by digest, of each digest the number of rows and the row that stays. Each
-run has a filter, a bitmap over digest prefixes. Look-up: a digest whose bit no other run's filter has is
-settled. Compaction merges the others of a few runs into one of the next level, which keeps of each digest
+run sets bits of a filter, bitmaps over digest prefixes, one for each bucket of them. Look-up: a digest whose bit
+no other run has set is settled. Compaction merges the others of a few runs into one of the next level, which keeps of each digest
 the best row, and goes on until one run is left. Verification: only texts whose digest's bit is in the
 filter over groups of two or more move, and of each digest the least and the greatest normalised text are
 compared byte by byte. Digests that hold different texts are grouped anew by longer digests.
@@ -20,10 +20,8 @@ from . import common
 
 #: Partitions whose memtables make up a run, and runs that one compaction merges.
 RUN_PARTS, FAN = 8, 8
-#: Bits of a filter for each digest that it holds; bits, as a power of two, of all filters that are broadcast
-#: together: 32 MB. With more digests than that look-ups are left out and compaction merges all of them; the
-#: filter over groups stays that large and lets more texts through. Neither changes a result.
-BITS_EACH, FILTER_BITS = 16, 28
+#: Bits of a filter for each digest that it holds.
+BITS_EACH = 16
 #: Of Spark's bitmaps: bits in one, as a power of two.
 BITMAP = 15
 
@@ -67,11 +65,15 @@ def prefix_bit(digest: Column, bits: int) -> Column:
     return F.conv(F.hex(F.substring(digest, 1, 7)), 16, 10).cast("long") % (1 << bits)
 
 
-def bitmaps(rows: DataFrame, bits: int, *by: str) -> DataFrame:
-    """(by, bucket, bits): the rows' filters, a bitmap for each 2^15 bits of them that hold any."""
-    at = rows.select(*by, prefix_bit(F.col("digest"), bits).alias("h"))
-    at = at.select(*by, F.shiftright("h", BITMAP).alias("bucket"), (F.col("h") % (1 << BITMAP)).alias("place"))
-    return at.groupBy(*by, "bucket").agg(F.bitmap_construct_agg("place").alias("bits"))
+def at_bit(rows: DataFrame, bits: int) -> DataFrame:
+    """rows with the bucket and place of their digest's bit: a bucket is 2^15 bits."""
+    h = prefix_bit(F.col("digest"), bits)
+    return rows.withColumn("bucket", F.shiftright(h, BITMAP)).withColumn("place", (h % (1 << BITMAP)).cast("int"))
+
+
+def bitmaps(places: DataFrame) -> DataFrame:
+    """(bucket, bits) of the places, as a table: Spark knows its size, and broadcasts it or deals both sides by bucket."""
+    return common.written(places.groupBy("bucket").agg(F.bitmap_construct_agg(F.col("place").cast("long")).alias("bits")), "exact-filter")
 
 
 def is_set(bits: Column, place: Column) -> Column:
@@ -79,14 +81,11 @@ def is_set(bits: Column, place: Column) -> Column:
     return byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), place % 8)) != 0
 
 
-def looked_up(level: DataFrame, largest: int) -> DataFrame:
-    """level with hit: if the filter of another run has the digest's bit."""
-    bits = filter_bits(largest)
-    filters = bitmaps(level, bits, "run").groupBy("bucket").agg(F.collect_list(F.struct("run", "bits")).alias("filters"))
-    h = prefix_bit(F.col("digest"), bits)
-    at = level.withColumn("bucket", F.shiftright(h, BITMAP)).withColumn("place", (h % (1 << BITMAP)).cast("int"))
-    hit = F.exists("filters", lambda f: (f["run"] != F.col("run")) & is_set(f["bits"], F.col("place")))
-    return at.join(F.broadcast(filters), "bucket").select(*level.columns, hit.alias("hit"))
+def looked_up(level: DataFrame, n: int) -> DataFrame:
+    """level, of n digests, with hit: if another run has set the digest's bit."""
+    at = at_bit(level, filter_bits(n))
+    shared = at.groupBy("bucket", "place").agg(F.min("run").alias("one"), F.max("run").alias("other")).where("one <> other")
+    return at.join(bitmaps(shared), "bucket", "left").select(*level.columns, (F.col("bits").isNotNull() & is_set(F.col("bits"), F.col("place"))).alias("hit"))
 
 
 def compacted(level: DataFrame) -> DataFrame:
@@ -96,20 +95,17 @@ def compacted(level: DataFrame) -> DataFrame:
         sizes = [r.n for r in level.groupBy("run").agg(F.count("*").alias("n")).collect()]  # a row for each run
         if len(sizes) < 2:
             return reduce(DataFrame.unionByName, [*settled, level.drop("run")])
-        if len(sizes) << filter_bits(max(sizes)) <= 1 << FILTER_BITS:
-            found = common.written(looked_up(level, max(sizes)), "exact-looked-up")
-            settled.append(found.where("NOT hit").drop("run", "hit"))
-            level = found.where("hit").drop("hit")
+        found = common.written(looked_up(level, sum(sizes)), "exact-looked-up")
+        settled.append(found.where("NOT hit").drop("run", "hit"))
+        level = found.where("hit").drop("hit")
         merged = level.groupBy((F.col("run") / FAN).cast("int").alias("run"), "digest").agg(F.sum("n").alias("n"), F.min("best").alias("best"))
         level = common.written(merged, "exact-run")
 
 
 def may_be_in(rows: DataFrame, groups: DataFrame, n_groups: int) -> DataFrame:
     """rows with maybe: if the digest's bit is set in the filter over the groups' digests."""
-    bits = min(filter_bits(n_groups), FILTER_BITS)
-    h = prefix_bit(F.col("digest"), bits)
-    at = rows.withColumn("bucket", F.shiftright(h, BITMAP)).withColumn("place", (h % (1 << BITMAP)).cast("int"))
-    tested = at.join(F.broadcast(bitmaps(groups, bits)), "bucket", "left")
+    bits = filter_bits(n_groups)
+    tested = at_bit(rows, bits).join(bitmaps(at_bit(groups.select("digest"), bits)), "bucket", "left")
     return tested.withColumn("maybe", F.col("bits").isNotNull() & is_set(F.col("bits"), F.col("place"))).select(*rows.columns, "maybe")
 
 

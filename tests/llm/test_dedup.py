@@ -49,14 +49,17 @@ def test_exact(spark, corpus, digest_bytes):
 
 
 def test_exact_by_levels(spark, corpus, monkeypatch):
-    """A run for each partition, merged two by two, with look-ups and without."""
+    """A run for each partition, merged two by two; filters that are broadcast, and that are dealt by bucket."""
     wanted = sorted((r.doc_id, r.keep_id, r.group_size) for r in exact_dedup.dedup(documents(spark, corpus)).collect())
     monkeypatch.setattr(exact_dedup, "RUN_PARTS", 1)
     monkeypatch.setattr(exact_dedup, "FAN", 2)
     docs = common.written(documents(spark, corpus, 9), "nine")
-    for bits in (28, 16):
-        monkeypatch.setattr(exact_dedup, "FILTER_BITS", bits)
-        assert sorted((r.doc_id, r.keep_id, r.group_size) for r in exact_dedup.dedup(docs.repartition(9)).collect()) == wanted
+    for most in ("10m", "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+        try:
+            assert sorted((r.doc_id, r.keep_id, r.group_size) for r in exact_dedup.dedup(docs.repartition(9)).collect()) == wanted
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_exact_without_ids(spark):

@@ -2,6 +2,7 @@
 
 import base64
 import random
+import time
 
 import pytest
 from assayer.llm import secrets
@@ -58,3 +59,39 @@ def test_surroundings_hold_no_part_of_a_copy():
         text = f"{key}{'.' * n}{key}{'.' * n}{key}"
         s = text.find(key, 40)
         assert not any(set(x) - {".", " "} for x in secrets.surroundings(text, s, s + len(key)))
+
+
+def planted(rng, kind):
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    if kind == "key":
+        return "".join(rng.choices(letters, k=rng.randint(24, 48)))
+    words = ["Payment", "Request", "user", "Total", "index", "Module", "config", "Value", "report", "Handler", "default", "Session", "Invoice", "Shipping", "ledger"]
+    return rng.choice(["/", "_", ""]).join(rng.choices(words, k=rng.randint(3, 5))) + str(rng.randint(1, 99))
+
+
+def test_rates_on_planted_keys_and_look_alikes():
+    """Of keys beside a sensitive word at least 97 in 100 are found, of names and paths there, some of unknown words, at most 15."""
+    rng, novelty = random.Random(12), secrets.Novelty()
+    prose = "the report of the session was sent to the office and nobody had read it before the end of the week".split()
+    rates = {}
+    for kind in ("key", "name"):
+        found = 0
+        for _ in range(300):
+            word = planted(rng, kind)
+            text = " ".join([*rng.choices(prose, k=60), "bearer", word, *rng.choices(prose, k=60)])
+            spans = {(s, e) for s, _, e in secrets.novel_spans(text, secrets.base_spans(text), novelty)}
+            found += (text.index(word), text.index(word) + len(word)) in spans
+        rates[kind] = found / 300
+    assert rates["key"] >= 0.97 and rates["name"] <= 0.15, rates
+
+
+def test_dense_texts_take_time_by_their_length():
+    rng, novelty = random.Random(13), secrets.Novelty()
+    key, seconds = planted(rng, "key"), {}
+    for n in (20_000, 80_000):
+        text = "\n".join(f'line {k} password = "{key}" and auth {key}' for k in range(n))
+        began = time.perf_counter()
+        found = secrets.novel_spans(text, secrets.base_spans(text), novelty)
+        seconds[n] = time.perf_counter() - began
+        assert len(found) == n
+    assert seconds[80_000] < 10 * seconds[20_000]
