@@ -39,7 +39,7 @@ from . import common, wordhash
 BLOCK, COMMON_HERE, COMMONEST = 2_000_000, 8, 200_000
 #: Sets of a list whose pairs are all asked for at once; longer lists go by leaders and blocks.
 SHORT = 24
-#: Turns in which each block's leader is compared with the rest of its list.
+#: Turns in which each block's leader is compared with the rest of its list; in the last the short lists' pairs join them.
 LEADER_TURNS = 2
 #: Sizes of a block differ by less than this factor, positions (from 1) by less than the other.
 SIZE_STEP, POSITION_STEP = 1.25, 2.0
@@ -376,12 +376,11 @@ def link(docs: DataFrame, threshold: int = 80, size: int = 5) -> DataFrame:
     links.append(sets.compare(plain(short_pairs(index, threshold, 1))).where("linked"))
     root = tied(None, links[-1])
     for turn in range(LEADER_TURNS):
-        compared = sets.compare(plain(leader_pairs(open_lists(lists, root), threshold, turn)))
-        links.append(compared.where("linked"))
+        asked = leader_pairs(open_lists(lists, root), threshold, turn)
+        if turn == LEADER_TURNS - 1:
+            asked = asked.unionByName(untied(short_pairs(index, threshold, SHORT), root)).distinct()
+        links.append(sets.compare(plain(common.written(asked, "jaccard-leaders"))).where("linked"))
         root = tied(root, links[-1])
-    others = common.written(untied(short_pairs(index, threshold, SHORT), root), "jaccard-others")
-    links.append(sets.compare(plain(others)).where("linked"))
-    root = tied(root, links[-1])
 
     # long lists by their heads: what is left to be found is between sets of different components
     follow = common.written(followers(reduce(DataFrame.unionByName, links)), "jaccard-followers")
