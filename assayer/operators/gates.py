@@ -29,9 +29,9 @@ def stage_status(runs: DataFrame, prompt_versions: DataFrame, judgments: DataFra
     cells = runs.groupBy(*key, "truth", "predicted").agg(F.count("*").alias("n"), F.min("run_id").alias("seen"))
     cells = durable(cells)  # all that the versions' choice, kappa and the confusion matrix need of the runs
     best = durable(versions.best_of(cells.groupBy(*key).agg(F.sum("n").alias("n_runs")), prompt_versions).select(*key))
-    chosen = cells.where("truth IS NOT NULL AND truth <> ''").join(F.broadcast(best), key, "left_semi")
+    chosen = cells.where("truth IS NOT NULL AND truth <> ''").join(best, key, "left_semi")
     quality = metrics.categorical_of(chosen, ["model_id"])
-    judged = summaries.judge_summary(judgments, runs.join(F.broadcast(best), key, "left_semi"))
+    judged = summaries.judge_summary(judgments, runs.join(best, key, "left_semi"))
     found = quality.join(judged, "model_id", "left").join(summaries.optimizer_stats(iterations), "model_id", "left")
     bar = F.lit(threshold)
     clears = F.coalesce(F.col("kappa") >= bar, F.lit(False)) & floor_ok(None, F.col("sensitivity"), F.col("sensitivity_gateable"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +22,7 @@ def audit(truth: DataFrame, allowed: DataFrame) -> DataFrame:
     empty = truth.where(F.size(F.filter("values", lambda x: x.isNotNull())) <= 0).select("record_id", F.lit(None).cast("string").alias("value"))
     twice = items.groupBy("record_id", lower.alias("folded")).count().where("count > 1").select("record_id", F.col("folded").alias("value"))
     order = items.where(~F.col("value").contains(",") & (F.size(F.split(F.trim("value"), r"\s+")) >= 2))
-    outside = items.join(F.broadcast(valid), lower == F.col("ok"), "left_anti")
+    outside = items.join(valid, lower == F.col("ok"), "left_anti")
     rare = items.groupBy("value").count().where("count <= 2").select(no_record, "value")
     parts = [kind(empty, "empty"), kind(items.where("folded <> value"), "encoding_noise"), kind(twice, "duplicate_entry"), kind(order, "name_order"), kind(outside, "not_in_taxonomy"), kind(rare, "rare_category")]
     found = parts[0]
@@ -79,41 +78,53 @@ def plan_single(reviews: DataFrame, truth: DataFrame) -> DataFrame:
     return planned.select("record_id", "old", F.when(F.size("targets") == 1, F.col("targets")[0]).alias("new"), status.alias("status"))
 
 
-PLAN = "record_id long, old array<string>, new array<string>, ops array<string>"
+def likenesses(strings: DataFrame, threshold: float) -> DataFrame:
+    """strings (record_id, all: a record's strings) -> (record_id, folds, alike): each string's folded form, and which two name the same.
+
+    Each distinct string is folded once, and each distinct pair that lengths leave open compared once.
+    """
+    each = strings.select("record_id", F.explode("all").alias("s"))
+    folds = each.join(each.select("s").distinct().withColumn("f", text.norm_text("s")), "s").groupBy("record_id").agg(F.sort_array(F.collect_list(F.struct("s", "f"))).alias("folds"))
+    after = lambda x, i: F.transform(F.slice("folds", i + 2, F.size("folds")), lambda y: F.struct(x.alias("x"), y.alias("y")))
+    pairs = folds.select("record_id", F.explode(F.flatten(F.transform("folds", after))).alias("p")).select("record_id", "p.x", "p.y")
+    n, m = F.length("a"), F.length("b")
+    open_ = pairs.select(F.col("x.f").alias("a"), F.col("y.f").alias("b")).distinct().where((F.col("a") == F.col("b")) | (200 * F.least(n, m) >= threshold * (n + m)))
+    near = open_.where((F.col("a") == F.col("b")) | (fuzzy.token_sort_ratio("a", "b") >= threshold))
+    met = pairs.join(near, (F.col("x.f") == F.col("a")) & (F.col("y.f") == F.col("b"))).groupBy("record_id").agg(F.collect_set(F.struct(F.col("x.s").alias("a"), F.col("y.s").alias("b"))).alias("alike"))
+    return folds.join(met, "record_id", "left").withColumn("alike", F.coalesce("alike", F.array().cast("array<struct<a:string,b:string>>")))
 
 
 def plan_lists(reviews: DataFrame, truth: DataFrame, threshold: float = 90.0) -> DataFrame:
-    """Additions, removals and replacements of a record's values, one after the other: a review's rows are few."""
-    joined = reviews.join(truth.select("record_id", "values"), "record_id")
-
-    def matches(a: str, b: str) -> bool:
-        a, b = text.plain(a), text.plain(b)
-        return a == b or fuzzy.token_sort(a, b) >= threshold
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        old = list(group["values"].iloc[0])
-        work, ops = list(old), []
-        for row in group.sort_values("ordinal").itertuples():
-            if row.kind in ("keep", ""):
-                continue
-            at = next((i for i, x in enumerate(work) if matches(x, row.value)), None)
-            wanted = row.edit if row.kind == "edit" else row.value
-            if row.issue_type == "recall_miss" and at is not None:
-                if row.kind == "accept":
-                    ops.append(f"remove: {work.pop(at)}")
-                else:
-                    ops.append(f"replace: {work[at]} -> {wanted}")
-                    work[at] = wanted
-            elif row.issue_type == "recall_miss" and row.kind == "edit" or row.issue_type == "models_agree_gt_lacks" and not any(matches(x, wanted) for x in work):
-                work.append(wanted)
-                ops.append(f"add: {wanted}")
-        new = list({text.plain(x): x for x in reversed(work)}.values())[::-1]
-        changed = ops and new != old
-        return pd.DataFrame([(group["record_id"].iloc[0], old, new, ops)] if changed else [], columns=["record_id", "old", "new", "ops"])
+    """reviews (record_id, ordinal, issue_type, value, curator_decision) -> (record_id, old, new, ops) of the records of truth that change.
 
+    A record's decisions are taken one after the other: additions of what isn't there, removals and replacements of
+    what is, by folded or nearly equal value. Of values with one folded form the first stays.
+    """
     d = decision(F.col("curator_decision"))
-    ready = joined.withColumn("kind", d["kind"]).withColumn("edit", F.coalesce(d["value"], F.lit(""))).withColumn("value", F.trim("value"))
-    return ready.groupBy("record_id").applyInPandas(run, PLAN)
+    rows = reviews.select("record_id", "ordinal", F.trim(F.coalesce("issue_type", F.lit(""))).alias("issue"), F.trim(F.coalesce("value", F.lit(""))).alias("value"), d["kind"].alias("kind"), F.coalesce(d["value"], F.lit("")).alias("edit"))
+    rows = rows.where("kind = 'accept' OR kind = 'edit' AND edit <> ''").withColumn("wanted", F.when(F.col("kind") == "edit", F.col("edit")).otherwise(F.col("value")))
+    steps = rows.groupBy("record_id").agg(F.sort_array(F.collect_list(F.struct("ordinal", "issue", "value", "kind", "wanted"))).alias("steps"))
+    ready = steps.join(truth.select("record_id", F.filter(F.coalesce("values", F.array().cast("array<string>")), lambda x: x.isNotNull()).alias("old")), "record_id")
+    ready = durable(ready.withColumn("all", F.array_distinct(F.concat("old", F.transform("steps", lambda r: r["value"]), F.transform("steps", lambda r: r["wanted"])))))
+    ready = ready.join(likenesses(ready.select("record_id", "all"), threshold), "record_id")
+    same = lambda x, v: (x == v) | F.exists("alike", lambda y: (y["a"] == x) & (y["b"] == v) | (y["a"] == v) & (y["b"] == x))
+
+    def take(state: Column, r: Column) -> Column:
+        work, ops = state["work"], state["ops"]
+        at = F.array_position(F.transform(work, lambda x: same(x, r["value"])), F.lit(True))
+        there, edit, miss = F.exists(work, lambda x: same(x, r["wanted"])), r["kind"] == "edit", r["issue"] == "recall_miss"
+        add = (r["issue"] == "models_agree_gt_lacks") & ~there | miss & edit & (at == 0)
+        remove, replace, hit = miss & ~edit & (at > 0), miss & edit & (at > 0), F.get(work, (at - 1).cast("int"))
+        new = F.when(add, F.concat(work, F.array(r["wanted"]))).when(remove, F.filter(work, lambda x, i: i + 1 != at)).when(replace, F.transform(work, lambda x, i: F.when(i + 1 == at, r["wanted"]).otherwise(x)))
+        op = F.when(add, F.concat(F.lit("add: "), r["wanted"])).when(remove, F.concat(F.lit("remove: "), hit)).when(replace, F.concat(F.lit("replace: "), hit, F.lit(" -> "), r["wanted"]))
+        return F.struct(F.coalesce(new, work).alias("work"), F.when(op.isNotNull(), F.concat(ops, F.array(op))).otherwise(ops).alias("ops"))
+
+    first = F.struct(F.col("old").alias("work"), F.array().cast("array<string>").alias("ops"))
+    done = ready.withColumn("s", F.aggregate("steps", first, take))
+    fold = lambda x: F.filter("folds", lambda y: y["s"] == x)[0]["f"]
+    keys = F.transform("s.work", fold)
+    done = done.withColumn("keys", keys).withColumn("new", F.filter("s.work", lambda x, i: F.array_position("keys", fold(x)) == i + 1))
+    return done.where((F.size("s.ops") > 0) & (F.col("new") != F.col("old"))).select("record_id", "old", "new", F.col("s.ops").alias("ops"))
 
 
 def apply_changes(truth: DataFrame, changes: DataFrame, at: Column) -> tuple[DataFrame, DataFrame]:

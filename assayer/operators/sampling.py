@@ -14,6 +14,17 @@ def sample(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     return rows.orderBy(shuffled(key, seed), key).limit(n)
 
 
+def minibatches(rows: DataFrame, key: str, seed: int, iterations: int, k: int = 8) -> DataFrame:
+    """For each iteration k rows without replacement, or all if there are fewer, in an order of the iteration's own.
+
+    Tasks keep their first k of an iteration before the shuffle.
+    """
+    each = rows.withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
+    order = F.md5(F.concat(F.lit(f"{seed}:"), F.col("iteration").cast("string"), F.lit(":"), F.col(key).cast("string")))
+    rank = F.row_number().over(Window.partitionBy("iteration").orderBy(order, key))
+    return each.withColumn("_rank", rank).where(F.col("_rank") <= k).drop("_rank")
+
+
 def _placed(rows: DataFrame, key: str, seed: int) -> DataFrame:
     """rows with their rank in the shuffled order and the number of all rows.
 

@@ -37,7 +37,7 @@ def model_summary(runs: DataFrame) -> DataFrame:
 
 def run_versions(runs: DataFrame, versions: DataFrame) -> DataFrame:
     """Per prompt version that was run: runs and distinct models."""
-    return runs.join(F.broadcast(versions), "version").groupBy("version", "accepted").agg(F.count("*").alias("n_runs"), F.countDistinct("model_id").alias("n_models")).orderBy("version")
+    return runs.join(versions, "version").groupBy("version", "accepted").agg(F.count("*").alias("n_runs"), F.countDistinct("model_id").alias("n_models")).orderBy("version")
 
 
 def judge_summary(judgments: DataFrame, runs: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import durable
+
 
 def best_version(runs: DataFrame, versions: DataFrame) -> DataFrame:
     """Per model the highest accepted version that was run, else the version with most runs, the higher of ties."""
@@ -19,8 +21,8 @@ def best_of(counts: DataFrame, versions: DataFrame) -> DataFrame:
 
 
 def of_best_version(runs: DataFrame, versions: DataFrame) -> DataFrame:
-    """The runs of each model's best version: a semi-join with a row for each model."""
-    return runs.join(F.broadcast(best_version(runs, versions).select("model_id", "version")), ["model_id", "version"], "left_semi")
+    """The runs of each model's best version: a semi-join with a written table of a row for each model, whose size Spark knows."""
+    return runs.join(durable(best_version(runs, versions).select("model_id", "version")), ["model_id", "version"], "left_semi")
 
 
 def latest(rows: DataFrame, keys: list[str], order: list[str], values: list[str]) -> DataFrame:

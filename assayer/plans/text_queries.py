@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fuzzy, names, parsing, text
 from ..operators import ground_truth, metrics, passages, scoring, summaries
-from ..sources import fixtures
+from ..sources import fixtures, sinks
 from ..sources.fixtures import sql, sql_and
 from .registry import query
 
@@ -265,14 +265,37 @@ def categorical_plan(spark, sf_dir):
     return ground_truth.plan_single(reviews, truth)
 
 
-@query()
+@query("""WITH w AS (SELECT p_partkey, split_part(p_name, ' ', 1) AS one, split_part(p_name, ' ', 2) AS two, p_partkey % 4 AS k FROM part)
+SELECT p_partkey AS record_id, one || ';' || two AS old, CASE k WHEN 0 THEN two || ';zebra' WHEN 1 THEN one || ';other' WHEN 2 THEN one || ';' || two || ';other' END AS new,
+  CASE k WHEN 0 THEN 'remove: ' || one || ';add: zebra' WHEN 1 THEN 'replace: ' || two || ' -> other' WHEN 2 THEN 'add: other' END AS ops FROM w WHERE k < 3""")
 def list_plan(spark, sf_dir):
-    """GTQ5."""
+    """GTQ5: several reviews of a record, one after the other; values that are there in other letters aren't added, those that aren't there can't be removed."""
+    part = fixtures.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("record_id"), F.split("p_name", " ").alias("values"), (F.col("p_partkey") % 4).alias("k"))
+    one, two = F.col("values")[0], F.col("values")[1]
+    step = lambda n, k, issue, value, said: F.struct(F.lit(n).alias("ordinal"), F.array(*map(F.lit, k)).alias("of"), F.lit(issue).alias("issue_type"), value.alias("value"), F.lit(said).alias("curator_decision"))
+    steps = F.array(
+        step(1, [0], "recall_miss", one, "Accept"), step(2, [0], "models_agree_gt_lacks", F.lit(" zebra"), "accept"), step(3, [0, 1, 3], "models_agree_gt_lacks", F.upper(two), "accept"),
+        step(4, [1], "recall_miss", F.concat(F.lit(" "), F.upper(two)), "edit: other"), step(5, [2], "recall_miss", F.lit("absent"), "edit: other"), step(6, [2, 3], "recall_miss", F.lit("absent"), "accept"),
+        step(7, [0, 1, 2, 3], "recall_miss", two, "keep"),
+    )
+    reviews = part.withColumn("r", F.explode(steps)).where(F.array_contains("r.of", F.col("k"))).select("record_id", "r.ordinal", "r.issue_type", "r.value", "r.curator_decision")
+    plan = ground_truth.plan_lists(reviews, part)
+    return plan.select("record_id", *[F.array_join(c, ";").alias(c) for c in ("old", "new", "ops")])
+
+
+@query("""WITH t AS (SELECT p_partkey AS record_id, p_brand AS value FROM part), c AS (SELECT record_id, value AS old, 'new' AS new FROM t WHERE record_id % 3 = 0), j AS (SELECT p_partkey * 10 AS run_id, p_partkey AS record_id FROM part)
+SELECT 'truth' AS part, record_id, CASE WHEN record_id % 3 = 0 THEN 'new' ELSE value END AS value FROM t UNION ALL SELECT 'log', record_id, old || ' -> ' || new FROM c UNION ALL SELECT 'judgment', record_id, CAST(run_id AS VARCHAR) FROM j WHERE record_id % 3 <> 0""")
+def applied_changes(spark, sf_dir):
+    """GTQ6, SNK8: changes applied to the truth, the log of them, and judgments of changed records taken back."""
     part = fixtures.table(spark, sf_dir, "part")
-    truth = part.select(F.col("p_partkey").alias("record_id"), F.split("p_name", " ").alias("values"))
-    issue = F.when(F.col("p_partkey") % 2 == 0, "recall_miss").otherwise("models_agree_gt_lacks")
-    reviews = part.select(F.col("p_partkey").alias("record_id"), F.lit(1).alias("ordinal"), issue.alias("issue_type"), F.split("p_name", " ")[0].alias("value"), F.when(F.col("p_partkey") % 3 == 0, "edit: other").otherwise("accept").alias("curator_decision"))
-    return ground_truth.plan_lists(reviews, truth)
+    truth = part.select(F.col("p_partkey").alias("record_id"), F.col("p_brand").alias("value"))
+    changes = truth.where("record_id % 3 = 0").select("record_id", F.col("value").alias("old"), F.lit("new").alias("new"))
+    new, log = ground_truth.apply_changes(truth, changes, F.lit("2024-01-01"))
+    judgments = part.select((F.col("p_partkey") * 10).alias("run_id"), F.col("p_partkey").alias("record_id"))
+    left = sinks.delete_matching(judgments, changes, ["record_id"])
+    row = lambda name, rows, value: rows.select(F.lit(name).alias("part"), "record_id", value.cast("string").alias("value"))
+    logged = row("log", log, F.concat("old_value", F.lit(" -> "), "new_value"))
+    return row("truth", new, F.col("value")).unionByName(logged).unionByName(row("judgment", left, F.col("run_id")))
 
 
 @query(sql_and("runs ground_truth", """raw AS (SELECT run_id, record_id, 'c' || CAST(record_id % 15 AS VARCHAR) AS value, k, CASE WHEN k % 11 <> 0 THEN latency_ms END AS lp,

@@ -80,10 +80,16 @@ def newest_runs(spark, sf_dir):
 
 @query("SELECT p_partkey FROM part ORDER BY md5('42:' || CAST(p_partkey AS VARCHAR)), p_partkey LIMIT 100")
 def seeded_sample(spark, sf_dir):
-    """SMP1, SMP5, SMP6: sampling is the feature."""
+    """SMP1, SMP6: sampling is the feature."""
     return sampling.sample(fixtures.table(spark, sf_dir, "part"), "p_partkey", 100, 42).select("p_partkey")
 
 
+@query("SELECT i AS iteration, p_partkey FROM (SELECT CAST(i AS INTEGER) AS i, p_partkey, row_number() OVER (PARTITION BY i ORDER BY md5('9:' || i || ':' || p_partkey), p_partkey) AS n FROM part, range(5) t(i)) WHERE n <= 8")
+def minibatches(spark, sf_dir):
+    """SMP5: eight rows for each iteration, drawn anew; sampling is the feature."""
+    return sampling.minibatches(fixtures.table(spark, sf_dir, "part").select("p_partkey"), "p_partkey", 9, 5)
+
+
 @query("""WITH r AS (SELECT p_partkey, row_number() OVER (ORDER BY md5('7:' || CAST(p_partkey AS VARCHAR)), p_partkey) AS i, count(*) OVER () AS n FROM part),
 c AS (SELECT *, least(400, n // 3) AS h FROM r) SELECT p_partkey, CASE WHEN i <= h THEN 'holdout' WHEN i <= h + least(300, greatest(1, (n - h) // 2)) THEN 'val' ELSE 'train' END AS part FROM c""")
 def splits(spark, sf_dir):

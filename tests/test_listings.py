@@ -91,3 +91,62 @@ def test_splits_of_few_rows(spark):
     assert sampling.split_validation(spark.range(11), "id", 1, 0.01).where("part = 'val'").count() == 1
     parts = {r["part"]: r["count"] for r in sampling.split_fractions(few, "id", 1, 0.2, 0.1).groupBy("part").count().collect()}
     assert parts == {"test": 2, "val": 1, "train": 7}
+
+
+def test_limits_look_ups_and_folded_sets(spark):
+    import pytest
+
+    from assayer.operators import listings
+
+    rows = spark.range(3000).withColumnRenamed("id", "n")
+    assert [listings.newest(rows, ["n"], asked).count() for asked in (None, 0, 5, 99_999)] == [200, 1, 5, 2000]
+    assert listings.newest(rows, ["n"], 1).first().n == 2999
+    projects = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id int, slug string")
+    assert listings.by_slug(projects, "b").first().id == 2
+    with pytest.raises(LookupError, match="nowhere"):
+        listings.by_slug(projects, "nowhere")
+    ids = spark.createDataFrame([(3,), (1,), (1,), (9,)], "id int")
+    assert [r.id for r in listings.with_ids(projects, ids, "id").collect()] == [1, 3]
+    lists = spark.createDataFrame([(["A", "b", "a", " c"], ["B", "x"])], "v array<string>, o array<string>")
+    assert lists.select(listings.not_in("v", "o")).first()[0] == ["A", " c"]
+
+
+def test_optimizer_steps_and_epsilon(spark):
+    from assayer.operators import gates, reports
+
+    fields = spark.createDataFrame([("authors",), ("sector_name",)], "f string")
+    assert [r[0] for r in fields.select(gates.epsilon(fields.f)).collect()] == [0.03, 0.01]
+    best = spark.createDataFrame([("r", 1, True), ("r", 3, False)], "run string, step int, improves boolean")
+    steps = spark.createDataFrame([("r", k) for k in (1, 2, 2, 3, 4, 5, 6)], "run string, step int")
+    found = reports.replayed(reports.with_all_steps(best, steps, ["run"], "step"), ["run"], "step")
+    assert sorted((r.step, r.improves, r.misses, r.bold, r.stops) for r in found.collect()) == [
+        (1, True, 0, False, False), (2, False, 0, False, False), (3, False, 1, False, False), (4, False, 2, True, False), (5, False, 3, True, True)
+    ]
+
+
+def test_retried_pairs(spark):
+    from assayer.operators import scoring
+
+    runs = spark.createDataFrame([(1, "a", "e"), (1, "a", "e"), (2, "a", "e"), (2, "a", None), (3, "a", "e"), (4, "a", "e")], "record_id int, model_id string, error string")
+    replies = spark.createDataFrame([(1, "a", 'ok {"value": "Peru"}', "peru"), (2, "a", '{"value": "x"}', "x"), (3, "a", "sorry", "x"), (4, "a", '{"value": ""}', "x")], "record_id int, model_id string, raw string, truth string")
+    found = {r.record_id: (r.predicted, r.error, r.result and r.result.outcome) for r in scoring.retried(runs, replies, ["record_id", "model_id"]).collect()}
+    assert found == {1: ("Peru", None, "hit"), 3: (None, "no JSON object in the reply", None), 4: (None, None, "abstain_miss")}
+
+
+def test_imbalance_and_health(spark):
+    import datetime
+
+    from pyspark.sql import functions as F
+
+    from assayer.operators import summaries, workflow
+
+    rows = spark.createDataFrame([("b",)] * 4 + [("a",)] * 4 + [(None,)] * 2, "v string")
+    assert tuple(summaries.imbalance(rows, "v").first()) == (2, "a", 0.4, False)
+    assert summaries.imbalance(rows.where("v IS NULL"), "v").count() == 0
+    at = lambda h: datetime.datetime(2024, 1, 2) - datetime.timedelta(hours=h)
+    tasks = spark.createDataFrame([("optimization", "done", at(1)), ("optimization", "failed", at(23)), ("optimization", "failed", at(25)), ("judge", "failed", at(1)), ("optimization", "running", None)], "kind string, status string, finished_at timestamp")
+    tried = spark.createDataFrame([(at(1), True), (at(2), False), (at(30), True)], "created_at timestamp, accepted boolean")
+    row = workflow.optimizer_health(tasks, tried, F.lit(at(0))).first()
+    assert row.asDict() == {"n_runs": 2, "n_failed": 1, "n_candidates": 2, "n_accepted": 1, "failure_rate": 0.5, "accept_rate": 0.5}
+    none = workflow.optimizer_health(tasks.limit(0), tried.limit(0), F.lit(at(0))).first()
+    assert none.failure_rate == none.accept_rate == 0.0

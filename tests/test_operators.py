@@ -204,3 +204,44 @@ def test_nearest_equals_the_cross_join(spark):
     assert {r.value: (r.rank, r.score) for r in found.collect()} == wanted
     none = nearest.nearest(rows(spark, [("a", "a")], "value string, text string"), rows(spark, [], "rank long, text string"))
     assert none.collect() == []
+
+
+def test_list_plans_are_those_of_one_review_after_the_other(spark):
+    import random
+
+    from assayer.functions import fuzzy, text
+
+    rng = random.Random(6)
+    words = ["World Bank", "world  bank", "Bank World", "UNICEF", "Unicéf", "FAO", "Food Org", "Food Orgs", "x"]
+
+    def matches(a, b):
+        a, b = text.plain(a), text.plain(b)
+        return a == b or fuzzy.token_sort(a, b) >= 90
+
+    truth = {k: [rng.choice(words) for _ in range(rng.randrange(5))] for k in range(60)}
+    reviews = [(k, n, rng.choice(["recall_miss", "models_agree_gt_lacks", "other"]), rng.choice(words), rng.choice(["keep", "accept", "", "edit: FAO", "edit:  ", "Edit: food org"])) for k in range(0, 70, 1) for n in range(rng.randrange(5))]
+    wanted = {}
+    for k, old in truth.items():
+        work, ops = list(old), []
+        for _, _, issue, value, said in sorted(r for r in reviews if r[0] == k):
+            kind = "edit" if said.lower().startswith("edit:") else said
+            edit = said[5:].strip() if kind == "edit" else ""
+            if kind in ("keep", "") or kind == "edit" and not edit:
+                continue
+            target = edit or value
+            at = next((i for i, x in enumerate(work) if matches(x, value)), None)
+            if issue == "models_agree_gt_lacks" and not any(matches(x, target) for x in work) or issue == "recall_miss" and edit and at is None:
+                work.append(target)
+                ops.append(f"add: {target}")
+            elif issue == "recall_miss" and at is not None:
+                ops.append(f"replace: {work[at]} -> {edit}" if edit else f"remove: {work[at]}")
+                work[at : at + 1] = [edit] if edit else []
+        seen, new = set(), []
+        for x in work:
+            if text.plain(x) not in seen:
+                seen.add(text.plain(x))
+                new.append(x)
+        if ops and new != old:
+            wanted[k] = (old, new, ops)
+    plan = ground_truth.plan_lists(rows(spark, reviews, "record_id long, ordinal int, issue_type string, value string, curator_decision string"), rows(spark, list(truth.items()), "record_id long, values array<string>"))
+    assert {r.record_id: (r.old, r.new, r.ops) for r in plan.collect()} == wanted and wanted
