@@ -86,13 +86,15 @@ def remove(chain: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> list[np.nda
     """The chain without one fingerprint for each of these keys, which must have been inserted."""
     chain = [table.copy() for table in chain]
     fp, at = prints(a, b)
-    for f, x in zip(fp, at, strict=True):
-        for table in chain:
-            one = x & np.uint64(len(table) - 1)
-            spot = next((k for k in (one, other(one, f, len(table))) if (table[k] == f).any()), None)
-            if spot is not None:
-                table[spot, np.argmax(table[spot] == f)] = 0
-                break
-        else:
+    places = []
+    for table in chain:
+        one = at & np.uint64(len(table) - 1)
+        places.append((one, other(one, fp, len(table))))
+    for k, f in enumerate(fp):
+        spots = ((table, buckets[k]) for table, both in zip(chain, places, strict=True) for buckets in both)
+        found = next(((table, bucket) for table, bucket in spots if (table[bucket] == f).any()), None)
+        if found is None:
             raise ValueError("a key was removed that isn't there")
+        table, bucket = found
+        table[bucket, np.argmax(table[bucket] == f)] = 0
     return [table for table in chain if table.any()]

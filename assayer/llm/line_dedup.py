@@ -138,7 +138,7 @@ class LineIndex:
             return rows
         again = reduce(DataFrame.unionByName, self.again).distinct()
         added = rows.join(again, KEY, "left_semi").groupBy("shard", *KEY).agg(F.sum("refs").alias("refs"), F.min("first").alias("first"), F.max("last").alias("last"), F.sum("unnamed").alias("unnamed"))
-        return rows.join(again, KEY, "left_anti").unionByName(added)
+        return rows.join(again, KEY, "left_anti").select(*added.columns).unionByName(added)
 
     def delete(self, ids: DataFrame) -> LineIndex:
         """Without the documents of these ids (doc_id): the index as if they had never been inserted."""
@@ -149,7 +149,7 @@ class LineIndex:
         anew = common.written(by_key(refs.join(gone, KEY, "left_semi"), self.shards), "line-anew")
         unheld = gone.join(anew, KEY, "left_anti").withColumn("shard", F.pmod("a", F.lit(self.shards)).cast("int"))
         tables = common.written(changed_filters(unheld, self.filters, "remove").select("shard", "link", "slots"), "line-filters")
-        run = self.counts().join(gone, KEY, "left_anti").unionByName(anew)
+        run = self.counts().join(gone, KEY, "left_anti").select(*anew.columns).unionByName(anew)
         return LineIndex(self.least, self.shards, refs, tables, [common.written(run, "line-counts")])
 
     def dropped(self) -> DataFrame:
