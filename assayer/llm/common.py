@@ -119,9 +119,9 @@ def join_hot(left: DataFrame, right: DataFrame, keys: list[str], n: str, total:
     is_hot = F.col(n) > total / HOT_KEYS
     if right.where(is_hot).isEmpty():
         return left.join(right, keys, how)
-    hot, rest = F.broadcast(right.where(is_hot)), right.where(~is_hot)
-    cold = left.join(F.broadcast(right.where(is_hot).select(*keys)), keys, "left_anti").join(rest, keys, how)
-    return left.join(hot, keys).unionByName(cold)
+    met = left.join(F.broadcast(right.where(is_hot).withColumn("_hot", F.lit(True))), keys, "left")
+    cold = met.where("_hot IS NULL").select(*left.columns).join(right.where(~is_hot), keys, how)
+    return met.where("_hot").drop("_hot").unionByName(cold)
 
 
 #: Ids that are broadcast, 8 bytes each; more are joined by a shuffle.
