@@ -11,7 +11,6 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,8 +58,8 @@ class Snapshots:
                 local = lambda p: self._jvm.java.io.File(p.toUri().getPath()).toPath()
                 self._jvm.java.nio.file.Files.createLink(local(target), local(draft))
             else:
-                options = self._jvm.java.lang.reflect.Array.newInstance(self._jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), 0)
-                self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(draft, target, options)
+                none = self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 0)
+                self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(draft, target, none)
         except Exception as e:
             if "AlreadyExists" in str(e):
                 raise Conflict(f"version {version} of {place} is there already") from None
@@ -106,8 +105,8 @@ class Snapshots:
         new = change(self.read(base, buckets=hit)).select(*self.schema.names)
         name = uuid.uuid4().hex
         new.withColumn("_bucket", self._bucket()).repartition(len(hit), "_bucket").write.partitionBy("_bucket").parquet(f"{self.folder}/data/{name}")
-        if self.mirror:  # the same files under the same names
-            self.spark.read.parquet(f"{self.folder}/data/{name}").repartition(len(hit), "_bucket").write.partitionBy("_bucket").parquet(f"{self.mirror}/data/{name}") if self._filled(name) else None
+        if self.mirror and self._filled(name):  # the same rows under the same names
+            self.spark.read.parquet(f"{self.folder}/data/{name}").repartition(len(hit), "_bucket").write.partitionBy("_bucket").parquet(f"{self.mirror}/data/{name}")
         kept = {k: v for k, v in old.items() if int(k) not in hit}
         made = {k: f"{name}/_bucket={k}" for k in self._filled(name)}
         try:
