@@ -206,6 +206,24 @@ def test_nearest_equals_the_cross_join(spark):
     assert none.collect() == []
 
 
+def test_nearest_goes_on_only_where_an_option_may_be_nearer(spark, monkeypatch):
+    from assayer.operators import nearest
+
+    counts, durable = [], nearest.durable
+
+    def counting(df):
+        table = durable(df)
+        counts.append(table.where("rank IS NULL").count() if "guess" in table.columns else 0)
+        return table
+
+    monkeypatch.setattr(nearest, "durable", counting)
+    options = [f"supplier#{k:09d}" for k in range(400)] + ["é", "supplier#000000"]
+    values = [f"suplier#{k:09d}" for k in range(400)] + [f"limited supplier#{k:09d}" for k in range(400)] + ["supplier#00000"]
+    found = nearest.nearest(rows(spark, [(v, v) for v in values], "value string, text string"), rows(spark, list(enumerate(options)), "rank long, text string"))
+    assert {r.value: r.rank for r in found.collect()} == {v: k % 400 for k, v in enumerate(values[:-1])} | {"supplier#00000": 401}
+    assert len(counts) > 3 and max(counts) <= len(values)  # not one for each value and option
+
+
 def test_list_plans_are_those_of_one_review_after_the_other(spark):
     import random
 
