@@ -46,10 +46,15 @@ def serialise(instruction: Column, examples: Column) -> Column:
 
 def merge(kept: Column, proposed: Column, most: int = MOST) -> Column:
     """Both lists in order, each pair once whatever its case or outer blanks, the first `most` of them."""
-    both = F.concat(kept, proposed)
     key = lambda x: F.concat_ws("|", F.lower(stripped(x["paper"])), F.lower(stripped(x["answer"])))
-    keys = F.transform(both, key)
-    return F.slice(F.filter(both, lambda x, i: F.array_position(keys, key(x)) == i + 1), 1, most)
+    keyed = F.transform(F.concat(kept, proposed), lambda x: F.struct(key(x).alias("key"), x.alias("example")))  # each key once
+    none = F.struct(F.array().cast("array<string>").alias("keys"), F.array().cast("array<struct<paper:string,answer:string>>").alias("examples"))
+
+    def add(found: Column, x: Column) -> Column:
+        more = F.struct(F.concat(found["keys"], F.array(x["key"])).alias("keys"), F.concat(found["examples"], F.array(x["example"])).alias("examples"))
+        return F.when((F.size(found["keys"]) < most) & ~F.array_contains(found["keys"], x["key"]), more).otherwise(found)
+
+    return F.aggregate(keyed, none, add, lambda found: found["examples"])
 
 
 def legal(examples: Column, answers: Column) -> Column:

@@ -20,6 +20,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt over all cores, for costly work on it: a small file holds many rows, which one task reads."""
+    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """df, written to the shared folder and read again: no lineage grows, and nothing is computed twice."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"

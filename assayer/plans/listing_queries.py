@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import exemplars, models
-from ..operators import listings, sampling, summaries, versions
+from ..operators import listings, sampling, summaries, tables, versions
 from ..sources import fixtures
 from ..sources.fixtures import sql, sql_and
 from .registry import query
@@ -210,7 +210,8 @@ def merged_exemplars(spark, sf_dir):
     kept = F.array(pair(F.col("p_name"), F.col("p_brand")), pair(F.col("p_type"), F.col("p_brand")))
     proposed = F.array(pair(F.concat(F.lit(" "), F.upper("p_name")), F.col("p_brand")), pair("odd", "nowhere"), pair("  ", "a"), *[pair(f"n{i}\n", "a") for i in range(1, 6)])
     checked = exemplars.legal(proposed, F.array(F.lit("a"), F.lower("p_brand")))
-    return fixtures.table(spark, sf_dir, "part").select("p_partkey", exemplars.joined(exemplars.merge(kept, checked)).alias("examples"))
+    part = tables.spread(fixtures.table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_brand"))
+    return part.select("p_partkey", exemplars.joined(exemplars.merge(kept, checked)).alias("examples"))
 
 
 NAMES = ["lab/GPT-mini-1", "lab/claude-opus-9", "lab/deepseek-v4-pro", "lab/deepseek-r", "anthropic/other", "lab/unheard-of"]

@@ -150,3 +150,15 @@ def test_imbalance_and_health(spark):
     assert row.asDict() == {"n_runs": 2, "n_failed": 1, "n_candidates": 2, "n_accepted": 1, "failure_rate": 0.5, "accept_rate": 0.5}
     none = workflow.optimizer_health(tasks.limit(0), tried.limit(0), F.lit(at(0))).first()
     assert none.failure_rate == none.accept_rate == 0.0
+
+
+def test_merged_examples_come_from_more_than_one_task(spark):
+    from assayer.functions import exemplars
+    from assayer.plans import listing_queries
+
+    assert listing_queries.merged_exemplars(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() > 1  # a table of one file
+    lists = "array<struct<paper:string,answer:string>>"
+    row = spark.createDataFrame([([("A ", "x"), ("b", "Y")], [("a", "X"), ("b", "z"), (" B", "y "), ("c", "z"), ("d", "z")])], f"kept {lists}, proposed {lists}")
+    merged = lambda most: [tuple(x) for x in row.select(exemplars.merge(F.col("kept"), F.col("proposed"), most)).first()[0]]
+    assert merged(6) == [("A ", "x"), ("b", "Y"), ("b", "z"), ("c", "z"), ("d", "z")]
+    assert merged(3) == [("A ", "x"), ("b", "Y"), ("b", "z")]
