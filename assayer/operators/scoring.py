@@ -9,7 +9,7 @@ from pyspark.sql import types
 
 from ..config import T
 from ..functions import fuzzy, names, parsing, text
-from .tables import durable
+from .tables import durable, spread
 
 def result(score: Column, outcome: Column, honesty: Column) -> Column:
     return F.struct(score.alias("score"), (score >= T.list_correct).alias("is_correct"), outcome.alias("outcome"), honesty.alias("honesty_score"))
@@ -67,7 +67,7 @@ def matched(pairs: DataFrame, field: str, is_fuzzy: bool) -> DataFrame:
     """
     pairs = durable(pairs.select("_p", "_t").withColumn("_id", F.monotonically_increasing_id()))
     each = pairs.select("_id", "_t", F.posexplode("_p").alias("pi", "p")).select("_id", "pi", "p", F.posexplode("_t").alias("ti", "t"))
-    same = same_pairs(each.select("p", "t").distinct(), field, is_fuzzy)
+    same = durable(same_pairs(each.select("p", "t").distinct(), field, is_fuzzy))  # where it is small, the cells needn't be dealt by it
     alike = each.join(same, ["p", "t"]).groupBy("_id").agg(F.collect_set(F.struct("pi", "ti")).alias("alike"))
     none = F.array().cast("array<struct<pi:int,ti:int>>")
     joined = pairs.join(alike, "_id", "left").withColumn("alike", F.coalesce("alike", none))
@@ -92,7 +92,7 @@ def normalised_values(field: str, values: Column, countries: list[str]) -> Colum
 def lists(rows: DataFrame, field: str, is_fuzzy: bool, countries: list[str] | None = None) -> DataFrame:
     """rows (predicted, truth lists) with result, missing and extra."""
     values = lambda c: normalised_values(field, F.coalesce(c, F.array().cast("array<string>")), countries or [])
-    ready = rows.withColumn("_p", values(F.col("predicted"))).withColumn("_t", values(F.col("truth")))
+    ready = durable(spread(rows).withColumn("_p", values(F.col("predicted"))).withColumn("_t", values(F.col("truth"))))
     found = ready.join(matched(ready.select("_p", "_t").distinct(), field, is_fuzzy), ["_p", "_t"])
     tp, n_p, n_t = F.col("m.tp"), F.col("m.n_predicted"), F.col("m.n_truth")
     precision, recall = F.try_divide(tp, n_p), F.try_divide(tp, n_t)
