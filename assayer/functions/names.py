@@ -127,13 +127,16 @@ def country(value: Column, countries: list[str]) -> Column:
 
 def institution(value: Column) -> Column:
     """The full name of a known abbreviation, also as University of X or X University where that is one."""
-    key = lookup_key(value)
     every = {key_of(k): v for k, v in INSTITUTION_ALIASES.items()}
     universities = {k: v for k, v in every.items() if any(w in v.lower() for w in UNIVERSITY_WORDS)}
-    stem = F.when(key.rlike("^(the )?university of "), F.regexp_replace(key, "^(the )?university of ", ""))
-    tail = F.when(key.endswith(" university"), F.regexp_replace(key, " university$", ""))
-    by_stem = [F.try_element_at(_map(universities), x) for x in (stem, tail)]
-    return F.coalesce(F.try_element_at(_map(every), key), *by_stem, value)
+
+    def named(key: Column) -> Column:
+        stem = F.when(key.rlike("^(the )?university of "), F.regexp_replace(key, "^(the )?university of ", ""))
+        tail = F.when(key.endswith(" university"), F.regexp_replace(key, " university$", ""))
+        by_stem = [F.try_element_at(_map(universities), x) for x in (stem, tail)]
+        return F.coalesce(F.try_element_at(_map(every), key), *by_stem)
+
+    return F.coalesce(F.transform(F.array(lookup_key(value)), named)[0], value)  # the key is made once
 
 
 def author_parts(name: Column) -> Column:

@@ -152,11 +152,14 @@ def value_list(json: Column) -> Column:
 
 
 def is_missing(value: Column) -> Column:
-    key = lookup_key(value)
-    found = key.isin(MISSING_EXACT)
-    for prefix in MISSING_PREFIXES:
-        found = found | key.startswith(prefix)
-    return found
+
+    def told(key: Column) -> Column:
+        found = key.isin(MISSING_EXACT)
+        for prefix in MISSING_PREFIXES:
+            found = found | key.startswith(prefix)
+        return found
+
+    return F.transform(F.array(lookup_key(value)), told)[0]  # the key is made once
 
 
 def missing_folded(value: Column) -> Column:
