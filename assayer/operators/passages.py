@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from .tables import durable, spread
 
 #: A quotation: so many words in a row of a passage, or the whole passage if it has fewer.
 QUOTED_WORDS = 8
 ROW = ["_r1", "_r2"]
+#: Shingles of the smaller table that are broadcast, about 50 bytes each; more are joined by a shuffle.
+BROADCAST_SHINGLES = 500_000
 
 
 def raw_words(value: Column) -> Column:
@@ -46,7 +49,9 @@ def sharing(left: DataFrame, right: DataFrame, left_keys: list[str], right_keys:
     of_one = one.select(*left_keys, (F.size("words") == F.col("n")).alias("_all_left"), "n", F.inline(shingles(F.col("words"), F.col("n"))))
     of_other = other.select(*right_keys, (F.size("words") == F.col("n")).alias("_all_right"), "n", F.inline(shingles(F.col("words"), F.col("n"))))
     counts = (F.col("n") == n) | F.col("_all_right") | (F.col("_all_left") if whole_left else F.lit(False))
-    return of_one.join(of_other, ["n", "h", "g"]).where(counts).select(*left_keys, *right_keys).distinct()
+    of_other = durable(of_other)
+    few = of_other.count() <= BROADCAST_SHINGLES  # then left's shingles, a row for each word, needn't move
+    return of_one.join(F.broadcast(of_other) if few else of_other, ["n", "h", "g"]).where(counts).select(*left_keys, *right_keys).distinct()
 
 
 def named(rows: DataFrame, id_: str, as_: list[str]) -> DataFrame:
@@ -63,9 +68,9 @@ def excerpt_pairs(documents: DataFrame, passages: DataFrame, words: int = 3) ->
     docs = named(documents.select("doc_id", "text"), "doc_id", ["_r1", "_r2"])
     items = named(passages.select("item_id", "text"), "item_id", ["_i1", "_i2"])
     ready = lambda rows, keys: rows.select(*keys, folded_words(F.col("text")).alias("words"))
-    found = sharing(ready(docs, ROW), ready(items, ["_i1", "_i2"]), ROW, ["_i1", "_i2"], words)
-    found = found.join(items.withColumnRenamed("text", "excerpt"), ["_i1", "_i2"])
-    return docs.withColumnRenamed("text", "source").join(found, ROW).select("doc_id", "item_id", "excerpt", "source")
+    found = durable(sharing(ready(docs, ROW), ready(items, ["_i1", "_i2"]), ROW, ["_i1", "_i2"], words))  # its size tells if texts have to be dealt
+    met = docs.withColumnRenamed("text", "source").join(found, ROW).join(items.withColumnRenamed("text", "excerpt"), ["_i1", "_i2"])
+    return spread(met.select("doc_id", "item_id", "excerpt", "source"))
 
 
 def leaked(documents: DataFrame, passages: DataFrame, words: int = QUOTED_WORDS) -> DataFrame:

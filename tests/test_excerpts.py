@@ -119,3 +119,16 @@ def test_training_rows_are_those_taken_in_order(spark):
         for bounds in ((0.0, 0.0), (0.5, 0.6)):
             found = ground_truth.training_rows(frame, truth, *bounds, cap)
             assert sorted((r.ordinal, r.reason) for r in found.collect()) == taken_in_order(rows, {3, 7}, *bounds, cap)
+
+
+def test_shingles_of_documents_stay_where_they_are(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"alpha{k} beta gamma delta and more words") for k in range(50)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "beta gamma delta"), (2, "nothing of it")], "item_id long, text string")
+    pairs = lambda: {(r.doc_id, r.item_id) for r in passages.excerpt_pairs(docs, items).collect()}
+    words = lambda rows, key: rows.select(key, passages.raw_words(rows["text"]).alias("words"))
+    shared = passages.sharing(words(docs, "doc_id"), words(items, "item_id"), ["doc_id"], ["item_id"], 3)
+    assert "SortMergeJoin" not in shared._jdf.queryExecution().sparkPlan().toString()
+    wanted = {(k, 1) for k in range(50)}
+    assert pairs() == wanted
+    monkeypatch.setattr(passages, "BROADCAST_SHINGLES", 0)
+    assert pairs() == wanted
