@@ -150,7 +150,7 @@ def prefixes(docs: DataFrame, size: int, threshold: int, last: np.ndarray, clash
 
 
 def shared_lists(index: DataFrame) -> DataFrame:
-    """(shingle, sets array<struct<sid, n, pos>>) of the lists that hold two sets or more, each set once.
+    """(shingle, frequent, sets array<struct<sid, n, pos>>) of the lists that hold two sets or more, each set once.
 
     Lists of up to SHORT sets are one row; of longer ones, and of the commonest shingles, which aren't asked
     how long theirs are, each set is a row. No other shingle occurs as often as those.
@@ -161,7 +161,7 @@ def shared_lists(index: DataFrame) -> DataFrame:
     rows = rows.withColumn("before", F.lag("sid").over(by_set)).where("before IS NULL OR before <> sid")
     rows = rows.withColumn("length", F.count("*").over(of_list)).where("frequent OR length > 1")
     alone = F.when(F.col("frequent") | (F.col("length") > SHORT), F.col("sid"))
-    return rows.groupBy("shingle", "part", alone.alias("alone")).agg(F.collect_list(F.struct("sid", "n", "pos")).alias("sets")).select("shingle", "sets")
+    return rows.groupBy("shingle", "frequent", "part", alone.alias("alone")).agg(F.collect_list(F.struct("sid", "n", "pos")).alias("sets")).select("shingle", "frequent", "sets")
 
 
 def short_pairs(index: DataFrame, threshold: int, most: int) -> DataFrame:
@@ -327,12 +327,16 @@ def untied(pairs: DataFrame, root: DataFrame) -> DataFrame:
 
 
 def open_lists(lists: DataFrame, root: DataFrame) -> DataFrame:
-    """The lists that hold sets of more than one component."""
+    """The lists that hold sets of more than one component.
+
+    The commonest shingles, COMMONEST at most, are broadcast, so that no task gets all rows of one; the others,
+    which are in no list as long as theirs, are joined by a shuffle. Either join hands on the rows asked for alone.
+    """
     rows = common.written(with_component(lists, root, "sid", "component"), "jaccard-told")
-    mixed = rows.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("length")).where("low <> high")
-    mixed = common.written(mixed.select("shingle", "length"), "jaccard-mixed")
-    total = mixed.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
-    return common.written(common.join_hot(rows, mixed, ["shingle"], "length", total).drop("length"), "jaccard-open")
+    mixed = rows.groupBy("shingle", "frequent").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    mixed = common.written(mixed.select("shingle", "frequent"), "jaccard-mixed")
+    hot, cold = (rows.where(part).join(named, "shingle", "left_semi") for part, named in (("frequent", F.broadcast(mixed.where("frequent"))), ("NOT frequent", mixed.where("NOT frequent"))))
+    return common.written(hot.unionByName(cold).drop("frequent"), "jaccard-open")
 
 
 def followers(links: DataFrame) -> DataFrame:
@@ -370,7 +374,7 @@ def link(docs: DataFrame, threshold: int = 80, size: int = 5) -> DataFrame:
     commonest = ranked.column(0).to_numpy().view(np.uint64)[::-1]
     index = prefixes(named.select("text"), size, threshold, commonest, clashing)
     index = common.written(shared_lists(index), "jaccard-index")
-    lists = index.where("size(sets) = 1").select("shingle", F.col("sets")[0].alias("s")).select("shingle", "s.*")
+    lists = index.where("size(sets) = 1").select("shingle", "frequent", F.col("sets")[0].alias("s")).select("shingle", "frequent", "s.*")
 
     sets, links = Sets(named, classes, size, threshold, clashing), []
     links.append(sets.compare(plain(short_pairs(index, threshold, 1))).where("linked"))

@@ -110,6 +110,36 @@ def test_jaccard_chains(spark, monkeypatch):
     assert [r.component_id for r in found if r.doc_id is None] == [None, None]
 
 
+def made_by_joins(plan):
+    """Rows that the joins of a plan that has run hand on."""
+    below = [plan.children().apply(k) for k in range(plan.children().size())]
+    if plan.nodeName() == "AdaptiveSparkPlan":
+        below = [plan.executedPlan()]
+    elif plan.nodeName().endswith("QueryStage"):
+        below = [plan.plan()]
+    return (plan.metrics().apply("numOutputRows").value() if "Join" in plan.nodeName() else 0) + sum(map(made_by_joins, below))
+
+
+def test_joins_hand_on_open_lists_alone(spark, monkeypatch):
+    """Lists whose sets are one component, commonest or not, don't leave a join only to be dropped after it."""
+    lists = [(1, True, k) for k in range(40)] + [(2, True, k) for k in range(10, 300)] + [(3, False, k) for k in (1, 350)] + [(4, False, k) for k in range(50, 90)]
+    lists = spark.createDataFrame([(*x, 100, 0) for x in lists], "shingle long, frequent boolean, sid long, n int, pos int")
+    root = spark.createDataFrame([(k, 0) for k in range(300) if k not in (7, 9)], "node long, component long")
+    asked, write = [], ngram_jaccard.common.written
+
+    def written(df, name):
+        if name == "jaccard-open":
+            asked.append(df)
+        return write(df, name)
+
+    monkeypatch.setattr(ngram_jaccard.common, "written", written)
+    monkeypatch.setattr(ngram_jaccard.common, "HOT_KEYS", 2)
+    found = ngram_jaccard.open_lists(lists, root).collect()
+    assert sorted((r.shingle, r.sid, r.component) for r in found) == [(1, k, k if k in (7, 9) else 0) for k in range(40)] + [(3, 1, 0), (3, 350, 350)]
+    asked[0].collect()
+    assert made_by_joins(asked[0]._jdf.queryExecution().executedPlan()) == len(found)
+
+
 def trim(corpus, window):
     first, words = {}, {i: (t or "").encode().split() for i, t in corpus}
     for i in sorted(words):
